@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
+from .jaccard import jaccard_components
 from .license_scan import known_licenses, license_scan
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import quality_rules
 from .records import read_records, write_records
 from .sql import SQL
+from .suffix import suffix_dedup
 from .tokens import tokenizer_path
 from .topk import top_k
 from .warc import read_archive, write_archive
@@ -42,6 +44,10 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(write_records(table(spark, sf_dir, "documents"), shared_dir(spark, "records"), tokenizer_path()))
 
@@ -50,6 +56,14 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_topk_search, op3_curve_packing, op4_quality_rules, op5_warc_archive, op7_token_records, op8_source_mixing)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_license_scan, op2_topk_search, op3_curve_packing, op4_quality_rules, op5_warc_archive,
+    op6_jaccard_join, op7_token_records, op8_source_mixing, op10_suffix_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {k: v for k, v in SQL.items() if k in QUERIES}
