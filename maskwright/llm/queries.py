@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table
 from .jaccard import jaccard_components
 from .license_scan import known_licenses, license_scan
+from .lm import lm_scores
 from .mixing import mix_sources
 from .packing import pack_documents
 from .quality import quality_rules
@@ -56,13 +57,17 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
 _ALL = (
     op1_license_scan, op2_topk_search, op3_curve_packing, op4_quality_rules, op5_warc_archive,
-    op6_jaccard_join, op7_token_records, op8_source_mixing, op10_suffix_dedup,
+    op6_jaccard_join, op7_token_records, op8_source_mixing, op9_lm_scores, op10_suffix_dedup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
