@@ -13,7 +13,7 @@ from maskwright.llm.common import save, shared_dir, table
 from maskwright.llm.jaccard import jaccard_components
 from maskwright.llm.mixing import mix_sources
 from maskwright.llm.packing import pack_documents
-from maskwright.llm.quality import quality_rules
+from maskwright.llm.quality import verdict
 from maskwright.llm.suffix import suffix_dedup
 from maskwright.llm.tokens import tokenizer_path
 
@@ -23,9 +23,7 @@ SHINGLE, PERCENT = 5, 80
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, unchanged; a document without words doesn't."""
-    return quality_rules(docs.select("doc_id", "text", *[F.col(c).alias(f"_in_{c}") for c in docs.columns if c not in ("doc_id", "text")])).filter("kept").select(
-        *[F.col(c) if c in ("doc_id", "text") else F.col(f"_in_{c}").alias(c) for c in docs.columns]
-    )
+    return docs.filter(verdict(F.col("text"))["kept"])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
