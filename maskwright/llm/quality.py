@@ -81,63 +81,76 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return F.when(F.size(words) <= width, F.lit(0)).otherwise(_let(_windows(words, width), covered)).cast("long")
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the counts that the rules divide. Null text counts as empty; other columns stay.
+def measures(text: Column) -> Column:
+    """The counts that the rules divide, as one struct computed once for each text; null text counts as empty.
 
-    Added columns replace those of the same name: n_words, word_chars, n_symbols, n_exclaimed,
-    n_lines (lines with a word), n_dup_lines, n_ellipsis_lines, n_bullet_lines, n_stop_words and n_repeat_words (long).
+    Fields: n_words, word_chars, n_symbols, n_exclaimed, n_lines (lines with a word), n_dup_lines, n_ellipsis_lines,
+    n_bullet_lines, n_stop_words, n_repeat_words (long). One nested expression, so that a filter on a field that is
+    pushed below its projection holds it once and not once for each mention.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    split = docs.withColumns(
-        {
-            "_text": body,
-            "_words": F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != ""),
-            "_lines": F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0),
-        }
-    )
-    without = lambda chars: F.length("_text") - F.length(F.translate("_text", chars, ""))
-    words, lines = F.col("_words"), F.col("_lines")
+    body = F.coalesce(text, F.lit(""))
     stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return split.withColumns(
-        {
-            "n_words": F.size(words).cast("long"),
-            "word_chars": F.length(F.translate("_text", BLANKS, "")).cast("long"),
-            "n_symbols": without(SYMBOLS).cast("long"),
-            "n_exclaimed": without("!").cast("long"),
-            "n_lines": F.size(lines).cast("long"),
-            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_ellipsis_lines": F.size(F.filter(lines, lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).cast("long"),
-            "n_bullet_lines": F.size(F.filter(lines, lambda x: F.ltrim(x).rlike("^[-*•]"))).cast("long"),
-            "n_stop_words": F.size(F.filter(words, lambda w: F.array_contains(stops, F.lower(w)))).cast("long"),
+
+    def counts(x: Column) -> Column:
+        whole, words, lines = x["text"], x["words"], x["lines"]
+        without = lambda chars: F.length(whole) - F.length(F.translate(whole, chars, ""))
+        fields = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.translate(whole, BLANKS, "")),
+            "n_symbols": without(SYMBOLS),
+            "n_exclaimed": without("!"),
+            "n_lines": F.size(lines),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_ellipsis_lines": F.size(F.filter(lines, lambda v: F.rtrim(v).endswith("...") | F.rtrim(v).endswith("…"))),
+            "n_bullet_lines": F.size(F.filter(lines, lambda v: F.ltrim(v).rlike("^[-*•]"))),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.array_contains(stops, F.lower(w)))),
             "n_repeat_words": repeated_words(words),
         }
-    ).drop("_text", "_words", "_lines")
+        return F.struct(*[v.cast("long").alias(k) for k, v in fields.items()])
+
+    parts = F.struct(
+        body.alias("text"),
+        F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
+        F.filter(F.split(body, "\n"), lambda v: F.length(F.translate(v, BLANKS, "")) > 0).alias("lines"),
+    )
+    return _let(parts, counts)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(m: Column) -> Column:
+    return (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
 
 
-def compile_rules(rules=RULES) -> Column:
-    """The threshold table as one boolean expression; a rule without a denominator value passes."""
+def compile_rules(m: Column, rules=RULES) -> Column:
+    """The threshold table as one boolean expression over measures; a rule without a denominator value passes."""
     verdict = F.lit(True)
     for r in rules:
-        value = F.col(r.numerator).cast("double")
+        value = m[r.numerator].cast("double")
         if r.denominator:
-            value = F.when(F.col(r.denominator) > 0, value / F.col(r.denominator))
+            value = F.when(m[r.denominator] > 0, value / m[r.denominator])
         ok = F.lit(True)
         if r.least is not None:
             ok = ok & (value >= F.lit(float(r.least)))
         if r.most is not None:
             ok = ok & (value <= F.lit(float(r.most)))
-        verdict = verdict & ((F.col("n_words") < r.from_words) | F.coalesce(ok, F.lit(True)))
+        verdict = verdict & ((m["n_words"] < r.from_words) | F.coalesce(ok, F.lit(True)))
     return verdict
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_exclaimed", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines", "n_stop_words", "n_repeat_words")
+
+
+def verdict(text: Column, rules=RULES) -> Column:
+    """Struct of the measures, ``base_failed`` and ``kept``."""
+    judged = lambda m: F.struct(*[m[k].alias(k) for k in MEASURES], base_failed(m).alias("base_failed"), (~base_failed(m) & compile_rules(m, rules)).alias("kept"))
+    return _let(measures(text), judged)
+
+
 def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """Documents with their measures, ``base_failed`` and ``kept``.
 
     Empty or null texts fail the base rule. Repeated rows and ids are judged row by row. Columns of
     the input named as an added column are replaced; others pass through.
     """
-    return measures(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    added = (*MEASURES, "base_failed", "kept")
+    own = [F.col(c) for c in docs.columns if c not in added]
+    return docs.select(*own, verdict(F.col(text), rules).alias("_verdict")).select(*own, *[F.col(f"_verdict.{c}").alias(c) for c in added])
