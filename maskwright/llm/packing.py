@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, rows_to_batch, save, shared_dir
-from .tokens import TextEncoder
+from .tokens import TextEncoder, encoded
 
 #: Production parameters.
 LENGTH = 4096
@@ -119,8 +119,8 @@ def pack_documents(
             doc_ids, means, raw = batch.column(0).to_pylist(), [], []
             if None in doc_ids:
                 raise ValueError(f"{id_col} is null")
-            for body in batch.column(1):
-                ids = np.append(encoder.encode(body.as_py()), encoder.dtype(end_id))
+            for ids in encoded(encoder, (v.as_py() for v in batch.column(1))):
+                ids = np.append(ids, encoder.dtype(end_id))
                 means.append(projection[ids].mean(axis=0))
                 raw.append(ids.tobytes())
             if doc_ids:

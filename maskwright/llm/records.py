@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import open_fs, partitions, remove, rows_to_batch, save
-from .tokens import TextEncoder
+from .tokens import TextEncoder, encoded
 
 HEAD, TAIL, DATA = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qB")
 #: A file is closed once it holds this many bytes.
@@ -85,14 +85,14 @@ def write_records(docs: DataFrame, where: str, tokenizer: str, end_id: int | Non
         try:
             for batch in batches:
                 rows = []
-                for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                texts = (v.as_py() for v in batch.column(1))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(encoder, texts)):
                     if doc_id is None:
                         raise ValueError(f"{id_col} is null")
                     if out is None:
                         seq, size = seq + 1, 0
                         name = f"part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.tok"
                         out = fs.open_output_stream(f"{folder}/{name}", compression=None)
-                    ids = encoder.encode(body.as_py())
                     if end_id is not None:
                         ids = np.append(ids, encoder.dtype(end_id))
                     data = frame(doc_id, ids)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 
@@ -79,24 +80,30 @@ class TextEncoder:
 
     def _add(self, pieces: list[bytes]) -> None:
         texts = [p.decode("utf-8") for p in pieces]
-        ids: list = [None] * len(texts)
-        plain = [k for k, t in enumerate(texts) if self.mark not in t]
-        for at in range(0, len(plain), _GROUP):
-            group = plain[at : at + _GROUP]
-            joined = np.array(self._plain([self.mark.join(texts[k] for k in group)])[0], np.int64)
-            for k, part in zip(group, np.split(joined, np.flatnonzero(joined == self.mark_id)), strict=True):
-                ids[k] = part[part != self.mark_id]
-        for k, part in enumerate(ids):
-            if part is None:
-                ids[k] = np.array(self._plain([texts[k]])[0], np.int64)
-        lengths = np.array([len(x) for x in ids], np.int64)
-        n, m, total = len(self.codes), len(pieces), int(lengths.sum())
+        odd = [k for k, t in enumerate(texts) if self.mark in t]
+        if odd:
+            plain = sorted(set(range(len(texts))) - set(odd))
+            pieces, texts = [pieces[k] for k in plain + odd], [texts[k] for k in plain + odd]
+        n_plain = len(texts) - len(odd)
+        flat, lengths = [], []
+        for at in range(0, n_plain, _GROUP):
+            # one text of many pieces; the mark's id, which none of them has, parts them again
+            joined = np.array(self._plain([self.mark.join(texts[at : min(at + _GROUP, n_plain)])])[0], np.int64)
+            is_mark = joined == self.mark_id
+            cuts = np.flatnonzero(is_mark)
+            lengths.append(np.diff(np.concatenate([[-1], cuts, [len(joined)]])) - 1)
+            flat.append(joined[~is_mark])
+        for t in texts[n_plain:]:
+            flat.append(np.array(self._plain([t])[0], np.int64))
+            lengths.append(np.array([len(flat[-1])]))
+        ids, lengths = np.concatenate(flat), np.concatenate(lengths)
+        n, m, total = len(self.codes), len(pieces), len(ids)
         while n + m > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + total] = np.concatenate(ids)
+        self.pool[self.used : self.used + total] = ids
         self.start[n : n + m] = self.used + np.cumsum(lengths) - lengths
         self.length[n : n + m] = lengths
         self.used += total
@@ -104,21 +111,41 @@ class TextEncoder:
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of one whole text; null is empty."""
-        text = text or ""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each whole text; all texts together should stay within some megabytes."""
         if not self.memo_ok:
-            return np.array(self._plain([text])[0], self.dtype)
-        pieces = text.encode("utf-8").split()
+            return [np.array(ids, self.dtype) for ids in self._plain([t or "" for t in texts])]
+        by_text = [(t or "").encode("utf-8").split() for t in texts]
+        pieces = list(chain.from_iterable(by_text))
         if not pieces:
-            return np.zeros(0, self.dtype)
+            return [np.zeros(0, self.dtype) for _ in texts]
         codes = list(map(self.codes.get, pieces))
         if None in codes:
-            new = list({p for p, c in zip(pieces, codes) if c is None})
+            new = list(dict.fromkeys(p for p, c in zip(pieces, codes) if c is None))
             if len(self.codes) + len(new) > MEMO_PIECES:
                 self._clear()
-                new = list(set(pieces))
+                new = list(dict.fromkeys(pieces))
             self._add(new)
             codes = list(map(self.codes.__getitem__, pieces))
         codes = np.array(codes, np.int64)
         length = self.length[codes]
         ends = np.cumsum(length)
-        return self.pool[np.repeat(self.start[codes] - ends + length, length) + np.arange(ends[-1])]
+        ids = self.pool[np.repeat(self.start[codes] - ends + length, length) + np.arange(ends[-1])]
+        upto = np.append(0, ends)[np.cumsum([0] + [len(x) for x in by_text])].tolist()
+        return [ids[a:b] for a, b in zip(upto[:-1], upto[1:])]
+
+
+def encoded(encoder: TextEncoder, texts, group_chars: int = 1 << 20):
+    """Ids of each of an iterable of texts, a megabyte or a single text at a time."""
+    held: list[str | None] = []
+    size = 0
+    for text in texts:
+        if held and size + len(text or "") > group_chars:
+            yield from encoder.encode_all(held)
+            held, size = [], 0
+        held.append(text)
+        size += len(text or "")
+    if held:
+        yield from encoder.encode_all(held)
