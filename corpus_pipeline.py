@@ -38,18 +38,18 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     A character of which a byte went goes whole. A text that is nothing but repeats becomes empty; a
     null text too.
     """
-    cut = suffix_dedup(docs, with_text=True).filter("n_removed > 0").select("doc_id", F.decode(F.col("kept"), "UTF-8").alias("_left"))
-    joined = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("_left", "text", F.lit("")))
+    cut = suffix_dedup(docs, with_text=True).filter("n_removed > 0").select("doc_id", F.col("kept_text").alias("_cut_text"))
+    joined = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("_cut_text", "text", F.lit("")))
     return joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, and a last partial time as its first words one space apart."""
-    takes = mix_sources(docs).filter("taken > 0").select("doc_id", "size", "taken")
-    rows = docs.join(takes, "doc_id").withColumns({"_whole": F.floor(F.col("taken") / F.col("size")).cast("int"), "_rest": (F.col("taken") % F.col("size")).cast("int")})
-    times = rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_whole") + F.when(F.col("_rest") > 0, 1).otherwise(0))))
+    takes = mix_sources(docs).filter("taken > 0").select("doc_id", F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    whole, rest = F.floor(F.col("_mix_taken") / F.col("_mix_size")).cast("int"), (F.col("_mix_taken") % F.col("_mix_size")).cast("int")
+    times = docs.join(takes, "doc_id").withColumn("_mix_time", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("_time") <= F.col("_whole"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_rest")), " "))
+    text = F.when(F.col("_mix_time") <= whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest), " "))
     return times.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
