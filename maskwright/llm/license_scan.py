@@ -82,6 +82,8 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
 )
 
+#: Most known texts that lines are looked up in; entire texts are joined whatever their number.
+MOST_NOTICES = 10_000
 #: A whole line that only states a copyright.
 COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
 NOT_TEXT = r"[^\p{L}\p{N}]+"
@@ -111,29 +113,19 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
 
     ``notices`` joins with "," the sorted distinct ids of the licences whose known text equals one
     of the document's lines. A null text, and a text or line without a letter or digit, matches nothing; its digest is null.
-    Repeated rows give repeated rows; no other column of the input is read. ``known`` holds the fixed table of known
-    texts; Spark broadcasts it only under its own size threshold and otherwise shuffles by digest.
+    Repeated rows give repeated rows; no other column of the input is read. Entire texts are hash-joined: Spark broadcasts
+    ``known`` only under its own size threshold and otherwise shuffles by digest. Lines are looked up in a literal map of it, checked to be small.
     """
+    table = [(r.license_digest, r.license_id) for r in known.limit(MOST_NOTICES + 1).collect()]
+    if len(table) > MOST_NOTICES:
+        raise ValueError(f"more than {MOST_NOTICES} known texts: too many to compare lines with in place")
+    ids = F.create_map(*[F.lit(x) for pair in table for x in pair]) if table else F.create_map().cast("map<string,string>")
     body = docs.select(F.col(id_col), F.col(text).alias("_t"))
     whole = canonical(F.col("_t"))
     lines = F.filter(F.transform(F.filter(F.split("_t", "\n"), lambda x: F.lower(x).rlike("licen[sc]e|permission")), canonical), lambda x: x != "")
-    scanned = body.select(
-        F.monotonically_increasing_id().alias("_row"),
-        id_col,
-        F.when(whole != "", F.sha2(whole, 256)).alias("text_digest"),
-        F.array_distinct(F.transform(lines, lambda x: F.sha2(x, 256))).alias("_lines"),
-    )
-    with_lines = scanned.filter(F.size("_lines") > 0).select("_row", F.explode("_lines").alias("license_digest"))
-    found = with_lines.join(known, "license_digest").groupBy("_row").agg(F.array_sort(F.collect_set("license_id")).alias("_ids"))
+    found = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.element_at(ids, F.sha2(x, 256))), lambda x: x.isNotNull())))
+    scanned = body.select(id_col, F.when(whole != "", F.sha2(whole, 256)).alias("text_digest"), F.coalesce(found, F.array().cast("array<string>")).alias("_ids"))
     whole_known = known.select(F.col("license_digest").alias("text_digest"), "license_id")
-    return (
-        scanned.join(whole_known, "text_digest", "left")
-        .join(found, "_row", "left")
-        .select(
-            id_col,
-            "text_digest",
-            "license_id",
-            F.coalesce(F.array_join("_ids", ","), F.lit("")).alias("notices"),
-            F.coalesce(F.size("_ids"), F.lit(0)).cast("long").alias("n_notices"),
-        )
+    return scanned.join(whole_known, "text_digest", "left").select(
+        id_col, "text_digest", "license_id", F.array_join("_ids", ",").alias("notices"), F.size("_ids").cast("long").alias("n_notices")
     )
