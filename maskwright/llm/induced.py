@@ -122,7 +122,7 @@ def induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, symbols: int, me
         tail = len(text) - 1
         for c in range(symbols - 1, -1, -1):
             small: list[np.ndarray] = []
-            first = np.array([tail]) if c == text[tail] and is_s[tail] else None
+            first = np.array([tail], lms.dtype) if c == text[tail] and is_s[tail] else None
             while True:
                 moved = list(upper.take(c))
                 if not moved:
@@ -203,7 +203,7 @@ def suffix_order(text: np.ndarray, symbols: int, depth: int = 1 << 62, memory: i
         yield np.array(sorted(range(n), key=lambda i: tuple(text[i:])), np.int64)
         return
     is_s = s_types(text)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32 if n < 1 << 31 else np.int64)
     if len(lms) > 1:
         rough = lms[np.argsort(text[lms], kind="stable")]
         marked = np.zeros(n, bool)

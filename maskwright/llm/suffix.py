@@ -30,7 +30,7 @@ from .induced import suffix_order
 LENGTH = 50
 GRAM = 20
 #: Text bytes for each bucket, which sets their number.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
