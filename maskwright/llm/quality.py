@@ -18,7 +18,6 @@ STOP_WORDS = (
 ).split()
 
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)
@@ -51,20 +50,21 @@ def _let(value: Column, body) -> Column:
 
 
 def _windows(words: Column, width: int) -> Column:
-    """Sorted (hash, position) of the word windows."""
-    hashed = F.transform(
-        F.sequence(F.lit(0), F.size(words) - width),
-        lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(width)]).alias("h"), i.alias("i")),
-    )
-    return F.array_sort(hashed)
+    """Hash of each word window, by position."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
 
 
 def repeated_words(words: Column, width: int = 5) -> Column:
     """Words inside windows of ``width`` words that occur twice or more in the array.
 
-    Windows are sorted by hash within the row and equal neighbours are compared word by word.
+    Window hashes that all differ settle a text; otherwise windows are sorted by hash within the
+    row and equal neighbours are compared word by word.
     """
 
+    def counted(hashes: Column) -> Column:
+        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(placed, covered))
+
     def covered(s: Column) -> Column:
         same = lambda x, y: (x["h"] == y["h"]) & (F.slice(words, x["i"] + 1, width) == F.slice(words, y["i"] + 1, width))
         twice = F.filter(s, lambda x, j: F.coalesce(same(x, F.get(s, j - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, j + 1)), F.lit(False)))
@@ -78,7 +78,7 @@ def repeated_words(words: Column, width: int = 5) -> Column:
             ),
         )
 
-    return F.when(F.size(words) <= width, F.lit(0)).otherwise(_let(_windows(words, width), covered)).cast("long")
+    return F.when(F.size(words) <= width, F.lit(0)).otherwise(_let(_windows(words, width), counted)).cast("long")
 
 
 def measures(text: Column) -> Column:
@@ -89,21 +89,19 @@ def measures(text: Column) -> Column:
     pushed below its projection holds it once and not once for each mention.
     """
     body = F.coalesce(text, F.lit(""))
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
 
     def counts(x: Column) -> Column:
         whole, words, lines = x["text"], x["words"], x["lines"]
-        without = lambda chars: F.length(whole) - F.length(F.translate(whole, chars, ""))
         fields = {
             "n_words": F.size(words),
-            "word_chars": F.length(F.translate(whole, BLANKS, "")),
-            "n_symbols": without(SYMBOLS),
-            "n_exclaimed": without("!"),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": F.regexp_count(whole, F.lit(f"[{SYMBOLS}]")),
+            "n_exclaimed": F.length(whole) - F.length(F.replace(whole, F.lit("!"), F.lit(""))),
             "n_lines": F.size(lines),
             "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
             "n_ellipsis_lines": F.size(F.filter(lines, lambda v: F.rtrim(v).endswith("...") | F.rtrim(v).endswith("…"))),
             "n_bullet_lines": F.size(F.filter(lines, lambda v: F.ltrim(v).rlike("^[-*•]"))),
-            "n_stop_words": F.size(F.filter(words, lambda w: F.array_contains(stops, F.lower(w)))),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))),
             "n_repeat_words": repeated_words(words),
         }
         return F.struct(*[v.cast("long").alias(k) for k, v in fields.items()])
@@ -111,7 +109,7 @@ def measures(text: Column) -> Column:
     parts = F.struct(
         body.alias("text"),
         F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
-        F.filter(F.split(body, "\n"), lambda v: F.length(F.translate(v, BLANKS, "")) > 0).alias("lines"),
+        F.filter(F.split(body, "\n"), lambda v: v.rlike(WORD)).alias("lines"),
     )
     return _let(parts, counts)
 
