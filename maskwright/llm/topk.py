@@ -16,14 +16,13 @@ SCALE = 64
 K = 20
 EVERY = 20
 SHARD_VECTORS = 8192
-QUERY_BLOCK = 256
+QUERY_BLOCK = 128
 #: Distinct quantised impacts of a dimension in a shard; more values share a level.
 LEVELS = 256
-#: Postings are processed in this many steps of falling impact.
-STEPS = 24
+#: Levels, as shares of a query's greatest impact, at which the proof is tried; the last is the end.
+STOPS = (0.0, -0.1, -1.0)
 #: Survivors up to this share of the shard are rescored instead of processing more postings.
-RESCORE = 0.02
-
+RESCORE = 0.5
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -82,55 +81,79 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def search_shard(shard: dict, query_id: int, query: np.ndarray, k: int, floor: int | None = None, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """The shard's k best for one query, at least ``floor`` where given, as (ids, scores).
+def search_block(shard: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The shard's k best for each of a block of queries, at least ``floor`` where given, as (ids, scores).
 
-    Segments are taken by falling impact, the greatest product of query and vector component in
-    the segment. A vector's bound is the sum of the impacts seen plus, for every dimension not yet seen for it, the impact
-    reached. The walk ends when the bounds prove that all but a few vectors are below the k-th best
-    score known; those few, and only those, are rescored exactly.
+    Segments are taken level by level of falling impact, the greatest product of query and vector component in the
+    segment; a segment's postings are updated for all queries of the block that are at its level. A vector's
+    bound is the sum of the impacts seen plus, for every dimension not yet seen for it, the greatest impact left. A query's walk ends
+    when the bounds prove that all but a few vectors are below the k-th best score known; those few, and only those, are rescored
+    exactly. A walk without proof ends with the last posting.
     """
-    ids, rows, starts, dim = shard["ids"], shard["rows"], shard["starts"], shard["dim"]
+    ids, rows, starts, dim, postings = shard["ids"], shard["rows"], shard["starts"], shard["dim"], shard["postings"]
     n, dims = rows.shape
-    q = query[dim]
-    impact = np.where(q >= 0, q * shard["high"], q * shard["low"])
-    order = np.argsort(-impact, kind="stable")
-    sizes = (starts[1:] - starts[:-1])[order]
-    ends = np.cumsum(sizes)
-    own = ids == query_id
-    seen = np.zeros(n)
-    bound = np.zeros(n)
-    alive = np.arange(n)
-    done = 0
-    for step in range(1, steps + 1):
-        upto = min(int(np.searchsorted(ends, len(shard["postings"]) * step / steps, side="left")) + 1, len(order))
-        if upto > done:
-            seg = order[done:upto]
-            size = sizes[done:upto]
-            first = starts[seg]
-            last = np.cumsum(size)
-            at = np.repeat(first - last + size, size) + np.arange(last[-1])
-            posting = shard["postings"][at]
-            bound += np.bincount(posting, weights=np.repeat(impact[seg], size).astype(np.float64), minlength=n)
-            seen += np.bincount(posting, minlength=n)
-            done = upto
-        rest = int(impact[order[done]]) if done < len(order) else 0
-        upper = bound + (dims - seen) * rest
-        if step == max(2, steps // 4) or done == len(order):
-            likely = np.argsort(-np.where(own, -np.inf, upper), kind="stable")[: 2 * k]
-            likely = likely[~own[likely]]
-            exact = rows[likely] @ query
-            if len(exact) >= k:
-                kth = int(np.partition(exact, len(exact) - k)[len(exact) - k])
-                floor = kth if floor is None else max(floor, kth)
-        alive = np.flatnonzero(~own & (upper >= floor)) if floor is not None else np.flatnonzero(~own)
-        if len(alive) <= max(k, RESCORE * n) or done == len(order):
+    postings = postings.astype(np.int64)
+    q = queries.T[dim]
+    impact = np.where(q >= 0, q * shard["high"][:, None], q * shard["low"][:, None])
+    floor = np.full(len(queries), np.iinfo(np.int64).min) if floor is None else floor.copy()
+    out: list = [None] * len(queries)
+
+    # products and sums below 2**53 are exact in doubles, which numpy multiplies much faster
+    fine = dims * max(1, int(np.abs(rows).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0))) < 1 << 53
+    exact_rows = rows.astype(np.float64) if fine else rows
+
+    def score(members: np.ndarray, j: int) -> np.ndarray:
+        return (exact_rows[members] @ queries[j].astype(exact_rows.dtype)).astype(np.int64)
+
+    def rescored(j: int, members: np.ndarray) -> None:
+        scores = score(members, j)
+        members, scores = members[scores >= floor[j]], scores[scores >= floor[j]]
+        top = best(ids[members], scores, k)
+        out[j] = ids[members[top]], scores[top]
+
+    # a count of seen dimensions stands above the sum of impacts in one number, as small a one as has room
+    room = (dims * int(np.abs(impact).max(initial=0)) + 1).bit_length() + 2
+    kind = np.int32 if room + dims.bit_length() < 31 else np.int64
+    seen = 1 << room
+    if room + dims.bit_length() >= 63:  # impacts too large to sum beside the count: every vector is a possible member
+        for j, query_id in enumerate(query_ids):
+            rescored(j, np.flatnonzero(ids != query_id))
+        return out
+    alive = np.arange(len(queries))
+    top = impact.max(axis=0)
+    total = np.zeros((n, len(queries)), kind)
+    above = np.full(len(queries), np.iinfo(np.int64).max)
+    for part in STOPS:
+        last = part == STOPS[-1]
+        below = np.full(len(alive), np.iinfo(np.int64).min) if last else (top[alive] * part).astype(np.int64)
+        now = (impact > below) & (impact <= above)
+        step = np.where(now, impact + seen, 0).astype(kind)
+        for s in np.flatnonzero(now.any(axis=1)).tolist():
+            at = postings[starts[s] : starts[s + 1]]
+            sums = total.take(at, axis=0)
+            sums += step[s]
+            total[at] = sums
+        above = below
+        count = (total + kind(seen >> 1)) >> room
+        rest = np.where(impact <= below, impact, np.iinfo(np.int64).min).max(axis=0)
+        upper = total.T - count.T * kind(seen) + (dims - count.T) * np.where(rest == np.iinfo(np.int64).min, 0, rest)[:, None]
+        keep = []
+        for c, j in enumerate(alive.tolist()):
+            own = ids == query_ids[j]
+            if part == STOPS[0]:
+                likely = np.argpartition(-upper[c], min(2 * k, n - 1))[: 2 * k]
+                exact = score(likely[~own[likely]], j)
+                if len(exact) >= k:
+                    floor[j] = max(floor[j], int(np.partition(exact, len(exact) - k)[len(exact) - k]))
+            members = np.flatnonzero(~own & (upper[c] >= floor[j]))
+            if last or len(members) <= max(k, RESCORE * n):
+                rescored(j, members)
+            else:
+                keep.append(c)
+        if not keep:
             break
-    scores = rows[alive] @ query
-    if floor is not None:
-        alive, scores = alive[scores >= floor], scores[scores >= floor]
-    top = best(ids[alive], scores, k)
-    return ids[alive[top]], scores[top]
+        alive, impact, total, above = alive[keep], impact[:, keep], np.ascontiguousarray(total[:, keep]), above[keep]
+    return out
 
 
 def quantise(embedding, scale: int) -> np.ndarray | None:
@@ -209,8 +232,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
                     held = (name, _unpack(payload.as_py()))
                 block = _unpack(raw.as_py())
                 out = [[], [], []]
-                for query_id, query in zip(block["ids"].tolist(), block["rows"]):
-                    found, scores = search_shard(held[1], query_id, query, k)
+                for query_id, (found, scores) in zip(block["ids"].tolist(), search_block(held[1], block["ids"], block["rows"], k)):
                     out[0].append(np.full(len(found), query_id))
                     out[1].append(found)
                     out[2].append(scores)

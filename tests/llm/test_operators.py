@@ -20,7 +20,7 @@ from maskwright.llm.quality import RULES, Rule, quality_rules
 from maskwright.llm.records import read_at, read_records, write_records
 from maskwright.llm.suffix import suffix_dedup
 from maskwright.llm.tokens import TextEncoder, encoded, tokenizer_path
-from maskwright.llm.topk import build_shard, search_shard, top_k
+from maskwright.llm.topk import build_shard, search_block, top_k
 from maskwright.llm.warc import read_archive, write_archive
 
 
@@ -154,12 +154,19 @@ def test_topk_walk_is_exact(levels):
     rows[100:140] = rows[0]
     ids = np.arange(600)
     shard = build_shard(ids, rows, levels)
-    for q in (0, 5, 130):
-        found, scores = search_shard(shard, q, rows[q], 20)
+    asked = np.array([0, 5, 130])
+    for q, (found, scores) in zip(asked, search_block(shard, asked, rows[asked], 20)):
         want = sorted((-int(s), int(i)) for i, s in zip(ids, rows @ rows[q]) if i != q)[:20]
         assert [(-int(s), int(i)) for i, s in zip(found, scores)] == want
 
 
+def test_topk_large_components():
+    rng = np.random.default_rng(4)
+    rows = rng.integers(-(1 << 28), 1 << 28, (50, 8))
+    (found, scores), = search_block(build_shard(np.arange(50), rows), np.array([3]), rows[3:4], 20)
+    assert [(-int(s), int(i)) for i, s in zip(found, scores)] == sorted((-int(s), i) for i, s in enumerate(rows @ rows[3]) if i != 3)[:20]
+
+
 def test_topk_shapes(spark):
     v = [(0, [1.0, 2.0]), (1, [1.0]), (2, []), (20, [0.5, 0.5, 0.5]), (21, [1.0, 2.0])]
     got = top_k(spark.createDataFrame(v, "vec_id long, embedding array<double>")).collect()
