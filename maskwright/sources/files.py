@@ -112,6 +112,26 @@ def upsert_clients(clients: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.max_by(F.struct("name", "terms", "created_at"), F.struct("_new", "created_at")).alias("r")).select("id", "r.*")
 
 
+def project_record(forms: DataFrame) -> DataFrame:
+    """(id, name, client, created_at, entities, logo_hashes) of (name, client, created_at, entities[, logo_hashes]); the id is the name's slug, empty if nothing is left of it."""
+    hashes = F.coalesce("logo_hashes", F.array().cast("array<string>")) if "logo_hashes" in forms.columns else F.array().cast("array<string>")
+    return forms.select(slug(F.col("name"), "").alias("id"), "name", "client", "created_at", "entities", hashes.alias("logo_hashes"))
+
+
+def data_root(spark: SparkSession, default: str) -> str:
+    """Folder of projects and results: spark.maskwright.data where set."""
+    return spark.conf.get("spark.maskwright.data", default)
+
+
+def restored_name(name: Column) -> Column:
+    return F.concat(F.lit("restaure_"), name)
+
+
+def restore_history(restores: DataFrame) -> DataFrame:
+    """Restores of (doc_id, ts, ...), the newest first."""
+    return restores.orderBy(F.desc("ts"), "doc_id")
+
+
 def delete_client(clients: DataFrame, client_id: str) -> DataFrame:
     return clients.filter(F.col("id") != client_id)
 

@@ -171,6 +171,13 @@ def test_projects_and_mappings(spark, tmp_path):
     assert p[0].p.manual == {"x": ["a"]} and p[0].p.extra == ["b"] and p[1].p.extra == []
 
 
+def test_records_and_names(spark):
+    r = S.project_record(spark.createDataFrame([("Été 1", "C", "2024", {"lieux": ["x"]})], "name string, client string, created_at string, entities map<string,array<string>>")).first()
+    assert (r.id, r.logo_hashes, r.entities) == ("ete-1", [], {"lieux": ["x"]}) and S.data_root(spark, "/d") == "/d"
+    h = S.restore_history(spark.createDataFrame([("a", 1), ("b", 2)], "doc_id string, ts int")).select(S.restored_name(F.col("doc_id")).alias("n")).collect()
+    assert [x.n for x in h] == ["restaure_b", "restaure_a"]
+
+
 def test_uploads_and_jobs(spark):
     rows = [("j", k, "a.docx" if k < 2 else f"{k}.PPTX", 1) for k in range(60)] + [("j", 99, "x.pdf", 1)]
     got = B.accept_uploads(spark.createDataFrame(rows, "job_id string, seq int, name string, size long")).collect()
