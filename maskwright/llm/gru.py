@@ -7,10 +7,12 @@ import io
 import numpy as np
 
 #: Production parameters.
-HIDDEN = 24
-EMBED = 24
+HIDDEN = 16
+EMBED = 16
 WINDOW = 16
 LANES = 256
+#: Steps of a window when nothing is learned.
+LONG = 64
 RATE = 0.08
 CLIP = 1.0
 
@@ -52,9 +54,18 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _picked(x: np.ndarray, at: np.ndarray, errors: bool):
+    """Log softmax of each row of ``x`` at one column; with ``errors`` also softmax minus the target. Works in place."""
+    rows = np.arange(len(at))
+    x -= x.max(axis=1, keepdims=True)
+    out = x[rows, at]
+    np.exp(x, out=x)
+    z = x.sum(axis=1)
+    out = out - np.log(z)
+    if errors:
+        x /= z[:, None]
+        x[rows, at] -= 1
+    return out, x
 
 
 def lay_out(lengths: np.ndarray, lanes: int = LANES) -> list[list[int]]:
@@ -101,33 +112,32 @@ class Model:
 
     def _outputs(self, s: np.ndarray, y: np.ndarray, grads: dict | None):
         """Natural log probabilities of tokens y given states s (rows); with ``grads``, also the states' gradients."""
-        p = self.p
-        lc = _log_softmax(s @ p["Wc"] + p["bc"])
+        p, learn = self.p, grads is not None
         c = self.of[y]
-        rows = np.arange(len(y))
-        out = lc[rows, c].astype(np.float64)
+        picked, d = _picked(s @ p["Wc"] + p["bc"], c, learn)
+        out = picked.astype(np.float64)
         ds = None
-        if grads is not None:
-            d = np.exp(lc)
-            d[rows, c] -= 1
+        if learn:
             grads["Wc"], grads["bc"] = s.T @ d, d.sum(axis=0)
             ds = d @ p["Wc"].T
             grads["Wo"], grads["bo"] = np.zeros_like(p["Wo"]), np.zeros_like(p["bo"])
         by = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[by], np.arange(len(self.bounds)))
+        cuts = np.searchsorted(c[by], np.arange(len(self.bounds))).tolist()
+        s, y = s[by], y[by]
+        inner, moved = np.empty(len(y)), np.empty_like(s)
         for k in range(len(self.bounds) - 1):
-            some = by[cuts[k] : cuts[k + 1]]
-            if not len(some):
+            a, b = cuts[k], cuts[k + 1]
+            if a == b:
                 continue
             lo, hi = self.bounds[k], self.bounds[k + 1]
-            lw = _log_softmax(s[some] @ p["Wo"][lo:hi].T + p["bo"][lo:hi])
-            inner = np.arange(len(some))
-            out[some] += lw[inner, y[some] - lo]
-            if grads is not None:
-                d = np.exp(lw)
-                d[inner, y[some] - lo] -= 1
-                grads["Wo"][lo:hi], grads["bo"][lo:hi] = d.T @ s[some], d.sum(axis=0)
-                ds[some] += d @ p["Wo"][lo:hi]
+            w = p["Wo"][lo:hi]
+            inner[a:b], d = _picked(s[a:b] @ w.T + p["bo"][lo:hi], y[a:b] - lo, learn)
+            if learn:
+                grads["Wo"][lo:hi], grads["bo"][lo:hi] = d.T @ s[a:b], d.sum(axis=0)
+                moved[a:b] = d @ w
+        out[by] += inner
+        if learn:
+            ds[by] += moved
         return out, ds
 
     def _learn(self, x, y, real, keep, h):
@@ -170,39 +180,38 @@ class Model:
             p[k] -= np.float32(RATE) * g / np.sqrt(self.square[k])
         return last
 
-    def run(self, docs: list[np.ndarray], start: int, learn: bool = False, lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
+    def run(self, docs: list[np.ndarray], start: int, learn: bool = False, lanes: int = LANES, window: int | None = None) -> np.ndarray:
         """Natural log probability of each document (its tokens, the first after ``start``).
 
         Documents lie end to end in lanes; a lane's state is carried from window to window and reset at
         each document, so a text of any length is scored whole. With ``learn`` every window also trains.
         """
+        window = window or (WINDOW if learn else LONG)
         lengths = np.array([len(d) for d in docs], np.int64)
         score = np.zeros(len(docs))
         plan = lay_out(lengths, lanes)
         if not plan:
             return score
-        ys = [np.concatenate([docs[d] for d in lane]) for lane in plan]
-        at = [np.cumsum([0] + [len(docs[d]) for d in lane])[:-1] for lane in plan]
-        who = [np.repeat(lane, lengths[lane]) for lane in plan]
-        xs = []
-        for y, a in zip(ys, at):
-            x = np.concatenate([[start], y[:-1]])
-            x[a] = start
-            xs.append(x)
-        sizes = np.array([len(y) for y in ys])
+        # all lanes end to end; a window is a rectangle of places in them
+        order = [d for lane in plan for d in lane]
+        sizes = np.array([int(lengths[lane].sum()) for lane in plan])
+        begin = np.cumsum(sizes) - sizes
+        ys = np.concatenate([docs[d] for d in order])
+        who = np.repeat(order, lengths[order])
+        first = np.cumsum(lengths[order]) - lengths[order]
+        xs = np.concatenate([[start], ys[:-1]])
+        xs[first] = start
+        fresh = np.ones(len(ys), np.float32)
+        fresh[first] = 0
         h = np.zeros((len(plan), HIDDEN), np.float32)
         for t in range(0, int(sizes.max()), window):
             live = int((sizes > t).sum())
             steps = min(window, int(sizes[0]) - t)
-            x, y = np.zeros((steps, live), np.int64), np.zeros((steps, live), np.int64)
-            real, keep = np.zeros((steps, live), bool), np.ones((steps, live), np.float32)
-            owner = np.zeros((steps, live), np.int64)
-            for k in range(live):
-                n = min(steps, sizes[k] - t)
-                x[:n, k], y[:n, k], owner[:n, k] = xs[k][t : t + n], ys[k][t : t + n], who[k][t : t + n]
-                real[:n, k] = True
-                lo, hi = np.searchsorted(at[k], (t, t + n))
-                keep[at[k][lo:hi] - t, k] = 0
+            place = t + np.arange(steps)[:, None]
+            real = place < sizes[:live]
+            at = np.where(real, begin[:live] + place, 0)
+            x, y, owner = np.where(real, xs[at], 0), np.where(real, ys[at], 0), who[at]
+            keep = np.where(real, fresh[at], np.float32(1))
             if learn:
                 h = self._learn(x, y, real, keep, h[:live])
             else:

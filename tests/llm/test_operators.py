@@ -242,7 +242,7 @@ def test_gru_gradients_and_windows():
     whole = m.run(docs, 0, window=64)
     assert np.allclose(whole, m.run(docs, 0, window=3, lanes=2), rtol=1e-4)
     # probabilities of the next token sum to one
-    s = rng.normal(size=(1, 24)).astype(np.float32)
+    s = rng.normal(size=(1, m.p["Uh"].shape[0])).astype(np.float32)
     each = [m._outputs(s, np.array([k]), None)[0][0] for k in range(30)]
     assert np.exp(each).sum() == pytest.approx(1, abs=1e-4)
     # training lowers the loss of a learnable pattern
