@@ -39,7 +39,8 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     null text too.
     """
     cut = suffix_dedup(docs, with_text=True).filter("n_removed > 0").select("doc_id", F.col("kept_text").alias("_cut_text"))
-    joined = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce("_cut_text", "text", F.lit("")))
+    # without the hint Spark takes the texts for as small as the references that they are read by, and broadcasts them
+    joined = docs.join(cut.hint("merge"), "doc_id", "left").withColumn("text", F.coalesce("_cut_text", "text", F.lit("")))
     return joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
