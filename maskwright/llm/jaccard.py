@@ -250,8 +250,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     known = save(known.select("rep", "n", "prefix", "parts", "component"), where + "/known")
     postings = known.select("rep", "component", F.posexplode("prefix").alias("pos", "gram"))
     spread = postings.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("gram")
-    met = save(postings.join(spread, "gram", "left_semi"), where + "/met")
-    rich = met.join(known.select("rep", "n", "parts"), "rep")
+    met = save(postings.select("gram", "rep", "pos").join(spread, "gram", "left_semi"), where + "/met")
+    rich = met.join(known.select("rep", "component", "n", "parts"), "rep")
     side = lambda s: rich.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "pos", "n", "parts")])
     x, y = side("x"), side("y")
     needed = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
