@@ -9,7 +9,7 @@ import numpy as np
 #: Production parameters.
 HIDDEN = 16
 EMBED = 16
-WINDOW = 16
+WINDOW = 32
 LANES = 256
 #: Steps of a window when nothing is learned.
 LONG = 64

@@ -90,12 +90,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words
         ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
         doc, h, end = _words(np.frombuffer(b"".join(texts), np.uint8), ends, len(ids))
         train = np.array([fold(i) != 0 for i in ids], bool)
-        by = np.lexsort((h, (h >> _U(32)) % _U(buckets)))
+        by = np.argsort(h, kind="stable")  # buckets are ranges of the hash, so this is their order too
         first = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1]])) if len(h) else np.zeros(0, np.int64)
         slot = np.empty(len(h), np.int64)
         slot[by] = np.cumsum(np.bincount(first, minlength=len(h))) - 1 if len(h) else 0
         unique, endings = h[by][first], end[by][first]
-        bounds = np.searchsorted((unique >> _U(32)) % _U(buckets), np.arange(buckets + 1))
+        bounds = np.searchsorted((unique >> _U(32)) * _U(buckets) >> _U(32), np.arange(buckets + 1))
         return ids, doc, slot, unique, endings, train, bounds
 
     def rows_of(batches):
@@ -189,10 +189,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words
 
             model, n = None, 0
             for row in rows_of(batches):
-                ids, doc, slot, unique, endings, train, _ = read(row)
-                tokens, _ = token_ids(unique, endings)
-                texts = sequences(doc, tokens[slot], len(ids))
-                mine = [t for i, t, ok in zip(ids, texts, train) if ok and zlib.crc32(str(i).encode()) // 10 % rounds == turn]
+                chosen = [(i, o, k) for i, o, k in sorted(zip(row["doc_id"], row["offset"], row["length"])) if fold(i) and zlib.crc32(str(i).encode()) // 10 % rounds == turn]
+                if not chosen:
+                    continue
+                texts = read_block(store, row["block"], [(o, k) for _, o, k in chosen])
+                ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
+                doc, h, end = _words(np.frombuffer(b"".join(texts), np.uint8), ends, len(chosen))
+                mine = sequences(doc, token_ids(h, end)[0], len(chosen))
                 model = model or Model(load(start.value))
                 model.run(mine, end_token, learn=True)
                 n += sum(map(len, mine))
