@@ -222,7 +222,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
             yield rows_to_batch(schema, [[_pack(ids=np.array(ids, np.int64), rows=_rectangle(rows, dims))]])
 
     asked = save(source.filter(F.col("vec_id") % every == 0).mapInArrow(blocks, "block binary"), where + "/queries")
-    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(built, "shard")
+    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(built.hint("merge"), "shard")
 
     def search(batches):
         for batch in batches:
