@@ -7,9 +7,9 @@ import io
 import numpy as np
 
 #: Production parameters.
-HIDDEN = 16
-EMBED = 16
-WINDOW = 32
+HIDDEN = 24
+EMBED = 24
+WINDOW = 16
 LANES = 256
 #: Steps of a window when nothing is learned.
 LONG = 64

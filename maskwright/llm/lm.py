@@ -21,7 +21,7 @@ from .gru import Model, dump, initial, load
 from .jaccard import ngram_hashes
 
 #: Words that are tokens of their own, and tokens for the endings of the others: they bound the model's size.
-WORDS = 1000
+WORDS = 2000
 ENDINGS = 64
 #: Rounds of training; each takes its share of the training documents, then the workers' models are averaged by tokens.
 ROUNDS = 2

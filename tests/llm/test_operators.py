@@ -261,3 +261,15 @@ def test_lm_learns_on_held_out(spark):
     held = [r for r in got if r.held_out]
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
     assert {r.doc_id for r in held} == {k for k in range(400) if zlib.crc32(str(k).encode()) % 10 == 0}
+
+
+def test_lm_frequent_words_are_tokens(spark):
+    """1,500 words are all tokens of their own: without training a text's score is that of their smoothed shares."""
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10 == 0)
+    train = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 10)
+    text = " ".join(f"w{k}x" for k in range(1500))
+    rows = [(train, text), (held, text)]
+    got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0).collect()}
+    total = 1501 + 0.5 * (1 + 64 + 1500)
+    assert got[held].score == pytest.approx(1501 * np.log10(1.5 / total), rel=1e-4)
+    assert initial(np.ones(4))["Uh"].shape == (24, 72)
