@@ -26,29 +26,39 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.filter(verdict(F.col("text"))["kept"])
 
 
+def with_row(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows, written once with a number each in ``_row``: ids repeat, so they don't tell rows apart."""
+    return save(docs.withColumn("_row", F.monotonically_increasing_id()), shared_dir(spark, "rows"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id, unchanged."""
-    groups = jaccard_components(docs, SHINGLE, PERCENT)
-    return docs.join(groups.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of linked rows one with the least id, unchanged; repeated rows are linked like other copies."""
+    rows = with_row(spark, docs)
+    groups = jaccard_components(rows, SHINGLE, PERCENT, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    least = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(least, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the strings of 50 bytes that an earlier one has; n_chars is counted anew.
 
     A character of which a byte went goes whole. A text that is nothing but repeats becomes empty; a
-    null text too.
+    null text too. What a row loses depends on its id and text alone, so the cut text is found by both.
     """
-    cut = suffix_dedup(docs, with_text=True).filter("n_removed > 0").select("doc_id", F.col("kept_text").alias("_cut_text"))
+    cut = suffix_dedup(docs, with_text=True).filter("n_removed > 0")
+    cut = cut.select(F.col("doc_id").alias("_cut_id"), F.col("text_sha256").alias("_cut_of"), F.col("kept_text").alias("_cut_text")).dropDuplicates(["_cut_id", "_cut_of"])
     # without the hint Spark takes the texts for as small as the references that they are read by, and broadcasts them
-    joined = docs.join(cut.hint("merge"), "doc_id", "left").withColumn("text", F.coalesce("_cut_text", "text", F.lit("")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_cut_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_cut_of"))
+    joined = docs.join(cut.hint("merge"), same, "left").withColumn("text", F.coalesce("_cut_text", "text", F.lit("")))
     return joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, and a last partial time as its first words one space apart."""
-    takes = mix_sources(docs).filter("taken > 0").select("doc_id", F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
+    """Every row as often as the mix takes it, and a last partial time as its first words one space apart."""
+    rows = with_row(spark, docs)
+    takes = mix_sources(rows, carry=("_row",)).filter("taken > 0").select("_row", F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
     whole, rest = F.floor(F.col("_mix_taken") / F.col("_mix_size")).cast("int"), (F.col("_mix_taken") % F.col("_mix_size")).cast("int")
-    times = docs.join(takes, "doc_id").withColumn("_mix_time", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
+    times = rows.join(takes, "_row").withColumn("_mix_time", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("_mix_time") <= whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest), " "))
     return times.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

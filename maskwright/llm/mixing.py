@@ -54,7 +54,7 @@ def seeded_key(id_col: str, seed: str) -> Column:
 
 
 def mix_sources(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED, carry=()
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target and taken, the words that the mix takes.
 
@@ -63,6 +63,7 @@ def mix_sources(
     source's taken words are its rounded target and no document exceeds ``epochs`` times its size. Null text has size 0,
     the null source is a source of its own; a source without words has target 0. Repeated rows count
     as documents; rows alike in id, source and size are interchangeable. An empty table gives no rows.
+    ``carry`` names columns that stay with their row, such as one that tells repeated rows apart.
     """
     spark = docs.sparkSession
     where = shared_dir(spark, "mix")
@@ -71,11 +72,12 @@ def mix_sources(
             F.col(id_col),
             F.col(source).alias("source"),
             word_count(F.col(text)).alias("size"),
+            *carry,
         ).withColumns({"_last": F.col("source").isNull().cast("int"), "_key": seeded_key(id_col, seed)}),
         where + "/sizes",
     )
     targets = save(source_targets(rows, "source", weights, share, epochs).coalesce(1), where + "/targets")
-    placed = with_running_total(rows, ["_last", "source", "_key", id_col, "size"], "size", "_before", where + "/ranges")
+    placed = with_running_total(rows, ["_last", "source", "_key", id_col, "size", *carry], "size", "_before", where + "/ranges")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     quota = F.round(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long")
     extra = F.least(F.col("size"), F.greatest(F.lit(0), F.col("_quota") - (F.col("_before") - F.col("source_start"))))
@@ -83,7 +85,7 @@ def mix_sources(
         placed.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
         .withColumn("_whole", whole)
         .withColumn("_quota", quota)
-        .select(id_col, "source", "size", "source_size", "target", (F.col("size") * F.col("_whole") + extra).cast("long").alias("taken"), F.col("_whole").alias("whole_epochs"))
+        .select(id_col, "source", "size", "source_size", "target", (F.col("size") * F.col("_whole") + extra).cast("long").alias("taken"), F.col("_whole").alias("whole_epochs"), *carry)
     )
     remove(spark, where + "/sizes")
     return out

@@ -220,7 +220,7 @@ def whole_characters(data: np.ndarray, edges: np.ndarray) -> str:
 
 ASK = "bucket long, block long, payload binary"
 ASK_SCHEMA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
-OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), ("spans", pa.list_(pa.int64()))])
+OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), ("spans", pa.list_(pa.int64())), ("text_sha256", pa.string())])
 
 
 def _bits(rows, buckets: int, bounds: np.ndarray) -> np.ndarray:
@@ -235,7 +235,7 @@ def _bits(rows, buckets: int, bounds: np.ndarray) -> np.ndarray:
 def suffix_dedup(
     docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text", gram: int = GRAM, where: str | None = None, with_text: bool = False, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds kept (binary), kept_text and spans.
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds kept (binary), kept_text, spans and the whole text's text_sha256.
 
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller id, judged on the input.
     ``spans`` has the starts and ends of the removed runs by turns. Texts are UTF-8, null is empty; texts shorter than ``length`` keep all.
@@ -365,12 +365,12 @@ def suffix_dedup(
                 mask = gone[a:b]
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
                 kept = data[a:b][~mask].tobytes()
-                out.append((doc_id, b - a, int(mask.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), kept if with_text else None, whole_characters(data[a:b], edges) if with_text else None, edges if with_text else None))
+                out.append((doc_id, b - a, int(mask.sum()), len(edges) // 2, hashlib.sha256(kept).hexdigest(), kept if with_text else None, whole_characters(data[a:b], edges) if with_text else None, edges if with_text else None, hashlib.sha256(data[a:b].tobytes()).hexdigest() if with_text else None))
                 if len(out) >= 500:
                     yield rows_to_batch(OUT_SCHEMA, list(zip(*out)))
                     out = []
             if out:
                 yield rows_to_batch(OUT_SCHEMA, list(zip(*out)))
 
-    done = last.repartition(n_tasks, "block").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, spans array<long>")
-    return done if with_text else done.drop("kept", "kept_text", "spans")
+    done = last.repartition(n_tasks, "block").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, spans array<long>, text_sha256 string")
+    return done if with_text else done.drop("kept", "kept_text", "spans", "text_sha256")
