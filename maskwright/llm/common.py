@@ -67,6 +67,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(spark: SparkSession, n_bytes: int, each: int = 128 << 20) -> int:
+    """Tasks for a shuffle of so many bytes: the session's number, or more where a task would get over ``each``."""
+    return max(partitions(spark), -(-n_bytes // each))
+
+
 def rows_to_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -15,27 +15,37 @@ LANES = 256
 LONG = 64
 RATE = 0.08
 CLIP = 1.0
+#: Rows of one class that a block of the output layer holds.
+ROWS = 64
+#: Gates are straight lines cut at 0 and 1, which numpy works out some ten times as fast as the logistic function.
+SLOPE, HALF, NONE, ONE = np.float32(0.25), np.float32(0.5), np.float32(0), np.float32(1)
+#: Logits beyond this size are cut; padding lies below it and has no weight worth a bit.
+EDGE = 60.0
 
 
-def class_bounds(n_tokens: int) -> np.ndarray:
-    """Bounds of the classes: runs of tokens by falling frequency, about the square root of their number long."""
-    size = max(1, int(np.ceil(np.sqrt(n_tokens))))
-    return np.append(np.arange(0, n_tokens, size), n_tokens)
+def class_size(n_tokens: int) -> int:
+    """Tokens of a class: runs of tokens by falling frequency, about the square root of their number long."""
+    return max(1, int(np.ceil(np.sqrt(n_tokens))))
 
 
 def initial(counts: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
-    """Parameters whose outputs start at the smoothed frequencies of ``counts``, in descending order."""
+    """Parameters whose outputs start at the smoothed frequencies of ``counts``, in descending order.
+
+    Output rows are padded to whole classes.
+    """
     rng = np.random.default_rng(seed)
     n = len(counts)
-    bounds = class_bounds(n)
-    p = (counts + 0.5) / (counts + 0.5).sum()
-    mass = np.add.reduceat(p, bounds[:-1])
-    within = p / np.repeat(mass, np.diff(bounds))
+    size = class_size(n)
+    classes = -(-n // size)
+    p = np.zeros(classes * size)
+    p[:n] = (counts + 0.5) / (counts + 0.5).sum()
+    mass = p.reshape(classes, size).sum(axis=1)
+    within = np.where(p > 0, np.log(np.maximum(p, 1e-300) / np.repeat(mass, size)), -1e4)
     small = lambda *shape: (rng.normal(size=shape) * 0.1).astype(np.float32)
     return {
         "E": small(n, EMBED), "Wx": small(EMBED, 3 * HIDDEN), "Uh": small(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32),
-        "Wc": np.zeros((HIDDEN, len(mass)), np.float32), "bc": np.log(mass).astype(np.float32),
-        "Wo": np.zeros((n, HIDDEN), np.float32), "bo": np.log(within).astype(np.float32),
+        "Wc": np.zeros((HIDDEN, classes), np.float32), "bc": np.log(mass).astype(np.float32),
+        "Wo": np.zeros((classes, size, HIDDEN), np.float32), "bo": within.reshape(classes, size).astype(np.float32),
     }
 
 
@@ -50,22 +60,18 @@ def load(raw: bytes) -> dict:
         return {k: z[k] for k in z.files}
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
-def _picked(x: np.ndarray, at: np.ndarray, errors: bool):
-    """Log softmax of each row of ``x`` at one column; with ``errors`` also softmax minus the target. Works in place."""
-    rows = np.arange(len(at))
-    x -= x.max(axis=1, keepdims=True)
-    out = x[rows, at]
+def _softmax(x: np.ndarray, rows: np.ndarray, at: np.ndarray, learn: bool) -> np.ndarray:
+    """Log softmax of ``rows`` of ``x`` at one column each; with ``learn`` x becomes softmax less the target, 0 in other rows."""
+    np.clip(x, -EDGE, EDGE, out=x)
+    picked = x[rows, at]
     np.exp(x, out=x)
-    z = x.sum(axis=1)
-    out = out - np.log(z)
-    if errors:
-        x /= z[:, None]
+    z = x @ np.ones(x.shape[1], np.float32)
+    if learn:
+        part = np.zeros(len(x), np.float32)
+        part[rows] = 1 / z[rows]
+        x *= part[:, None]
         x[rows, at] -= 1
-    return out, x
+    return picked - np.log(z[rows])
 
 
 def lay_out(lengths: np.ndarray, lanes: int = LANES) -> list[list[int]]:
@@ -86,98 +92,130 @@ def lay_out(lengths: np.ndarray, lanes: int = LANES) -> list[list[int]]:
 
 
 class Model:
+    """The network; states and gates lie as (unit, lane), so that a step works on whole runs of memory."""
+
     def __init__(self, params: dict):
         self.p = {k: v.copy() for k, v in params.items()}
-        self.bounds = class_bounds(len(self.p["bo"]))
-        self.of = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        self.size = self.p["Wo"].shape[1]
         self.square = {k: np.full_like(v, 1e-2) for k, v in self.p.items()}
+        self.table = None  # inputs of the gates for every token, while nothing is learned
 
-    def _forward(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray):
-        """States of a window: x (steps, lanes) inputs, keep (steps, lanes) 0 where a document starts."""
-        p, steps = self.p, len(x)
-        a = p["E"][x] @ p["Wx"] + p["b"]
-        saved = []
-        states = np.empty((steps, len(h), HIDDEN), np.float32)
+    def _forward(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray, learn=None):
+        """States of a window: x (steps, lanes) inputs, keep (steps, lanes) 0 where a document starts; ``learn`` has the distinct inputs and which each is."""
+        p, (steps, lanes), H = self.p, x.shape, HIDDEN
+        if self.table is None:
+            self.table = p["E"] @ p["Wx"] + p["b"]
+        if learn:  # of the tokens met alone
+            x, table = learn[1], p["E"][learn[0]] @ p["Wx"] + p["b"]
+        else:
+            table = self.table
+        a = np.ascontiguousarray(np.take(table, x, axis=0).transpose(0, 2, 1))
+        across = np.ascontiguousarray(p["Uh"].T)
+        states = np.empty((steps, H, lanes), np.float32)
+        z_r = np.empty((steps, 2 * H, lanes), np.float32)
+        before, un, n = (np.empty_like(states) for _ in range(3))
+        spare = np.empty((H, lanes), np.float32)
         for t in range(steps):
-            h = h * keep[t][:, None]
-            u = h @ p["Uh"]
-            g = _sigmoid(a[t, :, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-            z, r = g[:, :HIDDEN], g[:, HIDDEN:]
-            un = u[:, 2 * HIDDEN :]
-            n = np.tanh(a[t, :, 2 * HIDDEN :] + r * un)
-            saved.append((h, z, r, un, n))
-            h = n + z * (h - n)
-            states[t] = h
-        return states, saved, h
+            h = np.multiply(h, keep[t], out=before[t])
+            u = across @ h
+            g = np.add(a[t, : 2 * H], u[: 2 * H], out=z_r[t])
+            g *= SLOPE
+            g += HALF
+            np.clip(g, NONE, ONE, out=g)
+            un[t] = u[2 * H :]
+            new = np.multiply(g[H:], un[t], out=n[t])
+            new += a[t, 2 * H :]
+            np.tanh(new, out=new)
+            np.subtract(h, new, out=spare)
+            spare *= g[:H]
+            h = np.add(new, spare, out=states[t])
+        return states, (before, z_r, un, n), h
 
     def _outputs(self, s: np.ndarray, y: np.ndarray, grads: dict | None):
-        """Natural log probabilities of tokens y given states s (rows); with ``grads``, also the states' gradients."""
+        """Natural log probabilities of tokens y given states s (rows); with ``grads``, also the states' gradients.
+
+        Rows are laid by class in blocks of ``ROWS``, so that all classes are worked on together.
+        """
         p, learn = self.p, grads is not None
-        c = self.of[y]
-        picked, d = _picked(s @ p["Wc"] + p["bc"], c, learn)
-        out = picked.astype(np.float64)
+        c = (y // self.size).astype(np.int16)
+        x = s @ p["Wc"]
+        x += p["bc"]
+        out = _softmax(x, np.arange(len(y)), c, learn).astype(np.float64)
         ds = None
         if learn:
-            grads["Wc"], grads["bc"] = s.T @ d, d.sum(axis=0)
-            ds = d @ p["Wc"].T
-            grads["Wo"], grads["bo"] = np.zeros_like(p["Wo"]), np.zeros_like(p["bo"])
+            grads["Wc"], grads["bc"] = s.T @ x, x.sum(axis=0)
+            ds = x @ p["Wc"].T
         by = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[by], np.arange(len(self.bounds))).tolist()
-        s, y = s[by], y[by]
-        inner, moved = np.empty(len(y)), np.empty_like(s)
-        for k in range(len(self.bounds) - 1):
-            a, b = cuts[k], cuts[k + 1]
-            if a == b:
-                continue
-            lo, hi = self.bounds[k], self.bounds[k + 1]
-            w = p["Wo"][lo:hi]
-            inner[a:b], d = _picked(s[a:b] @ w.T + p["bo"][lo:hi], y[a:b] - lo, learn)
-            if learn:
-                grads["Wo"][lo:hi], grads["bo"][lo:hi] = d.T @ s[a:b], d.sum(axis=0)
-                moved[a:b] = d @ w
-        out[by] += inner
+        rows = np.bincount(c, minlength=len(p["bo"]))
+        blocks = -(-rows // ROWS)
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(len(y)) + np.repeat(first * ROWS - (np.cumsum(rows) - rows), rows)
+        which = np.repeat(np.arange(len(rows)), blocks)
+        w = p["Wo"][which]
+        laid = np.zeros((len(which) * ROWS, HIDDEN), np.float32)
+        laid[place] = s[by]
+        laid = laid.reshape(-1, ROWS, HIDDEN)
+        x = laid @ w.transpose(0, 2, 1)
+        x += p["bo"][which][:, None, :]
+        flat = x.reshape(-1, self.size)
+        out[by] += _softmax(flat, place, (y % self.size)[by], learn)
         if learn:
-            ds[by] += moved
+            some = np.flatnonzero(blocks)
+            grads["classes"] = some
+            grads["Wo"] = np.add.reduceat(x.transpose(0, 2, 1) @ laid, first[some], axis=0)
+            grads["bo"] = np.add.reduceat(x.sum(axis=1), first[some], axis=0)
+            ds[by] += (x @ w).reshape(-1, HIDDEN)[place]
         return out, ds
 
     def _learn(self, x, y, real, keep, h):
         """One window: forward, gradients cut at its start, one step of the parameters; returns the last state."""
-        p = self.p
-        states, saved, last = self._forward(x, keep, h)
+        p, H = self.p, HIDDEN
+        met, which = np.unique(x, return_inverse=True)
+        which = which.reshape(x.shape)
+        states, (before, z_r, un, n), last = self._forward(x, keep, h, (met, which))
+        z, r = z_r[:, :H], z_r[:, H:]
         flat = np.flatnonzero(real.reshape(-1))
         grads: dict[str, np.ndarray] = {}
-        _, ds = self._outputs(states.reshape(-1, HIDDEN)[flat], y.reshape(-1)[flat], grads)
-        dstate = np.zeros((real.size, HIDDEN), np.float32)
+        _, ds = self._outputs(states.transpose(0, 2, 1).reshape(-1, H)[flat], y.reshape(-1)[flat], grads)
+        dstate = np.zeros((real.size, H), np.float32)
         dstate[flat] = ds
-        dstate = dstate.reshape(states.shape)
-        da = np.empty((len(x), len(h), 3 * HIDDEN), np.float32)
-        du_all = np.empty_like(da)
+        dstate = np.ascontiguousarray(dstate.reshape(*real.shape, H).transpose(0, 2, 1))
+        # what a change of the state does to each gate's input, for the whole window
+        by_n = (1 - z) * (1 - n * n)
+        by_z = (before - n) * (SLOPE * ((z > 0) & (z < 1)))
+        by_r = un * (SLOPE * ((r > 0) & (r < 1)))
+        da = np.empty((len(x), 3 * H, x.shape[1]), np.float32)
+        du = np.empty_like(da)
         dh = np.zeros_like(h)
         for t in range(len(x) - 1, -1, -1):
-            h0, z, r, un, n = saved[t]
-            dh = dh + dstate[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h0 - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            da[t] = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            du_all[t] = du
-            dh = (dh * z + du @ p["Uh"].T) * keep[t][:, None]
-        flat_da = da.reshape(-1, 3 * HIDDEN)
-        grads["Uh"] = np.stack([s[0] for s in saved]).reshape(-1, HIDDEN).T @ du_all.reshape(-1, 3 * HIDDEN)
-        xs = x.reshape(-1)
-        grads["Wx"], grads["b"] = p["E"][xs].T @ flat_da, flat_da.sum(axis=0)
-        by = np.argsort(xs, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(xs[by]) != 0]))
-        grads["E"] = np.zeros_like(p["E"])
-        grads["E"][xs[by][first]] = np.add.reduceat((flat_da @ p["Wx"].T)[by], first, axis=0)
+            dh += dstate[t]
+            dn = np.multiply(dh, by_n[t], out=da[t, 2 * H :])
+            np.multiply(dh, by_z[t], out=da[t, :H])
+            np.multiply(dn, by_r[t], out=da[t, H : 2 * H])
+            du[t, : 2 * H] = da[t, : 2 * H]
+            np.multiply(dn, r[t], out=du[t, 2 * H :])
+            dh *= z[t]
+            dh += p["Uh"] @ du[t]
+            dh *= keep[t]
+        grads["Uh"] = (before @ du.transpose(0, 2, 1)).sum(axis=0)
+        rows = da.transpose(0, 2, 1).reshape(-1, 3 * H)
+        at = which.reshape(-1)
+        grads["Wx"], grads["b"] = p["E"][met][at].T @ rows, rows.sum(axis=0)
+        cells = (at * EMBED)[:, None] + np.arange(EMBED)
+        grads["E"] = np.bincount(cells.reshape(-1), weights=(rows @ p["Wx"].T).reshape(-1), minlength=len(met) * EMBED).reshape(-1, EMBED).astype(np.float32)
+        classes = grads.pop("classes")
         scale = 1 / max(1, len(flat))
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) * scale
+        norm = np.sqrt(sum(float(np.dot(g.reshape(-1), g.reshape(-1))) for g in grads.values())) * scale
         scale *= min(1.0, CLIP / max(norm, 1e-9)) * 8
+        rows = {"E": met, "Wo": classes, "bo": classes}  # the others of these have no gradient
         for k, g in grads.items():
-            g = g * np.float32(scale)
-            self.square[k] += g * g
-            p[k] -= np.float32(RATE) * g / np.sqrt(self.square[k])
+            g *= np.float32(scale)
+            at = rows.get(k, slice(None))
+            square = self.square[k][at] + g * g
+            self.square[k][at] = square
+            g *= np.float32(RATE)
+            g /= np.sqrt(square)
+            p[k][at] -= g
         return last
 
     def run(self, docs: list[np.ndarray], start: int, learn: bool = False, lanes: int = LANES, window: int | None = None) -> np.ndarray:
@@ -203,7 +241,8 @@ class Model:
         xs[first] = start
         fresh = np.ones(len(ys), np.float32)
         fresh[first] = 0
-        h = np.zeros((len(plan), HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, len(plan)), np.float32)
+        self.table = None
         for t in range(0, int(sizes.max()), window):
             live = int((sizes > t).sum())
             steps = min(window, int(sizes[0]) - t)
@@ -213,10 +252,10 @@ class Model:
             x, y, owner = np.where(real, xs[at], 0), np.where(real, ys[at], 0), who[at]
             keep = np.where(real, fresh[at], np.float32(1))
             if learn:
-                h = self._learn(x, y, real, keep, h[:live])
+                h = self._learn(x, y, real, keep, h[:, :live])
             else:
-                states, _, h = self._forward(x, keep, h[:live])
+                states, _, h = self._forward(x, keep, h[:, :live])
                 flat = np.flatnonzero(real.reshape(-1))
-                out, _ = self._outputs(states.reshape(-1, HIDDEN)[flat], y.reshape(-1)[flat], None)
+                out, _ = self._outputs(states.transpose(0, 2, 1).reshape(-1, HIDDEN)[flat], y.reshape(-1)[flat], None)
                 score += np.bincount(owner.reshape(-1)[flat], weights=out, minlength=len(docs))
         return score

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, rows_to_batch, save, shared_dir
+from .common import rows_to_batch, save, shared_dir, tasks_for
 from .tokens import TextEncoder, encoded
 
 #: Production parameters.
@@ -107,7 +107,8 @@ def pack_documents(
     Documents are tokenized once and staged with their curve position. They are dealt by range of
     (key, doc_id), so copies, which share a key, still spread over tasks. A task lays its documents end to end in that order; the
     rest after its last full sequence is cut at powers of two. Pieces never cross tasks and a task holds a few million ids at a time.
-    Null text has the end id alone; null ids are refused; repeated rows are packed again; an empty table gives no rows.
+    Null text has the end id alone; a null id stays null; repeated rows are packed again; a text is encoded whole, however long, and then cut
+    into pieces; an empty table gives no rows; other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     where = where or shared_dir(spark, "pack")
@@ -117,8 +118,6 @@ def pack_documents(
         projection = token_projection(encoder.tokenizer.get_vocab_size())
         for batch in batches:
             doc_ids, means, raw = batch.column(0).to_pylist(), [], []
-            if None in doc_ids:
-                raise ValueError(f"{id_col} is null")
             for ids in encoded(encoder, (v.as_py() for v in batch.column(1))):
                 ids = np.append(ids, encoder.dtype(end_id))
                 means.append(projection[ids].mean(axis=0))
@@ -168,5 +167,7 @@ def pack_documents(
 
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     staged = save(body.mapInArrow(stage, "doc_id long, key long, ids binary"), where + "/staged")
-    dealt = staged.repartitionByRange(partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    total = staged.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+    order = ["key", "doc_id", F.xxhash64("ids")]
+    dealt = staged.repartitionByRange(tasks_for(spark, total), *order).sortWithinPartitions(*order)
     return dealt.select("doc_id", "ids").mapInArrow(pack, PIECES_SQL)

@@ -4,7 +4,7 @@ A file is a run of frames, little-endian:
 
     uint64 length of data | uint32 masked crc of those 8 bytes | data | uint32 masked crc of data
 
-``data`` is int64 document id, uint8 bytes for each id (2 or 4), then the ids. A masked crc is crc32 turned
+``data`` is int64 document id, uint8 bytes for each id (2 or 4; 128 more where the document has no id), then the ids. A masked crc is crc32 turned
 right by 15 bits plus 0xA282EAD8, modulo 2**32, so that a crc over bytes holding crcs stays sound.
 """
 
@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import open_fs, partitions, remove, rows_to_batch, save
+from .common import open_fs, partitions, rows_to_batch, save, tasks_for
 from .tokens import TextEncoder, encoded
 
 HEAD, TAIL, DATA = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<qB")
 #: A file is closed once it holds this many bytes.
 FILE_BYTES = 64 << 20
 BUFFER = 4 << 20
+NO_ID = 128
 
 
 def masked(data) -> int:
@@ -33,15 +34,15 @@ def masked(data) -> int:
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: np.ndarray) -> bytes:
-    data = DATA.pack(doc_id, ids.dtype.itemsize) + ids.astype(ids.dtype.newbyteorder("<")).tobytes()
+def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
+    data = DATA.pack(doc_id or 0, ids.dtype.itemsize | (NO_ID if doc_id is None else 0)) + ids.astype(ids.dtype.newbyteorder("<")).tobytes()
     size = struct.pack("<Q", len(data))
     return size + TAIL.pack(masked(size)) + data + TAIL.pack(masked(data))
 
 
-def parse(data: bytes) -> tuple[int, np.ndarray]:
+def parse(data: bytes) -> tuple[int | None, np.ndarray]:
     doc_id, width = DATA.unpack_from(data)
-    return doc_id, np.frombuffer(data, "<u2" if width == 2 else "<u4", offset=DATA.size)
+    return None if width & NO_ID else doc_id, np.frombuffer(data, "<u2" if width & ~NO_ID == 2 else "<u4", offset=DATA.size)
 
 
 def frames(stream, where: str = ""):
@@ -72,7 +73,8 @@ def write_records(docs: DataFrame, where: str, tokenizer: str, end_id: int | Non
     """Write all documents in ascending id order and return the offset index, saved in ``where``/index.
 
     A file's name is new in every attempt of a task, and only files named in the index, which Spark
-    commits once, are part of the set. Null text has the end id alone; null ids are refused; rows with the same id stay side by side.
+    commits once, are part of the set. Null text has the end id alone; null ids come first and stay null; rows with the same id stay side
+    by side, ordered by a hash of the text. A text is encoded whole, however long; an empty table gives an empty index; other columns are not read.
     """
 
     def work(batches):
@@ -87,8 +89,6 @@ def write_records(docs: DataFrame, where: str, tokenizer: str, end_id: int | Non
                 rows = []
                 texts = (v.as_py() for v in batch.column(1))
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(encoder, texts)):
-                    if doc_id is None:
-                        raise ValueError(f"{id_col} is null")
                     if out is None:
                         seq, size = seq + 1, 0
                         name = f"part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.tok"
@@ -114,9 +114,10 @@ def write_records(docs: DataFrame, where: str, tokenizer: str, end_id: int | Non
                 out.write(bytes(buffer))
                 out.close()
 
-    n = partitions(docs.sparkSession)
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    dealt = dealt.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    total = dealt.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    key = ["doc_id", F.xxhash64("text")]
+    dealt = dealt.repartitionByRange(tasks_for(docs.sparkSession, total), *key).sortWithinPartitions(*key)
     return save(dealt.mapInArrow(work, INDEX_SQL), where + "/index")
 
 
@@ -149,7 +150,3 @@ def read_records(index: DataFrame) -> DataFrame:
                     yield rows_to_batch(READ, list(zip(*rows)))
 
     return files.repartition(partitions(index.sparkSession), "file").mapInArrow(work, READ_SQL)
-
-
-def drop_records(spark, where: str) -> None:
-    remove(spark, where)

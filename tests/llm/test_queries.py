@@ -28,6 +28,7 @@ def test_empty_tables(spark, sf, name):
 @pytest.mark.parametrize("name", list(Q.ORACLE_SQL))
 def test_sql(spark, sf, name):
     import duckdb
+    import pandas as pd
 
     c = duckdb.connect()
     for t in ("documents", "embeddings", "pages"):
@@ -36,7 +37,7 @@ def test_sql(spark, sf, name):
     want = c.execute(Q.ORACLE_SQL[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    plain = lambda v: None if v is None or v != v or str(v) == "<NA>" else (v.item() if hasattr(v, "item") else v)
+    plain = lambda v: None if v is None or v is pd.NA or v != v else (v.item() if hasattr(v, "item") else v)
     key = lambda df: sorted(repr([float(x) if isinstance(x := plain(v), (int, float)) and not isinstance(x, bool) else x for v in r]) for r in df[cols].values.tolist())
     assert key(got) == key(want)
 
