@@ -82,29 +82,51 @@ def unmask_exact(text: pd.Series, mapping: pd.Series) -> pd.Series:
     return pd.Series([t if t is None else mask(t, unmask_pairs(m)) for t, m in zip(text, mapping)], dtype=object)
 
 
-#: First of the private-use characters that stand for replaced terms.
-SENTINEL, SENTINELS = 0xE000, 6400
+#: A private-use character leads every code of the native form: with the next one it stands for itself, with those after for a term.
+LEAD, SELF, FIRST = "\ue000", "\ue001", 0xE002
+CODES = 0xF8FF - FIRST
 
 
 def native_fits(pairs: list[tuple[str, str]]) -> bool:
-    """Whether ``mask_native`` equals the exact form: few terms, with a letter or digit at both ends."""
-    return len(pairs) <= SENTINELS and all(p[0] and p[0][0].isalnum() and p[0][-1].isalnum() for p in pairs)
+    """Whether ``mask_native`` equals the exact form: terms with a letter or digit at both ends, and nothing that looks like a code."""
+    several = sum(not p[0].isalnum() for p in pairs)
+    plain = all(p[0] and p[0][0].isalnum() and p[0][-1].isalnum() and LEAD not in p[0] + p[1] for p in pairs)
+    return plain and several <= CODES
+
+
+def folded(text: Column) -> Column:
+    """Case folded sign by sign, as a case-insensitive pattern compares."""
+    both = F.lower(F.upper(text))
+    return F.when(F.length(both) == F.length(text), both).otherwise(F.lower(text))
+
+
+def _folded(text: str) -> str:
+    both = text.upper().lower()
+    return both if len(both) == len(text) else text.lower()
 
 
 def mask_native(text: Column, pairs: list[tuple[str, str]]) -> Column:
-    """The same replacement for fixed pairs inside code generation, without Python.
+    """The same replacement for fixed pairs in Spark's own functions, without Python.
 
-    Each term, longest first, turns into a private character, which no later term can match or
-    join; at the end the characters turn into the placeholders. Texts that have such characters take the exact way.
+    Terms of several words, longest first, turn into codes of two private characters, which no later term can match or join; a text's own
+    lead character is coded too. A term of one word can only lie inside those, so all of them are looked up word by word in one pass.
     """
     ordered = longest_first(pairs)
-    out = text
-    for k, (original, _) in enumerate(ordered):
-        out = F.regexp_replace(out, F.lit(f"(?iu)(?<![{ALNUM}]){quoted(original)}(?![{ALNUM}])"), F.lit(chr(SENTINEL + k)))
-    for k, (_, mark) in enumerate(ordered):
-        out = F.replace(out, F.lit(chr(SENTINEL + k)), F.lit(mark))
-    literal = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("placeholder")) for a, b in ordered]) if ordered else F.array().cast(PAIRS)
-    return F.when(text.rlike(r"[\x{E000}-\x{F8FF}]"), mask_exact(text, literal)).otherwise(out)
+    several = [p for p in ordered if not p[0].isalnum()]
+    single: dict[str, str] = {}
+    for original, mark in ordered:
+        if original.isalnum():
+            single.setdefault(_folded(original), mark)
+    out = F.replace(text, F.lit(LEAD), F.lit(LEAD + SELF)) if several else text
+    for k, (original, _) in enumerate(several):
+        out = F.regexp_replace(out, F.lit(f"(?iu)(?<![{ALNUM}]){quoted(original)}(?![{ALNUM}])"), F.lit(LEAD + chr(FIRST + k)))
+    if single:
+        marks = F.create_map(*[F.lit(x) for pair in single.items() for x in pair])
+        word = lambda w: F.when(folded(w).isin(*single), F.element_at(marks, folded(w))).otherwise(w)
+        out = F.array_join(F.transform(F.regexp_extract_all(out, F.lit(f"[{ALNUM}]+|[^{ALNUM}]+"), F.lit(0)), word), "")
+    for k, (_, mark) in enumerate(several):
+        out = F.replace(out, F.lit(LEAD + chr(FIRST + k)), F.lit(mark))
+    return F.replace(out, F.lit(LEAD + SELF), F.lit(LEAD)) if several else out
 
 
 def mask_fixed(text: Column, pairs: list[tuple[str, str]]) -> Column:

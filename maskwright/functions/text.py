@@ -46,17 +46,53 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scan(values: Column, combine, zero: Column, levels: int = 3, width: int = 16) -> Column:
+    """``combine`` of all elements before each, by position, without shuffles.
+
+    Blocks of ``width`` are combined, then blocks of blocks: an array of a hundred thousand costs a few steps for each element.
+    """
+    fold = lambda a: F.aggregate(a, zero, combine)
+    if not levels:
+        return let(values, lambda a: F.transform(a, lambda _, i: fold(F.slice(a, F.lit(1), i))))
+
+    def with_blocks(a: Column) -> Column:
+        n_blocks = F.ceil(F.size(a) / F.lit(width)).cast("int")
+        starts = F.slice(F.sequence(F.lit(0), n_blocks), F.lit(1), n_blocks)
+        blocks = F.transform(starts, lambda k: fold(F.slice(a, k * width + 1, F.lit(width))))
+        at = lambda i: F.floor(i / F.lit(width)).cast("int")
+        return let(
+            scan(blocks, combine, zero, levels - 1, width),
+            lambda before: F.transform(a, lambda _, i: combine(F.get(before, at(i)), fold(F.slice(a, at(i) * width + 1, F.pmod(i, F.lit(width)))))),
+        )
+
+    return let(values, with_blocks)
+
+
+def running_sum(values: Column) -> Column:
+    """Sum of the elements before each of an array<int>."""
+    return scan(values, lambda x, y: x + y, F.lit(0))
+
+
+def firsts(items: Column, key) -> Column:
+    """The first element of each key, in order: sorted by key, neighbours compared, sorted back."""
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+    first = let(keyed, lambda s: F.filter(s, lambda x, j: (j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"])))
+    return F.transform(F.array_sort(F.transform(first, lambda x: x["i"])), lambda i: F.get(items, i))
+
+
 def positions(text: Column, pattern: Column) -> Column:
     """array<struct<start,end,entity>> of all matches, in code points, half open."""
     parts = F.struct(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
 
     def place(p: Column) -> Column:
-        size = lambda a, n: F.length(F.array_join(F.slice(a, F.lit(1), n), ""))
-        return F.transform(
-            p["hit"],
-            lambda h, i: let(
-                (size(p["gap"], i + 1) + size(p["hit"], i)).cast("int"),
-                lambda s: F.struct(s.alias("start"), (s + F.length(h)).cast("int").alias("end"), h.alias("entity")),
+        steps = F.transform(p["hit"], lambda h, i: F.length(F.get(p["gap"], i)) + F.length(h))
+        return let(
+            running_sum(steps),
+            lambda before: F.transform(
+                p["hit"],
+                lambda h, i: let(
+                    F.get(before, i) + F.length(F.get(p["gap"], i)), lambda s: F.struct(s.alias("start"), (s + F.length(h)).alias("end"), h.alias("entity"))
+                ),
             ),
         )
 
@@ -65,56 +101,66 @@ def positions(text: Column, pattern: Column) -> Column:
 
 def emails(text: Column) -> Column:
     """Addresses in a text, the first spelling of each, with its place: array<struct<start,end,entity>>."""
-    found = positions(text, F.lit(EMAIL))
-    return let(found, lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: F.lower(y["entity"]) == F.lower(x["entity"]))))
+    return let(positions(text, F.lit(EMAIL)), lambda found: firsts(found, lambda x: F.lower(x["entity"])))
 
 
 def greedy_spans(spans: Column, better) -> Column:
-    """Keep spans in the order of ``better`` (a comparator of two) unless they overlap a kept one; sorted by start."""
-    ranked = F.array_sort(spans, better)
-    kept = F.aggregate(
-        F.transform(ranked, lambda x: F.array(x)),
-        F.slice(spans, F.lit(1), F.lit(0)),
-        lambda acc, x: F.when(F.exists(acc, lambda k: (x[0]["start"] < k["end"]) & (x[0]["end"] > k["start"])), acc).otherwise(F.concat(acc, x)),
-    )
-    return F.array_sort(kept, lambda a, b: (a["start"] - b["start"]).cast("int"))
+    """Keep spans in the order of ``better`` (a comparator of two) unless they overlap a kept one; sorted by start.
+
+    Spans are first parted where none reaches across, and the choice is made within each part.
+    """
+
+    def choose(part: Column) -> Column:
+        return F.aggregate(
+            F.transform(F.array_sort(part, better), lambda x: F.array(x)),
+            F.slice(part, F.lit(1), F.lit(0)),
+            lambda acc, x: F.when(F.exists(acc, lambda k: (x[0]["start"] < k["end"]) & (x[0]["end"] > k["start"])), acc).otherwise(F.concat(acc, x)),
+        )
+
+    by_start = lambda a: F.array_sort(a, lambda x, y: (x["start"] - y["start"]).cast("int"))
+
+    def parted(s: Column) -> Column:
+        reach = scan(F.transform(s, lambda x: x["end"].cast("int")), lambda x, y: F.greatest(x, y), F.lit(-1))
+        opens = let(reach, lambda r: F.filter(F.transform(s, lambda x, i: F.when(x["start"] >= F.get(r, i), i)), lambda i: i.isNotNull()))
+        return let(opens, lambda o: F.flatten(F.transform(o, lambda i, k: choose(F.slice(s, i + 1, F.coalesce(F.get(o, k + 1), F.size(s)) - i)))))
+
+    return by_start(let(by_start(spans), parted))
+
+
+def _sign(a: Column, b: Column) -> Column:
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 
 
 def by_length_then_score(a: Column, b: Column) -> Column:
     """Longer first, then the higher score, then the earlier in the list (``seq``)."""
     la, lb = a["end"] - a["start"], b["end"] - b["start"]
-    return (
-        F.when(la != lb, F.sign(lb - la)).when(a["score"] != b["score"], F.sign(b["score"] - a["score"])).otherwise(F.sign(a["seq"] - b["seq"])).cast("int")
-    )
+    return F.when(la != lb, _sign(lb, la)).when(a["score"] != b["score"], _sign(b["score"], a["score"])).otherwise(_sign(a["seq"], b["seq"]))
 
 
 def by_confidence(a: Column, b: Column) -> Column:
-    return F.when(a["confidence"] != b["confidence"], F.sign(b["confidence"] - a["confidence"])).otherwise(F.sign(a["seq"] - b["seq"])).cast("int")
+    return F.when(a["confidence"] != b["confidence"], _sign(b["confidence"], a["confidence"])).otherwise(_sign(a["seq"], b["seq"]))
 
 
 def split_on_newlines(entity: Column, start: Column) -> Column:
     """Pieces of a span, one for each line, stripped, with exact offsets; blank lines vanish."""
-    lines = F.split(entity, "\n")
 
     def place(p: Column) -> Column:
-        before = lambda i: F.length(F.array_join(F.slice(p, F.lit(1), i), "")) + i
         lead = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+", ""))
-        cut = F.transform(
+        cut = lambda before: F.transform(
             p,
             lambda x, i: let(
-                (start + before(i) + lead(x)).cast("int"),
+                (start + F.get(before, i) + lead(x)).cast("int"),
                 lambda s: F.struct(trim_py(x).alias("entity"), s.alias("start"), (s + F.length(trim_py(x))).cast("int").alias("end")),
             ),
         )
-        return F.filter(cut, lambda c: c["entity"] != "")
+        return F.filter(let(running_sum(F.transform(p, lambda x: F.length(x) + 1)), cut), lambda c: c["entity"] != "")
 
-    return let(lines, place)
+    return let(F.split(entity, "\n"), place)
 
 
 def distinct_terms(terms: Column) -> Column:
     """Trimmed, non-empty terms; of spellings that differ by case the first."""
-    clean = F.filter(F.transform(terms, trim_py), lambda t: t != "")
-    return let(clean, lambda a: F.filter(a, lambda t, i: ~F.exists(F.slice(a, F.lit(1), i), lambda u: F.lower(u) == F.lower(t))))
+    return let(F.filter(F.transform(terms, trim_py), lambda t: t != ""), lambda a: firsts(a, F.lower))
 
 
 def split_terms(raw: Column) -> Column:

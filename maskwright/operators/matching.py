@@ -7,45 +7,53 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ALNUM, by_length_then_score, greedy_spans, positions, term_pattern_column, term_present
 
-WORDS = f"[{ALNUM}]+"
+#: What a text and a term meet on: words, and signs for terms without a letter or digit.
+KEYS = f"[{ALNUM}]+|[^{ALNUM}]"
+#: Most terms that go to every task; a longer dictionary is shuffled.
+MOST_TERMS = 20_000
+
+
+def keyed_terms(terms: DataFrame) -> DataFrame:
+    """Terms with ``_key``: the longest word, or the first sign of a term that has none."""
+    keys = F.regexp_extract_all(F.lower("term"), F.lit(KEYS), F.lit(0))
+    longer = lambda a, w: F.when(w.rlike(f"[{ALNUM}]") & ((F.length(w) > F.length(a)) | ~a.rlike(f"[{ALNUM}]")), w).otherwise(a)
+    return terms.withColumn("_key", F.aggregate(keys, F.get(keys, F.lit(0)), longer)).filter("_key is not null")
 
 
 def candidates(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, terms.*) pairs that share the term's longest word: an equi join, whatever the dictionary's size.
+    """Rows of (docs.*, terms.*) that share the term's key: an equi join, whatever the dictionary's size.
 
-    A term matches whole words only, so a text without its longest word can't have it. Terms without a letter or
-    digit can't be met that way and go to every document; they are few by nature and checked to be at most 100.
+    A term matches whole words only, so a text without its longest word can't have it. Of a dictionary of at most ``MOST_TERMS`` every task
+    has the keys: a row keeps only its words among them, meets their terms in a broadcast join and never leaves its task. A longer one is joined by shuffle, with
+    ids of the texts alone, and the texts that met a term are joined to them again.
     """
-    longest = F.aggregate(F.regexp_extract_all(F.lower("term"), F.lit(WORDS), F.lit(0)), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    keyed = terms.withColumn("_word", longest)
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0)))).alias("_word"))
-    met = words.join(keyed.filter("_word <> ''"), "_word").drop("_word")
-    bare = [r.asDict() for r in keyed.filter("_word = ''").drop("_word").limit(101).collect()]
-    if len(bare) > 100:
-        raise ValueError("more than 100 terms have no letter or digit")
-    if not bare:
-        return met
-    rows = terms.sparkSession.createDataFrame(bare, terms.schema)
-    listed = F.array(*[F.struct(*[F.lit(r[c]).cast(rows.schema[c].dataType).alias(c) for c in terms.columns]) for r in bare])
-    return met.unionByName(docs.select("doc_id", F.explode(listed).alias("t")).select("doc_id", "t.*"))
+    keyed = keyed_terms(terms)
+    known = [r[0] for r in keyed.select("_key").limit(MOST_TERMS + 1).collect()]
+    keys = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(KEYS), F.lit(0)))
+    if len(known) <= MOST_TERMS:
+        mine = F.array_intersect(keys, F.array(*[F.lit(k) for k in sorted(set(known))]).cast("array<string>"))
+        return docs.withColumn("_key", F.explode(mine)).join(F.broadcast(keyed), "_key").drop("_key")
+    met = docs.select("doc_id", F.explode(keys).alias("_key")).join(keyed.hint("merge"), "_key").drop("_key")
+    return docs.join(met.hint("merge"), "doc_id")
 
 
 def present_terms(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, terms.*) of the terms that occur in a document, as whole words with underscores joining."""
-    return candidates(docs, terms, text).join(docs.select("doc_id", F.col(text).alias("_text")), "doc_id").filter(term_present(F.col("_text"), F.col("term"))).drop("_text")
+    body = docs.select("doc_id", F.col(text).alias("_text"))
+    return candidates(body, terms, "_text").filter(term_present(F.col("_text"), F.col("term"))).drop("_text")
 
 
 def term_highlights(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     """All matches of every term in blocks (doc_id, block_seq, text): one row each, with places and source term."""
-    keyed = blocks.withColumn("doc_id", F.struct("doc_id", "block_seq"))
-    met = candidates(keyed, terms).join(keyed.select("doc_id", F.col("text").alias("_text")), "doc_id")
-    rows = met.select("doc_id.*", *[c for c in terms.columns], F.explode(positions(F.col("_text"), term_pattern_column(F.col("term"), True))).alias("h"))
+    body = blocks.select(F.struct("doc_id", "block_seq").alias("doc_id"), F.col("text").alias("_text"))
+    place = positions(F.col("_text"), term_pattern_column(F.col("term"), True))
+    rows = candidates(body, terms, "_text").select("doc_id.*", *terms.columns, F.explode(place).alias("h"))
     return rows.select("doc_id", "block_seq", "h.start", "h.end", "h.entity", F.col("term").alias("source_entity"), F.col("category"), F.lit(100).alias("score"))
 
 
 def first_mentions(blocks: DataFrame, detections: DataFrame) -> DataFrame:
     """First place of each detection of a document in each of its blocks, as a plain substring with its case."""
-    joined = blocks.join(detections.select("doc_id", "entity", "category", F.floor(F.col("confidence") * 100).cast("int").alias("score")), "doc_id")
+    joined = blocks.join(detections.select("doc_id", "entity", "category", (F.col("confidence") * 100).cast("int").alias("score")), "doc_id")
     at = F.instr(F.col("text"), F.col("entity"))
     return joined.filter(at > 0).select(
         "doc_id", "block_seq", (at - 1).alias("start"), (at - 1 + F.length("entity")).alias("end"), "entity", F.lit("").alias("source_entity"), "category", "score"
@@ -55,16 +63,17 @@ def first_mentions(blocks: DataFrame, detections: DataFrame) -> DataFrame:
 def best_highlights(found: DataFrame) -> DataFrame:
     """Of overlapping highlights of a block (with an order ``seq``) the longer, then the surer; one row each."""
     row = F.struct("start", "end", "entity", "source_entity", "category", "score", "seq")
-    per = found.groupBy("doc_id", "block_seq").agg(F.array_sort(F.collect_list(row), lambda a, b: (a["seq"] - b["seq"]).cast("int")).alias("all"))
+    per = found.groupBy("doc_id", "block_seq").agg(F.collect_list(row).alias("all"))
     return per.select("doc_id", "block_seq", F.explode(greedy_spans(F.col("all"), by_length_then_score)).alias("h")).select("doc_id", "block_seq", "h.*")
 
 
-def known_category(entity: Column, terms: list[tuple[str, str]]) -> Column:
-    """Category of the first (category, term) equal but for case, or autres."""
-    out = F.lit("autres")
-    for category, term in reversed(terms):
-        out = F.when(F.lower(entity) == term.lower(), category).otherwise(out)
-    return out
+def with_known_category(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """Add ``category`` to (entity, ...): that of the first of (category, term, seq) equal but for case, or autres.
+
+    An equi join on the lower-cased spelling; the dictionary has one row for each.
+    """
+    first = terms.groupBy(F.lower("term").alias("_spelling")).agg(F.min_by("category", "seq").alias("category"))
+    return found.withColumn("_spelling", F.lower("entity")).join(first, "_spelling", "left").withColumn("category", F.coalesce("category", F.lit("autres"))).drop("_spelling")
 
 
 def number_highlights(found: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.masking import longest_first, mask, unmask_exact, unmask_pairs
-from ..functions.text import EMAIL, keep_title, safe_name, stem
+from ..functions.text import EMAIL, firsts, keep_title, let, safe_name, stem
 from ..operators.entities import AUTO_CONFIRM, Detector, detect, line_names, merge
 from ..operators.matching import best_highlights, first_mentions, number_highlights, term_highlights
 from ..sources import ooxml
@@ -107,10 +107,8 @@ def mapping_rows(masked: DataFrame) -> DataFrame:
 
 def back_pairs(mapping: Column) -> Column:
     """Pairs for the way back: first original of each placeholder, longest placeholder first, ties in mapping order."""
-    firsts = F.filter(
-        mapping, lambda e, i: e["placeholder"].isNotNull() & ~F.exists(F.slice(mapping, F.lit(1), i), lambda x: x["placeholder"] == e["placeholder"])
-    )
-    keyed = F.transform(firsts, lambda e, i: F.struct((-F.length(e["placeholder"])).alias("n"), i.alias("i"), e["placeholder"].alias("original"), e["original"].alias("placeholder")))
+    kept = let(F.filter(mapping, lambda e: e["placeholder"].isNotNull()), lambda m: firsts(m, lambda e: e["placeholder"]))
+    keyed = F.transform(kept, lambda e, i: F.struct((-F.length(e["placeholder"])).alias("n"), i.alias("i"), e["placeholder"].alias("original"), e["original"].alias("placeholder")))
     return F.transform(F.array_sort(keyed), lambda x: F.struct(x["original"].alias("original"), x["placeholder"].alias("placeholder")))
 
 
@@ -194,7 +192,7 @@ def preview(blocks: DataFrame, terms: DataFrame, detections: DataFrame, mails: D
     found = term_highlights(body, terms.select("term", "category")).withColumn("_src", F.lit(0))
     for k, df in ((1, detections), (2, mails)):
         found = found.unionByName(first_mentions(body, df).withColumn("_src", F.lit(k)))
-    kept = best_highlights(found.withColumn("seq", F.col("_src") * 1_000_000 + F.col("start")))
+    kept = best_highlights(found.withColumn("seq", F.struct("_src", "start", "source_entity", "category")))
     row = F.struct("start", "end", "entity", "source_entity", "placeholder", F.lit("confirmed").alias("status"), "score", "category")
     per = number_highlights(kept).groupBy("doc_id", "block_seq").agg(F.array_sort(F.collect_list(row)).alias("highlights"))
     return blocks.join(per, ["doc_id", "block_seq"])

@@ -22,7 +22,7 @@ PAIRS = A.fixed_pairs(TERMS)
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return S.spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def docs(spark, d):

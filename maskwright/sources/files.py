@@ -21,6 +21,15 @@ MAPPING_ENTRY = "struct<original:string,placeholder:string,type:string,source:st
 MAPPING_SCHEMA = f"session_id string, created_at string, source_file string, file_type string, project_id string, entities array<{MAPPING_ENTRY}>"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table read in fewer splits than there are cores, dealt once to all of them; any other as it is.
+
+    A small file is often one row group, which no reader can split; a large table has splits enough and is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def office_files(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
     """(doc_id, path, filename, file_type, length, content) of a folder; other suffixes have a null file_type."""
     reader = spark.readStream.schema(FILE_SCHEMA) if streaming else spark.read

@@ -83,3 +83,50 @@ def test_terms(spark):
 def test_small_displays(spark):
     r = one(spark, 1536, "v long", a=X.byte_size(F.col("v")), b=X.percent_done(F.lit(1), F.lit(3)), c=X.percent_done(F.lit(0), F.lit(0)), d=X.middle_cut(F.lit("a" * 50)))
     assert r.a == "1.5 KB" and r.b == 33 and r.c == 0 and len(r.d) == 40 and "..." in r.d
+
+
+def test_positions_of_a_long_text(spark):
+    """A megabyte with a hundred thousand hits: each place is right, and it takes seconds."""
+    import time
+
+    text = "ab the é " * 100_000
+    df = spark.createDataFrame([(text,)], "text string")
+    t = time.time()
+    got = df.select(X.positions(F.col("text"), F.lit("the")).alias("p")).select(F.explode("p")).select("col.*").toPandas()
+    assert time.time() - t < 60
+    assert got["start"].tolist() == [9 * k + 3 for k in range(100_000)] and (got["end"] - got["start"] == 3).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 255, 256, 257, 5000])
+def test_running_sum(spark, n):
+    got = spark.range(1).select(X.running_sum(F.transform(F.slice(F.sequence(F.lit(1), F.lit(n + 1)), 1, n), lambda x: x.cast("int"))).alias("s")).first().s
+    assert got == [k * (k + 1) // 2 for k in range(n)]
+
+
+def test_masking_is_native(spark):
+    """No Python in the plan of fixed terms; codes in the text survive; terms of several words go first."""
+    from maskwright.functions.masking import mask, mask_fixed
+
+    pairs = [("La Poste", "[E_1]"), ("Poste", "[E_2]"), ("rue de la Poste", "[L_1]"), ("straße", "[L_2]"), ("é", "[X_1]")]
+    texts = ["rue de LA POSTE, la poste et Poste_ Postes", "  La Poste", "STRASSE Straße É e", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i int, text string").select("i", "text", mask_fixed(F.col("text"), pairs).alias("m"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    ordered = sorted(pairs, key=lambda p: -len(p[0]))
+    for r in df.collect():
+        assert r.m == (None if r.text is None else mask(r.text, ordered))
+
+
+def test_term_join_keeps_texts_in_place(spark):
+    from maskwright.operators import matching as M
+
+    docs = spark.createDataFrame([(1, "a C++ b, la poste."), (2, "--"), (3, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([("x", "La Poste"), ("x", "C++"), ("y", "--"), ("y", "absent")], "category string, term string")
+    found = M.present_terms(docs, terms)
+    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
+    small = sorted((r.doc_id, r.term) for r in found.collect())
+    M.MOST_TERMS, old = 1, M.MOST_TERMS
+    try:
+        large = sorted((r.doc_id, r.term) for r in M.present_terms(docs, terms).collect())
+    finally:
+        M.MOST_TERMS = old
+    assert small == large == [(1, "C++"), (1, "La Poste"), (2, "--")]
