@@ -1,10 +1,20 @@
-"""Licence scan: canonical digests of entire texts, joined to the digests of known licences."""
+"""Licence scan: canonical digests of entire texts, joined to the digests of known licences.
+
+The longer known texts are files of ``licenses``, one published text each, named by licence id.
+"""
 
 from __future__ import annotations
 
+import re
+from hashlib import sha256
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import save, shared_dir
+
 # Published licence texts and the usual one-line notices, by licence id.
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
@@ -82,30 +92,81 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
 )
 
-#: Most known texts that lines are looked up in; entire texts are joined whatever their number.
+# Titles that a licence file may or may not begin with, in canonical form, longer ones before their beginnings.
+TITLES = (
+    "the mit license mit", "the mit license", "mit license mit", "mit license",
+    "the isc license isc", "the isc license", "isc license isc", "isc license",
+    "the bsd 2 clause license", "bsd 2 clause simplified license", "bsd 2 clause license", "simplified bsd license",
+    "the bsd 3 clause license", "bsd 3 clause new or revised license", "bsd 3 clause license", "new bsd license",
+    "bsd zero clause license", "zero clause bsd license", "zero clause bsd",
+)
+# Words after "copyright" that go on with a sentence instead of naming a holder.
+NOT_HOLDERS = "holders?|owners?|notices?|licen[sc]es?|laws?|statements?|disclaimers?|interests?|and|or|in|to|is|of"
+
+#: Most known texts that lines are looked up in by a literal set; beyond it lines are joined by digest.
 MOST_NOTICES = 10_000
-#: A whole line that only states a copyright.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: Most words by which lines are sieved before they are hashed.
+MOST_MARKERS = 200
+#: A whole line that only states a copyright (a sign, a year or a name follows, or it is the first line) or that all rights are reserved.
+COPYRIGHT_LINE = (
+    r"(?md)\A[ \t]*\([cC]\)[^\n]*|^[ \t]*(?:(?i:copyright)[ \t]*(?:\([cC]\)|©)|©|(?:(?i:copyright)|\([cC]\))[ \t:]+(?:[0-9]{4}|[<\[]?(?i:year|yyyy))"
+    rf"|(?i:copyright)[ \t]+(?!(?i:{NOT_HOLDERS})(?![\p{{L}}\p{{N}}]))\p{{Lu}}|(?i:all rights reserved)[.]?[ \t]*$)[^\n]*"
+)
 NOT_TEXT = r"[^\p{L}\p{N}]+"
 
 
+def shipped_texts() -> list[tuple[str, str]]:
+    """(licence id, text) of the files, whole and, where one marks the end of its terms, also without what follows that."""
+    end = "END OF TERMS AND CONDITIONS"
+    out = []
+    for path in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        out.append((path.stem, text))
+        if end in text:
+            out.append((path.stem, text[: text.index(end) + len(end)]))
+    return out
+
+
+def all_texts() -> list[tuple[str, str]]:
+    return [*KNOWN_TEXTS, *shipped_texts()]
+
+
 def canonical(text: Column) -> Column:
-    """Lower case, without copyright lines and punctuation, in one spelling, words one space apart."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, r"$1")
+    """Lower case, without copyright lines, title and punctuation, in one spelling, words one space apart."""
+    out = F.lower(F.regexp_replace(text, COPYRIGHT_LINE, ""))
     out = F.trim(F.regexp_replace(out, NOT_TEXT, " "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return out
+    return F.regexp_replace(out, f"^(?:{'|'.join(TITLES)}) ", "")
 
 
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_licenses(spark: SparkSession, texts=KNOWN_TEXTS) -> DataFrame:
-    """(license_digest, license_id), one row for each digest; as many rows as known texts."""
-    rows = spark.createDataFrame([tuple(x) for x in texts], "license_id string, _known string")
-    return rows.select(digest(F.col("_known")).alias("license_digest"), "license_id").groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
+def known_licenses(spark: SparkSession, texts=None) -> DataFrame:
+    """(license_digest, license_id, marker), one row for each digest of (id, text) pairs, by default all that are shipped.
+
+    ``marker`` is the longest word of the canonical text that no equal spelling touches: a line that equals the text has it, or null.
+    """
+    pairs = all_texts() if texts is None else list(texts)
+    rows = spark.createDataFrame(pa.table({"license_id": pa.array([i for i, _ in pairs], pa.string()), "_known": pa.array([t for _, t in pairs], pa.string())}))
+    touched = {w for _, new in SPELLINGS for w in new.split()}
+    known: dict[str, tuple] = {}
+    for license_id, text in sorted(tuple(r) for r in rows.select("license_id", canonical(F.col("_known"))).collect()):
+        free = [w for w in text.split() if not any(t in w for t in touched)]
+        if text:
+            known.setdefault(sha256(text.encode()).hexdigest(), (license_id, max(free, key=len, default=None)))
+    columns = zip(("license_digest", "license_id", "marker"), ([d for d in known], [v[0] for v in known.values()], [v[1] for v in known.values()]))
+    return spark.createDataFrame(pa.table({name: pa.array(values, pa.string()) for name, values in columns}))
+
+
+def _sieve(markers: list[str | None]):
+    """A test that every line equal to a known text passes; all lines pass if some text has no marker or markers are many."""
+    words = set(markers)
+    if None in words or len(words) > MOST_MARKERS:
+        return lambda line: line.rlike(r"[\p{L}\p{N}]")
+    return lambda line: F.lower(line).rlike("|".join(re.escape(w) for w in sorted(words)) or "(?!)")
 
 
 def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,19 +174,27 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
 
     ``notices`` joins with "," the sorted distinct ids of the licences whose known text equals one
     of the document's lines. A null text, and a text or line without a letter or digit, matches nothing; its digest is null.
-    Repeated rows give repeated rows; no other column of the input is read. Entire texts are hash-joined: Spark broadcasts
-    ``known`` only under its own size threshold and otherwise shuffles by digest. Lines are looked up in a literal map of it, checked to be small.
+    Whole texts are hashed, however long. Repeated rows give repeated rows, a null id stays null, an empty table gives no rows, and no other column of the
+    input, whatever its name, is read. Entire texts are hash-joined: Spark broadcasts ``known`` only under its own size threshold and
+    otherwise shuffles by digest. Lines are looked up in place in a literal set of up to ``MOST_NOTICES`` digests; for more known texts they are joined by digest too.
     """
-    table = [(r.license_digest, r.license_id) for r in known.limit(MOST_NOTICES + 1).collect()]
-    if len(table) > MOST_NOTICES:
-        raise ValueError(f"more than {MOST_NOTICES} known texts: too many to compare lines with in place")
-    ids = F.create_map(*[F.lit(x) for pair in table for x in pair]) if table else F.create_map().cast("map<string,string>")
+    table = known.limit(MOST_NOTICES + 1).collect()
+    whole_known = known.select(F.col("license_digest").alias("text_digest"), "license_id")
     body = docs.select(F.col(id_col), F.col(text).alias("_t"))
     whole = canonical(F.col("_t"))
-    lines = F.filter(F.transform(F.filter(F.split("_t", "\n"), lambda x: F.lower(x).rlike("licen[sc]e|permission")), canonical), lambda x: x != "")
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.element_at(ids, F.sha2(x, 256))), lambda x: x.isNotNull())))
-    scanned = body.select(id_col, F.when(whole != "", F.sha2(whole, 256)).alias("text_digest"), F.coalesce(found, F.array().cast("array<string>")).alias("_ids"))
-    whole_known = known.select(F.col("license_digest").alias("text_digest"), "license_id")
+    text_digest = F.when(whole != "", F.sha2(whole, 256)).alias("text_digest")
+    none = F.array().cast("array<string>")
+    if len(table) <= MOST_NOTICES:
+        digests = [r.license_digest for r in table]
+        ids = F.create_map(*[F.lit(x) for r in table for x in (r.license_digest, r.license_id)]) if table else F.create_map().cast("map<string,string>")
+        line_digests = F.transform(F.filter(F.split("_t", "\n"), _sieve([r.marker for r in table])), digest)
+        found = F.transform(F.filter(line_digests, lambda d: d.isin(digests)), lambda d: F.element_at(ids, d))
+        scanned = body.select(id_col, text_digest, F.coalesce(F.array_sort(F.array_distinct(found)), none).alias("_ids"))
+    else:
+        scanned = save(body.select(id_col, text_digest, F.monotonically_increasing_id().alias("_row"), F.array_distinct(F.transform(F.split("_t", "\n"), digest)).alias("_lines")), shared_dir(docs.sparkSession, "license"))
+        lines = scanned.select("_row", F.explode("_lines").alias("license_digest")).join(known.select("license_digest", "license_id"), "license_digest")
+        ids = lines.groupBy("_row").agg(F.array_sort(F.collect_set("license_id")).alias("_ids"))
+        scanned = scanned.drop("_lines").join(ids, "_row", "left").withColumn("_ids", F.coalesce("_ids", none))
     return scanned.join(whole_known, "text_digest", "left").select(
         id_col, "text_digest", "license_id", F.array_join("_ids", ",").alias("notices"), F.size("_ids").cast("long").alias("n_notices")
     )

@@ -1,6 +1,6 @@
 """DuckDB text of the registered queries that SQL can express."""
 
-from .license_scan import KNOWN_TEXTS, SPELLINGS
+from .license_scan import NOT_HOLDERS, SPELLINGS, TITLES, all_texts
 from .quality import RULES, STOP_WORDS
 
 
@@ -9,20 +9,23 @@ def _quoted(text: str) -> str:
 
 
 def _canonical(column: str) -> str:
-    out = rf"regexp_replace(lower({column}), '(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*', '\1', 'g')"
+    states = rf"""regexp_matches(lower(l), '^[ \t]*(copyright[ \t]*(\(c\)|©)|©|(copyright|\(c\))[ \t:]+([0-9][0-9][0-9][0-9]|[<\[]?(year|yyyy)))')
+      OR regexp_matches(l, '^[ \t]*(?i:copyright)[ \t]+\p{{Lu}}') AND NOT regexp_matches(lower(l), '^[ \t]*copyright[ \t]+({NOT_HOLDERS})([^\p{{L}}\p{{N}}]|$)')
+      OR i = 1 AND regexp_matches(lower(l), '^[ \t]*\(c\)')
+      OR regexp_matches(lower(l), '^[ \t]*all rights reserved[.]?[ \t]*$')"""
+    out = rf"lower(array_to_string(list_filter(string_split({column}, chr(10)), lambda l, i: NOT ({states})), chr(10)))"
     out = rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     for old, new in SPELLINGS:
         out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
-    return out
+    return f"regexp_replace({out}, '^({'|'.join(TITLES)}) ', '')"
 
 
 OP1 = f"""
 WITH known AS (
   SELECT sha256({_canonical("t")}) AS dig, min(id) AS id
-  FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in KNOWN_TEXTS)}) AS v(id, t) GROUP BY 1),
+  FROM (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in all_texts())}) AS v(id, t) GROUP BY 1),
 d AS (SELECT doc_id, {_canonical("text")} AS c, text FROM documents),
-lines AS (SELECT doc_id, {_canonical("line")} AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-  WHERE regexp_matches(lower(line), 'licen[sc]e|permission')),
+lines AS (SELECT doc_id, {_canonical("line")} AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
 found AS (SELECT doc_id, string_agg(DISTINCT id, ',' ORDER BY id) AS notices, count(DISTINCT id) AS n
   FROM lines JOIN known ON sha256(lines.c) = known.dig WHERE lines.c <> '' GROUP BY 1)
 SELECT d.doc_id, CASE WHEN c <> '' THEN sha256(c) END AS text_digest, k.id AS license_id,

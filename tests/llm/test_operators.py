@@ -84,6 +84,31 @@ def test_license_spellings(spark):
     assert {r.doc_id for r in got if r.text_digest is None} == {3, 4, 6}
 
 
+def test_license_forms(spark, monkeypatch):
+    """Whole texts with titles, wrapped anew, with rights lines and without what follows the terms."""
+    import textwrap
+
+    from maskwright.llm import license_scan as L
+
+    mit, bsd = L.KNOWN_TEXTS[0][1], dict(L.KNOWN_TEXTS[:5])["BSD-3-Clause"]
+    wrapped = mit.replace(" COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS")
+    apache, gpl = (dict(L.shipped_texts()[::-1])[k] for k in ("Apache-2.0", "GPL-3.0"))
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 A Person\n\n" + wrapped),
+        (2, "The MIT License (MIT)\n\nCopyright Jane Doe\n" + "\n".join(textwrap.wrap(mit, 40))),
+        (3, "BSD 3-Clause License\n\nCopyright (c) 2019, X\nAll rights reserved.\n\n" + bsd),
+        (4, "\n".join(textwrap.wrap(apache[: apache.index("END OF TERMS") + 27], 60))), (5, gpl[: gpl.index("END OF TERMS") + 27]), (6, "MIT License"), (7, mit + " Not."), (8, "word " * 400_000 + mit), (None, mit),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' license_id", "'y' _ids")
+    got = {r.doc_id: r.license_id for r in license_scan(docs, known_licenses(spark)).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "BSD-3-Clause", 4: "Apache-2.0", 5: "GPL-3.0", 6: None, 7: None, 8: None, None: "MIT"}
+    notices = [(f"N-{k % 2}", f"Notice number {k} without that word") for k in range(9)]
+    docs = spark.createDataFrame([(1, "notice number 3 without that word\nNotice, number 4 without that word.\nx"), (1, "x"), (2, None)], "doc_id long, text string")
+    few = sorted((r.doc_id, r.notices, r.n_notices) for r in license_scan(docs, known_licenses(spark, notices)).collect())
+    monkeypatch.setattr(L, "MOST_NOTICES", 3)
+    assert few == sorted((r.doc_id, r.notices, r.n_notices) for r in license_scan(docs, known_licenses(spark, notices)).collect()) == [(1, "", 0), (1, "N-0,N-1", 2), (2, "", 0)]
+
+
 def test_quality_table(spark, texts):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("n_words", F.lit("old"))
     got = {r.doc_id: r for r in quality_rules(docs).collect()}
