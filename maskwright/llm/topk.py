@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import io
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_to_batch, save, shared_dir
+from .common import open_fs, partitions, rows_to_batch, save, shared_dir
 
 #: Production parameters.
 SCALE = 64
@@ -19,10 +20,12 @@ SHARD_VECTORS = 8192
 QUERY_BLOCK = 128
 #: Distinct quantised impacts of a dimension in a shard; more values share a level.
 LEVELS = 256
-#: Levels, as shares of a query's greatest impact, at which the proof is tried; the last is the end.
-STOPS = (0.0, -0.1, -1.0)
-#: Survivors up to this share of the shard are rescored instead of processing more postings.
-RESCORE = 0.5
+#: Impacts of a query's segments are quantised to so many levels; the proof is tried after each of them.
+BANDS = 32
+#: A walk ends when no more than this share of the shard may still be among the best; those are rescored.
+RESCORE = 0.02
+#: Shards that a query block meets one after another, handing on its k-th best score.
+GROUP = 8
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -63,7 +66,7 @@ def build_shard(ids: np.ndarray, rows: np.ndarray, levels: int = LEVELS) -> dict
     return {
         "ids": ids,
         "rows": rows,
-        "postings": np.concatenate(order).astype(np.uint32),
+        "postings": np.concatenate(order).astype(np.int32),
         "starts": np.append(np.concatenate(starts), at).astype(np.int64),
         "low": np.concatenate(low),
         "high": np.concatenate(high),
@@ -81,81 +84,90 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def search_block(shard: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The shard's k best for each of a block of queries, at least ``floor`` where given, as (ids, scores).
+def search(shard: dict, query_id: int, query: np.ndarray, k: int, floor: int, watch=None) -> tuple[np.ndarray, np.ndarray]:
+    """The shard's k best for a query, at least ``floor``, as (ids, scores).
 
-    Segments are taken level by level of falling impact, the greatest product of query and vector component in the
-    segment; a segment's postings are updated for all queries of the block that are at its level. A vector's
-    bound is the sum of the impacts seen plus, for every dimension not yet seen for it, the greatest impact left. A query's walk ends
-    when the bounds prove that all but a few vectors are below the k-th best score known; those few, and only those, are rescored
-    exactly. A walk without proof ends with the last posting.
+    Segments are taken level by level of falling quantised impact, the greatest product of query and vector component in the
+    segment. A vector's bound is the sum of the impacts seen plus, for every dimension not yet seen for it, the greatest impact left. The
+    walk ends when the bounds prove that all but a few vectors are below the k-th best score known; those few, and only those, are
+    rescored exactly. A walk without proof ends with the last posting. ``watch`` is told each level's impacts and how many vectors stay possible.
     """
-    ids, rows, starts, dim, postings = shard["ids"], shard["rows"], shard["starts"], shard["dim"], shard["postings"]
+    ids, rows, starts, postings = shard["ids"], shard["rows"], shard["starts"], shard["postings"]
     n, dims = rows.shape
-    postings = postings.astype(np.int64)
-    q = queries.T[dim]
-    impact = np.where(q >= 0, q * shard["high"][:, None], q * shard["low"][:, None])
-    floor = np.full(len(queries), np.iinfo(np.int64).min) if floor is None else floor.copy()
-    out: list = [None] * len(queries)
-
-    # products and sums below 2**53 are exact in doubles, which numpy multiplies much faster
-    fine = dims * max(1, int(np.abs(rows).max(initial=0))) * max(1, int(np.abs(queries).max(initial=0))) < 1 << 53
-    exact_rows = rows.astype(np.float64) if fine else rows
-
-    def score(members: np.ndarray, j: int) -> np.ndarray:
-        return (exact_rows[members] @ queries[j].astype(exact_rows.dtype)).astype(np.int64)
-
-    def rescored(j: int, members: np.ndarray) -> None:
-        scores = score(members, j)
-        members, scores = members[scores >= floor[j]], scores[scores >= floor[j]]
-        top = best(ids[members], scores, k)
-        out[j] = ids[members[top]], scores[top]
-
-    # a count of seen dimensions stands above the sum of impacts in one number, as small a one as has room
-    room = (dims * int(np.abs(impact).max(initial=0)) + 1).bit_length() + 2
-    kind = np.int32 if room + dims.bit_length() < 31 else np.int64
-    seen = 1 << room
-    if room + dims.bit_length() >= 63:  # impacts too large to sum beside the count: every vector is a possible member
-        for j, query_id in enumerate(query_ids):
-            rescored(j, np.flatnonzero(ids != query_id))
-        return out
-    alive = np.arange(len(queries))
-    top = impact.max(axis=0)
-    total = np.zeros((n, len(queries)), kind)
-    above = np.full(len(queries), np.iinfo(np.int64).max)
-    for part in STOPS:
-        last = part == STOPS[-1]
-        below = np.full(len(alive), np.iinfo(np.int64).min) if last else (top[alive] * part).astype(np.int64)
-        now = (impact > below) & (impact <= above)
-        step = np.where(now, impact + seen, 0).astype(kind)
-        for s in np.flatnonzero(now.any(axis=1)).tolist():
-            at = postings[starts[s] : starts[s + 1]]
-            sums = total.take(at, axis=0)
-            sums += step[s]
-            total[at] = sums
-        above = below
-        count = (total + kind(seen >> 1)) >> room
-        rest = np.where(impact <= below, impact, np.iinfo(np.int64).min).max(axis=0)
-        upper = total.T - count.T * kind(seen) + (dims - count.T) * np.where(rest == np.iinfo(np.int64).min, 0, rest)[:, None]
-        keep = []
-        for c, j in enumerate(alive.tolist()):
-            own = ids == query_ids[j]
-            if part == STOPS[0]:
-                likely = np.argpartition(-upper[c], min(2 * k, n - 1))[: 2 * k]
-                exact = score(likely[~own[likely]], j)
-                if len(exact) >= k:
-                    floor[j] = max(floor[j], int(np.partition(exact, len(exact) - k)[len(exact) - k]))
-            members = np.flatnonzero(~own & (upper[c] >= floor[j]))
-            if last or len(members) <= max(k, RESCORE * n):
-                rescored(j, members)
-            else:
-                keep.append(c)
-        if not keep:
+    q = query[shard["dim"]].astype(np.float64)
+    impact = np.where(q >= 0, q * shard["high"], q * shard["low"])
+    top, bottom = impact.max(initial=0), impact.min(initial=0)
+    level = np.minimum((top - impact) / max((top - bottom) / BANDS, 1e-9), BANDS - 1).astype(np.int16)
+    order = np.argsort(level, kind="stable")
+    cuts = np.searchsorted(level[order], np.arange(BANDS + 1))
+    greatest = np.array([impact[order[a:b]].max(initial=-np.inf) for a, b in zip(cuts[:-1], cuts[1:])])
+    left = np.append(np.maximum.accumulate(greatest[::-1])[::-1][1:], -np.inf)
+    # what the sums in double may lack against exact ones
+    slack = dims * float(np.abs(impact).max(initial=0)) * dims * 2.0**-52
+    size = np.diff(starts)
+    other = ids != query_id
+    total, missing = np.zeros(n), np.full(n, dims)
+    members = np.flatnonzero(other)
+
+    def score(some: np.ndarray) -> np.ndarray:
+        return rows[some].astype(np.int64) @ query
+
+    tried = False
+    for b in range(BANDS):
+        seg = order[cuts[b] : cuts[b + 1]]
+        if not len(seg):
+            continue
+        n_at = size[seg]
+        ends = np.cumsum(n_at)
+        at = postings[np.repeat(starts[seg] - ends + n_at, n_at) + np.arange(ends[-1])]
+        total += np.bincount(at, weights=np.repeat(impact[seg], n_at), minlength=n)
+        missing -= np.bincount(at, minlength=n)
+        upper = total if left[b] == -np.inf else total + missing * left[b]
+        if (left[b] <= 0 and not tried) or b % 4 == 3:
+            tried = True
+            likely = np.argpartition(-upper, min(2 * k, n - 1))[: 2 * k]
+            exact = score(likely[other[likely]])
+            if len(exact) >= k:
+                floor = max(floor, int(np.partition(exact, len(exact) - k)[len(exact) - k]))
+        members = np.flatnonzero(other & (upper + slack >= floor))
+        if watch is not None:
+            watch(b, impact[seg], len(members))
+        if len(members) <= max(k, RESCORE * n):
             break
-        alive, impact, total, above = alive[keep], impact[:, keep], np.ascontiguousarray(total[:, keep]), above[keep]
+    scores = score(members)
+    members, scores = members[scores >= floor], scores[scores >= floor]
+    found = best(ids[members], scores, k)
+    return ids[members[found]], scores[found]
+
+
+def search_block(shard: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, floor: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``search`` of each query of a block; ``floor`` is raised where the shard has k better ones."""
+    out = []
+    floor = np.full(len(query_ids), np.iinfo(np.int64).min) if floor is None else floor
+    for j in range(len(query_ids)):
+        found, scores = search(shard, query_ids[j], queries[j], k, int(floor[j]))
+        if len(scores) >= k:
+            floor[j] = max(floor[j], int(scores[k - 1]))
+        out.append((found, scores))
     return out
 
 
+class Shards:
+    """Reads shard files by reference and keeps the latest few."""
+
+    def __init__(self, keep: int = GROUP):
+        self.keep, self.held = keep, {}
+
+    def get(self, uri: str) -> dict:
+        if uri not in self.held:
+            if len(self.held) >= self.keep:
+                self.held.pop(next(iter(self.held)))
+            fs, path = open_fs(uri)
+            with fs.open_input_stream(path, compression=None) as f:
+                self.held[uri] = _unpack(f.read())
+        return self.held[uri]
+
+
 def quantise(embedding, scale: int) -> np.ndarray | None:
     """floor(scale * x) of every component as double, or None if one is null or not finite."""
     if embedding is None:
@@ -184,11 +196,12 @@ def _rectangle(rows: list[np.ndarray], dims: int) -> np.ndarray:
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, scale: int = SCALE, where: str | None = None) -> DataFrame:
     """For each query (ids divisible by ``every``) its k best other vectors: query_id, rank, vec_id, score.
 
-    Vectors are dealt to shards by hash of id and indexed; every block of queries meets every shard once, as a block.
-    A shard returns at most k rows for a query, and the best of those are kept. Vectors that are null or hold null or
+    Vectors are dealt to shards by hash of id, and each shard's index is a file. A block of queries meets the shards in groups: it reads them
+    by reference, one after another, and hands its k-th best score on. A shard returns at most k rows for a query, and the best of those are kept. Vectors that are null or hold null or
     non-finite components, and null ids, take no part; shorter vectors count as ending in zeros, so an empty one scores 0. Every row of a repeated id is a
     vector, no row with the query's id is its candidate, and queries repeated by id are answered for each distinct vector
-    once (rows of ties that agree in id and score keep one rank each). Scores must fit 64 bits.
+    once (rows of ties that agree in id and score keep one rank each). An empty table gives no rows; other columns, whatever their names, are not
+    read. Scores must fit 64 bits.
     """
     spark = vectors.sparkSession
     where = where or shared_dir(spark, "topk")
@@ -196,16 +209,22 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
     size = source.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
     shards, dims = max(1, -(-size["n"] // SHARD_VECTORS)), max(1, size["d"] or 1)
 
+    refs = pa.schema([("shard", pa.int64()), ("file", pa.string())])
+
     def index(table: pa.Table) -> pa.Table:
         keep, rows = _matrix(table.column("embedding").combine_chunks(), scale)
         if not len(keep):
-            return pa.table({"shard": pa.array([], pa.int64()), "payload": pa.array([], pa.binary())})
-        ids = table.column("vec_id").to_numpy()[keep]
-        data = _pack(**build_shard(ids, _rectangle(rows, dims)))
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "payload": pa.array([data], pa.binary())})
+            return refs.empty_table()
+        shard = table.column("shard")[0].as_py()
+        fs, folder = open_fs(where)
+        fs.create_dir(folder, recursive=True)
+        uri = f"{where}/shard-{shard}-{uuid.uuid4().hex}"  # a new name in every attempt; the saved table names those that count
+        with fs.open_output_stream(open_fs(uri)[1], compression=None) as f:
+            f.write(_pack(**build_shard(table.column("vec_id").to_numpy()[keep], _rectangle(rows, dims))))
+        return pa.table([pa.array([shard], pa.int64()), pa.array([uri])], schema=refs)
 
     dealt = source.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    built = save(dealt.groupBy("shard").applyInArrow(index, "shard long, payload binary"), where + "/index")
+    built = save(dealt.groupBy("shard").applyInArrow(index, "shard long, file string"), where + "/index")
 
     def blocks(batches):
         ids: list[int] = []
@@ -222,22 +241,25 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
             yield rows_to_batch(schema, [[_pack(ids=np.array(ids, np.int64), rows=_rectangle(rows, dims))]])
 
     asked = save(source.filter(F.col("vec_id") % every == 0).mapInArrow(blocks, "block binary"), where + "/queries")
-    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).join(built.hint("merge"), "shard")
+    groups = built.groupBy(F.floor(F.col("shard") / GROUP).alias("group")).agg(F.array_sort(F.collect_list("file")).alias("files"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((shards - 1) // GROUP).cast("long")))
+    pairs = asked.withColumn("group", each).join(groups.hint("merge"), "group")
+    pairs = pairs.repartition(partitions(spark), "group", F.xxhash64("block")).sortWithinPartitions("group")
 
-    def search(batches):
+    def search_all(batches):
+        held = Shards()
         for batch in batches:
-            held = (None, None)
-            for name, raw, payload in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                if held[0] != name:
-                    held = (name, _unpack(payload.as_py()))
+            for raw, files in zip(batch.column(0), batch.column(1).to_pylist()):
                 block = _unpack(raw.as_py())
-                out = [[], [], []]
-                for query_id, (found, scores) in zip(block["ids"].tolist(), search_block(held[1], block["ids"], block["rows"], k)):
-                    out[0].append(np.full(len(found), query_id))
-                    out[1].append(found)
-                    out[2].append(scores)
-                yield rows_to_batch(OUT, [np.concatenate(x).astype(np.int64) for x in out])
-
-    found = pairs.select("shard", "block", "payload").mapInArrow(search, "query_id long, vec_id long, score long")
+                floor = np.full(len(block["ids"]), np.iinfo(np.int64).min)
+                for uri in files:
+                    out = [[], [], []]
+                    for query_id, (found, scores) in zip(block["ids"].tolist(), search_block(held.get(uri), block["ids"], block["rows"], k, floor)):
+                        out[0].append(np.full(len(found), query_id))
+                        out[1].append(found)
+                        out[2].append(scores)
+                    yield rows_to_batch(OUT, [np.concatenate(x).astype(np.int64) for x in out])
+
+    found = pairs.select("block", "files").mapInArrow(search_all, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
