@@ -25,7 +25,7 @@ def write_blocks(docs: DataFrame, where: str, id_col: str = "doc_id", text: str
     """Write every text as a compressed frame of a block file; return and save the index of them.
 
     Each attempt of a task names its files anew and the index, committed once, names those that
-    count. Null text is empty; null ids are refused.
+    count. Null text is empty; callers keep rows without an id apart.
     """
 
     def work(batches):

@@ -84,6 +84,26 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: A key of more rows is served from a small table; at most ``MOST_HOT`` keys are, the commonest, so a key left has at most that share of all rows.
+HOT, MOST_HOT = 1_000, 10_000
+
+
+def join_commonest(left: DataFrame, right: DataFrame, key: str, rows: str, spread_by: str) -> DataFrame:
+    """Left join to a saved table with one row for each key, whose column ``rows`` says how many left rows have it.
+
+    The commonest keys, a bounded number, are broadcast; left rows that they serve, and those whose key is null, are dealt by ``spread_by``
+    instead of by key, so no task gets a common key's rows.
+    """
+    values = [c for c in right.columns if c not in (key, rows)]
+    packed = right.select(key, rows, F.struct(*values).alias("_rest"))
+    top = packed.filter(F.col(rows) > HOT).orderBy(F.desc(rows), key).limit(MOST_HOT).select(key, F.col("_rest").alias("_hot"))
+    served = left.join(F.broadcast(top), key, "left")
+    salt = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread_by), F.lit(1 << 30)) + 1).cast("long")
+    joined = served.withColumn("_salt", salt).join(packed.drop(rows).withColumn("_salt", F.lit(0).cast("long")), [key, "_salt"], "left")
+    found = F.coalesce("_hot", "_rest")
+    return joined.select(*left.columns, *[found[c].alias(c) for c in values])
+
+
 def with_running_total(df: DataFrame, order: list[str], value: str, out: str, where: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows ordered before this one.
 

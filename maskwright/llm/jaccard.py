@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Fetcher, write_blocks
-from .common import partitions, remove, rows_to_batch, save, shared_dir
+from .common import join_commonest, partitions, remove, rows_to_batch, save, shared_dir
 from .components import connected_components
 
-#: Slots of the frequency table by which n-grams are ordered: 8 bytes each in every Python worker, whatever the data.
-SLOTS = 1 << 18
-CHUNK = 4096
+#: Slots of the frequency table by which n-grams are ordered: one for so many bytes of text, within these bounds; 4 bytes each in every Python worker.
+SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS = 512, 1 << 18, 1 << 22
+CHUNK = 1 << 14
 #: Hash ranges by which the suffix filter parts a set.
 PARTS = 16
 #: Independent minima by which likely links are tried first.
@@ -117,33 +117,44 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def frequency_slots(docs: DataFrame, width: int, where: str, text: str = "text") -> np.ndarray:
-    """How many documents' n-grams fall in each slot: a table of fixed size over all texts."""
+def slots_for(n_bytes: int) -> int:
+    return 1 << max(LEAST_SLOTS, min(MOST_SLOTS, n_bytes // SLOT_BYTES)).bit_length() - 1
+
+
+def frequency_slots(docs: DataFrame, width: int, slots: int, text: str = "text") -> np.ndarray:
+    """How many documents' n-grams fall in each slot, over all texts: n-grams commoner than a slot's usual load are told from rare ones."""
 
     def count(batches):
         from pyspark import TaskContext
 
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(slots, np.int64)
         for batch in batches:
-            for s in _sets(batch.column(0), width):
-                total += np.bincount((s & _U(SLOTS - 1)).astype(np.int64), minlength=SLOTS) if len(s) > SLOTS // 8 else 0
-                if len(s) <= SLOTS // 8:
-                    np.add.at(total, (s & _U(SLOTS - 1)).astype(np.int64), 1)
+            held, size = [], 0
+            for s in [*_sets(batch.column(0), width), None]:
+                if s is not None:
+                    held.append(s)
+                    size += len(s)
+                if held and (s is None or size > slots):
+                    np.add.at(total, (np.concatenate(held) & _U(slots - 1)).astype(np.int64), 1)
+                    held, size = [], 0
         salt = TaskContext.get().partitionId() % 32
-        chunks = total.reshape(-1, CHUNK)
+        chunks = np.minimum(total, (1 << 31) - 1).astype(np.int32).reshape(-1, CHUNK)
         schema = pa.schema([("chunk", pa.int64()), ("salt", pa.int64()), ("counts", pa.binary())])
         yield rows_to_batch(schema, [list(range(len(chunks))), [salt] * len(chunks), [c.tobytes() for c in chunks]])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
-        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(CHUNK, np.int64)
+        for c in table.column("counts"):
+            total += np.frombuffer(c.as_py(), np.int32)
+        counts = np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()
+        return pa.table({"chunk": pa.array([table.column("chunk")[0].as_py()], pa.int64()), "counts": pa.array([counts], pa.binary())})
 
     parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "chunk long, salt long, counts binary")
     once = parts.groupBy("chunk", "salt").applyInArrow(add, "chunk long, counts binary")
     rows = once.groupBy("chunk").applyInArrow(add, "chunk long, counts binary").collect()
-    out = np.zeros((SLOTS // CHUNK, CHUNK), np.int64)
+    out = np.zeros((slots // CHUNK, CHUNK), np.int32)
     for r in rows:
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
     return out.reshape(-1)
 
 
@@ -166,7 +177,7 @@ def signatures(docs: DataFrame, slots: np.ndarray, width: int, percent: int, id_
                     rows.append((doc_id, None, 0, [], [], []))
                     continue
                 length = n - least_overlap(n, percent) + 1
-                by = np.lexsort((s, count[(s & _U(SLOTS - 1)).astype(np.int64)]))[:length]
+                by = np.lexsort((s, count[(s & _U(len(count) - 1)).astype(np.int64)]))[:length]
                 rows.append((
                     doc_id,
                     hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
@@ -220,55 +231,61 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     change nothing, so none that matters is lost.
 
     Null and empty texts have 0 shingles and link with nothing, not even each other; their class_id is their own id. Repeated rows give
-    repeated rows; null ids are refused. n-grams are compared by 64-bit hash within a pair.
+    repeated rows. A row without an id takes no part: its ids are null. A set is that of the whole text, however long; an empty table gives no rows; other
+    columns, whatever their names, are not read. n-grams are compared by 64-bit hash within a pair.
     """
     spark = docs.sparkSession
     where = where or shared_dir(spark, "jaccard")
-    n_parts = partitions(spark)
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    refs = write_blocks(body, where + "/blocks")
-    slots = frequency_slots(body, width, where)
+    refs = write_blocks(body.filter("doc_id is not null"), where + "/blocks")
+    total = refs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    slots = frequency_slots(body, width, slots_for(total))
     signs = save(signatures(body, slots, width, percent), where + "/signs")
-    of_class = signs.filter("n > 0").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    members = save(signs.select("doc_id", "class_key", "n").join(of_class.select("class_key", "rep"), "class_key", "left"), where + "/members")
-    first = signs.filter("n > 0").join(of_class.select(F.col("rep").alias("doc_id"), F.col("class_key").alias("_k")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    told = signs.filter("n > 0 and doc_id is not null")
+    of_class = save(told.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), where + "/classes")
+    keyed = signs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_key")).alias("class_key"), "n")
+    members = save(join_commonest(keyed, of_class, "class_key", "copies", "doc_id").drop("class_key"), where + "/members")
+    first = told.join(of_class.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "class_key"])
     # below this size a set links with equal sets only
     least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1)) if percent < 100 else 10_000
     reps = save(first.filter(F.col("n") >= least).select(F.col("doc_id").alias("rep"), "n", "prefix", "parts", "minima"), where + "/reps")
     reps_refs = refs.select("doc_id", "block", "offset", "length").dropDuplicates(["doc_id"])
 
-    keys = reps.select("rep", F.posexplode("minima").alias("k", "key"))
-    leaders = keys.groupBy("k", "key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    tried = keys.join(leaders, ["k", "key"]).filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    keys = reps.select("rep", F.posexplode("minima").alias("k", "value")).select("rep", F.xxhash64("k", "value").alias("key"))
+    leaders = save(keys.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1"), where + "/leaders")
+    tried = join_commonest(keys, leaders, "key", "c", "rep").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
     sizes = reps.select("rep", "n")
     tried = tried.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    tried = tried.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    tried = save(tried.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), where + "/tried")
     early = save(verified(tried, reps_refs, where + "/blocks", width, percent), where + "/early")
     before = save(connected_components(early, where + "/first"), where + "/before")
 
     known = reps.join(before.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = save(known.select("rep", "n", "prefix", "parts", "component"), where + "/known")
     postings = known.select("rep", "component", F.posexplode("prefix").alias("pos", "gram"))
-    spread = postings.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("gram")
-    met = save(postings.select("gram", "rep", "pos").join(spread, "gram", "left_semi"), where + "/met")
+    # an n-gram's commonest component is only met by the others, so a large group with one more document costs its size and not its square
+    by = postings.repartition(partitions(spark), "gram").groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"))
+    spread = by.groupBy("gram").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram", "major")
+    met = save(postings.select("gram", "rep", "pos").join(spread, "gram"), where + "/met")
     rich = met.join(known.select("rep", "component", "n", "parts"), "rep")
-    side = lambda s: rich.select("gram", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "pos", "n", "parts")])
-    x, y = side("x"), side("y")
+    side = lambda df, s: df.select("gram", "major", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "pos", "n", "parts")])
+    x, y = side(rich.filter("component <> major"), "x"), side(rich, "y").drop("major")
     needed = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
     common = F.aggregate(F.zip_with("parts_x", "parts_y", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
     pairs = (
         x.join(y, "gram")
-        .filter((F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")))
+        .filter((F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("major")) | (F.col("rep_x") < F.col("rep_y"))))
         .filter(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
         .filter(F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed)
         .filter(common >= needed)
-        .select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+        .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
         .distinct()
+        .join(tried, ["a", "b"], "left_anti")
     )
     late = save(verified(pairs, reps_refs, where + "/blocks", width, percent), where + "/late")
     links = early.unionByName(late)
     final = save(connected_components(links, where + "/second"), where + "/final")
-    for name in ("signs", "reps", "early", "before", "known", "met", "late", "blocks"):
+    for name in ("signs", "classes", "leaders", "tried", "reps", "early", "before", "known", "met", "late", "blocks"):
         remove(spark, f"{where}/{name}")
     out = members.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select(
