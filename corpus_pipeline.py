@@ -2,6 +2,10 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns the documents it keeps,
 with the columns of its input, and the last the pieces of the packed sequences.
+
+For all stages: an empty table gives an empty table; texts are taken whole, however long; extra columns, whatever their names, stay with their
+row; a null text is empty (the quality rules reject it); a row without an id is a document like others, but its text is never cut by the suffix stage.
+Repeated rows: quality rules judge each, the near-copy stage keeps one, the suffix stage cuts all alike, mixing takes each, packing packs each.
 """
 
 from __future__ import annotations
@@ -26,6 +30,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.filter(verdict(F.col("text"))["kept"])
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """n_chars counted anew, where the documents have it."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def with_row(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows, written once with a number each in ``_row``: ids repeat, so they don't tell rows apart."""
     return save(docs.withColumn("_row", F.monotonically_increasing_id()), shared_dir(spark, "rows"))
@@ -50,7 +61,7 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     # without the hint Spark takes the texts for as small as the references that they are read by, and broadcasts them
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_cut_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_cut_of"))
     joined = docs.join(cut.hint("merge"), same, "left").withColumn("text", F.coalesce("_cut_text", "text", F.lit("")))
-    return joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return counted(joined).select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +72,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     times = rows.join(takes, "_row").withColumn("_mix_time", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     text = F.when(F.col("_mix_time") <= whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest), " "))
-    return times.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return counted(times.withColumn("text", text)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,7 +201,7 @@ def verified(pairs: DataFrame, refs: DataFrame, blocks: str, width: int, percent
     with_refs = pairs.join(ref("a"), "a").join(ref("b"), "b")
     order = ["block_b", "offset_b", "block_a", "offset_a"]
     n = partitions(pairs.sparkSession)
-    dealt = with_refs.repartition(n, "block_b", F.pmod("a", F.lit(8))).sortWithinPartitions(*order)
+    dealt = with_refs.repartition(n, "block_b", F.pmod(F.xxhash64("a"), F.lit(64))).sortWithinPartitions(*order)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def work(batches):

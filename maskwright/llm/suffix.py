@@ -220,6 +220,7 @@ def whole_characters(data: np.ndarray, edges: np.ndarray) -> str:
 
 ASK = "bucket long, block long, payload binary"
 ASK_SCHEMA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
+OUT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, spans array<long>, text_sha256 string"
 OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), ("spans", pa.list_(pa.int64())), ("text_sha256", pa.string())])
 
 
@@ -239,12 +240,13 @@ def suffix_dedup(
 
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller id, judged on the input.
     ``spans`` has the starts and ends of the removed runs by turns. Texts are UTF-8, null is empty; texts shorter than ``length`` keep all.
-    Rows that share an id count as one document's: none removes from another. Null ids are refused; an empty table gives no rows. Removal may
+    Rows that share an id count as one document's: none removes from another. A row without an id is in no order: it keeps all and removes from none. A text
+    is judged whole, however long; an empty table gives no rows; other columns, whatever their names, are not read. Removal may
     cut a character, so ``kept`` is binary; ``kept_text`` has the whole characters of it.
     """
     spark = docs.sparkSession
     where = where or shared_dir(spark, "suffix")
-    index = write_blocks(docs, where + "/blocks", id_col, text)
+    index = write_blocks(docs.filter(F.col(id_col).isNotNull()), where + "/blocks", id_col, text)
     total = index.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(partitions(spark), -(-total // bucket_bytes))
     n_tasks = partitions(spark)
@@ -372,5 +374,12 @@ def suffix_dedup(
             if out:
                 yield rows_to_batch(OUT_SCHEMA, list(zip(*out)))
 
-    done = last.repartition(n_tasks, "block").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string, spans array<long>, text_sha256 string")
+    done = last.repartition(n_tasks, "block").mapInArrow(finish, OUT_SQL)
+    raw = F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8")
+    hashed, none = F.sha2(raw, 256), F.lit(0).cast("long")
+    whole = docs.filter(F.col(id_col).isNull()).select(
+        F.lit(None).cast("long").alias("doc_id"), F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), hashed.alias("kept_sha256"),
+        raw.alias("kept"), F.decode(raw, "UTF-8").alias("kept_text"), F.array().cast("array<long>").alias("spans"), hashed.alias("text_sha256"),
+    )
+    done = done.unionByName(whole)
     return done if with_text else done.drop("kept", "kept_text", "spans", "text_sha256")

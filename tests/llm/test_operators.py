@@ -371,3 +371,16 @@ def test_network_against_plain():
             want += c[y // size] - np.log(np.exp(c).sum()) + o[y % size] - np.log(np.exp(o).sum())
             x = y
         assert abs(want - found) < 1e-3
+
+
+def test_null_ids(spark):
+    """Rows without an id are kept by the operators on sets and suffixes, and change nothing for the others."""
+    same = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(1, same), (2, same), (None, same), (None, None)], "doc_id long, text string").selectExpr("*", "7 n", "'k' class_key")
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard_components(docs).collect())
+    assert got == [("1", 11, 1), ("2", 11, 1), ("None", 0, None), ("None", 11, None)]
+    size = len(same)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in suffix_dedup(docs).collect())
+    assert got == [("1", size, 0), ("2", size, size), ("None", 0, 0), ("None", size, 0)]
+    packed = pack_documents(docs, tokenizer_path()).collect()
+    assert sum(r.doc_id is None for r in packed) >= 2 and sum(r.length for r in packed) == sum({(str(r.doc_id), r.doc_tokens): r.doc_tokens for r in packed}.values())
