@@ -45,13 +45,14 @@ def blocks(df: DataFrame) -> DataFrame:
 
 
 def mentions(df: DataFrame) -> DataFrame:
-    """(doc_id, seq, entity, category) of e-mail addresses and dictionary words in text order."""
+    """(doc_id, seq, entity, category, confidence) of e-mail addresses and dictionary words in text order; words have a made-up confidence in eighths."""
     mail = F.transform(X.positions(F.col("text"), F.lit(X.EMAIL)), lambda h: F.struct(h["start"].alias("seq"), h["entity"].alias("entity"), F.lit("mails").alias("category")))
     word = F.transform(
         X.positions(F.col("text"), F.lit(r"(?i)(?<![\p{L}\p{N}_])(?:the|los|und|ist)(?![\p{L}\p{N}_])")),
         lambda h: F.struct(h["start"].alias("seq"), h["entity"].alias("entity"), F.when(F.lower(h["entity"]).isin("the", "los"), "personnes").otherwise("lieux").alias("category")),
     )
-    return df.select("doc_id", F.explode(F.concat(mail, word)).alias("m")).select("doc_id", "m.*")
+    rows = df.select("doc_id", F.explode(F.concat(mail, word)).alias("m")).select("doc_id", "m.*")
+    return rows.withColumn("confidence", F.when(F.col("category") == "mails", 1.0).otherwise((F.length("entity") + 2) / F.lit(8.0)))
 
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,7 +97,13 @@ def q_email_distinct(spark, d):
     return found.select("doc_id", F.col("e.entity").alias("email"), (F.col("pos") + 1).cast("long").alias("ord"))
 
 
-@register()
+@register(rf"""
+WITH g AS (SELECT doc_id, regexp_extract_all(text, '{_MAIL}|[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]') AS a FROM documents),
+k AS (SELECT doc_id, unnest(a) AS tok, unnest(range(len(a))) AS i FROM g),
+f AS (SELECT doc_id, lower(tok) AS low, min(i) AS i FROM k WHERE regexp_full_match(tok, '{_MAIL}') GROUP BY 1, 2),
+p AS (SELECT doc_id, low, '[MAIL_' || row_number() OVER (PARTITION BY doc_id ORDER BY i)::VARCHAR || ']' AS mark FROM f),
+r AS (SELECT k.doc_id, string_agg(coalesce(mark, tok), '' ORDER BY k.i) AS masked FROM k LEFT JOIN p ON p.doc_id = k.doc_id AND p.low = lower(k.tok) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text = '' THEN '' ELSE masked END AS masked FROM documents d LEFT JOIN r USING (doc_id)""")
 def q_email_mask(spark, d):
     """Addresses numbered by document and replaced, each document with its own pairs."""
     return docs(spark, d).select("doc_id", A.mask_emails("text").alias("masked"))
@@ -176,12 +183,13 @@ def q_keep_title(spark, d):
     return named(docs(spark, d)).select("doc_id", X.keep_title(F.col("filename")).alias("title"))
 
 
-@register(f"SELECT doc_id, replace(replace(source || '_the_' || doc_id::VARCHAR, 'the', 'the'), 'x', 'x') || '.docx' AS restored FROM documents")
+@register(f"SELECT doc_id, translate(filename, '[]–—', '()--') AS restored, 1 AS marks FROM {_NAMED}")
 def q_filename_restore(spark, d):
+    """A masked and made-safe name, back again; ``marks`` counts the placeholders that it had between."""
     entry = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("placeholder")) for a, b in PAIRS])
-    mark = dict(PAIRS)["the"].translate({91: "(", 93: ")"})
-    name = F.concat(F.lit("anonymise_"), "source", F.lit(f"_{mark}_"), F.col("doc_id").cast("string"), F.lit(".docx"))
-    return docs(spark, d).select("doc_id", A.restore_name(name, entry).alias("restored"))
+    masked = named(docs(spark, d)).select("doc_id", F.col("filename"), mask_fixed(X.rename_stem(F.col("filename")), PAIRS).alias("m"))
+    name = X.safe_name(F.concat(F.lit("anonymise_"), "m", X.extension(F.col("filename"))))
+    return masked.select("doc_id", A.restore_name(name, entry).alias("restored"), F.regexp_count("m", F.lit(r"\[PERSONNE_\d+\]")).alias("marks"))
 
 
 @register("""
@@ -205,7 +213,7 @@ def q_placeholder_number(spark, d):
     return E.number_entities(mentions(docs(spark, d))).select("doc_id", "original", "placeholder")
 
 
-@register(f"WITH {_MENTIONS} SELECT doc_id, tok AS original, placeholder, rtrim(category, 's') AS type, 'ai' AS source, NULL::INT AS confidence FROM p")
+@register(f"WITH {_MENTIONS} SELECT doc_id, tok AS original, placeholder, rtrim(category, 's') AS type, 'ai' AS source, CASE WHEN category = 'mails' THEN 100 ELSE trunc((length(tok) + 2) / 8.0::DOUBLE * 100)::INT END AS confidence FROM p")
 def q_mapping_rows(spark, d):
     return E.number_entities(mentions(docs(spark, d))).drop("seq")
 
@@ -222,11 +230,13 @@ def q_restore_first_original(spark, d):
     return E.restore_pairs(rows).select("doc_id", F.array_join(F.transform("pairs", lambda p: F.concat(p["original"], F.lit(">"), p["placeholder"])), ",").alias("pairs"))
 
 
-@register("SELECT doc_id, md5(lower(text)) AS text_md5 FROM documents")
+@register(f"SELECT doc_id, md5(lower(text)) AS text_md5, 0::BIGINT AS words_left, len(list_filter({_WORDS}, lambda w: w IN ({', '.join(repr(t) for ts in TERMS.values() for t in ts)}))) > 0 AS masked FROM documents")
 def q_restore_roundtrip(spark, d):
-    """Texts masked and restored equal the originals but for case."""
-    masked = A.anonymize_texts(named(docs(spark, d)), TERMS)
-    return A.restore_texts(masked).select("doc_id", F.md5(F.lower("restored")).alias("text_md5"))
+    """Texts masked and restored equal the originals but for case; no dictionary word is left between, and a text with one was changed."""
+    back = A.restore_texts(A.anonymize_texts(named(docs(spark, d)), TERMS))
+    words = r"(?iu)(?<![\p{L}\p{N}_])(?:" + "|".join(t for ts in TERMS.values() for t in ts) + r")(?![\p{L}\p{N}_])"
+    left = F.regexp_count("masked", F.lit(words)).cast("long")
+    return back.select("doc_id", F.md5(F.lower("restored")).alias("text_md5"), left.alias("words_left"), (F.col("text").rlike(words) & (F.col("masked") != F.col("text"))).alias("masked"))
 
 
 @register()
@@ -380,11 +390,19 @@ def q_upload_filter(spark, d):
     return B.accept_uploads(read(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), name.alias("name"), (F.col("event_id") % 4).alias("size")))
 
 
-@register("""
-WITH w AS (SELECT p_type, lower(p_brand) AS k, p_brand AS t, min(p_partkey) AS seq FROM part GROUP BY ALL)
-SELECT 'personnes' AS category, p_type, t AS term FROM w""")
+@register(r"""
+WITH w AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'personnes' ELSE 'entreprises' END AS category, p_type, p_partkey AS seq,
+    unnest([p_brand, substr(p_name, 1, 4), upper(substr(p_name, 1, 3)), 'A. ' || upper(substr(p_name, 1, 1)), p_name, 'ab']) AS t, unnest(range(6)) AS i FROM part),
+k AS (SELECT category, p_type, seq * 10 + i AS seq, trim(t) AS term FROM w),
+f AS (SELECT * FROM k WHERE length(term) >= 3 AND NOT regexp_full_match(regexp_replace(term, '[. ]', '', 'g'), '[A-ZÀ-Ü]{1,2}') AND NOT regexp_full_match(term, '[A-ZÀ-Ü]{1,3}')
+  AND NOT (category = 'personnes' AND NOT contains(term, ' ') AND NOT contains(term, '.') AND length(term) < 5)),
+r AS (SELECT *, row_number() OVER (PARTITION BY category, p_type, lower(term) ORDER BY seq) AS n FROM f)
+SELECT category, p_type, term FROM r WHERE n = 1""")
 def q_sanitize_terms(spark, d):
-    rows = read(spark, d, "part").select(F.lit("personnes").alias("category"), "p_type", F.col("p_partkey").alias("seq"), F.concat(F.lit(" "), "p_brand").alias("term"))
+    name = F.col("p_name")
+    listed = F.array(F.concat(F.lit(" "), "p_brand"), F.left(name, F.lit(4)), F.upper(F.left(name, F.lit(3))), F.concat(F.lit("A. "), F.upper(F.left(name, F.lit(1)))), name, F.lit("ab "))
+    category = F.when(F.col("p_partkey") % 2 == 0, "personnes").otherwise("entreprises")
+    rows = read(spark, d, "part").select(category.alias("category"), "p_type", "p_partkey", F.posexplode(listed).alias("i", "term")).withColumn("seq", F.col("p_partkey") * 10 + F.col("i"))
     return E.sanitize_terms(rows, ("category", "p_type")).select("category", "p_type", "term")
 
 
@@ -395,22 +413,43 @@ def q_person_variants(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.explode(E.person_variants(F.concat(F.lit("Ann "), "c_name"))).alias("variant"))
 
 
-@register(f"""
+_PREVIEW = rf"""
 WITH t(category, term) AS (VALUES {", ".join(f"('{c}', '{t}')" for c, ts in TERMS.items() for t in ts)}),
-w AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents)
-SELECT doc_id, count(*)::BIGINT AS confirmed, 0::BIGINT AS uncertain FROM w JOIN t ON w.word = t.term GROUP BY 1""")
+l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a)))::INT AS block_seq FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+b AS (SELECT doc_id, block_seq, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS text FROM l),
+tok AS (SELECT doc_id, block_seq, unnest(a) AS tok, unnest(range(len(a))) AS i FROM (SELECT doc_id, block_seq, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]') AS a FROM b)),
+pos AS (SELECT *, coalesce(sum(length(tok)) OVER (PARTITION BY doc_id, block_seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS s FROM tok),
+det AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\p{{L}}{{13,}}')) AS entity FROM documents),
+mail AS (SELECT doc_id, arg_min(entity, i) AS entity FROM (SELECT doc_id, unnest(m) AS entity, unnest(range(len(m))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_MAIL}') AS m FROM documents)) GROUP BY doc_id, lower(entity)),
+h AS (
+  SELECT doc_id, block_seq, s, s + length(tok) AS e, tok AS entity, term AS source_entity, category, 100 AS score, 0 AS src FROM pos JOIN t ON lower(tok) = term
+  UNION ALL SELECT b.doc_id, block_seq, strpos(text, entity) - 1, strpos(text, entity) - 1 + length(entity), entity, '', 'entreprises', 87, 1 FROM b JOIN det USING (doc_id) WHERE contains(text, entity)
+  UNION ALL SELECT b.doc_id, block_seq, strpos(text, entity) - 1, strpos(text, entity) - 1 + length(entity), entity, '', 'mails', 100, 2 FROM b JOIN mail USING (doc_id) WHERE contains(text, entity)),
+kept AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.doc_id = h.doc_id AND g.block_seq = h.block_seq AND g.s < h.e AND g.e > h.s
+  AND (g.e - g.s > h.e - h.s OR g.e - g.s = h.e - h.s AND (g.score > h.score OR g.score = h.score AND (g.src < h.src OR g.src = h.src AND g.s < h.s))))),
+firsts AS (SELECT doc_id, lower(entity) AS low, arg_min(category, block_seq * 1000000::BIGINT + s) AS cat, min(block_seq * 1000000::BIGINT + s) AS first_at FROM kept GROUP BY 1, 2),
+marks AS (SELECT *, CASE cat WHEN 'mails' THEN 'MAIL' WHEN 'personnes' THEN 'PERSONNE' WHEN 'lieux' THEN 'LIEU' WHEN 'entreprises' THEN 'ENTREPRISE' ELSE 'SENSIBLE' END AS lab FROM firsts),
+named AS (SELECT doc_id, low, '[' || lab || '_' || row_number() OVER (PARTITION BY doc_id, lab ORDER BY first_at)::VARCHAR || ']' AS placeholder FROM marks),
+preview AS (SELECT k.doc_id, block_seq, s::INT AS "start", e::INT AS "end", entity, source_entity, category, score, placeholder FROM kept k JOIN named n ON n.doc_id = k.doc_id AND n.low = lower(k.entity))"""
+
+
+@register(_PREVIEW + "SELECT doc_id, count(*)::BIGINT AS confirmed, 0::BIGINT AS uncertain FROM preview GROUP BY 1")
 def q_preview_summary(spark, d):
     return A.preview_summary(_preview(spark, d))
 
 
 def _preview(spark, d):
-    none = spark.createDataFrame([], "doc_id long, entity string, category string, confidence double")
-    return A.preview(blocks(docs(spark, d)), terms_df(spark), none, none)
+    """Dictionary words, long words as a detector's finds, and addresses."""
+    body = docs(spark, d)
+    found = lambda names, category, score: body.select("doc_id", F.explode(names).alias("entity"), F.lit(category).alias("category"), F.lit(score).alias("confidence"))
+    long_words = found(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{13,}"), F.lit(0))), "entreprises", 0.875)
+    mails = found(F.transform(X.emails(F.col("text")), lambda x: x["entity"]), "mails", 1.0)
+    return A.preview(blocks(body), terms_df(spark), long_words, mails)
 
 
-@register()
+@register(_PREVIEW + """SELECT doc_id, block_seq, 'Paragraphe ' || (block_seq + 1)::VARCHAR AS section, "start", "end", entity, source_entity, category, score, placeholder, 'confirmed' AS status FROM preview""")
 def q_preview(spark, d):
-    return _preview(spark, d).select("doc_id", "block_seq", "section", F.to_json("highlights").alias("highlights"))
+    return _preview(spark, d).select("doc_id", "block_seq", "section", F.explode("highlights").alias("h")).select("doc_id", "block_seq", "section", "h.*")
 
 
 @register()
@@ -463,6 +502,97 @@ def q_alt_mapping(spark, d):
     return E.alt_mapping(alts).select(F.col("doc_id").alias("source"), "placeholder", F.md5("original").alias("text_md5"))
 
 
+def clients(spark, d):
+    """A client for each market segment, as its file would say it."""
+    c = read(spark, d, "customer").groupBy("c_mktsegment").agg(F.array_sort(F.collect_set(F.col("c_nationkey").cast("string"))).alias("terms"))
+    empty = lambda t: F.lit(None).cast(t)
+    return c.select(
+        X.slug(F.col("c_mktsegment")).alias("id"), F.lit("").alias("name"), F.col("c_mktsegment").alias("client"), F.lit("2024").alias("created_at"), "terms",
+        empty("map<string,array<string>>").alias("entities"), empty("array<string>").alias("logo_hashes"),
+    )
+
+
+@register("""SELECT lower(c_mktsegment) AS id, c_mktsegment AS name, count(DISTINCT c_nationkey)::INT AS term_count FROM customer WHERE lower(c_mktsegment) = 'building' GROUP BY c_mktsegment""")
+def q_client_get(spark, d):
+    return S.by_id(S.normal_projects(clients(spark, d)), "building").select("id", "name", "term_count")
+
+
+@register("""SELECT lower(c_mktsegment) AS project_id, 'autres' AS category, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY t) - 1)::INT AS term_ord, t AS term
+FROM (SELECT DISTINCT c_mktsegment, c_nationkey::VARCHAR AS t FROM customer)""")
+def q_project_terms(spark, d):
+    return S.project_terms(clients(spark, d)).drop("cat_ord")
+
+
+@register("""SELECT lower(c_mktsegment) AS id, c_mktsegment AS name FROM customer WHERE lower(c_mktsegment) <> 'building' GROUP BY c_mktsegment""")
+def q_client_delete(spark, d):
+    return S.delete_client(S.normal_projects(clients(spark, d)), "building").select("id", "name")
+
+
+@register("SELECT event_id, user_id, event_type FROM events WHERE event_id = 7")
+def q_result_lookup(spark, d):
+    return S.by_id(read(spark, d, "events"), 7, "event_id").select("event_id", "user_id", "event_type")
+
+
+@register("""SELECT event_id AS doc_id, md5(event_id::VARCHAR || '|' || event_type || '.DOCX|' || strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS session_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created_at,
+  event_type || '.DOCX' AS source_file, 'docx' AS file_type, user_id AS project_id FROM events""")
+def q_mapping_header(spark, d):
+    rows = read(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.concat("event_type", F.lit(".DOCX")).alias("source_file"), F.col("user_id").alias("project_id"), F.col("ts").alias("finished_at"))
+    return S.mapping_header(rows)
+
+
+@register(f"WITH {_MENTIONS} SELECT doc_id, tok AS original, placeholder, 'ai' AS source FROM p")
+def q_replacement_view(spark, d):
+    return S.replacement_view(E.number_entities(mentions(docs(spark, d))))
+
+
+@register(f"""
+WITH t(category, term) AS (VALUES {", ".join(f"('{c}', '{t}')" for c, ts in TERMS.items() for t in ts)}),
+w AS (SELECT DISTINCT doc_id, upper(w) AS entity FROM (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) WHERE regexp_full_match(w, '[a-z]{{3}}'))
+SELECT doc_id, entity, coalesce(category, 'autres') AS category FROM w LEFT JOIN t ON lower(entity) = term""")
+def q_known_category(spark, d):
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.upper(F.lower(w))))
+    found = docs(spark, d).select("doc_id", F.explode(F.filter(words, lambda w: w.rlike("^[A-Z]{3}$"))).alias("entity"))
+    return M.with_known_category(found, terms_df(spark).withColumn("seq", F.monotonically_increasing_id()))
+
+
+@register("""
+WITH f AS (SELECT user_id AS job_id, CASE WHEN user_id % 4 = 0 THEN 'a.pdf' WHEN event_id % 2 = 0 THEN 'a.PPTX' ELSE 'a.docx' END AS name FROM events)
+SELECT job_id, count(*)::BIGINT AS n_files, CASE WHEN count(*) > 5 THEN 'more than 5 files' ELSE 'no file to anonymise' END AS error FROM f GROUP BY 1
+HAVING count(*) > 5 OR count(*) FILTER (regexp_matches(lower(name), '\\.(docx|pptx)$')) = 0""")
+def q_upload_errors(spark, d):
+    name = F.when(F.col("user_id") % 4 == 0, "a.pdf").when(F.col("event_id") % 2 == 0, "a.PPTX").otherwise("a.docx")
+    return B.upload_errors(read(spark, d, "events").select(F.col("user_id").alias("job_id"), name.alias("name")), 5)
+
+
+@register(f"""
+WITH n AS (SELECT doc_id, {_mask_sql("regexp_replace(filename, '[.][^.]*$', '')")} || '.docx' AS masked_name FROM {_NAMED}), o AS (SELECT doc_id, 'anonymise_' || translate(masked_name, '[]–—', '()--') AS document_name FROM n)
+SELECT doc_id, document_name, 'mapping_' || regexp_replace(document_name, '[.][^.]*$', '') || '.json' AS mapping_name FROM o""")
+def q_output_names(spark, d):
+    name = F.col("filename")
+    masked = named(docs(spark, d)).withColumn("masked_name", F.concat(mask_fixed(X.rename_stem(name), PAIRS), X.extension(name)))
+    return A.output_names(masked).select("doc_id", "document_name", "mapping_name")
+
+
+@register("""
+SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars::VARCHAR || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', floor(n_chars / 102.4::DOUBLE + 0.5) / 10) ELSE printf('%.1f MB', floor(n_chars / 104857.6::DOUBLE + 0.5) / 10) END AS shown,
+  CASE WHEN length(n) <= 40 THEN n ELSE left(n, 19) || '...' || right(n, 18) END AS cut, lower(source) IN ('true', '1', 'yes', 'on') AS flag,
+  CASE WHEN doc_id % 2 = 0 THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' END AS content_type
+FROM (SELECT *, source || '-' || lang || '-' || md5(doc_id::VARCHAR) AS n FROM documents)""")
+def q_shown_names(spark, d):
+    """Sizes, cut names, form flags and content types as a page shows them."""
+    n = F.concat_ws("-", "source", "lang", F.md5(F.col("doc_id").cast("string")))
+    kind = X.content_type(F.when(F.col("doc_id") % 2 == 0, "docx"))
+    return docs(spark, d).select("doc_id", X.byte_size(F.col("n_chars")).alias("shown"), X.middle_cut(n).alias("cut"), X.flag(F.col("source")).alias("flag"), kind.alias("content_type"))
+
+
+@register("""SELECT doc_id, false AS manual_bad, lang AS term, 2::INT AS n_extra FROM documents""")
+def q_inline_terms(spark, d):
+    manual = F.to_json(F.create_map(F.lit("autres"), F.array("lang")))
+    extra = F.to_json(F.array(F.concat(F.lit(" "), "lang"), F.lit("  "), F.lit("x")))
+    t = docs(spark, d).select("doc_id", S.inline_terms(manual, extra).alias("t"))
+    return t.select("doc_id", "t.manual_bad", F.col("t.manual")["autres"][0].alias("term"), F.size("t.extra").alias("n_extra"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return Q["anonymize_documents"](spark, d)
 

@@ -91,9 +91,14 @@ def package_parts(files: DataFrame) -> DataFrame:
 
 
 def read_projects(spark: SparkSession, path: str) -> DataFrame:
-    """Projects and clients of both layouts, one JSON document a file: id, name, terms, logo_hashes, term_count."""
-    raw = spark.read.schema(PROJECT_SCHEMA).option("multiLine", "true").json(path)
-    return normal_projects(raw)
+    """Projects and clients of both layouts, one JSON document a file, by file name: id, name, terms, logo_hashes, term_count."""
+    raw = spark.read.schema(PROJECT_SCHEMA).option("multiLine", "true").json(path).select("*", "_metadata.file_name")
+    return normal_projects(raw.orderBy("file_name"))
+
+
+def by_id(rows: DataFrame, value, column: str = "id") -> DataFrame:
+    """The client, project or result of an id; no row where there is none, which a service answers as not found."""
+    return rows.filter(F.col(column) == F.lit(value))
 
 
 def normal_projects(raw: DataFrame) -> DataFrame:
@@ -142,7 +147,19 @@ def restore_history(restores: DataFrame) -> DataFrame:
 
 
 def delete_client(clients: DataFrame, client_id: str) -> DataFrame:
-    return clients.filter(F.col("id") != client_id)
+    return clients.filter(~F.col("id").eqNullSafe(F.lit(client_id)))
+
+
+def mapping_header(outputs: DataFrame) -> DataFrame:
+    """Header of each mapping document from (doc_id, source_file, project_id, finished_at): a stable session id, the time in ISO form and the file type."""
+    seconds = F.date_format("finished_at", "yyyy-MM-dd'T'HH:mm:ss")
+    session = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "source_file", seconds))
+    return outputs.select("doc_id", session.alias("session_id"), seconds.alias("created_at"), "source_file", file_type(F.col("source_file")).alias("file_type"), "project_id")
+
+
+def replacement_view(mapping: DataFrame) -> DataFrame:
+    """What a reader is shown of mapping rows: original, placeholder and source, entries without a placeholder left out."""
+    return mapping.filter("placeholder is not null and placeholder <> ''").select("doc_id", "original", "placeholder", "source")
 
 
 def mapping_json(mapping: DataFrame, header: DataFrame) -> DataFrame:

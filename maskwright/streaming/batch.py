@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import percent_done
@@ -22,6 +22,19 @@ def accept_uploads(files: DataFrame, most: int = MOST_FILES) -> DataFrame:
     return first.withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy("seq"))).filter(F.col("n") <= most).select("job_id", "seq", "name", "size")
 
 
+def upload_errors(files: DataFrame, most: int = MOST_FILES) -> DataFrame:
+    """(job_id, n_files, error) of the jobs that a batch must refuse: with more than ``most`` files, or with no Office file."""
+    office = F.count_if(F.lower("name").rlike(r"\.(docx|pptx)$"))
+    counts = files.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_files"), office.alias("_office"))
+    error = F.when(F.col("n_files") > most, F.lit(f"more than {most} files")).when(F.col("_office") == 0, F.lit("no file to anonymise"))
+    return counts.select("job_id", "n_files", error.alias("error")).filter("error is not null")
+
+
+def archive_name(job_id: Column, done: Column) -> Column:
+    """Name of a job's archive once all its files are done; null before."""
+    return F.when(done, F.concat(F.lit("anonymise_"), F.substring(job_id.cast("string"), 1, 8), F.lit(".zip")))
+
+
 def job_progress(results: DataFrame) -> DataFrame:
     """(job_id, total, done, errors, skipped, success, percent) of rows (job_id, status); status is done, error, skipped or waiting."""
     counts = results.groupBy("job_id").agg(
