@@ -8,8 +8,9 @@
    suffixes with a common prefix of ``length`` bytes as equal strings.
 4. The answer, a bit for each string sent, goes back to the block, which marks its documents.
 
-Whatever many documents share is one row for each block before any shuffle, so a passage or copy that a third
-of all rows hold costs a bucket no more than its number of blocks.
+Whatever many documents share is one row for each block before any shuffle. A minimizer met very often may still have
+many stretches, all unlike, around one phrase; its strings are dealt by the bytes that ``WINDOW`` neighbours
+have in common, all but three of each, instead of by the minimizer, and so spread over the buckets like others.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ LENGTH = 50
 GRAM = 20
 #: Text bytes for each bucket, which sets their number.
 BUCKET_BYTES = 8 << 20
+#: A minimizer of more runs has its stretches split into pieces of ``WINDOW`` strings, dealt by the bytes that all strings of a piece hold.
+HOT_RUNS = 20_000
+WINDOW = 4
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -81,12 +85,12 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def minimizer_runs(data: np.ndarray, ends: np.ndarray, length: int, k: int):
-    """Runs of string starts with one minimizer: (hash, first start, last start, document).
+    """Runs of string starts with one minimizer: (hash, first start, last start, document, place of the minimizer).
 
     ``data`` is texts end to end; strings don't cross texts. Of equal least k-grams the first counts.
     Long data is taken in pieces that stay in cache; a run may then be two, which changes no string's minimizer.
     """
-    out = ([], [], [], [])
+    out = ([], [], [], [], [])
     w = length - k + 1
     begins = np.concatenate([[0], ends[:-1]])
     at = 0
@@ -109,6 +113,7 @@ def minimizer_runs(data: np.ndarray, ends: np.ndarray, length: int, k: int):
             out[1].append(f + at)
             out[2].append(last_ok + at)
             out[3].append(doc[f])
+            out[4].append(m[f] + at)
         at += len(m)
     del begins
     return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64 if i == 0 else np.int64) for i, x in enumerate(out))
@@ -127,26 +132,45 @@ def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _distinct(hashes: np.ndarray, ids: np.ndarray, buckets: int):
-    """Distinct hashes in (bucket, hash) order with bounds by bucket, and those that two ids of the block hold."""
+    """Distinct hashes in (bucket, hash) order, whether two ids of the block hold each, bounds by bucket and runs of each."""
     by = np.lexsort((ids, hashes, _bucket_of(hashes, buckets)))
     h, d = hashes[by], ids[by]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     low, high = d[first], d[np.append(first[1:], len(h)) - 1] if len(h) else d
     unique = h[first]
     bounds = np.searchsorted(_bucket_of(unique, buckets), np.arange(buckets + 1))
-    return unique, low != high, bounds
+    return unique, low != high, bounds, np.diff(np.append(first, len(h)))
 
 
-def _stretch_table(data, runs, shared: np.ndarray, unique: np.ndarray, ids: np.ndarray, buckets: int, length: int):
+def split_runs(data, runs, length: int, window: int = WINDOW):
+    """The runs in pieces of at most ``window`` strings, each keyed by the bytes that all strings of such a piece hold.
+
+    Where a string's minimizer lies is a matter of the string alone, so equal strings fall in pieces of one key.
+    """
+    h, a, b, doc, place = runs
+    low, high = (place - b) // window, (place - a) // window
+    times = high - low + 1
+    run = np.repeat(np.arange(len(h)), times)
+    piece = low[run] + np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times)
+    core = place[run] - piece * window
+    key = gram_hashes(data, length - window + 1)[core] + piece.astype(np.uint64) * _STEP
+    key = (key ^ (key >> _U(29))) * _U(0x94D049BB133111EB)
+    return key ^ (key >> _U(32)), np.maximum(a[run], core - window + 1), np.minimum(b[run], core), doc[run], place[run]
+
+
+def _stretch_table(data, runs, shared: np.ndarray, hot: np.ndarray, unique: np.ndarray, ids: np.ndarray, buckets: int, length: int):
     """Distinct stretches of the shared minimizers in a fixed order.
 
-    Returns (run numbers taken, stretch of each, stretch starts, sizes, hashes, least document ids, bounds by bucket).
+    Returns (starts and document ids of the runs taken, stretch of each, stretch starts, sizes, hashes, least document ids, bounds by bucket).
     """
-    h, a, b, doc = runs
     by = np.argsort(unique, kind="stable")
-    slot = by[np.searchsorted(unique[by], h)]
-    take = np.flatnonzero(shared[slot])
-    a, size, doc, h = a[take], b[take] - a[take] + length, ids[doc[take]], h[take]
+    slot = by[np.searchsorted(unique[by], runs[0])]
+    common = np.flatnonzero(shared[slot] & hot[slot])
+    taken = [x[shared[slot] & ~hot[slot]] for x in runs]
+    if len(common):
+        taken = [np.concatenate(x) for x in zip(taken, split_runs(data, [x[common] for x in runs], length))]
+    h, a, b, doc, _ = taken
+    size, doc = b - a + length, ids[doc]
     # a stretch is told by minimizer, size and two hashes of its strings: the first and the last of them
     full = gram_hashes(data, length) if len(data) >= length else np.zeros(0, np.uint64)
     head, last = full[a], full[a + size - length]
@@ -159,7 +183,7 @@ def _stretch_table(data, runs, shared: np.ndarray, unique: np.ndarray, ids: np.n
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
     bounds = np.searchsorted(_bucket_of(h[first], buckets), np.arange(buckets + 1))
-    return take, which, a[first], size[first], h[first], doc[first], bounds
+    return (a, doc), which, a[first], size[first], h[first], doc[first], bounds
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -224,17 +248,19 @@ OUT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("kept_text", pa.string()), ("spans", pa.list_(pa.int64())), ("text_sha256", pa.string())])
 
 
-def _bits(rows, buckets: int, bounds: np.ndarray) -> np.ndarray:
-    """One flag for each sent item, from the answers of the buckets."""
+def _bits(rows, bounds: np.ndarray, which: int = 0) -> np.ndarray:
+    """One flag for each sent item, from the answers of the buckets; an answer may have several such rows of flags."""
     out = np.zeros(int(bounds[-1]), bool)
     for r in rows or []:
         a, b = bounds[r["bucket"]], bounds[r["bucket"] + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(r["payload"], np.uint8), count=b - a).astype(bool)
+        flags = np.frombuffer(r["payload"], np.uint8, offset=which * -(-int(b - a) // 8))
+        out[a:b] = np.unpackbits(flags, count=b - a).astype(bool)
     return out
 
 
 def suffix_dedup(
-    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text", gram: int = GRAM, where: str | None = None, with_text: bool = False, bucket_bytes: int = BUCKET_BYTES
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text", gram: int = GRAM, where: str | None = None, with_text: bool = False, bucket_bytes: int = BUCKET_BYTES,
+    hot_runs: int = HOT_RUNS
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds kept (binary), kept_text, spans and the whole text's text_sha256.
 
@@ -266,15 +292,21 @@ def suffix_dedup(
 
     def ask(batches):
         for row in rows_of(batches):
-            unique, _, bounds = scan(row)[4]
+            unique, _, bounds, count = scan(row)[4]
+            count = np.minimum(count, (1 << 16) - 1).astype(np.uint16)
             some = np.flatnonzero(np.diff(bounds))
-            yield rows_to_batch(ASK_SCHEMA, [some.tolist(), [row["block"]] * len(some), [unique[bounds[b] : bounds[b + 1]].tobytes() for b in some]])
+            parts = [slice(bounds[b], bounds[b + 1]) for b in some]
+            yield rows_to_batch(ASK_SCHEMA, [some.tolist(), [row["block"]] * len(some), [unique[s].tobytes() + count[s].tobytes() for s in parts]])
 
     def met(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(p, np.uint64) for p in table.column("payload").to_pylist()]
+        asked = [(p, len(p) // 10) for p in table.column("payload").to_pylist()]
+        parts = [np.frombuffer(p, np.uint64, n) for p, n in asked]
+        runs = np.concatenate([np.frombuffer(p, np.uint16, n, 8 * n) for p, n in asked])
         _, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        flags = np.split(count[inverse] > 1, np.cumsum([len(p) for p in parts])[:-1])
-        return pa.table([table.column("bucket"), table.column("block"), pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())], schema=ASK_SCHEMA)
+        common = np.bincount(inverse, weights=runs) > hot_runs
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        flags = zip(np.split(count[inverse] > 1, cuts), np.split(common[inverse], cuts))
+        return pa.table([table.column("bucket"), table.column("block"), pa.array([b"".join(np.packbits(x).tobytes() for x in f) for f in flags], pa.binary())], schema=ASK_SCHEMA)
 
     spread = blocks.repartition(n_tasks, "block")
     first = save(spread.mapInArrow(ask, ASK).groupBy("bucket").applyInArrow(met, ASK), where + "/met")
@@ -283,16 +315,16 @@ def suffix_dedup(
     remove(spark, where + "/met")
 
     def stretches(row):
-        data, ends, ids, runs, (unique, multi, bounds) = scan(row)
-        shared = multi | _bits(row["met"], buckets, bounds)
-        return data, ends, ids, runs, _stretch_table(data, runs, shared, unique, ids, buckets, length)
+        data, ends, ids, runs, (unique, multi, bounds, _) = scan(row)
+        shared = multi | _bits(row["met"], bounds)
+        return data, ends, ids, _stretch_table(data, runs, shared, _bits(row["met"], bounds, 1), unique, ids, buckets, length)
 
     def send(batches):
         import zstandard
 
         press = zstandard.ZstdCompressor(level=1)
         for row in rows_of(batches):
-            data, _, _, _, (_, _, start, size, h, least, bounds) = stretches(row)
+            data, _, _, (_, _, start, size, h, least, bounds) = stretches(row)
             names, payloads = [], []
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 s = slice(bounds[b], bounds[b + 1])
@@ -348,15 +380,15 @@ def suffix_dedup(
 
     def finish(batches):
         for row in rows_of(batches):
-            data, ends, ids, runs, (take, which, _, size, _, least, bounds) = stretches(row)
+            data, ends, ids, ((run_start, run_doc), which, _, size, _, least, bounds) = stretches(row)
             n_strings = size - length + 1
             begin = np.concatenate([[0], np.cumsum(n_strings)])
-            earlier = _bits(row["judged"], buckets, begin[bounds])
+            earlier = _bits(row["judged"], begin[bounds])
             # strings of the runs taken: earlier elsewhere, or earlier in this block
             n = n_strings[which]
             at = np.repeat(begin[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            start = np.repeat(runs[1][take] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            own = np.repeat(ids[runs[3][take]] > least[which], n)
+            start = np.repeat(run_start - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            own = np.repeat(run_doc > least[which], n)
             hit = start[earlier[at] | own]
             steps = np.zeros(len(data) + 1, np.int32)
             np.add.at(steps, hit, 1)

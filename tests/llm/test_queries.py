@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from maskwright.llm import queries as Q
+from maskwright.llm.suffix import minimizer_runs, split_runs, suffix_dedup
 from maskwright.llm.tokens import tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -171,3 +172,37 @@ def test_op10_bytes(spark, sf, texts):
     want = plain_dedup(texts)
     assert got == want
     assert sum(x[1] for x in want.values()) > 1000
+
+
+@pytest.mark.parametrize("hot_runs", [2, 20_000])
+def test_op10_phrase_in_many_surroundings(spark, hot_runs):
+    """A phrase shorter than a string, or longer, in unlike surroundings, some of which two documents share."""
+    rng = np.random.default_rng(9)
+    other = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    short, long, longer = other(25), other(46), other(90)
+    texts, sides = {}, [other(9) for _ in range(6)]
+    for i in range(80):
+        a, b, c, d = (sides[k] for k in rng.integers(0, 6, 4))
+        texts[i] = other(30) + a + short + b + other(20) + c + long + d + other(int(rng.integers(0, 40))) + longer[int(rng.integers(0, 30)) :] + other(10)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(docs, hot_runs=hot_runs).collect()}
+    assert got == plain_dedup(texts)
+
+
+def test_op10_pieces_of_a_common_minimizer():
+    """Pieces partition a run's strings, equal strings share a key, and one phrase no longer holds all of them together."""
+    rng = np.random.default_rng(4)
+    phrase = rng.integers(97, 123, 30).astype(np.uint8)
+    texts = [np.concatenate([rng.integers(97, 123, 60), phrase, rng.integers(97, 123, 60)]).astype(np.uint8) for _ in range(300)]
+    data, ends = np.concatenate(texts), np.cumsum([len(t) for t in texts])
+    runs = minimizer_runs(data, ends, 50, 20)
+    key, a, b, doc, _ = split_runs(data, runs, 50)
+    strings = lambda first, last: sorted(x for lo, hi in zip(first, last) for x in range(lo, hi + 1))
+    assert strings(a, b) == strings(runs[1], runs[2])
+    key_of = {}
+    for k, lo, hi in zip(key.tolist(), a, b):
+        assert hi - lo < 4
+        for x in range(lo, hi + 1):
+            assert key_of.setdefault(data[x : x + 50].tobytes(), k) == k
+    assert np.unique(runs[0], return_counts=True)[1].max() > 50
+    assert np.unique(key, return_counts=True)[1].max() < 10
