@@ -21,6 +21,8 @@ CHUNK = 1 << 14
 PARTS = 16
 #: Independent minima by which likely links are tried first.
 MINIMA = 4
+#: Passes of the prefix join: with one member of an n-gram's commonest component each, and at last with all.
+TURNS = ("one", "two", "all")
 
 _U = np.uint64
 _M = _U(0x9E3779B97F4A7C15)
@@ -227,8 +229,9 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     digest; its least document stands for it. Representatives that share a minimum are first
     compared with the least of them, which settles most of a large near-copy group without its pairs. The
     exact join then takes every n-gram of the rare-first prefixes and pairs only representatives of
-    different components so far, through length, positional and suffix filters; each remaining pair is verified once. A link inside a component already found would
-    change nothing, so none that matters is lost.
+    different components so far, through length, positional and suffix filters: twice with one member of the n-gram's commonest
+    component, so that whoever belongs to a large group joins it by one link, and then, where components still differ, with all. Each pair is
+    verified once. A link inside a component already found would change nothing, so none that matters is lost.
 
     Null and empty texts have 0 shingles and link with nothing, not even each other; their class_id is their own id. Repeated rows give
     repeated rows. A row without an id takes no part: its ids are null. A set is that of the whole text, however long; an empty table gives no rows; other
@@ -258,34 +261,38 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     tried = tried.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
     tried = save(tried.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), where + "/tried")
     early = save(verified(tried, reps_refs, where + "/blocks", width, percent), where + "/early")
-    before = save(connected_components(early, where + "/first"), where + "/before")
-
-    known = reps.join(before.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    known = save(known.select("rep", "n", "prefix", "parts", "component"), where + "/known")
-    postings = known.select("rep", "component", F.posexplode("prefix").alias("pos", "gram"))
-    # an n-gram's commonest component is only met by the others, so a large group with one more document costs its size and not its square
-    by = postings.repartition(partitions(spark), "gram").groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"))
-    spread = by.groupBy("gram").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram", "major")
-    met = save(postings.select("gram", "rep", "pos").join(spread, "gram"), where + "/met")
-    rich = met.join(known.select("rep", "component", "n", "parts"), "rep")
     side = lambda df, s: df.select("gram", "major", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "pos", "n", "parts")])
-    x, y = side(rich.filter("component <> major"), "x"), side(rich, "y").drop("major")
     needed = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
     common = F.aggregate(F.zip_with("parts_x", "parts_y", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    pairs = (
-        x.join(y, "gram")
-        .filter((F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("major")) | (F.col("rep_x") < F.col("rep_y"))))
-        .filter(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        .filter(F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed)
-        .filter(common >= needed)
-        .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    late = save(verified(pairs, reps_refs, where + "/blocks", width, percent), where + "/late")
-    links = early.unionByName(late)
+    links, seen = early, tried
+    for turn in TURNS:
+        before = save(connected_components(links, f"{where}/first-{turn}"), f"{where}/before-{turn}")
+        known = reps.join(before.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        known = save(known.select("rep", "n", "prefix", "parts", "component"), f"{where}/known-{turn}")
+        postings = known.select("rep", "component", F.posexplode("prefix").alias("pos", "gram"))
+        # an n-gram's commonest component is only met by the others, so a large group with one more document costs its size and not its square
+        member = F.min_by("rep", F.xxhash64("rep", "gram", F.lit(turn))).alias("member")
+        by = postings.repartition(partitions(spark), "gram").groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"), member)
+        largest = F.max_by(F.struct(F.col("component").alias("major"), "member"), F.struct("c", "component")).alias("of")
+        spread = by.groupBy("gram").agg(largest, F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram", "of.major", "of.member")
+        met = save(postings.select("gram", "rep", "pos").join(spread, "gram"), f"{where}/met-{turn}")
+        rich = met.join(known.select("rep", "component", "n", "parts"), "rep")
+        x, y = side(rich.filter("component <> major"), "x"), side(rich if turn == "all" else rich.filter("rep = member"), "y").drop("major")
+        pairs = (
+            x.join(y, "gram")
+            .filter((F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("major")) | (F.col("rep_x") < F.col("rep_y"))))
+            .filter(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+            .filter(F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed)
+            .filter(common >= needed)
+            .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
+            .distinct()
+        )
+        pairs = save(pairs.join(seen, ["a", "b"], "left_anti"), f"{where}/pairs-{turn}")
+        links = links.unionByName(save(verified(pairs, reps_refs, where + "/blocks", width, percent), f"{where}/links-{turn}"))
+        seen = seen.unionByName(pairs)
     final = save(connected_components(links, where + "/second"), where + "/final")
-    for name in ("signs", "classes", "leaders", "tried", "reps", "early", "before", "known", "met", "late", "blocks"):
+    of_turns = [f"{name}-{turn}" for name in ("before", "known", "met", "pairs", "links") for turn in TURNS]
+    for name in ("signs", "classes", "leaders", "tried", "reps", "early", *of_turns, "blocks"):
         remove(spark, f"{where}/{name}")
     out = members.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select(
