@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 from .jaccard import jaccard_components
+from .lexical import ranked_search
 from .license_scan import known_licenses, license_scan
 from .lm import lm_scores
 from .mixing import mix_sources
+from .near_vectors import near_vectors
 from .packing import pack_documents
 from .quality import quality_rules
 from .records import read_records, write_records
+from .repair import damaged, repair_conversations
 from .sql import SQL
 from .suffix import suffix_dedup
 from .tokens import tokenizer_path
@@ -65,9 +68,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
 _ALL = (
     op1_license_scan, op2_topk_search, op3_curve_packing, op4_quality_rules, op5_warc_archive,
     op6_jaccard_join, op7_token_records, op8_source_mixing, op9_lm_scores, op10_suffix_dedup,
+    op11_near_vectors, op12_ranked_search, op13_repair_conversations,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -97,4 +97,77 @@ SELECT doc_id, size, source_size, target,
   (size * whole + least(size, greatest(0, round(target - whole * source_size)::BIGINT - before)))::BIGINT AS taken FROM c
 """
 
-SQL = {"op1_license_scan": OP1, "op2_topk_search": OP2, "op4_quality_rules": OP4, "op5_warc_archive": OP5, "op8_source_mixing": OP8}
+OP11 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT r, vec_id, label, e FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+c AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = b GROUP BY 1),
+n AS (SELECT a AS r, count(*) AS n FROM link GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
+_TERMS = r"list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
+OP12 = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS a FROM documents),
+g AS (SELECT count(*) FILTER (len(a) > 0)::BIGINT AS n, sum(len(a))::BIGINT AS l FROM t),
+p AS (SELECT r, doc_id, len(a)::BIGINT AS n, term, count(*) AS tf FROM (SELECT r, doc_id, a, unnest(a) AS term FROM t) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * g.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY term, g.n),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT row_number() OVER () AS i, item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT i, item_id, r, doc_id, sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * p.n * g.n) // g.l))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), g GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
+def _repair_steps() -> dict[int, list[str]]:
+    """For each grammar state, the ways into it over one row: up to two insertions from another, then an edit."""
+    then = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    before = {0: [(0, ""), (2, "I"), (3, "II")], 1: [(1, ""), (2, "I"), (3, "II")], 2: [(2, ""), (3, "I")], 3: [(3, ""), (2, "I")]}
+    out: dict[int, list[str]] = {g: [] for g in range(4)}
+    add = lambda g, cost, labels: f"(lpad((substr(w{g}, 1, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr(w{g}, 13) || '{labels}')"
+    for g, ways in before.items():
+        for m, ins in ways:
+            out[m].append(add(g, 3 * len(ins) + 4, ins + "D"))
+            for (a, initial), h in then.items():
+                if a == m:
+                    out[h].append(f"CASE WHEN NOT must_go AND ini = '{initial}' THEN {add(g, f'{3 * len(ins)} + 3 * cut', ins + 'K')} END")
+                    if initial != "s":
+                        out[h].append(f"CASE WHEN NOT must_go THEN {add(g, f'{3 * len(ins)} + 3 + 3 * cut', ins + 'R')} END")
+    return out
+
+
+_STEPS = ", ".join(f"least({', '.join(ways)})" for _, ways in sorted(_repair_steps().items()))
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"""
+OP13 = f"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS f FROM conversations),
+k AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE f WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE f <> 0),
+o AS (SELECT conv_id, turn, role, text, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, CASE WHEN role = '' THEN ' ' ELSE left(role, 1) END AS ini,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen FROM k),
+b AS (SELECT *, body = '' AS blank, body <> '' AND seen AS dup, body <> '' AND NOT seen AND right(body, 1) NOT IN ('.', '!', '?') AS trunc, body = '' OR seen AS must_go,
+  lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini NOT IN ('su', 'ua', 'au') AS bad FROM o),
+e AS (SELECT conv_id, i, ini, must_go, trunc::INT AS cut FROM b),
+c AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (trunc) AS truncated,
+  count(*) FILTER (bad) AS illegal FROM b GROUP BY 1),
+r AS (SELECT conv_id, 0::BIGINT AS row_at, repeat('0', 12) AS w0, NULL::VARCHAR AS w1, NULL::VARCHAR AS w2, NULL::VARCHAR AS w3 FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL SELECT r.conv_id, e.i, {_STEPS} FROM r JOIN e ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.i = r.row_at + 1),
+x AS (SELECT r.conv_id, least(w0, lpad((substr(w1, 1, 12)::BIGINT + 6)::VARCHAR, 12, '0') || substr(w1, 13) || 'II', lpad((substr(w2, 1, 12)::BIGINT + 3)::VARCHAR, 12, '0') || substr(w2, 13) || 'I', w3) AS w
+  FROM r LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM r.conv_id WHERE row_at = coalesce(c.n, 0)),
+l AS (SELECT conv_id, unnest(string_split(substr(w, 13), '')) AS edit, unnest(range(length(w) - 12)) AS p FROM x WHERE length(w) > 12),
+m AS (SELECT *, sum((edit <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY p) AS i, sum((edit <> 'D')::INT) OVER (PARTITION BY conv_id ORDER BY p) AS place,
+  sum((edit <> 'D')::INT) OVER (PARTITION BY conv_id) % 2 AS odd FROM l),
+y AS (SELECT m.conv_id, string_agg(CASE edit WHEN 'K' THEN b.role ELSE CASE WHEN (place - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE b.text END, chr(10) ORDER BY p) AS lines
+  FROM m LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM m.conv_id AND b.i = m.i WHERE edit <> 'D' GROUP BY 1)
+SELECT x.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  substr(w, 1, 12)::BIGINT AS cost, substr(w, 13) AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM x LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
+SQL = {
+    "op1_license_scan": OP1, "op2_topk_search": OP2, "op4_quality_rules": OP4, "op5_warc_archive": OP5, "op8_source_mixing": OP8,
+    "op11_near_vectors": OP11, "op12_ranked_search": OP12, "op13_repair_conversations": OP13,
+}

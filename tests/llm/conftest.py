@@ -43,10 +43,16 @@ def sf(spark, tmp_path_factory, texts):
     rng = random.Random(3)
     vectors = [(k, [rng.gauss(0, 0.2) for _ in range(16)]) for k in range(200)]
     vectors += [(200, vectors[0][1]), (201, vectors[0][1]), (202, None), (203, [None] * 16), (204, [float("nan")] * 16), (205, [float("inf")] * 16), (220, [0.5] * 16)]
+    vectors += [(221 + k, [x * (1 + 0.02 * k) + 0.002 * ((k + j) % 3) for j, x in enumerate(vectors[k % 4][1])]) for k in range(20)]
     spark.createDataFrame([(i, v, 0, i) for i, v in vectors], "vec_id long, embedding array<float>, label int, score long").repartition(3).write.parquet(f"{d}/embeddings.parquet")
     page = "<html>" + "copy " * 60
     pages = [(k, f"http://h/{k}", page if k % 3 == 0 else f"<p>{k}</p>" + "é" * k) for k in range(90)] + [(90, None, None), (91, "u", ""), (92, "u", "short"), (93, "u\r\nX-Page-ID: 7", "short"), (94, "u", page)]
     spark.createDataFrame([(*p, "d") for p in pages], "page_id long, url string, html string, digest string").repartition(3).write.parquet(f"{d}/pages.parquet")
-    for name, schema in (("documents", cols), ("embeddings", "vec_id long, embedding array<float>, label int"), ("pages", "page_id long, url string, html string")):
+    turns = [(c, t, rng.choice(("user", "assistant", "system", None, "tool")), rng.choice(("Yes.", "No", "", None, f"q{c}?")), "b") for c in [None, *range(60)] for t in [None, *range(c % 6 if c else 3)]]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, body string").repartition(3).write.parquet(f"{d}/conversations.parquet")
+    items = [(k, " ".join(rng.choice(WORDS) for _ in range(9)), "x") for k in range(12)] + [(12, None, "x"), (13, "", "x"), (14, "nowhere at all", "x"), (3, "kan lor", "x"), (None, "kan", "x")]
+    spark.createDataFrame(items, "item_id long, text string, score string").write.parquet(f"{d}/benchmark.parquet")
+    more = (("conversations", "conv_id long, turn long, role string, text string"), ("benchmark", "item_id long, text string"))
+    for name, schema in (*more, ("documents", cols), ("embeddings", "vec_id long, embedding array<float>, label int"), ("pages", "page_id long, url string, html string")):
         spark.createDataFrame([], schema).write.parquet(f"{d}/none/{name}.parquet")
     return d

@@ -32,7 +32,7 @@ def test_sql(spark, sf, name):
     import pandas as pd
 
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
     got = Q.QUERIES[name](spark, sf).toPandas()
     want = c.execute(Q.ORACLE_SQL[name]).df()
