@@ -1,16 +1,14 @@
-"""Whole-term, longest-first, non-overlapping replacement: exact in Python over Arrow batches, and native for fixed terms."""
+"""Whole-term, longest-first, non-overlapping replacement: with each row's own pairs and with fixed terms, in Spark's own functions; plain for file parts."""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .text import ALNUM, quoted
+from .text import ALNUM, greedy_spans, let, positions, quoted, splice, term_pattern_column
 
 PAIRS = "array<struct<original:string,placeholder:string>>"
 
@@ -55,16 +53,28 @@ def mask(text: str, pairs: list[tuple[str, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-@F.pandas_udf(T.StringType())
-def mask_exact(text: pd.Series, pairs: pd.Series) -> pd.Series:
-    """Text of each row with its own pairs, in their order; null text stays null."""
+def pair_spans(text: Column, pairs: Column) -> Column:
+    """Spans (start, end, mark) that replacement takes: all matches of all pairs, chosen in pair order, none over another.
+
+    A pair whose folded letters the folded text hasn't got is passed over without its pattern.
+    """
+    have = lambda low: F.filter(
+        F.transform(pairs, lambda p, i: F.struct(i.alias("i"), p["original"].alias("original"), p["placeholder"].alias("mark"))),
+        lambda x: (x["original"] != "") & (F.contains(low, F.lower(F.upper(x["original"]))) | x["original"].rlike(r"[^\x00-\x7F]")),
+    )
+    found = lambda kept: F.flatten(
+        F.transform(
+            kept,
+            lambda x: F.transform(positions(text, term_pattern_column(x["original"])), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), x["mark"].alias("mark"), x["i"].alias("i"))),
+        )
+    )
+    order = lambda a, b: F.when(a["i"] != b["i"], a["i"] - b["i"]).otherwise(a["start"] - b["start"]).cast("int")
+    return greedy_spans(let(let(F.lower(F.upper(text)), have), found), order)
 
-    def one(t, p):
-        if t is None or p is None or not len(p):
-            return t
-        return mask(t, [(x["original"], x["placeholder"]) for x in p])
 
-    return pd.Series([one(t, p) for t, p in zip(text, pairs)], dtype=object)
+def mask_exact(text: Column, pairs: Column) -> Column:
+    """Text of each row with its own pairs, in their order, in Spark's own functions; null text stays null, null pairs change nothing."""
+    return F.when(F.size(F.coalesce(pairs, F.array().cast(PAIRS))) > 0, splice(text, pair_spans(text, pairs))).otherwise(text)
 
 
 def unmask_pairs(mapping) -> list[tuple[str, str]]:
@@ -76,12 +86,6 @@ def unmask_pairs(mapping) -> list[tuple[str, str]]:
     return longest_first(list(first.items()))
 
 
-@F.pandas_udf(T.StringType())
-def unmask_exact(text: pd.Series, mapping: pd.Series) -> pd.Series:
-    """Text of each row with its mapping's placeholders turned back."""
-    return pd.Series([t if t is None else mask(t, unmask_pairs(m)) for t, m in zip(text, mapping)], dtype=object)
-
-
 #: A private-use character leads every code of the native form: with the next one it stands for itself, with those after for a term.
 LEAD, SELF, FIRST = "\ue000", "\ue001", 0xE002
 CODES = 0xF8FF - FIRST

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Letters and digits as Python's [^\W_] has them, and with the underscore as \w.
@@ -46,6 +46,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound(body, *columns: str) -> Column:
+    """``body`` of columns that its own functions of elements use: bound outside of them, so that no plan puts a column's expression inside and works it out for each element."""
+    return let(F.struct(*columns), lambda b: body(*[b[c] for c in columns]))
+
+
 def scan(values: Column, combine, zero: Column, levels: int = 3, width: int = 16) -> Column:
     """``combine`` of all elements before each, by position, without shuffles.
 
@@ -256,3 +261,79 @@ def middle_cut(name: Column, most: int = 40) -> Column:
     """A long name with its middle left out."""
     half = (most - 3) // 2
     return F.when(F.length(name) <= most, name).otherwise(F.concat(F.left(name, F.lit(most - 3 - half)), F.lit("..."), F.right(name, F.lit(half))))
+
+
+def with_numbers(df: DataFrame, items: str, key, category, out: str = "_marks") -> DataFrame:
+    """The rows with ``out``: placeholders aligned with an array's items, one for each key, numbered by the label of its first item's category, in order.
+
+    Items are sorted by key, so equal ones are neighbours; first ones are numbered label by label and every item takes its key's by place. No shuffle and no
+    look-up by comparing all with all. Steps are columns of their own, as Spark's analysis has a limit on nesting.
+    """
+    names = F.array(*[F.lit(v) for v in dict.fromkeys(LABELS.values())])
+    new = lambda s: F.transform(s, lambda x, j: F.when((j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"]), 1).otherwise(0))
+    first = lambda s, n, b: F.transform(s, lambda x, j: F.when(F.get(n, j) == 1, F.struct(x["i"].alias("i"), F.get(b, j).alias("g"), x["l"].alias("l"))))
+    of_label = lambda f: F.transform(names, lambda name: F.transform(F.filter(f, lambda x: x["l"] == name), lambda x, n: F.struct(x["g"].alias("g"), F.format_string("[%s_%d]", name, n + 1).alias("m"))))
+    steps = [
+        ("_s", F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), label(category(x)).alias("l"))))),
+        ("_n", bound(new, "_s")),
+        ("_b", running_sum(F.col("_n"))),
+        ("_g", bound(lambda n, b: F.transform(b, lambda x, j: x + F.get(n, j) - 1), "_n", "_b")),
+        ("_f", F.array_sort(F.filter(bound(first, "_s", "_n", "_b"), lambda x: x.isNotNull()))),
+        ("_m", F.transform(F.array_sort(F.flatten(bound(of_label, "_f"))), lambda x: x["m"])),
+        (out, F.transform(F.array_sort(bound(lambda s, m, g: F.transform(s, lambda x, j: F.struct(x["i"].alias("i"), F.get(m, F.get(g, j)).alias("m"))), "_s", "_m", "_g")), lambda x: x["m"])),
+    ]
+    for name, value in steps:
+        df = df.withColumn(name, value)
+    return df.drop("_s", "_n", "_b", "_g", "_f", "_m")
+
+
+def chunk_spans(text: Column, most: int = 1500) -> Column:
+    """array<struct<start,end>>: where paragraphs packed up to ``most`` characters begin and end, in the text with a line end added.
+
+    A fold over paragraph lengths that starts anew where the next would not fit; a longer paragraph stays whole, a text that fits is one chunk (without the line
+    end), and a last chunk of nothing but white space is left out.
+    """
+    cut = lambda acc, n: (acc["size"] > 0) & (acc["size"] + n > most)
+
+    def fold(sizes: Column) -> Column:
+        zero = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).alias("size"), F.lit(0).alias("at"))
+        step = lambda acc, n: F.struct(F.when(cut(acc, n), F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"]).alias("cuts"), F.when(cut(acc, n), n).otherwise(acc["size"] + n).alias("size"), (acc["at"] + n).alias("at"))
+        spans = lambda acc: F.transform(acc["cuts"], lambda a, k: F.struct(a.alias("start"), F.coalesce(F.get(acc["cuts"], k + 1), acc["at"]).alias("end")))
+        return F.aggregate(sizes, zero, step, spans)
+
+    packed = let(F.transform(F.split(text, "\n"), lambda p: F.length(p) + 1), fold)
+    last_blank = lambda s: trim_py(F.substring(text, F.element_at(s, -1)["start"] + 1, F.length(text))) == ""
+    many = let(packed, lambda s: F.when(last_blank(s), F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(s))
+    return F.when(F.length(text) <= most, F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end")))).otherwise(many)
+
+
+#: Signs of a window in which a long text is cut, so that a piece costs its window and not the text.
+WINDOW = 2048
+
+
+def pieces_of(text: Column, body) -> Column:
+    """``body(cut)`` where ``cut(a, b)`` is the text from place a to before b."""
+    windows = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / F.lit(WINDOW)).cast("int")), lambda w: F.substring(text, w * WINDOW + 1, F.lit(WINDOW)))
+
+    def cut(w: Column):
+        def one(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / F.lit(WINDOW)).cast("int"), F.floor(F.greatest(a, b - 1) / F.lit(WINDOW)).cast("int")
+            return F.substring(F.array_join(F.slice(w, first + 1, last - first + 1), ""), a - first * WINDOW + 1, F.greatest(b - a, F.lit(0)))
+
+        return one
+
+    return let(windows, lambda w: body(cut(w)))
+
+
+def splice(text: Column, spans: Column) -> Column:
+    """The text with each span (start, end, mark), in order and without overlaps, turned into its mark."""
+
+    def build(cut):
+        def join(s: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.get(s, i - 1)["end"]).otherwise(F.lit(0))
+            parts = F.transform(s, lambda x, i: F.concat(cut(before(i), x["start"]), x["mark"]))
+            return F.concat(F.array_join(parts, ""), cut(F.element_at(s, -1)["end"], F.length(text)))
+
+        return let(spans, lambda s: F.when(F.size(s) > 0, join(s)).otherwise(text))
+
+    return pieces_of(text, build)

@@ -1,70 +1,209 @@
-"""Terms against texts: presence, highlights, and joins that meet on a word instead of on every pair."""
+"""Terms against texts in one pass: presence, highlights, first mentions and previews, with the text never leaving its row."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import bound, by_length_then_score, greedy_spans, running_sum, with_numbers
+
+#: Letters of terms in one automaton; a longer dictionary is met in several, one pass over the rows after another, none with more.
+MOST_LETTERS = 32 << 20
+#: Own patterns of a row up to which they are looked up one by one.
+FEW = 8
+
+HIT = "struct<block:int,start:int,end:int,entity:string,term:string,category:string,score:int,src:int,from:int,ord:long>"
+_HIT = pa.struct([("block", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("entity", pa.string()), ("term", pa.string()), ("category", pa.string()), ("score", pa.int32()), ("src", pa.int32()), ("from", pa.int32()), ("ord", pa.int64())])
+
+
+class _Folds(dict):
+    """Case folded sign by sign, so that places stay: upper case first, then lower, where either is one sign."""
+
+    def __missing__(self, code: int) -> str:
+        sign = chr(code)
+        upper = sign.upper() if len(sign.upper()) == 1 else sign
+        lower = upper.lower() if len(upper.lower()) == 1 else upper
+        self[code] = "i" if code == 0x130 else lower
+        return self[code]
+
+
+_FOLDS = _Folds()
+
+
+def folded(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_FOLDS)
+
+
+def _joins(sign: str, underscore: bool) -> bool:
+    return sign.isalnum() or (underscore and sign == "_")
+
+
+class Finder:
+    """All whole-term matches of a dictionary in a text, by one walk over an automaton of the folded terms."""
+
+    def __init__(self, terms: list[tuple[str, str | None, int]], underscore_joins: bool = True):
+        import ahocorasick
+
+        self.terms, self.underscore = terms, underscore_joins
+        spelled: dict[str, list[int]] = {}
+        for k, (term, _, _) in enumerate(terms):
+            spelled.setdefault(folded(term), []).append(k)
+        spelled.pop("", None)
+        self.automaton = ahocorasick.Automaton()
+        for word, numbers in spelled.items():
+            self.automaton.add_word(word, (len(word), numbers))
+        if spelled:
+            self.automaton.make_automaton()
+        self.empty = not spelled
 
-from ..functions.text import ALNUM, by_length_then_score, greedy_spans, positions, term_pattern_column, term_present
+    def __call__(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(start, end, number of the term), by end; matches of one term don't overlap, the first is taken."""
+        if self.empty or not text:
+            return
+        last: dict[int, int] = {}
+        n = len(text)
+        for at, (size, numbers) in self.automaton.iter(folded(text)):
+            start, end = at + 1 - size, at + 1
+            if (start and _joins(text[start - 1], self.underscore)) or (end < n and _joins(text[end], self.underscore)):
+                continue
+            for k in numbers:
+                if last.get(k, 0) <= start:
+                    last[k] = end
+                    yield start, end, k
 
-#: What a text and a term meet on: words, and signs for terms without a letter or digit.
-KEYS = f"[{ALNUM}]+|[^{ALNUM}]"
-#: Most terms that go to every task; a longer dictionary is shuffled.
-MOST_TERMS = 20_000
 
+def first_places(text: str, patterns: list[str]) -> Iterator[tuple[int, int]]:
+    """(first place, number) of the patterns that a text has, as plain substrings; many are met in one walk."""
+    if len(patterns) <= FEW:
+        yield from ((at, k) for k, p in enumerate(patterns) if p and (at := text.find(p)) >= 0)
+        return
+    import ahocorasick
 
-def keyed_terms(terms: DataFrame) -> DataFrame:
-    """Terms with ``_key``: the longest word, or the first sign of a term that has none."""
-    keys = F.regexp_extract_all(F.lower("term"), F.lit(KEYS), F.lit(0))
-    longer = lambda a, w: F.when(w.rlike(f"[{ALNUM}]") & ((F.length(w) > F.length(a)) | ~a.rlike(f"[{ALNUM}]")), w).otherwise(a)
-    return terms.withColumn("_key", F.aggregate(keys, F.get(keys, F.lit(0)), longer)).filter("_key is not null")
+    automaton = ahocorasick.Automaton()
+    for k, p in enumerate(patterns):
+        if p:
+            automaton.add_word(p, (len(p), (*automaton.get(p, (0, ()))[1], k)))
+    automaton.make_automaton()
+    seen: set[int] = set()
+    for at, (size, numbers) in automaton.iter(text):
+        if numbers[0] not in seen:
+            seen.update(numbers)
+            yield from ((at + 1 - size, k) for k in numbers)
 
 
-def candidates(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of (docs.*, terms.*) that share the term's key: an equi join, whatever the dictionary's size.
+_BUILT: dict[str, Finder] = {}
 
-    A term matches whole words only, so a text without its longest word can't have it. Of a dictionary of at most ``MOST_TERMS`` every task
-    has the keys: a row keeps only its words among them, meets their terms in a broadcast join and never leaves its task. A longer one is joined by shuffle, with
-    ids of the texts alone, and the texts that met a term are joined to them again.
+
+def _with_column(batch: pa.RecordBatch, rows: list[list[tuple]]) -> pa.RecordBatch:
+    flat = list(zip(*(hit for row in rows for hit in row))) or [()] * len(_HIT)
+    ends = [0]
+    for row in rows:
+        ends.append(ends[-1] + len(row))
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, _HIT)], fields=list(_HIT))
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[*batch.schema.names, "_hits"])
+
+
+def _each(df: DataFrame, texts: str, hits_of: Callable[[pa.RecordBatch], Iterator[list[tuple]]]) -> DataFrame:
+    """The rows with ``_hits``, array of ``HIT``: what ``hits_of`` gives for each row of a batch."""
+    schema = T.StructType([*df.schema.fields, T.StructField("_hits", T._parse_datatype_string(f"array<{HIT}>"))])
+
+    def work(batches):
+        for batch in batches:
+            yield _with_column(batch, list(hits_of(batch)))
+
+    return df.mapInArrow(work, schema)
+
+
+def _blocks(value) -> list[str]:
+    v = value.as_py()
+    return [] if v is None else [v] if isinstance(v, str) else [x or "" for x in v]
+
+
+def with_hits(df: DataFrame, terms: DataFrame, text: str = "text", underscore_joins: bool = True) -> DataFrame:
+    """The rows with ``_hits``: every match of every term (term, category[, seq]) in ``text``, a string or an array of blocks.
+
+    The dictionary goes to every task as one automaton of at most ``MOST_LETTERS`` letters; a longer one in parts, each a further pass over the same rows. Rows stay what they are
+    and where they are: repeated rows, null texts and null ids all keep their own hits. ``ord`` is the term's place in the dictionary.
     """
-    keyed = keyed_terms(terms)
-    known = [r[0] for r in keyed.select("_key").limit(MOST_TERMS + 1).collect()]
-    keys = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(KEYS), F.lit(0)))
-    if len(known) <= MOST_TERMS:
-        mine = F.array_intersect(keys, F.array(*[F.lit(k) for k in sorted(set(known))]).cast("array<string>"))
-        return docs.withColumn("_key", F.explode(mine)).join(F.broadcast(keyed), "_key").drop("_key")
-    met = docs.select("doc_id", F.explode(keys).alias("_key")).join(keyed.hint("merge"), "_key").drop("_key")
-    return docs.join(met.hint("merge"), "doc_id")
+    body = terms.select("term", "category", (F.col("seq") if "seq" in terms.columns else F.monotonically_increasing_id()).cast("long").alias("seq")).filter("term <> ''")
+    letters = body.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
+    parts = max(1, -(-letters // MOST_LETTERS))
+    spark = df.sparkSession
+    for part in range(parts):
+        rows = (body.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part) if parts > 1 else body).collect()
+        spread = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r["term"], r["category"], r["seq"]) for r in rows), key=lambda r: r[2])))
+
+        def hits_of(batch, spread=spread):
+            token, entries = spread.value
+            if token not in _BUILT:
+                _BUILT.clear()
+                _BUILT[token] = Finder(entries, underscore_joins)
+            finder = _BUILT[token]
+            for value in batch.column(text):
+                yield [(b, a, z, t[a:z], entries[k][0], entries[k][1], 100, 0, a, entries[k][2]) for b, t in enumerate(_blocks(value)) for a, z, k in finder(t)]
+
+        if part:
+            df = _each(df.withColumnRenamed("_hits", "_before"), text, hits_of).withColumn("_hits", F.concat("_before", "_hits")).drop("_before")
+        else:
+            df = _each(df, text, hits_of)
+    return df
 
 
 def present_terms(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, terms.*) of the terms that occur in a document, as whole words with underscores joining."""
-    body = docs.select("doc_id", F.col(text).alias("_text"))
-    return candidates(body, terms, "_text").filter(term_present(F.col("_text"), F.col("term"))).drop("_text")
+    """(doc_id, term, category) of the terms that occur in a document, as whole words with underscores joining; once for each row and term."""
+    found = with_hits(docs.select("doc_id", F.col(text).alias("_text")), terms, "_text")
+    met = F.array_distinct(F.transform("_hits", lambda h: F.struct(h["term"].alias("term"), h["category"].alias("category"), h["ord"].alias("ord"))))
+    return found.select("doc_id", F.explode(met).alias("t")).select("doc_id", "t.term", "t.category")
 
 
 def term_highlights(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     """All matches of every term in blocks (doc_id, block_seq, text): one row each, with places and source term."""
-    body = blocks.select(F.struct("doc_id", "block_seq").alias("doc_id"), F.col("text").alias("_text"))
-    place = positions(F.col("_text"), term_pattern_column(F.col("term"), True))
-    rows = candidates(body, terms, "_text").select("doc_id.*", *terms.columns, F.explode(place).alias("h"))
-    return rows.select("doc_id", "block_seq", "h.start", "h.end", "h.entity", F.col("term").alias("source_entity"), F.col("category"), F.lit(100).alias("score"))
+    found = with_hits(blocks.select("doc_id", "block_seq", F.col("text").alias("_text")), terms, "_text")
+    h = found.select("doc_id", "block_seq", F.explode("_hits").alias("h"))
+    return h.select("doc_id", "block_seq", "h.start", "h.end", "h.entity", F.col("h.term").alias("source_entity"), "h.category", "h.score")
+
+
+def with_mentions(df: DataFrame, blocks: str, own: str) -> DataFrame:
+    """``_hits`` with the first place, in each block, of the row's own finds (entity, category, score, src), as plain substrings with their case."""
+
+    def hits_of(batch):
+        for texts, finds in zip(batch.column(blocks), batch.column(own).to_pylist()):
+            finds = finds or []
+            patterns = [f["entity"] for f in finds]
+            yield [
+                (b, at, at + len(patterns[k]), patterns[k], "", finds[k]["category"], finds[k]["score"], finds[k]["src"], at, k)
+                for b, t in enumerate(_blocks(texts)) for at, k in first_places(t, patterns)
+            ]
 
+    return _each(df, blocks, hits_of)
 
-def first_mentions(blocks: DataFrame, detections: DataFrame) -> DataFrame:
-    """First place of each detection of a document in each of its blocks, as a plain substring with its case."""
-    joined = blocks.join(detections.select("doc_id", "entity", "category", (F.col("confidence") * 100).cast("int").alias("score")), "doc_id")
-    at = F.instr(F.col("text"), F.col("entity"))
-    return joined.filter(at > 0).select(
-        "doc_id", "block_seq", (at - 1).alias("start"), (at - 1 + F.length("entity")).alias("end"), "entity", F.lit("").alias("source_entity"), "category", "score"
-    )
 
+def preview_rows(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, blocks, highlights) of (doc_id, blocks array<struct<block_seq,section,text>>, finds array<struct<entity,category,score,src>>).
 
-def best_highlights(found: DataFrame) -> DataFrame:
-    """Of overlapping highlights of a block (with an order ``seq``) the longer, then the surer; one row each."""
-    row = F.struct("start", "end", "entity", "source_entity", "category", "score", "seq")
-    per = found.groupBy("doc_id", "block_seq").agg(F.collect_list(row).alias("all"))
-    return per.select("doc_id", "block_seq", F.explode(greedy_spans(F.col("all"), by_length_then_score)).alias("h")).select("doc_id", "block_seq", "h.*")
+    A document is a row from beginning to end: its blocks meet the dictionary's automaton, then its own finds; of overlapping highlights of a block the longer, then the surer,
+    then that of the earlier source stays; placeholders are numbered by label in reading order, one for each spelling. No shuffle.
+    """
+    texts = docs.select("doc_id", "blocks", "finds").withColumn("_texts", F.transform("blocks", lambda b: b["text"]))
+    found = with_mentions(with_hits(texts, terms, "_texts").withColumnRenamed("_hits", "_terms"), "_texts", "finds")
+    # blocks lie one after another, so spans of different blocks never overlap
+    placed = found.withColumn("_at", running_sum(F.transform("_texts", lambda t: F.length(F.coalesce(t, F.lit(""))) + 1)))
+    order = lambda h: F.struct(*[h[c].alias(c) for c in ("src", "from", "term", "category")])
+    span = lambda h, at: F.struct((at + h["start"]).alias("start"), (at + h["end"]).alias("end"), h["score"].alias("score"), order(h).alias("seq"), h.alias("hit"))
+    placed = placed.withColumn("_hits", F.concat("_terms", "_hits")).withColumn("_spans", bound(lambda hits, at: F.transform(hits, lambda h: span(h, F.get(at, h["block"]))), "_hits", "_at"))
+    kept = placed.withColumn("_kept", greedy_spans(F.col("_spans"), by_length_then_score))
+    marked = with_numbers(kept.withColumn("_kept", F.transform("_kept", lambda x: x["hit"])), "_kept", lambda h: F.lower(h["entity"]), lambda h: h["category"])
+    row = lambda h, mark: F.struct(
+        h["block"].alias("block"), h["start"].alias("start"), h["end"].alias("end"), h["entity"].alias("entity"), h["term"].alias("source_entity"),
+        mark.alias("placeholder"), F.lit("confirmed").alias("status"), h["score"].alias("score"), h["category"].alias("category"),
+    )
+    out = bound(lambda kept, marks: F.transform(kept, lambda h, i: row(h, F.get(marks, i))), "_kept", "_marks")
+    return marked.select("doc_id", "blocks", out.alias("highlights"))
 
 
 def with_known_category(found: DataFrame, terms: DataFrame) -> DataFrame:
@@ -74,14 +213,3 @@ def with_known_category(found: DataFrame, terms: DataFrame) -> DataFrame:
     """
     first = terms.groupBy(F.lower("term").alias("_spelling")).agg(F.min_by("category", "seq").alias("category"))
     return found.withColumn("_spelling", F.lower("entity")).join(first, "_spelling", "left").withColumn("category", F.coalesce("category", F.lit("autres"))).drop("_spelling")
-
-
-def number_highlights(found: DataFrame) -> DataFrame:
-    """Add placeholders: one for each spelling of a document, numbered by label in reading order."""
-    from ..functions.text import label, placeholder
-
-    first = found.groupBy("doc_id", F.lower("entity").alias("_key")).agg(F.min_by("category", F.struct("block_seq", "start")).alias("category"), F.min(F.struct("block_seq", "start")).alias("_at"))
-    first = first.withColumn("_label", label(F.col("category")))
-    n = F.row_number().over(Window.partitionBy("doc_id", "_label").orderBy("_at"))
-    marks = first.select("doc_id", "_key", placeholder(F.col("category"), n).alias("placeholder"))
-    return found.withColumn("_key", F.lower("entity")).join(marks, ["doc_id", "_key"], "left").withColumn("placeholder", F.coalesce("placeholder", F.lit("[SENSIBLE_?]"))).drop("_key")

@@ -2,102 +2,90 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.masking import longest_first, mask, unmask_exact, unmask_pairs
-from ..functions.text import EMAIL, firsts, keep_title, let, safe_name, stem
-from ..operators.entities import AUTO_CONFIRM, Detector, detect, line_names, merge
-from ..operators.matching import best_highlights, first_mentions, number_highlights, term_highlights
+from ..functions.masking import mask_exact, unmask_pairs
+from ..functions.text import emails, extension, firsts, keep_title, let, rename_stem, safe_name, stem, trim_py
+from ..operators.entities import AUTO_CONFIRM, ENTRY, Detector, line_names, pairs_in_row, with_detections, with_entries, with_spans
+from ..operators.matching import preview_rows, with_hits
 from ..sources import ooxml
 
-ENTRY = "struct<original:string,placeholder:string,type:string,source:string,confidence:int>"
-_ENTRY = pa.struct([("original", pa.string()), ("placeholder", pa.string()), ("type", pa.string()), ("source", pa.string()), ("confidence", pa.int32())])
-_EMAIL = re.compile(EMAIL)
+PRESENT = "array<struct<ord:long,category:string,term:string>>"
+FIND = "struct<entity:string,category:string,confidence:double>"
 
 
 def merged_terms(base: dict[str, list[str]] | None, extra: dict[str, list[str]] | None) -> dict[str, list[str]]:
-    """Lists of both by category, the base's first; empty lists of the second add no category."""
-    out = {k: list(v or []) for k, v in (base or {}).items()}
+    """Lists of both by category, the base's first, each term once; empty lists of the second add no category."""
+    out = {k: list(dict.fromkeys(v or [])) for k, v in (base or {}).items()}
     for k, v in (extra or {}).items():
         if v:
-            out.setdefault(k, []).extend(v)
+            out[k] = list(dict.fromkeys([*out.get(k, []), *v]))
     return out
 
 
-def find_emails(text: str) -> list[dict]:
-    first: dict[str, dict] = {}
-    for m in _EMAIL.finditer(text):
-        first.setdefault(m.group().lower(), {"entity": m.group(), "category": "mails", "start": m.start(), "end": m.end(), "confidence": 1.0})
-    return list(first.values())
+def terms_table(spark: SparkSession, terms: dict[str, list[str]] | DataFrame | None) -> DataFrame:
+    """(category, term, seq) of a dictionary; a table of (category, term, seq) stays as it is."""
+    if isinstance(terms, DataFrame):
+        return terms
+    rows = [(c, t) for c, ts in (terms or {}).items() for t in ts or [] if t]
+    return spark.createDataFrame([(c, t, k) for k, (c, t) in enumerate(rows)], "category string, term string, seq long")
+
+
+def finds(found: Column, category: Column | None = None) -> Column:
+    """Finds without a confidence, as a mapping takes them."""
+    kind = (lambda x: x["category"]) if category is None else (lambda x: category)
+    return F.transform(found, lambda x: F.struct(x["entity"].alias("entity"), kind(x).alias("category"), F.lit(None).cast("double").alias("confidence")))
 
 
-@F.pandas_udf(T.StringType())
-def mask_emails(text: pd.Series) -> pd.Series:
-    """Texts with their addresses numbered and masked."""
-    def one(t):
-        if t is None:
-            return None
-        return mask(t, merge(None, [{"entity": e["entity"], "category": "mails"} for e in find_emails(t)])[0])
+def with_masked(df: DataFrame, text: str, out: str = "masked", mapping: str = "mapping") -> DataFrame:
+    """The rows with ``out``: their text with the pairs of their own mapping."""
+    return df.withColumn("_pairs", pairs_in_row(F.col(mapping))).withColumn(out, mask_exact(F.col(text), F.col("_pairs"))).drop("_pairs")
 
-    return pd.Series([one(t) for t in text], dtype=object)
 
+def mask_emails(df: DataFrame, text: str = "text", out: str = "masked") -> DataFrame:
+    """The rows with ``out``: their text with its addresses numbered and masked."""
+    found = df.withColumn("_none", F.array().cast(PRESENT)).withColumn("_finds", finds(emails(F.coalesce(F.col(text), F.lit(""))), F.lit("mails")))
+    return with_masked(with_entries(found, "_none", "_finds", "_entries"), text, out, "_entries").drop("_none", "_finds", "_entries")
 
-def plan_one(text: str, terms: dict[str, list[str]] | None, detector: Detector, confirmed=(), auto_confirm_all: bool = True, strict_presence: bool = True):
-    """(pairs, mapping rows) of one document's text (blocks and file name stem by line).
 
+def with_mapping(df: DataFrame, body: str, terms=None, detector: Detector = line_names, confirmed: str | None = None, auto_confirm_all: bool = True, strict_presence: bool = True) -> DataFrame:
+    """The rows with ``mapping``, array of ``ENTRY``: what is sensitive in the text ``body``, merged and numbered, each row on its own.
+
+    The sources are columns: dictionary terms that the text has, by one automaton; the detector's finds, without those terms; addresses; and ``confirmed``, a column of
+    finds. The first to claim a normal form has it. Nothing is shuffled: rows pass an Arrow function for the dictionary and one for the detector, all else are expressions.
     ``strict_presence`` looks for dictionary terms with underscores joining words; without it an underscore parts them, as replacement does.
     """
-    edge = r"\w" if strict_presence else r"[^\W_]"
-    present = {}
-    for category, values in (terms or {}).items():
-        kept = [v for v in values or [] if v and re.search(rf"(?<!{edge}){re.escape(v)}(?!{edge})", text, re.IGNORECASE)]
-        if kept:
-            present[category] = kept
-    known = {v for vs in present.values() for v in vs}
+    spark = df.sparkSession
+    words = with_hits(df, terms_table(spark, terms), body, strict_presence) if terms is not None else df.withColumn("_hits", F.array().cast("array<struct<ord:long,category:string,term:string>>"))
+    here = F.array_sort(F.array_distinct(F.transform("_hits", lambda h: F.struct(h["ord"].alias("ord"), h["category"].alias("category"), h["term"].alias("term")))))
+    found = with_spans(words.withColumn("_present", here).drop("_hits"), body, detector, "_spans")
     least = 0.0 if auto_confirm_all else AUTO_CONFIRM
-    found = [{"entity": d["entity"], "category": d["category"]} for d in detect(text, detector, known) if d["confidence"] >= least]
-    found += [{"entity": d["entity"], "category": "mails"} for d in find_emails(text)]
-    return merge(present, [*found, *confirmed])
-
-
-def _masked_name(name: str, pairs) -> str:
-    dot = name.rfind(".")
-    cut = dot if dot > 0 else len(name)
-    return mask(name[:cut], pairs) + name[cut:]
+    found = with_detections(found.withColumn("_known", F.transform("_present", lambda p: p["term"])), "_spans", "_known", "_sure")
+    sure = F.filter("_sure", lambda d: d["confidence"] >= least)
+    more = [F.coalesce(F.col(confirmed), F.array().cast(f"array<{FIND}>"))] if confirmed else []
+    every = F.concat(finds(sure), finds(emails(F.coalesce(F.col(body), F.lit(""))), F.lit("mails")), *more)
+    return with_entries(found.withColumn("_finds", every), "_present", "_finds").drop("_present", "_known", "_spans", "_sure", "_finds")
 
 
-TEXT_SQL = f"doc_id long, filename string, text string, masked string, masked_name string, mapping array<{ENTRY}>"
-_TEXT = pa.schema([("doc_id", pa.int64()), ("filename", pa.string()), ("text", pa.string()), ("masked", pa.string()), ("masked_name", pa.string()), ("mapping", pa.list_(_ENTRY))])
+def masked_name(name: Column, pairs: Column) -> Column:
+    return F.concat(mask_exact(rename_stem(name), pairs), extension(name))
 
 
-def anonymize_texts(docs: DataFrame, terms: dict[str, list[str]] | None = None, detector: Detector = line_names, auto_confirm_all: bool = True, strict_presence: bool = True) -> DataFrame:
+def anonymize_texts(docs: DataFrame, terms=None, detector: Detector = line_names, auto_confirm_all: bool = True, strict_presence: bool = True) -> DataFrame:
     """(doc_id, filename, text, masked, masked_name, mapping) of (doc_id, filename, text).
 
-    A document is self-contained, so detection, merging and replacement run in one Arrow pass over its partition: no
-    shuffle at any size, and a detector that loads a model does so once for each worker. The dictionary travels with the task.
+    A document is a row from beginning to end: no shuffle at any size. Null texts and names stay null; repeated rows are masked each.
     """
-
-    def work(batches):
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(2)]
-            masked, names, mappings = [], [], []
-            for name, text in zip(cols[1], (v.as_py() for v in batch.column(2))):
-                blocks = [line.strip() for line in (text or "").split("\n")]
-                head = (name or "").rsplit(".", 1)[0]
-                pairs, rows = plan_one("\n".join([b for b in blocks if b] + ([head] if head else [])), terms, detector, (), auto_confirm_all, strict_presence)
-                masked.append(None if text is None else mask(text, pairs))
-                names.append(None if name is None else _masked_name(name, pairs) if pairs else name)
-                mappings.append(rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(masked, pa.string()), pa.array(names, pa.string()), pa.array(mappings, pa.list_(_ENTRY))], schema=_TEXT)
-
     body = docs.select(F.col("doc_id").cast("long"), F.col("filename").cast("string"), F.col("text").cast("string"))
-    return body.mapInArrow(work, TEXT_SQL)
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), trim_py), lambda x: x != "")
+    head = F.filter(F.array(F.coalesce(stem(F.col("filename")), F.lit(""))), lambda x: x != "")
+    planned = with_mapping(body.withColumn("_body", F.array_join(F.concat(lines, head), "\n")), "_body", terms, detector, None, auto_confirm_all, strict_presence)
+    paired = planned.withColumn("_pairs", pairs_in_row(F.col("mapping")))
+    return paired.select("doc_id", "filename", "text", mask_exact(F.col("text"), F.col("_pairs")).alias("masked"), masked_name(F.col("filename"), F.col("_pairs")).alias("masked_name"), "mapping")
 
 
 def mapping_rows(masked: DataFrame) -> DataFrame:
@@ -107,14 +95,14 @@ def mapping_rows(masked: DataFrame) -> DataFrame:
 
 def back_pairs(mapping: Column) -> Column:
     """Pairs for the way back: first original of each placeholder, longest placeholder first, ties in mapping order."""
-    kept = let(F.filter(mapping, lambda e: e["placeholder"].isNotNull()), lambda m: firsts(m, lambda e: e["placeholder"]))
+    kept = let(F.filter(mapping, lambda e: F.coalesce(e["placeholder"], F.lit("")) != ""), lambda m: firsts(m, lambda e: e["placeholder"]))
     keyed = F.transform(kept, lambda e, i: F.struct((-F.length(e["placeholder"])).alias("n"), i.alias("i"), e["placeholder"].alias("original"), e["original"].alias("placeholder")))
     return F.transform(F.array_sort(keyed), lambda x: F.struct(x["original"].alias("original"), x["placeholder"].alias("placeholder")))
 
 
 def restore_texts(masked: DataFrame, text: str = "masked", mapping: str = "mapping") -> DataFrame:
     """Add ``restored``: placeholders turned into their first originals."""
-    return masked.withColumn("restored", unmask_exact(F.col(text), F.col(mapping)))
+    return masked.withColumn("_back", back_pairs(F.col(mapping))).withColumn("restored", mask_exact(F.col(text), F.col("_back"))).drop("_back")
 
 
 def restore_name(name: Column, mapping: Column) -> Column:
@@ -131,45 +119,63 @@ def output_names(df: DataFrame, keep: bool = False) -> DataFrame:
     return df.withColumn("document_name", name).withColumn("mapping_name", F.concat(F.lit("mapping_"), stem(F.col("document_name")), F.lit(".json")))
 
 
-FILE_SQL = f"doc_id string, filename string, file_type string, content binary, masked_name string, mapping array<{ENTRY}>, status string, error string"
-_FILE = pa.schema(
-    [("doc_id", pa.string()), ("filename", pa.string()), ("file_type", pa.string()), ("content", pa.binary()), ("masked_name", pa.string()), ("mapping", pa.list_(_ENTRY)), ("status", pa.string()), ("error", pa.string())]
-)
+_PARSED = pa.schema([("doc_id", pa.string()), ("filename", pa.string()), ("file_type", pa.string()), ("content", pa.binary()), ("body", pa.string()), ("alts", pa.list_(pa.string())), ("error", pa.string())])
+_PARSED_SQL = "doc_id string, filename string, file_type string, content binary, body string, alts array<string>, error string"
+_REWRITTEN = pa.schema([("doc_id", pa.string()), ("filename", pa.string()), ("file_type", pa.string()), ("content", pa.binary()), ("masked_name", pa.string()), ("mapping", pa.list_(pa.struct([("original", pa.string()), ("placeholder", pa.string()), ("type", pa.string()), ("source", pa.string()), ("confidence", pa.int32())]))), ("status", pa.string()), ("error", pa.string())])
+_REWRITTEN_SQL = f"doc_id string, filename string, file_type string, content binary, masked_name string, mapping array<{ENTRY}>, status string, error string"
 
 
-def anonymize_file(content: bytes, filename: str, terms, detector: Detector, confirmed=(), auto_confirm_all: bool = True, scrub_images: bool = False):
-    """(content, name, mapping rows) of one Office file, parsed once."""
-    pkg = ooxml.Package(content)
-    head = filename.rsplit(".", 1)[0] if filename else ""
-    text = "\n".join([t for _, t in ooxml.text_blocks(pkg)] + ([head] if head else []))
-    pairs, rows = plan_one(text, terms, detector, confirmed, auto_confirm_all)
-    alts = {alt: f"[ALT_{n}]" for n, alt in enumerate(dict.fromkeys(a for a, _ in ooxml.alt_texts(pkg)), 1)}
-    rows = rows + [{"original": a, "placeholder": m, "type": "alt", "source": "alt_text", "confidence": 100} for a, m in alts.items()]
-    if not pairs and not alts:
-        return ooxml.scrub(content) if scrub_images else content, filename, []
-    out = ooxml.rewrite(pkg, pairs, alts)
-    return ooxml.scrub(out) if scrub_images else out, _masked_name(filename, pairs) if pairs else filename, rows
+def _fault(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
 
 
-def anonymize_files(files: DataFrame, terms: dict[str, list[str]] | None = None, detector: Detector = line_names, scrub_images: bool = False) -> DataFrame:
-    """Office files anonymised, each on its own: a bad file has status error, another type skipped, and neither stops the rest."""
+def anonymize_files(files: DataFrame, terms=None, detector: Detector = line_names, scrub_images: bool = False) -> DataFrame:
+    """Office files anonymised, each on its own: a bad file has status error, another type skipped, and neither stops the rest.
 
-    def work(batches):
+    Packages are parsed to text and alternative texts, planned as any text is, and rewritten with their pairs; three steps over the same rows.
+    """
+
+    def parse(batches):
         for batch in batches:
             out = []
             for doc_id, name, kind, content in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
-                if kind is None:
-                    out.append((doc_id, name, kind, None, name, [], "skipped", None))
-                    continue
-                try:
-                    data, masked_name, rows = anonymize_file(content.as_py(), name, terms, detector, scrub_images=scrub_images)
-                    out.append((doc_id, name, kind, data, masked_name, rows, "done", None))
-                except Exception as e:  # a file's fault stays with the file
-                    out.append((doc_id, name, kind, None, name, [], "error", f"{type(e).__name__}: {e}"))
+                body, alts, error = None, [], None
+                if kind is not None:
+                    try:
+                        pkg = ooxml.Package(content.as_py())
+                        body = "\n".join([t for _, t in ooxml.text_blocks(pkg)] + [x for x in [(name or "").rsplit(".", 1)[0]] if x])
+                        alts = list(dict.fromkeys(a for a, _ in ooxml.alt_texts(pkg)))
+                    except Exception as e:  # a file's fault stays with the file
+                        error = _fault(e)
+                out.append((doc_id, name, kind, content.as_py() if kind is not None and error is None else None, body, alts, error))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*out), _FILE)], schema=_FILE)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*out), _PARSED)], schema=_PARSED)
 
-    return files.select(F.col("doc_id").cast("string"), "filename", "file_type", "content").mapInArrow(work, FILE_SQL)
+    def rewrite(batches):
+        for batch in batches:
+            out = []
+            for doc_id, name, kind, content, shown, mapping, pairs, alts, error in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), *(batch.column(k).to_pylist() for k in range(4, 9))):
+                data, status = content.as_py(), "skipped" if kind is None else "error" if error else "done"
+                if status == "done":
+                    try:
+                        marks = {a["original"]: a["placeholder"] for a in alts}
+                        if pairs or marks:
+                            data = ooxml.rewrite(ooxml.Package(data), [(p["original"], p["placeholder"]) for p in pairs], marks)
+                        data = ooxml.scrub(data) if scrub_images else data
+                    except Exception as e:  # a file's fault stays with the file
+                        data, status, error = None, "error", _fault(e)
+                fine = status == "done"
+                out.append((doc_id, name, kind, data if fine else None, shown if fine else name, mapping if fine else [], status, error))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*out), _REWRITTEN)], schema=_REWRITTEN)
+
+    parsed = files.select(F.col("doc_id").cast("string"), "filename", "file_type", "content").mapInArrow(parse, _PARSED_SQL)
+    planned = with_mapping(parsed, "body", terms, detector)
+    alts = F.transform("alts", lambda a, i: F.struct(a.alias("original"), F.format_string("[ALT_%d]", i + 1).alias("placeholder"), F.lit("alt").alias("type"), F.lit("alt_text").alias("source"), F.lit(100).alias("confidence")).cast(ENTRY))
+    ready = planned.withColumn("_pairs", pairs_in_row(F.col("mapping"))).withColumn("_alts", alts)
+    shown = F.coalesce(masked_name(F.col("filename"), F.col("_pairs")), F.col("filename"))
+    columns = ("doc_id", "filename", "file_type", "content", shown.alias("shown"), F.concat("mapping", "_alts").alias("mapping"), F.col("_pairs").alias("pairs"), F.col("_alts").alias("alts"), "error")
+    return ready.select(*columns).mapInArrow(rewrite, _REWRITTEN_SQL)
 
 
 def restore_files(files: DataFrame) -> DataFrame:
@@ -186,22 +192,47 @@ def restore_files(files: DataFrame) -> DataFrame:
 def preview(blocks: DataFrame, terms: DataFrame, detections: DataFrame, mails: DataFrame) -> DataFrame:
     """One row per block with highlights, placed and numbered: (doc_id, block_seq, section, text, highlights).
 
-    ``terms`` is (term, category, seq); detections and mails are (doc_id, entity, category, confidence). Every highlight is confirmed.
+    ``terms`` is (term, category[, seq]); detections and mails are (doc_id, entity, category, confidence). Every highlight is confirmed. Where documents come as rows already, ``preview_documents`` needs no shuffle.
     """
-    body = blocks.select("doc_id", "block_seq", "text")
-    found = term_highlights(body, terms.select("term", "category")).withColumn("_src", F.lit(0))
-    for k, df in ((1, detections), (2, mails)):
-        found = found.unionByName(first_mentions(body, df).withColumn("_src", F.lit(k)))
-    kept = best_highlights(found.withColumn("seq", F.struct("_src", "start", "source_entity", "category")))
-    row = F.struct("start", "end", "entity", "source_entity", "placeholder", F.lit("confirmed").alias("status"), "score", "category")
-    per = number_highlights(kept).groupBy("doc_id", "block_seq").agg(F.array_sort(F.collect_list(row)).alias("highlights"))
-    return blocks.join(per, ["doc_id", "block_seq"])
+    row = F.struct("block_seq", "section", "text")
+    docs = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("blocks"))
+    found = detections.withColumn("src", F.lit(1)).unionByName(mails.withColumn("src", F.lit(2)))
+    find = F.struct("src", "entity", "category", (F.col("confidence") * 100).cast("int").alias("score"))
+    own = found.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list(find)).alias("finds"))
+    joined = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    return preview_blocks(preview_rows(joined.select("doc_id", "blocks", F.coalesce("finds", F.array().cast(OWN)).alias("finds")), terms))
+
+
+OWN = "array<struct<src:int,entity:string,category:string,score:int>>"
+
+
+def preview_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The same for (doc_id, text, finds array<struct<src,entity,category,score>>): blocks are the text's lines that aren't blank, and no row leaves its task."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t, i: F.struct(i.alias("block_seq"), F.concat(F.lit("Paragraphe "), (i + 1).cast("string")).alias("section"), trim_py(t).alias("text")))
+    return preview_blocks(preview_rows(docs.select("doc_id", F.filter(lines, lambda b: b["text"] != "").alias("blocks"), "finds"), terms))
+
+
+def preview_blocks(rows: DataFrame) -> DataFrame:
+    """One row per block that has a highlight: highlights come in reading order, so each block's are neighbours."""
+
+    def runs(h: Column) -> Column:
+        opens = F.filter(F.transform(h, lambda x, i: F.when((i == 0) | (F.get(h, i - 1)["block"] != x["block"]), i)), lambda i: i.isNotNull())
+        slices = lambda o: F.transform(o, lambda i, k: F.slice(h, i + 1, F.coalesce(F.get(o, k + 1), F.size(h)) - i))
+        return let(opens, slices)
+
+    each = rows.select("doc_id", "blocks", F.explode(let(F.col("highlights"), runs)).alias("h"))
+    block = F.get("blocks", F.get("h", F.lit(0))["block"])
+    shown = F.transform("h", lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "entity", "source_entity", "placeholder", "status", "score", "category")]))
+    return each.select("doc_id", block["block_seq"].alias("block_seq"), block["section"].alias("section"), block["text"].alias("text"), shown.alias("highlights"))
 
 
 def preview_summary(previewed: DataFrame) -> DataFrame:
     return previewed.groupBy("doc_id").agg(F.sum(F.size("highlights")).alias("confirmed"), F.lit(0).cast("long").alias("uncertain"))
 
 
-def fixed_pairs(terms: dict[str, list[str]]) -> list[tuple[str, str]]:
+def fixed_pairs(spark: SparkSession, terms: dict[str, list[str]]) -> list[tuple[str, str]]:
     """Pairs of a dictionary alone, numbered as for a document that has all of it."""
-    return longest_first(merge(terms, [])[0])
+    rows = terms_table(spark, terms).select(F.struct(F.col("seq").alias("ord"), "category", "term").alias("p")).agg(F.array_sort(F.collect_list("p")).alias("p"))
+    entries = with_entries(rows.withColumn("found", F.array().cast(f"array<{FIND}>")), "p", "found")
+    pairs = entries.select(pairs_in_row(F.col("mapping")).alias("pairs")).first()["pairs"]
+    return [(p["original"], p["placeholder"]) for p in pairs]

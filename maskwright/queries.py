@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .functions.masking import mask_exact, mask_fixed
+from .functions.masking import longest_first, mask_exact, mask_fixed
 from .operators import entities as E
 from .operators import images as I
 from .operators import matching as M
@@ -18,7 +18,8 @@ from .streaming import batch as B
 
 #: The dictionary of the queries: whole words of the four languages of the texts.
 TERMS = {"autres": ["pour", "dans", "avec", "que"], "lieux": ["und", "ist"], "personnes": ["the", "los"]}
-PAIRS = A.fixed_pairs(TERMS)
+#: Their placeholders, numbered by label, the longest term first.
+PAIRS = longest_first([(t, f"[{X.LABELS[c]}_{n}]") for c, ts in TERMS.items() for n, t in enumerate(ts, 1)])
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -106,7 +107,7 @@ r AS (SELECT k.doc_id, string_agg(coalesce(mark, tok), '' ORDER BY k.i) AS maske
 SELECT d.doc_id, CASE WHEN d.text = '' THEN '' ELSE masked END AS masked FROM documents d LEFT JOIN r USING (doc_id)""")
 def q_email_mask(spark, d):
     """Addresses numbered by document and replaced, each document with its own pairs."""
-    return docs(spark, d).select("doc_id", A.mask_emails("text").alias("masked"))
+    return A.mask_emails(docs(spark, d)).select("doc_id", "masked")
 
 
 @register(r"""
@@ -239,44 +240,80 @@ def q_restore_roundtrip(spark, d):
     return back.select("doc_id", F.md5(F.lower("restored")).alias("text_md5"), left.alias("words_left"), (F.col("text").rlike(words) & (F.col("masked") != F.col("text"))).alias("masked"))
 
 
-@register()
+_NAMED_LINES = rf"""
+raw AS (SELECT doc_id, regexp_replace(filename, '\.[^.]*$', '') AS head, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') AS a FROM {_NAMED}),
+line AS (SELECT doc_id, unnest(list_append(a, head)) AS t, unnest(range(len(a) + 1)) AS i FROM raw),
+named AS (SELECT doc_id, i, trim(t, '▁ ') AS entity FROM line WHERE len(string_split_regex(t, '\s+')) BETWEEN 1 AND 3
+  AND len(list_filter(string_split_regex(t, '\s+'), lambda w: regexp_matches(w, '^\p{{L}}') AND NOT regexp_matches(w, '^\p{{Lu}}'))) = 0 AND len(list_filter(string_split_regex(t, '\s+'), lambda w: regexp_matches(w, '^\p{{L}}'))) > 0),
+entity AS (SELECT doc_id, i, entity FROM named WHERE length(entity) >= {E.LEAST_LENGTH} AND lower(entity) NOT IN ({", ".join(map(repr, E.NOT_NAMES))})
+  AND upper(entity) NOT IN ({", ".join(map(repr, E.ACRONYMS))}) AND (contains(entity, ' ') OR NOT regexp_matches(entity, '^\p{{Ll}}')))"""
+_TERM_ROWS = ", ".join(f"({k}, '{c}', '{t}', '{X.LABELS[c]}')" for k, (c, t) in enumerate((c, t) for c, ts in TERMS.items() for t in ts))
+_PLAN = rf"""
+WITH term(ord, category, term, lab) AS (VALUES {_TERM_ROWS}), {_NAMED_LINES},
+body AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY i) AS text FROM line GROUP BY 1),
+word AS (SELECT DISTINCT doc_id, unnest({_WORDS}) AS w FROM body),
+present AS (SELECT doc_id, ord, category, term, lab FROM word JOIN term ON w = term),
+mail AS (SELECT doc_id, unnest(m) AS entity, unnest(range(len(m))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_MAIL}') AS m FROM body)),
+claim AS (SELECT doc_id, 0 AS src, ord AS i, term AS original, category, lab, 'project' AS source FROM present
+  UNION ALL SELECT doc_id, 1, i, entity, 'personnes', 'PERSONNE', 'ai' FROM entity UNION ALL SELECT doc_id, 2, i, entity, 'mails', 'MAIL', 'ai' FROM mail),
+first AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(original) ORDER BY src, i) AS n FROM claim),
+mapped AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY src, i) AS seq, '[' || lab || '_' || row_number() OVER (PARTITION BY doc_id, lab ORDER BY src, i)::VARCHAR || ']' AS mark FROM first WHERE n = 1),
+pair AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(original) DESC, seq) AS ord FROM mapped),
+place AS (SELECT doc_id, 0 AS which, text AS t FROM raw UNION ALL SELECT doc_id, 1, head FROM raw),
+part AS (SELECT place.doc_id, which, t, ord, mark, length(original) AS len, unnest(list_transform(string_split(lower(t), lower(original)), lambda x: length(x))) AS gap, unnest(range(len(string_split(lower(t), lower(original))))) AS k
+  FROM place JOIN pair USING (doc_id) WHERE contains(lower(t), lower(original))),
+found AS (SELECT *, sum(gap) OVER w + k * len AS s, count(*) OVER (PARTITION BY doc_id, which, ord) AS parts FROM part WINDOW w AS (PARTITION BY doc_id, which, ord ORDER BY k)),
+hit AS (SELECT doc_id, which, t, ord, mark, s::BIGINT AS s, (s + len)::BIGINT AS e FROM found WHERE k + 1 < parts
+  AND NOT regexp_matches(substr(t, s::BIGINT, (s > 0)::BIGINT), '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(substr(t, (s + len + 1)::BIGINT, 1), '[\p{{L}}\p{{N}}]')),
+kept AS (SELECT * FROM hit WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = hit.doc_id AND h.which = hit.which AND h.ord < hit.ord AND h.s < hit.e AND h.e > hit.s)),
+cut AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id, which ORDER BY s), 0) AS before, row_number() OVER (PARTITION BY doc_id, which ORDER BY s DESC) = 1 AS final FROM kept),
+done AS (SELECT doc_id, which, string_agg(substr(t, before + 1, s - before) || mark || CASE WHEN final THEN substr(t, e + 1) ELSE '' END, '' ORDER BY s) AS masked FROM cut GROUP BY 1, 2)"""
+
+
+@register(_PLAN + """
+SELECT raw.doc_id, coalesce(a.masked, text) AS masked, coalesce(b.masked, head) || '.docx' AS masked_name,
+  coalesce((SELECT string_agg(original || '>' || mark || '>' || rtrim(category, 's') || '>' || source || '>' || CASE source WHEN 'project' THEN '100' ELSE '' END, '|' ORDER BY seq) FROM mapped WHERE mapped.doc_id = raw.doc_id), '') AS mapping
+FROM raw LEFT JOIN done a ON a.doc_id = raw.doc_id AND a.which = 0 LEFT JOIN done b ON b.doc_id = raw.doc_id AND b.which = 1""")
 def q_anonymize_documents(spark, d):
     """The whole plan over texts: detector, addresses and dictionary, numbered, replaced in text and name."""
     out = A.anonymize_texts(named(docs(spark, d)), TERMS)
-    return out.select("doc_id", "masked", "masked_name", F.to_json("mapping").alias("mapping"))
+    entry = lambda e: F.concat_ws(">", e["original"], e["placeholder"], e["type"], e["source"], F.coalesce(e["confidence"].cast("string"), F.lit("")))
+    return out.select("doc_id", "masked", "masked_name", F.array_join(F.transform("mapping", entry), "|").alias("mapping"))
 
 
-@register()
+@register(rf"""
+WITH {_NAMED_LINES.replace("unnest(list_append(a, head)) AS t, unnest(range(len(a) + 1)) AS i FROM raw", "trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t, i, off + length(x) - length(ltrim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS off FROM (SELECT *, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))").replace("SELECT doc_id, i, trim", "SELECT doc_id, i, off, t, trim").replace("SELECT doc_id, i, entity FROM named", "SELECT doc_id, i, off, t, entity FROM named")}
+SELECT doc_id, entity, 'personnes' AS category, off::INT AS "start", (off + length(t))::INT AS "end", 0.999::DOUBLE AS confidence
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(entity) ORDER BY off) AS n FROM entity) WHERE n = 1""")
 def q_fake_ner(spark, d):
     """Detections of the deterministic stand-in, filtered."""
-    import pyarrow as pa
-
-    schema = pa.schema([("doc_id", pa.int64()), ("entity", pa.string()), ("category", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())])
-
-    def work(batches):
-        for b in batches:
-            rows = [(i, x["entity"], x["category"], x["start"], x["end"], x["confidence"]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in E.detect(t or "", E.line_names, set())]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    return docs(spark, d).select("doc_id", "text").mapInArrow(work, "doc_id long, entity string, category string, start int, end int, confidence double")
+    found = E.with_spans(docs(spark, d).select("doc_id", "text"), "text", E.line_names)
+    rows = E.with_detections(found.withColumn("known", F.array().cast("array<string>")), "spans", "known")
+    return rows.select("doc_id", F.explode("detections").alias("d")).select("doc_id", "d.*")
 
 
 _EVENTS = "(SELECT event_id, user_id, CASE event_id % 5 WHEN 0 THEN 'PER' WHEN 1 THEN 'B-ORG' WHEN 2 THEN 'I-LOC' WHEN 3 THEN 'MISC' ELSE 'DATE' END AS label, event_type AS entity, (event_id % 10) / 10.0::DOUBLE AS c FROM events)"
 
 
 @register(f"""
-WITH e AS (SELECT * FROM {_EVENTS} WHERE label IN ('PER', 'B-ORG', 'I-LOC') AND c >= 0.5), f AS (SELECT user_id, event_id, upper(entity) AS entity, c FROM e WHERE length(entity) >= 3),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(entity) ORDER BY c DESC, event_id) AS n FROM f)
-SELECT user_id AS doc_id, entity, c AS confidence, (event_id * 1000)::BIGINT AS "start" FROM r WHERE n = 1""")
+WITH e AS (SELECT *, upper(entity) || CASE WHEN event_id % 3 = 0 THEN '' ELSE (event_id % 3)::VARCHAR END AS name, (event_id % 50) * 6 AS s FROM {_EVENTS}),
+f AS (SELECT * FROM e WHERE label IN ('PER', 'B-ORG', 'I-LOC') AND c >= 0.5 AND length(name) >= 3 AND lower(name) NOT IN (SELECT DISTINCT lower(event_type) FROM events WHERE event_id % 7 = 0 AND event_type LIKE 'c%')),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, lower(name) ORDER BY c DESC, event_id) AS n FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, event_id) AS k FROM r WHERE n = 1),
+w AS (WITH RECURSIVE w AS (SELECT user_id, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS kept FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT o.user_id, o.k, CASE WHEN len(list_filter(taken, lambda t: t < s + 9 AND t + 9 > s)) = 0 THEN list_append(taken, s) ELSE taken END,
+    CASE WHEN len(list_filter(taken, lambda t: t < s + 9 AND t + 9 > s)) = 0 THEN event_id END FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1) SELECT * FROM w WHERE kept IS NOT NULL)
+SELECT o.user_id AS doc_id, name AS entity, c AS confidence, s::BIGINT AS "start" FROM w JOIN o ON o.user_id = w.user_id AND o.event_id = w.kept""")
 def q_ner_filters(spark, d):
-    """Column filters over detections taken from the event log, one for each user and name."""
-    name = F.when(F.col("event_id") % 5 == 0, "PER").when(F.col("event_id") % 5 == 1, "B-ORG").when(F.col("event_id") % 5 == 2, "I-LOC").when(F.col("event_id") % 5 == 3, "MISC").otherwise("DATE")
-    rows = read(spark, d, "events").select(
-        F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.upper("event_type").alias("entity"), name.alias("label"),
-        (F.col("event_id") * 1000).alias("start"), (F.col("event_id") * 1000 + 9).alias("end"), ((F.col("event_id") % 10) / F.lit(10.0)).alias("confidence"),
-    )
-    return E.filter_detections(rows).select("doc_id", "entity", "confidence", "start")
+    """Column filters over detections taken from the event log, whose spans overlap, without known terms: the surest of each user and name, and of spans."""
+    k = F.col("event_id")
+    name = F.when(k % 5 == 0, "PER").when(k % 5 == 1, "B-ORG").when(k % 5 == 2, "I-LOC").when(k % 5 == 3, "MISC").otherwise("DATE")
+    entity = F.concat(F.upper("event_type"), F.when(k % 3 == 0, "").otherwise((k % 3).cast("string")))
+    start = (k % 50) * 6
+    events = read(spark, d, "events")
+    rows = events.select(F.col("user_id").alias("doc_id"), k.alias("seq"), entity.alias("entity"), name.alias("label"), start.alias("start"), (start + 9).alias("end"), ((k % 10) / F.lit(10.0)).alias("confidence"))
+    known = events.filter((k % 7 == 0) & F.col("event_type").like("c%")).select(F.col("event_type").alias("term"))
+    return E.filter_detections(rows, known).select("doc_id", "entity", "confidence", "start")
 
 
 @register(r"""
@@ -287,30 +324,39 @@ def q_span_split(spark, d):
     return docs(spark, d).select("doc_id", F.explode(X.split_on_newlines(F.col("text"), F.lit(0))).alias("p")).select("doc_id", "p.entity", "p.start")
 
 
-@register()
+@register("""
+WITH RECURSIVE l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE length(text) > 1500)),
+n AS (SELECT doc_id, i, (length(line) + 1)::BIGINT AS n, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) = '' AS blank FROM l),
+r AS (SELECT doc_id, i, n AS size, 0::BIGINT AS off, n AS total, blank FROM n WHERE i = 0
+  UNION ALL SELECT r.doc_id, n.i, CASE WHEN size > 0 AND size + n > 1500 THEN n ELSE size + n END, CASE WHEN size > 0 AND size + n > 1500 THEN total ELSE off END, total + n,
+    CASE WHEN size > 0 AND size + n > 1500 THEN n.blank ELSE r.blank AND n.blank END FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + 1),
+c AS (SELECT doc_id, off, max(total) - off AS size, arg_max(blank, i) AS blank, off = max(off) OVER (PARTITION BY doc_id) AS final FROM r GROUP BY doc_id, off)
+SELECT doc_id, off::INT AS "offset", size::INT AS size FROM c WHERE NOT (final AND blank) UNION ALL SELECT doc_id, 0::INT, length(text)::INT FROM documents WHERE length(text) <= 1500""")
 def q_chunking(spark, d):
-    import pyarrow as pa
-
-    schema = pa.schema([("doc_id", pa.int64()), ("offset", pa.int32()), ("size", pa.int32())])
-
-    def work(batches):
-        for b in batches:
-            rows = [(i, at, len(c)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for c, at in E.chunks(t or "")]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    """Paragraphs packed into chunks of 1500 characters for a model."""
+    rows = docs(spark, d).select("doc_id", F.explode(X.chunk_spans(F.col("text"))).alias("c"))
+    return rows.select("doc_id", F.col("c.start").alias("offset"), (F.col("c.end") - F.col("c.start")).alias("size"))
 
-    return docs(spark, d).select("doc_id", "text").mapInArrow(work, "doc_id long, offset int, size int")
 
-
-@register()
+@register(r"""
+WITH l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a)))::INT AS block_seq FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+g AS (SELECT doc_id, block_seq, regexp_extract_all(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]') AS a FROM l),
+t AS (SELECT doc_id, block_seq, unnest(a) AS tok, unnest(range(len(a))) AS i FROM g),
+p AS (SELECT *, coalesce(sum(length(tok)) OVER w, 0)::INT AS s, lead(tok) OVER v AS t1, lead(tok, 2) OVER v AS t2, lower(tok) IN ('the', 'of') AS art, lag(tok) OVER v AS b1, lower(lag(tok, 2) OVER v) IN ('the', 'of') AS b2 FROM t
+  WINDOW w AS (PARTITION BY doc_id, block_seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY doc_id, block_seq ORDER BY i)),
+a AS (SELECT *, sum((NOT coalesce(b1 = ' ' AND b2, false))::INT) OVER (PARTITION BY doc_id, block_seq ORDER BY i) AS run FROM p WHERE art),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block_seq, run ORDER BY i) % 2 = 1 AS first FROM a),
+h AS (SELECT doc_id, block_seq, s, CASE WHEN t1 = ' ' AND regexp_full_match(coalesce(t2, ''), '\p{L}+') THEN tok || ' ' || t2 ELSE tok END AS entity FROM b WHERE first),
+o AS (SELECT doc_id, block_seq, s, tok AS entity FROM p WHERE regexp_full_match(tok, '\p{L}{7,}'))
+SELECT doc_id, block_seq, s AS "start", (s + length(entity))::INT AS "end", entity FROM h
+UNION ALL SELECT doc_id, block_seq, s, (s + length(entity))::INT, entity FROM o WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = o.doc_id AND h.block_seq = o.block_seq AND h.s <= o.s AND h.s + length(h.entity) > o.s)""")
 def q_overlap_greedy(spark, d):
     """Longest-first choice among overlapping highlights of words and of the words with their neighbour."""
     pattern = r"(?i)(?<![\p{L}\p{N}_])(?:the|of)(?: \p{L}+)?(?![\p{L}\p{N}_])"
     single = r"(?i)(?<![\p{L}\p{N}_])\p{L}{7,}(?![\p{L}\p{N}_])"
     both = F.concat(X.positions(F.col("text"), F.lit(pattern)), X.positions(F.col("text"), F.lit(single)))
-    spans = F.transform(F.slice(both, F.lit(1), F.size(both)), lambda h, i: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["entity"].alias("entity"), F.lit(100).alias("score"), i.alias("seq")))
-    lines = blocks(docs(spark, d)).withColumn("text", F.col("text"))
-    return lines.select("doc_id", "block_seq", F.explode(X.greedy_spans(spans, X.by_length_then_score)).alias("h")).select("doc_id", "block_seq", "h.start", "h.end", "h.entity")
+    spans = F.transform(both, lambda h, i: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["entity"].alias("entity"), F.lit(100).alias("score"), i.alias("seq")))
+    return blocks(docs(spark, d)).select("doc_id", "block_seq", F.explode(X.greedy_spans(spans, X.by_length_then_score)).alias("h")).select("doc_id", "block_seq", "h.start", "h.end", "h.entity")
 
 
 @register(f"""
@@ -440,11 +486,10 @@ def q_preview_summary(spark, d):
 
 def _preview(spark, d):
     """Dictionary words, long words as a detector's finds, and addresses."""
-    body = docs(spark, d)
-    found = lambda names, category, score: body.select("doc_id", F.explode(names).alias("entity"), F.lit(category).alias("category"), F.lit(score).alias("confidence"))
-    long_words = found(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{13,}"), F.lit(0))), "entreprises", 0.875)
-    mails = found(F.transform(X.emails(F.col("text")), lambda x: x["entity"]), "mails", 1.0)
-    return A.preview(blocks(body), terms_df(spark), long_words, mails)
+    own = lambda src, names, category, score: F.transform(names, lambda e: F.struct(F.lit(src).alias("src"), e.alias("entity"), F.lit(category).alias("category"), F.lit(score).alias("score")))
+    long_words = own(1, F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{13,}"), F.lit(0))), "entreprises", 87)
+    mails = own(2, F.transform(X.emails(F.col("text")), lambda x: x["entity"]), "mails", 100)
+    return A.preview_documents(docs(spark, d).select("doc_id", "text", F.concat(long_words, mails).alias("finds")), terms_df(spark))
 
 
 @register(_PREVIEW + """SELECT doc_id, block_seq, 'Paragraphe ' || (block_seq + 1)::VARCHAR AS section, "start", "end", entity, source_entity, category, score, placeholder, 'confirmed' AS status FROM preview""")
@@ -452,20 +497,18 @@ def q_preview(spark, d):
     return _preview(spark, d).select("doc_id", "block_seq", "section", F.explode("highlights").alias("h")).select("doc_id", "block_seq", "section", "h.*")
 
 
-@register()
+@register("""
+WITH n AS (SELECT s_nationkey, s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' Nord' ELSE ' Sud' END AS name, s_suppkey % 2 AS side FROM supplier),
+g AS (SELECT s_nationkey, side, max(length(name)) AS len, min(CASE WHEN side = 0 THEN name END) AS north, min(name) AS first FROM n GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY len DESC, first) AS k FROM g)
+SELECT n.s_nationkey, name AS original, '[ENTREPRISE_' || k::VARCHAR || ']' AS placeholder, 'entreprise' AS type, 'project' AS source, 100::INT AS confidence FROM n JOIN r ON n.s_nationkey = r.s_nationkey AND n.side = r.side""")
 def q_merge_entities(spark, d):
-    """Variant groups and placeholders of each nation's supplier names."""
-    import json
-
-    import pandas as pd
-
-    rows = read(spark, d, "supplier").select("s_nationkey", F.concat("s_name", F.lit(" "), F.element_at(F.array(F.lit("Nord"), F.lit("Sud")), (F.col("s_suppkey") % 2 + 1).cast("int"))).alias("name"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs, mapping = E.merge({"entreprises": sorted(pdf["name"])}, [])
-        return pd.DataFrame({"s_nationkey": [pdf["s_nationkey"].iloc[0]], "pairs": [json.dumps(pairs)], "mapping": [json.dumps(mapping)]})
-
-    return rows.groupBy("s_nationkey").applyInPandas(work, "s_nationkey int, pairs string, mapping string")
+    """Variant groups and placeholders of each nation's supplier names: those that share their last word are one."""
+    name = F.concat("s_name", F.lit(" "), F.element_at(F.array(F.lit("Nord"), F.lit("Sud")), (F.col("s_suppkey") % 2 + 1).cast("int")))
+    per = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(name)).alias("names"))
+    present = F.transform("names", lambda n, i: F.struct(i.cast("long").alias("ord"), F.lit("entreprises").alias("category"), n.alias("term")))
+    rows = E.with_entries(per.withColumn("present", present).withColumn("found", F.array().cast(f"array<{A.FIND}>")), "present", "found")
+    return rows.select("s_nationkey", F.explode("mapping").alias("e")).select("s_nationkey", "e.*")
 
 
 @register(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'docx' WHEN doc_id % 3 = 1 THEN 'pptx' END AS file_type FROM documents")

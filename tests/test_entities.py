@@ -1,48 +1,132 @@
 """Detection, grouping, merging, numbering and matching."""
 
+import os
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from maskwright.functions import text as X
+
 from maskwright.operators import entities as E
 from maskwright.operators import matching as M
 from maskwright.plans import anonymize as A
 
 
-def test_names_across_lines():
-    found = E.detect("Hélène\nETTAHAR\nPierre CAYET\nEmmanuelle MAILLOT", E.line_names, set())
-    assert [d["entity"] for d in found] == ["Hélène", "ETTAHAR", "Pierre CAYET", "Emmanuelle MAILLOT"]
-    assert E.detect("Hélène\nETTAHAR", E.line_names, {"hélène"})[0]["entity"] == "ETTAHAR"
+def detected(spark, text, detector, known=()):
+    df = spark.createDataFrame([(text, list(known))], "text string, known array<string>")
+    return E.with_detections(E.with_spans(df, "text", detector), "spans", "known").first()["detections"]
+
+
+def entries(spark, terms, found):
+    present = [(k, c, t) for k, (c, t) in enumerate((c, t) for c, ts in terms.items() for t in ts)]
+    df = spark.createDataFrame([(present, found)], f"p {A.PRESENT}, f array<{A.FIND}>")
+    r = E.with_entries(df, "p", "f").withColumn("pairs", E.pairs_in_row(F.col("mapping"))).first()
+    return [tuple(p) for p in r["pairs"]], r["mapping"]
+
 
+def groups(spark, lists):
+    rows = [([(k, "c", t) for k, t in enumerate(ts)],) for ts in lists]
+    df = spark.createDataFrame(rows, f"p {A.PRESENT}").withColumn("i", F.monotonically_increasing_id()).repartition(1)
+    return [[g["members"] for g in r["groups"]] for r in E.with_variant_groups(df, "p").orderBy("i").collect()]
 
-def test_filters_and_overlap():
+
+def test_names_across_lines(spark):
+    text = "Hélène\nETTAHAR\nPierre CAYET\nEmmanuelle MAILLOT"
+    found = detected(spark, text, E.line_names)
+    assert [d["entity"] for d in found] == ["Hélène", "ETTAHAR", "Pierre CAYET", "Emmanuelle MAILLOT"] and all(text[d["start"] : d["end"]] == d["entity"] for d in found)
+    assert detected(spark, "Hélène\nETTAHAR", E.line_names, ["hélène"])[0]["entity"] == "ETTAHAR"
+
+
+def test_filters_and_overlap(spark):
     def detector(text):
         return [("B-PER", 0, 4, 0.9), ("PER", 0, 11, 0.95), ("MISC", 12, 16, 1.0), ("ORG", 17, 20, 0.9), ("LOC", 21, 26, 0.4), ("ORG", 27, 32, 0.8)]
 
     text = "Jean Dupont Word DSI Paris lower"
-    assert [(d["entity"], d["category"]) for d in E.detect(text, detector, set())] == [("Jean Dupont", "personnes")]
+    assert [(d["entity"], d["category"]) for d in detected(spark, text, detector)] == [("Jean Dupont", "personnes")]
 
 
-def test_chunks():
-    assert E.chunks("a" * 1500) == [("a" * 1500, 0)]
-    long = "b" * 1600
-    parts = E.chunks("x\n" + long + "\ny\n" + "z" * 1000 + "\n" + "w" * 600)
-    assert [len(c) for c, _ in parts] == [2, 1601, 1003, 601] and [o for _, o in parts] == [0, 2, 1603, 2606]
-    text = "\n".join("p" * random.Random(k).randrange(400) for k in range(50))
-    assert "".join(c for c, _ in E.chunks(text)) == text + "\n" and all((text + "\n")[o : o + len(c)] == c for c, o in E.chunks(text))
+def test_detector_is_loaded_once_and_fed_batches(spark, tmp_path):
+    class Counting:
+        """A model that writes a line when it is loaded and one for each call, and finds all words of four letters."""
 
+        name = "counting"
 
-def test_variant_groups():
-    assert E.variant_groups(["Dupont", "Jean Dupont", "J. Dupont", "ACME", "La Poste", "LaPoste"]) == [["Jean Dupont", "J. Dupont", "Dupont"], ["La Poste", "LaPoste"], ["ACME"]]
-    assert E.variant_groups(["diane", "ia"]) == [["diane", "ia"]] and E.variant_groups(["abc", "-"]) == [["abc", "-"]]
+        def __init__(self, log):
+            self.log = log
 
+        def load(self):
+            self._told("load")
+            return self
 
-def test_merge():
-    pairs, rows = E.merge({"personnes": ["Jean Dupont", "Dupont"], "autres": ["dupont"], "x": ["Zed"]}, [{"entity": "Paris", "category": "lieux"}, {"entity": " paris", "category": "lieux"}, {"entity": "Eve", "category": "personnes", "confidence": 0.777}])
+        def batch(self, texts):
+            self._told(f"batch {len(texts)}")
+            return [[("PER", m.start(), m.end(), 0.9) for m in re.finditer(r"\b[A-Z]\w{3}\b", t)] for t in texts]
+
+        def _told(self, what):
+            with open(f"{self.log}/{os.getpid()}", "a") as f:
+                f.write(what + "\n")
+
+    texts = [None, "", "Abcd efgh"] + ["x" * (40 * k) + " Wxyz\n" + "Para " * 400 + f"\nLast Pear{k}" for k in range(57)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "i int, text string").repartition(8)
+    found = E.with_spans(df, "text", Counting(str(tmp_path))).collect()
+    for r in found:
+        assert sorted(s["start"] for s in r.spans) == [m.start() for m in re.finditer(r"\b[A-Z]\w{3}\b", r.text or "")]
+        assert all(r.text[s["start"] : s["end"]] == s["entity"] for s in r.spans)
+    logs = [p.read_text().split("\n")[:-1] for p in tmp_path.iterdir()]
+    assert logs and all(log.count("load") == 1 for log in logs)
+    assert max(int(line.split()[1]) for log in logs for line in log if line.startswith("batch")) > 5
+
+
+def test_chunks(spark):
+    def packed(text):
+        out, size, at = [0], 0, 0
+        for n in (len(p) + 1 for p in text.split("\n")):
+            if size and size + n > 1500:
+                out.append(at)
+                size = 0
+            size, at = size + n, at + n
+        spans = list(zip(out, [*out[1:], at]))
+        return [(0, len(text))] if len(text) <= 1500 else spans if (text + "\n")[spans[-1][0] :].strip() else spans[:-1]
+
+    long = "b" * 1600
+    texts = ["a" * 1500, "a" * 1501, "", "x\n" + long + "\ny\n" + "z" * 1000 + "\n" + "w" * 600, long + "\n" + " " * 1400 + "\n \n", "é" * 1499 + "\n" + "q\n" * 3000]
+    texts += ["\n".join("p" * random.Random(k).randrange(400) for k in range(50)) for k in range(20)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.chunk_spans(F.col("t")).alias("c")).collect()
+    assert all([tuple(c) for c in r.c] == packed(r.t) for r in rows)
+
+
+def test_variant_groups(spark):
+    lists = [["Dupont", "Jean Dupont", "J. Dupont", "ACME", "La Poste", "LaPoste"], ["diane", "ia"], ["abc", "-"], []]
+    assert groups(spark, lists) == [[["Jean Dupont", "J. Dupont", "Dupont"], ["La Poste", "LaPoste"], ["ACME"]], [["diane", "ia"]], [["abc", "-"]], []]
+
+
+def test_variant_groups_by_rounds(spark):
+    """Leaders elected one by one, on random lists."""
+    rng = random.Random(4)
+    words = ["jean", "Paul", "le", "Roux", "d'or", "x", "de la", "Saint-Paul", "ROUX", "ab"]
+    lists = [[" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(12))] for _ in range(60)]
+    tight = lambda t: re.sub("[ '-]", "", t.lower())
+    both = lambda a, b: a in b or b in a
+    near = lambda a, b: both(a.lower(), b.lower()) or both(tight(a), tight(b)) or any(len(w) > 2 for w in set(a.lower().split()) & set(b.lower().split()))
+    for got, terms in zip(groups(spark, lists), lists):
+        left, want = sorted(dict.fromkeys(terms), key=lambda t: -len(t)), []
+        while left:
+            want.append([t for t in left if t == left[0] or near(left[0], t)])
+            left = [t for t in left if t not in want[-1]]
+        assert got == want
+
+
+def test_merge(spark):
+    pairs, rows = entries(spark, {"personnes": ["Jean Dupont", "Dupont"], "autres": ["dupont"], "x": ["Zed"]}, [("Paris", "lieux", None), (" paris", "lieux", None), ("Eve", "personnes", 0.777), ("DUPONT", "personnes", None)])
     assert pairs == [("Jean Dupont", "[PERSONNE_1]"), ("Dupont", "[PERSONNE_1]"), ("Paris", "[LIEU_1]"), ("Zed", "[SENSIBLE_1]"), ("Eve", "[PERSONNE_2]")]
     assert [(r["original"], r["type"], r["source"], r["confidence"]) for r in rows][-2:] == [("Paris", "lieux", "ai", None), ("Eve", "personne", "ai", 77)]
-    _, rows = E.merge(None, [{"entity": x, "category": "personnes"} for x in ("Hélène", "ETTAHAR", "Pierre CAYET", "Hélène")])
+    _, rows = entries(spark, {}, [(x, "personnes", None) for x in ("Hélène", "ETTAHAR", "Pierre CAYET", "Hélène")])
     assert len({r["placeholder"] for r in rows}) == len(rows) == 3
+    # a later group of a member that was claimed takes its placeholder and hands it on
+    _, rows = entries(spark, {"a": ["Roux"], "b": ["roux vif", "Roux"], "c": ["roux vif", "Kim"]}, [])
+    assert [(r["original"], r["placeholder"]) for r in rows] == [("Roux", "[SENSIBLE_1]"), ("roux vif", "[SENSIBLE_1]"), ("Roux", "[SENSIBLE_1]"), ("roux vif", "[SENSIBLE_1]"), ("Kim", "[SENSIBLE_2]")]
 
 
 def test_column_filters_equal_python(spark):
@@ -81,6 +165,7 @@ def test_presence_quirk_and_joins(spark):
     docs = spark.createDataFrame([(1, "Synthese_LaPoste_mois"), (2, "la LaPoste!"), (3, None), (4, "a - b")], "doc_id long, text string")
     terms = spark.createDataFrame([("LaPoste", "autres"), ("-", "autres")], "term string, category string")
     assert {(r.doc_id, r.term) for r in M.present_terms(docs, terms).collect()} == {(2, "LaPoste"), (4, "-")}
+    assert M.present_terms(docs.limit(0), terms).count() == 0 and M.present_terms(docs, terms.limit(0)).count() == 0
     blocks = docs.withColumn("block_seq", F.lit(0))
     assert [(r.doc_id, r.start, r.end) for r in M.term_highlights(blocks, terms.limit(1)).collect()] == [(2, 3, 10)]
 
@@ -105,3 +190,60 @@ def test_preview(spark):
     r = A.preview(blocks, terms, found, none).collect()
     assert len(r) == 1 and [(h.start, h.entity, h.placeholder) for h in r[0].highlights] == [(0, "La Poste", "[ENTREPRISE_1]"), (12, "Paul", "[PERSONNE_1]"), (19, "La Poste", "[ENTREPRISE_1]")]
     assert A.preview_summary(A.preview(blocks, terms, found, none)).first().confirmed == 3
+
+
+@pytest.mark.parametrize("letters", [None, 40])
+def test_many_terms_in_one_pass(spark, monkeypatch, letters):
+    """All places of all terms, as each term's own pattern has them, with repeated and null ids, in one automaton or several."""
+    if letters:
+        monkeypatch.setattr(M, "MOST_LETTERS", letters)
+    rng = random.Random(6)
+    words = ["ab", "AB", "Ab cd", "cd", "é", "É", "x_y", "y", "-", "a.b", "İx", "straße", "ſ"]
+    terms = [(w, "c") for w in dict.fromkeys([*words, "ab cd ab", "cd-x", "S"])]
+    docs = [(rng.choice([None, 1, 2]), "".join(rng.choice(words) + rng.choice([" ", "", "-", "_", "."]) for _ in range(rng.randrange(14)))) for _ in range(120)]
+    docs += [(7, "ab cd ab cd ab"), (7, "ab cd ab cd ab"), (None, None), (3, "")]
+    df = spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, block_seq int").repartition(3)
+    got = M.term_highlights(df, spark.createDataFrame(terms, "term string, category string")).collect()
+    same = lambda t: re.compile(rf"(?<!\\w){re.escape(M.folded(t))}(?!\\w)".replace("\\\\", "\\"))
+    want = [(i, m.start(), m.end(), t[m.start() : m.end()], w) for i, t in docs if t for w, _ in terms for m in same(w).finditer(M.folded(t))]
+    assert sorted((r.doc_id, r.start, r.end, r.entity, r.source_entity) for r in got if r.doc_id) == sorted(x for x in want if x[0])
+    assert len(got) == len(want) and len(want) > 200
+
+
+def test_a_long_dictionary(spark):
+    terms = spark.range(100_000).select(F.concat(F.lit("term"), "id").alias("term"), F.lit("c").alias("category"))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("a TERM"), F.col("id") * 7, F.lit(" term1x, term99999.")).alias("text"))
+    got = M.present_terms(docs, terms)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.term) for r in got.collect()) == sorted(x for k in range(300) for x in ((k, f"term{7 * k}"), (k, "term99999")))
+
+
+def test_first_places():
+    text = "abcabcd" * 3
+    few, many = ["cd", "abc", "x"], ["cd", "abc", "x", "d", "bcd", "a", "ca", "abcabcd", "abc", "q", ""]
+    assert sorted(M.first_places(text, few)) == [(0, 1), (5, 0)]
+    assert sorted(M.first_places(text, many)) == sorted((text.find(p), k) for k, p in enumerate(many) if p and p in text)
+
+
+def test_known_terms_and_overlaps(spark):
+    rows = [(1, 0, "Ann Lee", "PER", 0, 7, 0.9), (1, 1, "Lee Corp", "ORG", 4, 12, 0.95), (1, 2, "ann lee", "PER", 50, 57, 0.7), (1, 3, "Rome", "LOC", 20, 24, 0.9), (2, 0, "Rome", "LOC", 0, 4, 0.8)]
+    df = spark.createDataFrame(rows, "doc_id int, seq int, entity string, label string, start int, end int, confidence double")
+    known = spark.createDataFrame([(1, "ROME")], "doc_id int, term string")
+    assert sorted((r.doc_id, r.entity) for r in E.filter_detections(df, known).collect()) == [(1, "Lee Corp"), (2, "Rome")]
+    assert sorted((r.doc_id, r.entity) for r in E.filter_detections(df, known.select("term")).collect()) == [(1, "Lee Corp")]
+
+
+def test_fixed_pairs_and_merged_terms(spark):
+    assert A.fixed_pairs(spark, {"lieux": ["Rome", "La Rochelle"], "autres": ["x"]}) == [("La Rochelle", "[LIEU_1]"), ("Rome", "[LIEU_2]"), ("x", "[SENSIBLE_1]")]
+    assert A.merged_terms({"a": ["x", "y", "x"]}, {"a": ["y", "z"], "b": [], "c": ["w"]}) == {"a": ["x", "y", "z"], "c": ["w"]}
+
+
+def test_plan_with_confirmed_finds(spark):
+    """Sources in order: dictionary, detector, addresses, confirmed; confidence under the limit is left out; repeated rows are planned each."""
+    detector = lambda t: [("PER", t.find("Zoé"), t.find("Zoé") + 3, 0.6), ("ORG", t.find("Acme"), t.find("Acme") + 4, 0.9)] if "Zoé" in t else []
+    docs = [(1, "Zoé Acme La Poste z@x.fr Kim", [("kim", "personnes", 0.42), ("acme", "lieux", None)]), (1, "Zoé Acme La Poste z@x.fr Kim", None), (None, None, None)]
+    df = spark.createDataFrame(docs, f"doc_id long, text string, ok array<{A.FIND}>")
+    got = A.with_mapping(df, "text", {"entreprises": ["Poste", "La Poste"]}, detector, "ok", auto_confirm_all=False).collect()
+    told = [[(e["original"], e["placeholder"], e["source"], e["confidence"]) for e in r["mapping"]] for r in got]
+    first = [("La Poste", "[ENTREPRISE_1]", "project", 100), ("Poste", "[ENTREPRISE_1]", "project", 100), ("Acme", "[ENTREPRISE_2]", "ai", None), ("z@x.fr", "[MAIL_1]", "ai", None)]
+    assert told == [[*first, ("kim", "[PERSONNE_1]", "ai", 42)], first, []]

@@ -64,9 +64,16 @@ def docx():
     })
 
 
-def test_pptx_round_trip():
+def anonymized(spark, content, name, terms, detector=A.line_names):
+    files = spark.createDataFrame([("1", name, name[-4:], bytearray(content))], "doc_id string, filename string, file_type string, content binary")
+    r = A.anonymize_files(files, terms, detector).first()
+    assert (r.status, r.error) == ("done", None)
+    return bytes(r.content), r.masked_name, r.mapping
+
+
+def test_pptx_round_trip(spark):
     source = pptx()
-    out, name, rows = A.anonymize_file(source, "matrice.pptx", None, A.line_names)
+    out, name, rows = anonymized(spark, source, "matrice.pptx", None)
     text = " ".join(t for _, t in O.text_blocks(O.Package(out)))
     assert len({r["placeholder"] for r in rows if r["source"] == "ai"}) == 4 and name == "matrice.pptx"
     assert not any(n in text for n in ("Hélène", "ETTAHAR", "CAYET", "MAILLOT"))
@@ -83,10 +90,10 @@ def test_paragraph_order():
     assert O._draw_text(p) == "La [ENTREPRISE_1] gère [LIEU_2] et [LIEU_1]" and tags[0] == "pPr" and tags[-1] == "endParaRPr" and set(tags[1:-1]) == {"r"}
 
 
-def test_docx_blocks_and_rewrite():
+def test_docx_blocks_and_rewrite(spark):
     pkg = O.Package(docx())
     assert O.text_blocks(pkg) == [("Paragraphe 1", "Chez LaPoste SA"), ("Paragraphe 3", "jean@x.fr"), ("Tableau 1 — Cellule (1,1)", "Ann\nLee"), ("En-tête", "LaPoste tête")]
-    out, name, rows = A.anonymize_file(docx(), "LaPoste_x.docx", {"entreprises": ["LaPoste"]}, lambda t: [])
+    out, name, rows = anonymized(spark, docx(), "LaPoste_x.docx", {"entreprises": ["LaPoste"]}, lambda t: [])
     new = O.Package(out)
     assert [t for _, t in O.text_blocks(new)] == ["Chez [ENTREPRISE_1] SA", "[MAIL_1]", "Ann\nLee", "[ENTREPRISE_1] tête"]
     assert name == "LaPoste_x.docx" or name == "[ENTREPRISE_1]_x.docx"

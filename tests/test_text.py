@@ -116,17 +116,23 @@ def test_masking_is_native(spark):
         assert r.m == (None if r.text is None else mask(r.text, ordered))
 
 
-def test_term_join_keeps_texts_in_place(spark):
-    from maskwright.operators import matching as M
-
-    docs = spark.createDataFrame([(1, "a C++ b, la poste."), (2, "--"), (3, None)], "doc_id long, text string")
-    terms = spark.createDataFrame([("x", "La Poste"), ("x", "C++"), ("y", "--"), ("y", "absent")], "category string, term string")
-    found = M.present_terms(docs, terms)
-    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
-    small = sorted((r.doc_id, r.term) for r in found.collect())
-    M.MOST_TERMS, old = 1, M.MOST_TERMS
-    try:
-        large = sorted((r.doc_id, r.term) for r in M.present_terms(docs, terms).collect())
-    finally:
-        M.MOST_TERMS = old
-    assert small == large == [(1, "C++"), (1, "La Poste"), (2, "--")]
+def test_own_pairs_are_replaced_natively(spark):
+    """Each row's own pairs, in their order, without a Python node, as the plain form does; long texts are cut in windows."""
+    rng = random.Random(2)
+    words = ["ab", "AB", "abc", "é", "x9", "_", "-", " ", "ab cd", "cd", ".", "ab-cd", "🙂", "\n"]
+    text = lambda n: "".join(rng.choice(words) for _ in range(n))
+    some = [("ab", "[A_1]"), ("ab cd", "[A_2]"), ("É", "[A_3]"), ("cd", "[B_1]"), ("x9", "[B_2]"), ("ab-cd", "[B_3]"), ("-", "[B_4]"), ("B CD", "[B_5]"), (".", "$1"), ("cd ab", "\\")]
+    rows = [(text(rng.randrange(30)), rng.sample(some, rng.randrange(1, 6))) for _ in range(300)]
+    rows += [(text(4000), some), (None, some), ("ab", None), ("ab", []), ("", some), ("ab", [("", "x")]), ("A B C D", [("B C D", "[2]"), ("A B", "[1]")]), ("Jean, personne", [("personne", "[2]"), ("Jean", "[PERSONNE_1]")]), ("the the", [("the", "[1]")])]
+    df = spark.createDataFrame(rows, f"text string, pairs {K.PAIRS}").withColumn("m", K.mask_exact(F.col("text"), F.col("pairs")))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        pairs = [tuple(p) for p in r.pairs or [] if p["original"]]
+        assert r.m == (r.text if r.text is None else K.mask(r.text, pairs))
+
+
+def test_placeholders_in_a_row(spark):
+    rows = [([("b", "personnes"), ("a", "lieux"), ("b", "lieux"), ("c", "personnes"), ("d", "odd"), ("e", "autres"), (None, "mails")],), ([],)]
+    df = spark.createDataFrame(rows, "v array<struct<k:string,c:string>>")
+    got = [r["_marks"] for r in X.with_numbers(df, "v", lambda x: x["k"], lambda x: x["c"]).collect()]
+    assert got == [["[PERSONNE_1]", "[LIEU_1]", "[PERSONNE_1]", "[PERSONNE_2]", "[SENSIBLE_1]", "[SENSIBLE_2]", "[MAIL_1]"], []]
