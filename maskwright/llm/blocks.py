@@ -13,8 +13,8 @@ from .common import open_fs, rows_to_batch, save
 #: UTF-8 bytes of text in a block; one document may exceed it and then fills a block alone.
 BLOCK_BYTES = 8 << 20
 
-INDEX = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("n_bytes", pa.int64())])
-INDEX_SQL = "doc_id long, block long, offset long, length long, n_bytes long"
+INDEX = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("n_bytes", pa.int64()), ("mark", pa.int64())])
+INDEX_SQL = "doc_id long, block long, offset long, length long, n_bytes long, mark long"
 
 
 def block_uri(where: str, block: int) -> str:
@@ -24,7 +24,7 @@ def block_uri(where: str, block: int) -> str:
 def write_blocks(docs: DataFrame, where: str, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Write every text as a compressed frame of a block file; return and save the index of them.
 
-    Each attempt of a task names its files anew and the index, committed once, names those that
+    ``mark`` is a hash of the text, which tells texts of one id apart. Each attempt of a task names its files anew and the index, committed once, names those that
     count. Null text is empty; callers keep rows without an id apart.
     """
 
@@ -43,7 +43,7 @@ def write_blocks(docs: DataFrame, where: str, id_col: str = "doc_id", text: str
             return rows_to_batch(INDEX, list(zip(*rows)))
 
         for batch in batches:
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, body, mark in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 if doc_id is None:
                     raise ValueError(f"{id_col} is null")
                 data = (body.as_py() or "").encode("utf-8")
@@ -51,13 +51,13 @@ def write_blocks(docs: DataFrame, where: str, id_col: str = "doc_id", text: str
                     yield close()
                     rows, parts, raw, size, block = [], [], 0, 0, uuid.uuid4().int >> 65
                 packed = press.compress(data)
-                rows.append((doc_id, block, size, len(packed), len(data)))
+                rows.append((doc_id, block, size, len(packed), len(data), mark))
                 parts.append(packed)
                 raw, size = raw + len(data), size + len(packed)
         if rows:
             yield close()
 
-    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("mark"))
     return save(body.mapInArrow(work, INDEX_SQL), where + "/index")
 
 

@@ -66,6 +66,14 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -160,8 +160,8 @@ def frequency_slots(docs: DataFrame, width: int, slots: int, text: str = "text")
     return out.reshape(-1)
 
 
-SIGNS = pa.schema([("doc_id", pa.int64()), ("class_key", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("minima", pa.list_(pa.int64()))])
-SIGNS_SQL = "doc_id long, class_key binary, n long, prefix array<long>, parts array<int>, minima array<long>"
+SIGNS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("class_key", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("minima", pa.list_(pa.int64()))])
+SIGNS_SQL = "doc_id long, mark long, class_key binary, n long, prefix array<long>, parts array<int>, minima array<long>"
 
 
 def signatures(docs: DataFrame, slots: np.ndarray, width: int, percent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,15 +173,16 @@ def signatures(docs: DataFrame, slots: np.ndarray, width: int, percent: int, id_
         count = spread.value
         for batch in batches:
             rows = []
-            for doc_id, s in zip(batch.column(0).to_pylist(), _sets(batch.column(1), width)):
+            for doc_id, mark, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _sets(batch.column(1), width)):
                 n = len(s)
                 if not n:
-                    rows.append((doc_id, None, 0, [], [], []))
+                    rows.append((doc_id, mark, None, 0, [], [], []))
                     continue
                 length = n - least_overlap(n, percent) + 1
                 by = np.lexsort((s, count[(s & _U(len(count) - 1)).astype(np.int64)]))[:length]
                 rows.append((
                     doc_id,
+                    mark,
                     hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
                     n,
                     s[by].view(np.int64),
@@ -191,7 +192,7 @@ def signatures(docs: DataFrame, slots: np.ndarray, width: int, percent: int, id_
             if rows:
                 yield rows_to_batch(SIGNS, list(zip(*rows)))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, SIGNS_SQL)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("mark")).mapInArrow(work, SIGNS_SQL)
 
 
 def verified(pairs: DataFrame, refs: DataFrame, blocks: str, width: int, percent: int) -> DataFrame:
@@ -234,7 +235,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     verified once. A link inside a component already found would change nothing, so none that matters is lost.
 
     Null and empty texts have 0 shingles and link with nothing, not even each other; their class_id is their own id. Repeated rows give
-    repeated rows. A row without an id takes no part: its ids are null. A set is that of the whole text, however long; an empty table gives no rows; other
+    repeated rows, and texts that share an id are told apart. A row without an id takes no part: its ids are null. A set is that of the whole text, however long; an empty table gives no rows; other
     columns, whatever their names, are not read. n-grams are compared by 64-bit hash within a pair.
     """
     spark = docs.sparkSession
@@ -245,14 +246,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     slots = frequency_slots(body, width, slots_for(total))
     signs = save(signatures(body, slots, width, percent), where + "/signs")
     told = signs.filter("n > 0 and doc_id is not null")
-    of_class = save(told.groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), where + "/classes")
+    # a class is named by a number, as texts of one id may be of several classes; its least document and that text's hash find the text
+    grouped = told.groupBy("class_key").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    of_class = save(grouped.select("class_key", F.monotonically_increasing_id().alias("rep"), F.col("first.doc_id").alias("least_id"), F.col("first.mark").alias("mark"), "copies"), where + "/classes")
     keyed = signs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_key")).alias("class_key"), "n")
-    members = save(join_commonest(keyed, of_class, "class_key", "copies", "doc_id").drop("class_key"), where + "/members")
-    first = told.join(of_class.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "class_key"])
+    members = save(join_commonest(keyed, of_class.select("class_key", "rep", "least_id", "copies"), "class_key", "copies", "doc_id").drop("class_key"), where + "/members")
+    named = of_class.select(F.col("least_id").alias("doc_id"), "mark", "rep")
+    first = told.join(named, ["doc_id", "mark"]).dropDuplicates(["rep"])
     # below this size a set links with equal sets only
     least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1)) if percent < 100 else 10_000
-    reps = save(first.filter(F.col("n") >= least).select(F.col("doc_id").alias("rep"), "n", "prefix", "parts", "minima"), where + "/reps")
-    reps_refs = refs.select("doc_id", "block", "offset", "length").dropDuplicates(["doc_id"])
+    reps = save(first.filter(F.col("n") >= least).select("rep", "n", "prefix", "parts", "minima"), where + "/reps")
+    met_refs = refs.select("doc_id", "mark", "block", "offset", "length").join(named, ["doc_id", "mark"]).dropDuplicates(["rep"])
+    reps_refs = save(met_refs.select(F.col("rep").alias("doc_id"), "block", "offset", "length"), where + "/refs")
 
     keys = reps.select("rep", F.posexplode("minima").alias("k", "value")).select("rep", F.xxhash64("k", "value").alias("key"))
     leaders = save(keys.groupBy("key").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1"), where + "/leaders")
@@ -290,14 +295,17 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         pairs = save(pairs.join(seen, ["a", "b"], "left_anti"), f"{where}/pairs-{turn}")
         links = links.unionByName(save(verified(pairs, reps_refs, where + "/blocks", width, percent), f"{where}/links-{turn}"))
         seen = seen.unionByName(pairs)
-    final = save(connected_components(links, where + "/second"), where + "/final")
+    final = save(connected_components(links, where + "/second").select(F.col("node").alias("rep"), "component"), where + "/final")
+    inside = save(final.join(of_class.select("rep", "least_id"), "rep"), where + "/inside")
+    least_of = save(inside.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members")), where + "/least")
+    placed = save(join_commonest(inside, least_of, "component", "members", "rep").select("rep", "component_id"), where + "/placed")
     of_turns = [f"{name}-{turn}" for name in ("before", "known", "met", "pairs", "links") for turn in TURNS]
-    for name in ("signs", "classes", "leaders", "tried", "reps", "early", *of_turns, "blocks"):
+    for name in ("signs", "classes", "leaders", "tried", "reps", "early", "refs", "inside", "least", *of_turns, "blocks"):
         remove(spark, f"{where}/{name}")
-    out = members.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    out = members.join(placed, "rep", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "rep", "doc_id").alias("component_id"),
-        F.coalesce("rep", "doc_id").alias("class_id"),
+        F.coalesce("component_id", "least_id", "doc_id").alias("component_id"),
+        F.coalesce("least_id", "doc_id").alias("class_id"),
     )

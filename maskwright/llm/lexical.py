@@ -18,9 +18,11 @@ from .common import open_fs, partitions, rows_to_batch, save, shared_dir
 #: Production parameters: documents returned for an item.
 K = 20
 #: UTF-8 bytes of text in a shard; one document may exceed it and then closes its shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Shards that a block of items meets one after another, handing on the k-th best score; items of a block.
 GROUP, ITEMS = 16, 128
+#: Shards that a task holds in memory.
+HELD = 6
 #: The ranking, in whole numbers: a term's share is SCALE * tf div (1000 * tf + SATURATION * m), with m = LEAST + (SLOPE * n * N) div L.
 SCALE, SATURATION, SLOPE, LEAST = 1_000_000_000, 12, 25, 75
 
@@ -40,20 +42,34 @@ def share(tf: np.ndarray, n: np.ndarray, docs: int, total: int) -> np.ndarray:
     return (SCALE * tf) // (1000 * tf + SATURATION * m)
 
 
-def build_shard(ids: list[int | None], texts: list[list[bytes]]) -> dict[str, np.ndarray]:
+class Filling:
+    """A shard being filled: terms get numbers when first met, so a text is held as its numbers and never as its terms."""
+
+    def __init__(self):
+        self.ids: list[int | None] = []
+        self.known: dict[bytes, int] = {}
+        self.numbers: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, doc_id: int | None, words: list[bytes]) -> None:
+        known = self.known
+        self.ids.append(doc_id)
+        self.numbers.append(np.fromiter((known.setdefault(t, len(known)) for t in words), np.int32, len(words)))
+        self.size += sum(map(len, words)) + len(words)
+
+
+def build_shard(filling: Filling) -> dict[str, np.ndarray]:
     """Inverted lists of documents (number in the shard, tf), by term in byte order, with what bounds each list.
 
     A list's bound needs N and L, known only later: it keeps the pairs (tf, n) that no other pair beats in both.
     """
-    known: dict[bytes, int] = {}
-    number = [[known.setdefault(t, len(known)) for t in words] for words in texts]
-    n = np.array([len(w) for w in texts], np.int64)
+    known, ids = filling.known, filling.ids
+    n = np.array([len(w) for w in filling.numbers], np.int64)
     names = sorted(known)
     rank = np.empty(len(names), np.int64)
     rank[[known[t] for t in names]] = np.arange(len(names))
-    flat = rank[np.fromiter((x for row in number for x in row), np.int64, int(n.sum()))]
-    both, tf = np.unique(flat * len(texts) + np.repeat(np.arange(len(texts)), n), return_counts=True)
-    term, doc = both // len(texts), both % len(texts)
+    both, tf = np.unique(rank[np.concatenate(filling.numbers)] * len(ids) + np.repeat(np.arange(len(ids)), n), return_counts=True)
+    term, doc = both // len(ids), both % len(ids)
     by = np.lexsort((n[doc], -tf, term))
     length = n[doc][by]
     # a running minimum that starts anew with each term: later terms lie wholly below earlier ones
@@ -194,13 +210,13 @@ def build_index(docs: DataFrame, where: str, id_col: str = "doc_id", text: str =
     def work(batches):
         fs, folder = open_fs(where)
         fs.create_dir(folder, recursive=True)
-        ids, texts, size = [], [], 0
+        filling = Filling()
 
         def close():
-            shard = build_shard(ids, texts)
+            shard = build_shard(filling)
             uri = f"{where}/{uuid.uuid4().hex}.shard"
             _write(uri, shard)
-            yield rows_to_batch(INDEX, [[uri], [len(ids)], [int(shard["n"].sum())], [None], [None]])
+            yield rows_to_batch(INDEX, [[uri], [len(filling.ids)], [int(shard["n"].sum())], [None], [None]])
             names, df = _Names(shard), np.diff(shard["starts"])
             for a in range(0, len(names), 1 << 16):
                 b = min(a + (1 << 16), len(names))
@@ -212,13 +228,11 @@ def build_index(docs: DataFrame, where: str, id_col: str = "doc_id", text: str =
                 words = terms_of(body.as_py())
                 if not words:
                     continue
-                ids.append(doc_id)
-                texts.append(words)
-                size += sum(map(len, words)) + len(words)
-                if size >= shard_bytes:
+                filling.add(doc_id, words)
+                if filling.size >= shard_bytes:
                     yield from close()
-                    ids, texts, size = [], [], 0
-        if ids:
+                    filling = Filling()
+        if filling.ids:
             yield from close()
 
     body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -290,7 +304,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = K, where: str | No
                 best = {key: (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)) for key in queries}
                 for uri in files:
                     if uri not in held:
-                        while len(held) >= GROUP:
+                        while len(held) >= HELD:
                             held.pop(next(iter(held)))
                         held[uri] = Shard(_read(uri), n_docs, total)
                     shard = held[uri]

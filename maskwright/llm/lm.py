@@ -21,9 +21,11 @@ from .common import open_fs, remove, rows_to_batch, save, shared_dir, tasks_for
 from .gru import Model, dump, initial, load
 from .jaccard import ngram_hashes
 
-#: Words that are tokens of their own, and tokens for the endings of the others: they bound the model's size.
-WORDS = 2000
+#: Words that are tokens of their own: at least so many, more with the root of the training tokens, and a bound on the model's size; and tokens for the endings of the others.
+WORDS, WORDS_BY_ROOT, MOST_WORDS = 2_000, 0.15, 65_536
 ENDINGS = 64
+#: Tokens that training takes at least: a smaller corpus is gone over again, all documents alike, up to so many times.
+LEAST_TRAINED, MOST_PASSES = 800_000, 16
 #: Rounds of training; each takes its share of the training documents, then the units' models are averaged by tokens.
 ROUNDS = 2
 #: UTF-8 bytes of text for each unit, which sets their number; a unit that grows to four times that is closed and goes on as another.
@@ -159,8 +161,17 @@ def _average(models: DataFrame, units: int) -> dict | None:
     return {k: (sum(s[k] for s in sums) / n).astype(np.float32) for k in sums[0]}
 
 
+def words_for(n: int) -> int:
+    """Words that are tokens, for so many training tokens."""
+    return max(WORDS, min(MOST_WORDS, int(WORDS_BY_ROOT * n**0.5)))
+
+
+def passes_for(n: int) -> int:
+    return max(1, min(MOST_PASSES, -(-LEAST_TRAINED // max(n, 1))))
+
+
 def lm_scores(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, rounds: int = ROUNDS, where: str | None = None, unit_bytes: int = UNIT_BYTES
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int | None = None, rounds: int = ROUNDS, where: str | None = None, unit_bytes: int = UNIT_BYTES
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -205,6 +216,7 @@ def lm_scores(
     for r in counts.groupBy("ending").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         end_n[r["ending"]], end_v[r["ending"]] = r["n"], r["v"]
     N, V = int(end_n.sum()) + train_docs, int(end_v.sum()) + (train_docs > 0)
+    words = words or words_for(N)
     top = counts.orderBy(F.desc("c"), "hash").limit(words).collect()
     top_h, top_c, top_e = (np.array([r[k] for r in top], np.int64) for k in ("hash", "c", "ending"))
     end_n = end_n - np.bincount(top_e, weights=top_c, minlength=ENDINGS).astype(np.int64)
@@ -232,7 +244,7 @@ def lm_scores(
         ends = np.cumsum(unit["sizes"])
         return [np.append(tokens[unit["slot"][ends[k] - unit["sizes"][k] : ends[k]]], end_token).astype(np.int32) for k in chosen]
 
-    for turn in range(rounds):
+    for turn in range(rounds * passes_for(N)):
         start = spark.sparkContext.broadcast(dump(params))
 
         def train_on(batches, turn=turn, start=start):
@@ -240,7 +252,7 @@ def lm_scores(
                 for row in batch.to_pylist():
                     unit = read_unit(row["file"])
                     ids = [int(i) if known else None for i, known in zip(unit["ids"], unit["known"])]
-                    chosen = [k for k, i in enumerate(ids) if fold(i) and crc(i) // 10 % rounds == turn]
+                    chosen = [k for k, i in enumerate(ids) if fold(i) and crc(i) // 10 % rounds == turn % rounds]
                     if chosen:
                         mine = sequences(unit, token_ids(unit)[0], chosen)
                         model = Model(load(start.value))

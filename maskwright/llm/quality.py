@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 from .common import WORD
 
 #: Frequent function words of English, French, Spanish and German.
@@ -146,9 +148,10 @@ def verdict(text: Column, rules=RULES) -> Column:
 def quality_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """Documents with their measures, ``base_failed`` and ``kept``.
 
-    Empty or null texts fail the base rule. Repeated rows and ids are judged row by row. Columns of
-    the input named as an added column are replaced; others pass through.
+    Empty or null texts fail the base rule; a text is measured whole, however long, and an empty table gives none. Repeated rows and ids are judged row by row. Columns of
+    the input named as an added column are replaced; others pass through, whatever their names.
     """
     added = (*MEASURES, "base_failed", "kept")
-    own = [F.col(c) for c in docs.columns if c not in added]
-    return docs.select(*own, verdict(F.col(text), rules).alias("_verdict")).select(*own, *[F.col(f"_verdict.{c}").alias(c) for c in added])
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    judged = fresh(docs, "_verdict")
+    return docs.select(*own, verdict(F.col(text), rules).alias(judged)).select(*own, *[F.col(f"{judged}.{c}").alias(c) for c in added])

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from maskwright.llm.lexical import Shard, build_shard, max_score, ranked_search, share, terms_of
+from maskwright.llm.lexical import Filling, Shard, build_shard, max_score, ranked_search, share, terms_of
 from maskwright.llm.near_vectors import BLOCK, compare, near_vectors
 from maskwright.llm.repair import Piece, Repaired, STATES, Whole, finish, repair_conversations, step
 
@@ -102,6 +102,13 @@ def test_compare_takes_a_pair_once():
     assert [v.tolist() for v in compare(2, one(0), one(1))] == [[4, 9], [5, 2], [4, 4]]
 
 
+def filled(docs):
+    filling = Filling()
+    for doc_id, words in docs:
+        filling.add(doc_id, words)
+    return build_shard(filling)
+
+
 def plain_search(docs, items, k):
     terms = [(i, terms_of(t)) for i, t in docs]
     n_docs, total = sum(bool(t) for _, t in terms), sum(len(t) for _, t in terms)
@@ -148,7 +155,7 @@ def test_search_walks_and_hands_on(searched):
     docs = [(i, t) for i, t in docs if t and terms_of(t) and i is not None]
     n_docs, total = len(docs), sum(len(terms_of(t)) for _, t in docs)
     df = Counter(w for _, t in docs for w in set(terms_of(t)))
-    shards = [Shard(build_shard([i for i, _ in part], [terms_of(t) for _, t in part]), n_docs, total) for part in (docs[a : a + 40] for a in range(0, n_docs, 40))]
+    shards = [Shard(filled([(i, terms_of(t)) for i, t in part]), n_docs, total) for part in (docs[a : a + 40] for a in range(0, n_docs, 40))]
     told = []
     for item, text in items:
         query = [(w, n * int(np.floor(1000 * np.log((2 * n_docs + 2) / (2 * df[w] + 1))))) for w, n in Counter(terms_of(text)).items() if df[w]]
@@ -165,7 +172,7 @@ def test_shard_bounds():
     """The pairs kept for a list give its greatest share, whatever N and L turn out to be."""
     rng = random.Random(8)
     texts = [[rng.choice((b"a", b"b", b"c")) for _ in range(rng.randrange(1, 40))] for _ in range(200)]
-    shard = build_shard(list(range(200)), texts)
+    shard = filled(enumerate(texts))
     for docs, total in ((200, 4000), (10**6, 10**7), (300, 10**8)):
         s = Shard(shard, docs, total)
         for term in (b"a", b"b", b"c"):
@@ -271,3 +278,50 @@ def test_step_is_composed_and_walked():
     assert arcs[0, 3] == (6, "IK") and arcs[3, 3] == (4, "D") and arcs[3, 2] == (6, "R") and arcs[1, 3] == (6, "IK")
     follow = Repaired("KIDK")
     assert [*follow.row("system", "x."), *follow.row("tool", "y"), *follow.row("assistant", "z."), *follow.inserted()] == ["system:x.", "user:", "assistant:z."]
+
+
+def test_clashing_names_everywhere(spark):
+    """Columns named as those that operators and stages use inside stay with their rows."""
+    import corpus_pipeline as P
+    from maskwright.llm.jaccard import jaccard_components
+    from maskwright.llm.quality import quality_rules
+
+    names = ("_verdict", "_cut_id", "_cut_text", "_mix_size", "_row", "row", "doc", "size", "taken", "time", "cut_id", "cut_text", "rep", "mark", "_s", "_last", "_key", "_before")
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(60)] + ["the", "and", "of", "to"] * 8
+    rows = [(k, " ".join(rng.choice(words) for _ in range(60)) + ".", "s", 0, *[f"{c}{k}" for c in names]) for k in range(12)]
+    rows.append((20, rows[3][1], "s", 0, *[f"{c}20" for c in names]))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+    judged = quality_rules(df)
+    assert judged.count() == 13 and [r._verdict for r in judged.orderBy("doc_id").select("_verdict").collect()][:2] == ["_verdict0", "_verdict1"]
+    kept = df
+    for _, stage in P.STAGES[:-1]:
+        kept = stage(spark, kept, "")
+        assert kept.columns == df.columns
+        got = kept.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+    assert jaccard_components(df).count() == 13
+
+
+def test_jaccard_texts_that_share_an_id(spark):
+    from maskwright.llm.jaccard import jaccard_components
+
+    a, b = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(80))
+    rows = [(5, a), (5, b), (7, b + " more"), (8, a + " more"), (9, "c " * 20)]
+    got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 5, 78), (5, 5, 78), (7, 5, 79), (8, 5, 79), (9, 9, 1)]
+
+
+def test_model_beats_counts_on_small_corpora(spark):
+    """Held-out text is likelier to the trained model than to word counts, on the least table too."""
+    import os
+
+    from maskwright.llm.lm import lm_scores, passes_for, words_for
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the driver's tables")
+    rows = [r for r in lm_scores(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect() if r.held_out]
+    model, base, n = (sum(getattr(r, c) for r in rows) for c in ("score", "base_score", "n_tokens"))
+    print("held out:", model / n, base / n)
+    assert model > base
+    assert (words_for(10**6), words_for(10**10), words_for(10**14)) == (2000, 15000, 65536) and (passes_for(0), passes_for(500_000), passes_for(10**9)) == (16, 2, 1)
