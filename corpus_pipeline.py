@@ -38,16 +38,16 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def with_row(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows, written once with a number each in ``_row``: ids repeat, so they don't tell rows apart."""
-    return save(docs.withColumn("_row", F.monotonically_increasing_id()), shared_dir(spark, "rows"))
+    """(doc, row): the rows as one struct each, so that no column of theirs can clash, written once with a number each: ids repeat, so they don't tell rows apart."""
+    return save(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), shared_dir(spark, "rows"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked rows one with the least id, unchanged; repeated rows are linked like other copies."""
     rows = with_row(spark, docs)
-    groups = jaccard_components(rows, SHINGLE, PERCENT, id_col="_row").select(F.col("doc_id").alias("_row"), "component_id")
-    least = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row"))
-    return rows.join(least, "_row", "left_semi").select(*docs.columns)
+    groups = jaccard_components(rows.select("row", F.col("doc.text").alias("text")), SHINGLE, PERCENT, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    least = rows.select("row", F.col("doc.doc_id").alias("doc_id")).join(groups, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row"))
+    return rows.join(least.select("row"), "row", "left_semi").select("doc.*")
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,22 +57,24 @@ def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     null text too. What a row loses depends on its id and text alone, so the cut text is found by both.
     """
     cut = suffix_dedup(docs, with_text=True).filter("n_removed > 0")
-    cut = cut.select(F.col("doc_id").alias("_cut_id"), F.col("text_sha256").alias("_cut_of"), F.col("kept_text").alias("_cut_text")).dropDuplicates(["_cut_id", "_cut_of"])
+    cut = cut.select(F.col("doc_id").alias("cut_id"), F.col("text_sha256").alias("cut_of"), F.col("kept_text").alias("cut_text")).dropDuplicates(["cut_id", "cut_of"])
+    rows = docs.select(F.struct("*").alias("doc"))
     # without the hint Spark takes the texts for as small as the references that they are read by, and broadcasts them
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_cut_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_cut_of"))
-    joined = docs.join(cut.hint("merge"), same, "left").withColumn("text", F.coalesce("_cut_text", "text", F.lit("")))
-    return counted(joined).select(*docs.columns)
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("cut_id")) & (F.sha2(F.col("doc.text").cast("binary"), 256) == F.col("cut_of"))
+    joined = rows.join(cut.hint("merge"), same, "left").select(F.col("doc").withField("text", F.coalesce("cut_text", "doc.text", F.lit(""))).alias("doc"))
+    return counted(joined.select("doc.*"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it, and a last partial time as its first words one space apart."""
     rows = with_row(spark, docs)
-    takes = mix_sources(rows, carry=("_row",)).filter("taken > 0").select("_row", F.col("size").alias("_mix_size"), F.col("taken").alias("_mix_taken"))
-    whole, rest = F.floor(F.col("_mix_taken") / F.col("_mix_size")).cast("int"), (F.col("_mix_taken") % F.col("_mix_size")).cast("int")
-    times = rows.join(takes, "_row").withColumn("_mix_time", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    text = F.when(F.col("_mix_time") <= whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest), " "))
-    return counted(times.withColumn("text", text)).select(*docs.columns)
+    flat = rows.select("row", *[F.col(f"doc.{c}").alias(c) for c in ("doc_id", "text", "source")])
+    takes = mix_sources(flat, carry=("row",)).filter("taken > 0").select("row", "size", "taken")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    times = rows.join(takes, "row").withColumn("time", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
+    words = F.filter(F.split("doc.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(F.col("time") <= whole, F.col("doc.text")).otherwise(F.array_join(F.slice(words, F.lit(1), rest), " "))
+    return counted(times.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
