@@ -269,12 +269,15 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     side = lambda df, s: df.select("gram", "major", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "pos", "n", "parts")])
     needed = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
     common = F.aggregate(F.zip_with("parts_x", "parts_y", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    links, seen = early, tried
-    for turn in TURNS:
-        before = save(connected_components(links, f"{where}/first-{turn}"), f"{where}/before-{turn}")
-        known = reps.join(before.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        known = save(known.select("rep", "n", "prefix", "parts", "component"), f"{where}/known-{turn}")
-        postings = known.select("rep", "component", F.posexplode("prefix").alias("pos", "gram"))
+    links, seen, met = early, tried, None
+    for k, turn in enumerate(TURNS):
+        before = save(connected_components(links, f"{where}/first-{turn}").withColumnRenamed("node", "rep"), f"{where}/before-{turn}")
+        component = F.coalesce("component", "rep").alias("component")
+        known = save(reps.select("rep", "n", "parts").join(before, "rep", "left").select("rep", "n", "parts", component), f"{where}/known-{turn}")
+        if met is None:
+            postings = reps.select("rep", "prefix").join(before, "rep", "left").select("rep", component, F.posexplode("prefix").alias("pos", "gram"))
+        else:  # components only grow together, so an n-gram that met one of them meets no more ever after
+            postings = met.select("gram", "rep", "pos").join(known.select("rep", "component"), "rep")
         # an n-gram's commonest component is only met by the others, so a large group with one more document costs its size and not its square
         member = F.min_by("rep", F.xxhash64("rep", "gram", F.lit(turn))).alias("member")
         by = postings.repartition(partitions(spark), "gram").groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"), member)
@@ -293,13 +296,14 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
             .distinct()
         )
         pairs = save(pairs.join(seen, ["a", "b"], "left_anti"), f"{where}/pairs-{turn}")
+        remove(spark, *[f"{where}/{name}-{t}" for name, t in (("before", turn), ("known", turn), ("met", TURNS[k - 1])) if k or name != "met"])
         links = links.unionByName(save(verified(pairs, reps_refs, where + "/blocks", width, percent), f"{where}/links-{turn}"))
         seen = seen.unionByName(pairs)
     final = save(connected_components(links, where + "/second").select(F.col("node").alias("rep"), "component"), where + "/final")
     inside = save(final.join(of_class.select("rep", "least_id"), "rep"), where + "/inside")
     least_of = save(inside.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members")), where + "/least")
     placed = save(join_commonest(inside, least_of, "component", "members", "rep").select("rep", "component_id"), where + "/placed")
-    of_turns = [f"{name}-{turn}" for name in ("before", "known", "met", "pairs", "links") for turn in TURNS]
+    of_turns = [f"{name}-{turn}" for name in ("met", "pairs", "links") for turn in TURNS]
     for name in ("signs", "classes", "leaders", "tried", "reps", "early", "refs", "inside", "least", *of_turns, "blocks"):
         remove(spark, f"{where}/{name}")
     out = members.join(placed, "rep", "left")
