@@ -73,27 +73,29 @@ def read_block(where: str, block: int, spans) -> list[bytes]:
 
 
 class Fetcher:
-    """Reads texts by reference, keeping the latest block and some parsed documents."""
+    """Reads texts by reference, keeping some open files and the latest parsed documents, as many as ``keep_bytes`` hold."""
 
-    def __init__(self, where: str, parse, keep: int = 2000):
+    def __init__(self, where: str, parse, keep_bytes: int = 32 << 20):
         import zstandard
 
-        self.where, self.parse, self.keep = where, parse, keep
+        self.where, self.parse, self.keep_bytes = where, parse, keep_bytes
         self.unpress = zstandard.ZstdDecompressor()
         self.files: dict = {}
         self.parsed: dict = {}
+        self.held = 0
 
     def get(self, block: int, offset: int, length: int):
         key = (block, offset)
         if key in self.parsed:
             return self.parsed[key]
         if block not in self.files:
-            if len(self.files) >= 32:
+            if len(self.files) >= 16:
                 self.files.pop(next(iter(self.files))).close()
             fs, path = open_fs(block_uri(self.where, block))
             self.files[block] = fs.open_input_file(path)
         value = self.parse(self.unpress.decompress(self.files[block].read_at(length, offset)))
-        if len(self.parsed) >= self.keep:
-            self.parsed.pop(next(iter(self.parsed)))
+        self.held += value.nbytes
+        while self.parsed and self.held > self.keep_bytes:
+            self.held -= self.parsed.pop(next(iter(self.parsed))).nbytes
         self.parsed[key] = value
         return value
