@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALNUM, greedy_spans, let, positions, quoted, splice, term_pattern_column
+from .text import ALNUM, bound, greedy_spans, let, pieces_of, positions, quoted, running_sum, scan, splice, term_pattern_column
 
 PAIRS = "array<struct<original:string,placeholder:string>>"
 
@@ -170,3 +170,37 @@ def segments(runs: list[str], found: list[tuple[int, int, str]]) -> list[tuple[s
         at = b
     plain(at, n)
     return out
+
+
+def with_segments(df: DataFrame, runs: str, spans: str, out: str = "segments") -> DataFrame:
+    """The rows with ``out``, array<struct<text,run>>: what ``segments`` gives for array<string> ``runs`` and the chosen ``spans`` (start, end, mark) of their joined text.
+
+    Starts of runs and spans are merged into one sorted list; the run in force and the place reached at each come from a running maximum. Every event then gives its mark, if it is a
+    span's, and the text from the place reached to the next event. Empty runs are no events. Null runs or spans count as none.
+    """
+    pos = lambda r, at: F.transform(r, lambda x, k: F.when(F.length(x) > 0, F.struct(F.get(at, k).alias("at"), k.alias("run"), F.get(at, k).alias("to"), F.lit(None).cast("string").alias("mark"))))
+    mark = lambda s: F.transform(s, lambda x: F.struct(x["start"].cast("int").alias("at"), F.lit(-1).alias("run"), x["end"].cast("int").alias("to"), x["mark"].alias("mark")))
+    further = lambda a, b: F.struct(F.greatest(a["run"], b["run"]).alias("run"), F.greatest(a["to"], b["to"]).alias("to"))
+    order = lambda a, b: F.when(a["at"] != b["at"], a["at"] - b["at"]).otherwise(b["run"] - a["run"]).cast("int")
+    none = F.array().cast("array<string>")
+    rows = df.withColumn("_runs", F.transform(F.coalesce(runs, none), lambda x: F.coalesce(x, F.lit(""))))
+    rows = rows.withColumn("_at", running_sum(F.transform("_runs", F.length)))
+    rows = rows.withColumn("_run_events", F.filter(bound(pos, "_runs", "_at"), lambda x: x.isNotNull()))
+    rows = rows.withColumn("_mark_events", F.coalesce(mark(F.col(spans)), F.slice("_run_events", F.lit(1), F.lit(0))))
+    # at one place a run begins before the span does
+    rows = rows.withColumn("_events", F.array_sort(F.concat("_run_events", "_mark_events"), order))
+    rows = rows.withColumn("_before", scan(F.transform("_events", lambda e: F.struct(e["run"].alias("run"), e["to"].alias("to"))), further, F.struct(F.lit(-1).alias("run"), F.lit(0).alias("to"))))
+    rows = rows.withColumn("_full", F.array_join("_runs", ""))
+
+    def cut_up(cut) -> Column:
+        def pieces(events: Column, before: Column, full: Column) -> Column:
+            def piece(e: Column, i: Column) -> Column:
+                run = F.greatest(F.get(before, i)["run"], e["run"])
+                start, stop = F.greatest(F.get(before, i)["to"], e["to"]), F.coalesce(F.get(events, i + 1)["at"], F.length(full))
+                return F.array(F.struct(e["mark"].alias("text"), run.alias("run")), F.struct(F.when(start < stop, cut(start, stop)).alias("text"), run.alias("run")))
+
+            return F.filter(F.flatten(F.transform(events, piece)), lambda p: p["text"].isNotNull())
+
+        return bound(pieces, "_events", "_before", "_full")
+
+    return rows.withColumn(out, pieces_of(F.col("_full"), cut_up)).drop("_runs", "_at", "_run_events", "_mark_events", "_events", "_before", "_full")

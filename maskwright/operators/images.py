@@ -119,6 +119,50 @@ def match_logos(images: DataFrame, logos: DataFrame) -> DataFrame:
     return joined.withColumn("hash_diff", diff).withColumn("status", image_status(F.col("hash_diff"), F.size("_logos") > 0)).drop("_logos")
 
 
+#: Most hashes on both sides of one task of ``match_many_logos``, on average.
+IMAGE_BLOCK, LOGO_BLOCK = 1 << 16, 1 << 13
+
+
+def match_many_logos(images: DataFrame, logos: DataFrame, image_block: int = IMAGE_BLOCK, logo_block: int = LOGO_BLOCK) -> DataFrame:
+    """``match_logos`` for projects with any number of logos: the same rows and columns, without an array of a project's logos.
+
+    Distinct hashes of a project are dealt by their own hash to parts of images and blocks of logos; each part meets each block in a task of bounded size, as numbers, and only each
+    image's least distance leaves it. At a distance of 18 in 64 bits bands can't help: by pigeonhole, four bands of 16 bits must be met within 4 bits, which one pair in seven of
+    unlike hashes does. Where a project has no logo but null ones its images are to review and have no distance; an image without a hash has none either and stays.
+    """
+    import pandas as pd
+
+    number = lambda c: F.conv(c, 16, -10).cast("long")
+    dealt = lambda n: F.pmod(F.xxhash64("_h"), n).cast("int")
+    blocks_for = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
+    rows = images.withColumn("_h", number(F.col("phash")))
+    theirs = logos.filter("project_id is not null").select("project_id", number(F.col("logo_hash")).alias("_h"))
+    have = theirs.groupBy("project_id").agg(F.count("_h").alias("_logos"))
+    mine, known = (x.filter("project_id is not null and _h is not null").select("project_id", "_h").distinct() for x in (rows, theirs))
+    count = lambda x, name: x.groupBy("project_id").agg(F.count(F.lit(1)).alias(name))
+    sizes = count(mine, "_a").join(count(known, "_b"), "project_id").select("project_id", blocks_for(F.col("_a"), image_block).alias("_parts"), blocks_for(F.col("_b"), logo_block).alias("_blocks"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = mine.join(sizes, "project_id").select("project_id", "_h", dealt(F.col("_parts")).alias("_part"), each("_blocks").alias("_block"))
+    right = known.join(sizes, "project_id").select(F.col("project_id").alias("_p"), "_h", dealt(F.col("_blocks")).alias("_b"), each("_parts").alias("_a"))
+
+    def least(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = a["_h"].to_numpy(np.int64).view(np.uint64), b["_h"].to_numpy(np.int64).view(np.uint64)
+        if not len(x) or not len(y):
+            return pd.DataFrame({"project_id": [], "_h": [], "_d": []})
+        best = np.full(len(x), 64, np.int32)
+        for at in range(0, len(x), 1024):
+            for start in range(0, len(y), 1024):
+                bits = np.bitwise_count(x[at : at + 1024, None] ^ y[None, start : start + 1024])
+                np.minimum(best[at : at + 1024], bits.min(axis=1), out=best[at : at + 1024])
+        return pd.DataFrame({"project_id": a["project_id"], "_h": a["_h"], "_d": best})
+
+    schema = T.StructType([mine.schema["project_id"], T.StructField("_h", T.LongType()), T.StructField("_d", T.IntegerType())])
+    found = left.groupBy("project_id", "_part", "_block").cogroup(right.groupBy("_p", "_a", "_b")).applyInPandas(least, schema).groupBy("project_id", "_h").agg(F.min("_d").alias("hash_diff"))
+    out = rows.join(found, ["project_id", "_h"], "left").join(have, "project_id", "left").withColumn("status", image_status(F.col("hash_diff"), F.col("_logos") > 0))
+    out = out.withColumn("status", F.when(F.col("_logos").isNull(), "review").otherwise(F.col("status")))
+    return out.select("project_id", *[c for c in images.columns if c != "project_id"], "hash_diff", "status")
+
+
 def image_counts(matched: DataFrame) -> DataFrame:
     return matched.groupBy("doc_id").agg(F.count_if(F.col("status") == "auto_remove").alias("auto_removed_count"), F.count_if(F.col("status") == "review").alias("review_count"))
 

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .functions.masking import longest_first, mask_exact, mask_fixed
+from .functions.masking import longest_first, mask_exact, mask_fixed, pair_spans, with_segments
 from .operators import entities as E
 from .operators import images as I
 from .operators import matching as M
 from .plans import anonymize as A
 from .sources import files as S
+from .sources import versions as V
 from .streaming import batch as B
+from .streaming import jobs as J
 
 #: The dictionary of the queries: whole words of the four languages of the texts.
 TERMS = {"autres": ["pour", "dans", "avec", "que"], "lieux": ["und", "ist"], "personnes": ["the", "los"]}
@@ -636,6 +638,78 @@ def q_inline_terms(spark, d):
     return t.select("doc_id", "t.manual_bad", F.col("t.manual")["autres"][0].alias("term"), F.size("t.extra").alias("n_extra"))
 
 
+_BLOCKS = SQL["blocks_split"]
+
+
+@register(rf"""
+WITH b AS ({_BLOCKS}),
+t AS (SELECT doc_id, block_seq, unnest(a) AS tok, unnest(range(len(a))) AS i FROM (SELECT doc_id, block_seq, {_TOKENS.format('text')} AS a FROM b)),
+m AS (SELECT *, CASE {" ".join(f"WHEN lower(tok) = '{a}' THEN '{b}'" for a, b in PAIRS)} END AS mark,
+  (sum(length(tok)) OVER (PARTITION BY doc_id, block_seq ORDER BY i) - length(tok))::BIGINT AS place FROM t),
+c AS (SELECT doc_id, block_seq, i, 0::BIGINT AS j, place // 7 AS run, mark AS s, true AS is_mark FROM m WHERE mark IS NOT NULL
+  UNION ALL SELECT doc_id, block_seq, i, j, (place + j) // 7, substr(tok, (j + 1)::INT, 1), false FROM (SELECT *, unnest(range(length(tok))) AS j FROM m WHERE mark IS NULL)),
+g AS (SELECT *, count(*) FILTER (is_mark) OVER (PARTITION BY doc_id, block_seq ORDER BY i, j) AS n FROM c),
+p AS (SELECT doc_id, block_seq, n, is_mark, run, string_agg(s, '' ORDER BY i, j) AS piece FROM g GROUP BY ALL)
+SELECT doc_id, block_seq, count(*)::BIGINT AS n_pieces, md5(string_agg(run::VARCHAR || ':' || piece, '|' ORDER BY n, is_mark DESC, run)) AS pieces_md5 FROM p GROUP BY 1, 2""")
+def q_run_alignment(spark, d):
+    """Paragraphs as runs of seven characters, masked: which text takes which run's format."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("original"), F.lit(b).alias("placeholder")) for a, b in PAIRS])
+    rows = blocks(docs(spark, d)).withColumn("runs", F.regexp_extract_all("text", F.lit("(?s).{1,7}"), F.lit(0))).withColumn("spans", pair_spans(F.col("text"), pairs))
+    shown = F.array_join(F.transform("segments", lambda p: F.concat(p["run"].cast("string"), F.lit(":"), p["text"])), "|")
+    return with_segments(rows, "runs", "spans").select("doc_id", "block_seq", F.size("segments").cast("long").alias("n_pieces"), F.md5(shown).alias("pieces_md5"))
+
+
+@register("""
+WITH v AS (SELECT vec_id, label, array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN '1' ELSE '0' END), '')::BIT AS b FROM embeddings),
+q AS (SELECT DISTINCT label, b FROM v WHERE vec_id % 3 = 0 AND label IS NOT NULL),
+r AS (SELECT vec_id, min(bit_count(xor(v.b, q.b)))::INT AS hash_diff FROM v LEFT JOIN q USING (label) GROUP BY 1)
+SELECT vec_id, hash_diff, CASE WHEN hash_diff IS NULL THEN 'review' WHEN hash_diff <= 8 THEN 'auto_remove' WHEN hash_diff <= 18 THEN 'review' ELSE 'keep' END AS status FROM r""")
+def q_logo_search(spark, d):
+    """As image_hamming, but a project is a label and a third of all vectors are logos."""
+    bits = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    half = lambda at: F.lpad(F.lower(F.conv(F.substring(bits, at, 32), 2, 16)), 8, "0")
+    hashed = read(spark, d, "embeddings").select("vec_id", F.col("label").alias("project_id"), F.concat(half(1), half(33)).alias("phash"))
+    logos = hashed.filter("vec_id % 3 = 0").select("project_id", F.col("phash").alias("logo_hash"))
+    return I.match_many_logos(hashed, logos).select("vec_id", "hash_diff", "status")
+
+
+@register("""
+WITH c AS (SELECT c_custkey, c_custkey::VARCHAR AS id, c_name, c_mktsegment FROM customer)
+SELECT id, CASE WHEN c_custkey % 2 = 0 THEN c_name || ' bis' ELSE c_name END AS name, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS term_count, c_name AS first_name
+FROM c WHERE c_mktsegment <> 'BUILDING'""")
+def q_client_commits(spark, d):
+    """Customers as clients in a table of versions: all saved, half of them changed, a segment deleted; each with its name of the first version."""
+    root = V.shared_folder(spark, "clients")
+    c = read(spark, d, "customer").withColumn("id", F.col("c_custkey").cast("string"))
+    terms = lambda *x: F.array(*x).alias("terms")
+    first = V.save_clients(spark, root, c.select("id", F.col("c_name").alias("name"), terms("c_mktsegment"), F.lit("2024-01-01").alias("created_at")))
+    even = c.filter("c_custkey % 2 = 0")
+    V.save_clients(spark, root, even.select("id", F.concat("c_name", F.lit(" bis")).alias("name"), terms("c_mktsegment", F.lower("c_mktsegment"), "c_name"), F.lit("2024-02-01").alias("created_at")))
+    V.rewrite(spark, root, lambda old: old.filter("terms[0] <> 'BUILDING'"))
+    before = V.read_version(spark, root, first).select("id", F.col("name").alias("first_name"))
+    return V.read_version(spark, root).join(before, "id").select("id", "name", F.size("terms").cast("long").alias("term_count"), "first_name")
+
+
+@register(f"""
+WITH j AS (SELECT user_id::VARCHAR AS job_id, {_JOB} AS s, ts FROM events),
+c AS (SELECT job_id, count(*)::BIGINT AS total, count(*) FILTER (s <> 'waiting')::BIGINT AS done, count(*) FILTER (s = 'error')::BIGINT AS errors, count(*) FILTER (s = 'skipped')::BIGINT AS skipped,
+  max(ts) + INTERVAL 3600 SECOND < (SELECT max(ts) FROM events) - INTERVAL 600 SECOND AS evicted FROM j WHERE job_id IS NOT NULL GROUP BY 1)
+SELECT *, floor(done * 100.0::DOUBLE / total + 0.5)::INT AS percent FROM c""")
+def q_job_state(spark, d):
+    """The event log as a stream of jobs, kept as state: last counts of each, and whether its timer has evicted it."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    status = F.when(F.col("event_id") % 7 == 0, "error").when(F.col("event_id") % 7 == 1, "skipped").when(F.col("event_id") % 7 == 2, "waiting").otherwise("done")
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").select(F.col("user_id").alias("job_id"), status.alias("status"), "ts")
+    # (a pattern, as a stream reads folders or patterns only) every file is taken first; those that aren't waiting are finished later
+    taken = events.withColumn("status", F.explode(F.when(F.col("status") == "waiting", F.array("status")).otherwise(F.array(F.lit("waiting"), "status"))))
+    root = V.shared_folder(spark, "jobs")
+    J.run_jobs(taken, f"{root}/out", f"{root}/state")
+    last = F.struct("done", "total")
+    rows = spark.read.schema(J.PROGRESS).parquet(f"{root}/out")
+    most = [F.max_by(c, last).alias(c) for c in ("total", "done", "errors", "skipped", "percent")]
+    return rows.groupBy("job_id").agg(*most, F.max("evicted").alias("evicted"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return Q["anonymize_documents"](spark, d)
 
