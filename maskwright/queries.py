@@ -12,6 +12,7 @@ from .functions.masking import longest_first, mask_exact, mask_fixed, pair_spans
 from .operators import entities as E
 from .operators import images as I
 from .operators import matching as M
+from .operators import variants as W
 from .plans import anonymize as A
 from .sources import files as S
 from .sources import versions as V
@@ -710,6 +711,22 @@ def q_job_state(spark, d):
     return rows.groupBy("job_id").agg(*most, F.max("evicted").alias("evicted"))
 
 
+@register(r"""
+WITH RECURSIVE t AS (SELECT p_brand, p_partkey AS ord, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || (p_partkey // 9)::VARCHAR ELSE left(p_name, 2) || '-' || (p_partkey // 4)::VARCHAR END AS term FROM part),
+n AS (SELECT p_brand, term, row_number() OVER (PARTITION BY p_brand ORDER BY length(term) DESC, min(ord)) AS k FROM t GROUP BY 1, 2),
+s AS (SELECT *, translate(lower(term), ' -', '') AS tight, list_filter(string_split(lower(term), ' '), lambda w: length(w) > 2) AS words FROM n),
+g AS (SELECT p_brand, k, term, term AS leader, [{'t': term, 'tight': tight, 'words': words}] AS leaders FROM s WHERE k = 1
+  UNION ALL SELECT p_brand, k, term, coalesce(lead, term), CASE WHEN lead IS NULL THEN list_append(leaders, {'t': term, 'tight': tight, 'words': words}) ELSE leaders END FROM (
+    SELECT s.*, g.leaders, list_filter(g.leaders, lambda l: contains(l.tight, s.tight) OR contains(s.tight, l.tight) OR list_has_any(l.words, s.words))[1].t AS lead FROM g JOIN s ON s.p_brand = g.p_brand AND s.k = g.k + 1))
+SELECT p_brand, term, leader FROM g""")
+def q_variant_leaders(spark, d):
+    """Part names and codes of each brand, grouped across rows: the leader of each spelling."""
+    key = F.col("p_partkey")
+    code = F.concat(F.left("p_name", F.lit(2)), F.lit("-"), F.floor(key / 4).cast("string"))
+    term = F.when(key % 3 == 0, F.concat("p_name", F.lit(" "), F.floor(key / 9).cast("string"))).otherwise(code)
+    return W.variant_leaders(read(spark, d, "part").select("p_brand", key.alias("ord"), term.alias("term")), ("p_brand",))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return Q["anonymize_documents"](spark, d)
 
