@@ -14,6 +14,7 @@ from .operators import images as I
 from .operators import matching as M
 from .operators import variants as W
 from .plans import anonymize as A
+from .sources import archives as Z
 from .sources import files as S
 from .sources import versions as V
 from .streaming import batch as B
@@ -727,6 +728,25 @@ def q_variant_leaders(spark, d):
     return W.variant_leaders(read(spark, d, "part").select("p_brand", key.alias("ord"), term.alias("term")), ("p_brand",))
 
 
+@register("SELECT source AS job_id, doc_id::VARCHAR || '.txt' AS name, octet_length(encode(coalesce(text, '')))::BIGINT AS size, md5(coalesce(text, '')) AS content_md5 FROM documents")
+def q_archive_members(spark, d):
+    """Documents archived by source and read back out of the archives."""
+    files = docs(spark, d).select(F.col("source").alias("job_id"), F.col("doc_id").alias("seq"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content"))
+    return Z.archive_members(Z.write_archives(files)).select("job_id", "name", "size", F.md5("content").alias("content_md5"))
+
+
+@register("""
+WITH j AS (SELECT user_id, CASE WHEN count(*) FILTER (event_id % 97 = 2) = 0 THEN 'completed' ELSE 'running' END AS status, CASE WHEN user_id % 5 > 0 THEN 'zip-' || user_id::VARCHAR END AS path FROM events GROUP BY user_id)
+SELECT c_custkey AS job_id, CASE WHEN user_id IS NULL THEN 404 WHEN status <> 'completed' THEN 400 WHEN path IS NULL THEN 500 ELSE 200 END::INT AS code,
+  CASE WHEN status = 'completed' AND path IS NOT NULL THEN 'anonymise_' || left(c_custkey::VARCHAR, 8) || '.zip' END AS file_name FROM customer LEFT JOIN j ON user_id = c_custkey""")
+def q_job_download(spark, d):
+    """A download asked for each customer's number, from jobs made of the event log: unknown, running, without an archive, or ready."""
+    status = F.when(F.count_if(F.col("event_id") % 97 == 2) == 0, "completed").otherwise("running")
+    jobs = read(spark, d, "events").groupBy(F.col("user_id").alias("job_id")).agg(status.alias("status"))
+    jobs = jobs.withColumn("path", F.when(F.col("job_id") % 5 > 0, F.concat(F.lit("zip-"), F.col("job_id").cast("string"))))
+    return Z.download(read(spark, d, "customer").select(F.col("c_custkey").alias("job_id")), jobs).select("job_id", "code", "file_name")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return Q["anonymize_documents"](spark, d)
 
