@@ -105,7 +105,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def image_status(diff: Column, any_logo: Column) -> Column:
-    return F.when(~any_logo, "review").when(diff <= AUTO_REMOVE, "auto_remove").when(diff <= REVIEW, "review").otherwise("keep")
+    """Without a logo, or without a distance because the picture can't be read, it is for a person to see."""
+    return F.when(~any_logo | diff.isNull(), "review").when(diff <= AUTO_REMOVE, "auto_remove").when(diff <= REVIEW, "review").otherwise("keep")
 
 
 def match_logos(images: DataFrame, logos: DataFrame) -> DataFrame:

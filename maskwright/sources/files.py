@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import re
 import zipfile
 
@@ -11,7 +10,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import distinct_terms, file_type, slug, trim_py
 
@@ -39,7 +37,7 @@ def office_files(spark: SparkSession, path: str, streaming: bool = False) -> Dat
 
 
 def _parsed(df: DataFrame, schema: str, pick) -> DataFrame:
-    """Rows that ``pick(package)`` makes of each supported file, one file in memory at a time; a bad file gives none."""
+    """Rows that ``pick(package)`` makes of each supported file, one file in memory at a time; a bad file gives none, and a row of ``unreadable``."""
     from .ooxml import Package
 
     arrow_schema = df.sparkSession.createDataFrame([], schema).schema
@@ -51,7 +49,7 @@ def _parsed(df: DataFrame, schema: str, pick) -> DataFrame:
             for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
                     rows = [(doc_id, k, *row) for k, row in enumerate(pick(Package(content.as_py())))]
-                except (zipfile.BadZipFile, KeyError, SyntaxError, AttributeError):
+                except (zipfile.BadZipFile, KeyError, SyntaxError, AttributeError, TypeError):
                     rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows), target)], names=names)
@@ -59,6 +57,24 @@ def _parsed(df: DataFrame, schema: str, pick) -> DataFrame:
     return df.filter("file_type is not null").select(F.col("doc_id").cast("string"), "content").mapInArrow(work, schema)
 
 
+def unreadable(files: DataFrame) -> DataFrame:
+    """(doc_id, error) of the files of a supported type that ``text_blocks`` and the others get no rows from because they are damaged; the null file among them."""
+    from . import ooxml
+
+    def work(batches):
+        for batch in batches:
+            bad = []
+            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    ooxml.text_blocks(ooxml.Package(content.as_py()))
+                except (zipfile.BadZipFile, KeyError, SyntaxError, AttributeError, TypeError) as e:
+                    bad.append((doc_id, f"{type(e).__name__}: {e}"))
+            if bad:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*bad)], names=["doc_id", "error"])
+
+    return files.filter("file_type is not null").select(F.col("doc_id").cast("string"), "content").mapInArrow(work, "doc_id string, error string")
+
+
 def text_blocks(files: DataFrame) -> DataFrame:
     from . import ooxml
 
@@ -72,16 +88,15 @@ def alt_texts(files: DataFrame) -> DataFrame:
 
 
 def images(files: DataFrame) -> DataFrame:
-    """One row per shown picture with its hash, size and bytes; pictures that can't be read are left out."""
+    """One row per shown picture with its hash, size and bytes; a picture that can't be read has a null hash, one without a known header null sizes."""
     from . import ooxml
     from ..operators.images import perceptual_hash
 
     def rows(pkg):
         for where, layer, part in ooxml.images(pkg):
             data = pkg.parts[part]
-            size, phash = ooxml.image_size(data), perceptual_hash(data)
-            if size and phash:
-                yield where, layer, part, size[0], size[1], phash, data
+            width, height = ooxml.image_size(data) or (None, None)
+            yield where, layer, part, width, height, perceptual_hash(data), data
 
     return _parsed(files, "doc_id string, idx int, location string, source_layer string, part string, width int, height int, phash string, content binary", rows)
 
@@ -218,11 +233,3 @@ def write_files(outputs: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(sizes, pa.int64())], names=["name", "bytes"])
 
     return outputs.select("name", "content").mapInArrow(work, "name string, bytes long")
-
-
-def mapping_schema() -> T.StructType:
-    return T.StructType.fromDDL(MAPPING_SCHEMA)
-
-
-def dump(obj) -> str:
-    return json.dumps(obj, ensure_ascii=False, indent=2)

@@ -5,6 +5,7 @@ import struct
 import zipfile
 
 from maskwright.sources import archives as Z
+from maskwright.sources import files as S
 
 FILES = "job_id string, seq long, name string, content binary"
 
@@ -47,6 +48,15 @@ def test_numbers_beyond_four_gigabytes(tmp_path):
     assert struct.unpack("<I", Z.end_records(70_000, 10, 10)[:4])[0] == Z.END64 and len(Z.end_records(3, 10, 10)) == 22
 
 
+def test_damaged_files_have_a_row(spark):
+    good = b"PK\x05\x06" + bytes(18)
+    rows = [("bad", "docx", b"no package"), ("none", "docx", None), ("text", None, b"no package"), ("hollow", "pptx", good)]
+    files = spark.createDataFrame(rows, "doc_id string, file_type string, content binary")
+    errors = {r["doc_id"]: r["error"] for r in S.unreadable(files).collect()}
+    assert {"bad", "none"} <= set(errors) and "text" not in errors and errors["bad"].startswith("BadZipFile")
+    assert S.text_blocks(files).count() == 0 and S.images(files).count() == 0
+
+
 def test_download_answers(spark):
     jobs = spark.createDataFrame([("0123456789", "completed", "p"), ("run", "running", None), ("lost", "completed", None), ("odd", None, "p")], "job_id string, status string, path string")
     asked = spark.createDataFrame([(j,) for j in ("0123456789", "run", "lost", "odd", "none", None)], "job_id string")
