@@ -17,8 +17,8 @@ from .components import connected_components
 #: Slots of the frequency table by which n-grams are ordered: one for so many bytes of text, within these bounds; 4 bytes each in every Python worker.
 SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS = 512, 1 << 18, 1 << 22
 CHUNK = 1 << 14
-#: Hash ranges by which the suffix filter parts a set.
-PARTS = 16
+#: Hash ranges by which the suffix filter parts a set, a power of two: with few of them, elements that differ hide in one range.
+PARTS = 64
 #: Independent minima by which likely links are tried first.
 MINIMA = 4
 #: Passes of the prefix join: with one member of an n-gram's commonest component each, and at last with all.
@@ -160,8 +160,8 @@ def frequency_slots(docs: DataFrame, width: int, slots: int, text: str = "text")
     return out.reshape(-1)
 
 
-SIGNS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("class_key", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int32())), ("minima", pa.list_(pa.int64()))])
-SIGNS_SQL = "doc_id long, mark long, class_key binary, n long, prefix array<long>, parts array<int>, minima array<long>"
+SIGNS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("class_key", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int16())), ("minima", pa.list_(pa.int64()))])
+SIGNS_SQL = "doc_id long, mark long, class_key binary, n long, prefix array<long>, parts array<smallint>, minima array<long>"
 
 
 def signatures(docs: DataFrame, slots: np.ndarray, width: int, percent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,6 +179,7 @@ def signatures(docs: DataFrame, slots: np.ndarray, width: int, percent: int, id_
                     rows.append((doc_id, mark, None, 0, [], [], []))
                     continue
                 length = n - least_overlap(n, percent) + 1
+                parts = np.bincount((s >> _U(65 - PARTS.bit_length())).astype(np.int64), minlength=PARTS)
                 by = np.lexsort((s, count[(s & _U(len(count) - 1)).astype(np.int64)]))[:length]
                 rows.append((
                     doc_id,
@@ -186,7 +187,7 @@ def signatures(docs: DataFrame, slots: np.ndarray, width: int, percent: int, id_
                     hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
                     n,
                     s[by].view(np.int64),
-                    np.bincount((s >> _U(60)).astype(np.int64), minlength=PARTS).astype(np.int32),
+                    parts.astype(np.int16) if parts.max() < 1 << 15 else None,  # none: the suffix filter lets such a set pass
                     [int(_mix(s * t).min().view(np.int64)) for t in turns],
                 ))
             if rows:
@@ -291,7 +292,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
             .filter((F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("major")) | (F.col("rep_x") < F.col("rep_y"))))
             .filter(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
             .filter(F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= needed)
-            .filter(common >= needed)
+            .filter(F.coalesce(common >= needed, F.lit(True)))
             .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
             .distinct()
         )
