@@ -51,6 +51,15 @@ def bound(body, *columns: str) -> Column:
     return let(F.struct(*columns), lambda b: body(*[b[c] for c in columns]))
 
 
+def exploded(df: DataFrame, keep: tuple[str, ...], items: Column | str, name: str = "e", pos: str = "_pos") -> DataFrame:
+    """``keep`` and one row for each element of ``items``, with its place.
+
+    Of a plain explode Spark infers a filter on the array's size, pushes it below all projections and so works out the array, with all that it is made of, once more.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias(pos, name))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def scan(values: Column, combine, zero: Column, levels: int = 3, width: int = 16) -> Column:
     """``combine`` of all elements before each, by position, without shuffles.
 
@@ -80,9 +89,9 @@ def running_sum(values: Column) -> Column:
 
 def firsts(items: Column, key) -> Column:
     """The first element of each key, in order: sorted by key, neighbours compared, sorted back."""
-    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
     first = let(keyed, lambda s: F.filter(s, lambda x, j: (j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"])))
-    return F.transform(F.array_sort(F.transform(first, lambda x: x["i"])), lambda i: F.get(items, i))
+    return F.transform(F.sort_array(F.transform(first, lambda x: x["i"])), lambda i: F.get(items, i))
 
 
 def positions(text: Column, pattern: Column) -> Column:
@@ -274,13 +283,13 @@ def with_numbers(df: DataFrame, items: str, key, category, out: str = "_marks")
     first = lambda s, n, b: F.transform(s, lambda x, j: F.when(F.get(n, j) == 1, F.struct(x["i"].alias("i"), F.get(b, j).alias("g"), x["l"].alias("l"))))
     of_label = lambda f: F.transform(names, lambda name: F.transform(F.filter(f, lambda x: x["l"] == name), lambda x, n: F.struct(x["g"].alias("g"), F.format_string("[%s_%d]", name, n + 1).alias("m"))))
     steps = [
-        ("_s", F.array_sort(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), label(category(x)).alias("l"))))),
+        ("_s", F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), label(category(x)).alias("l"))))),
         ("_n", bound(new, "_s")),
         ("_b", running_sum(F.col("_n"))),
         ("_g", bound(lambda n, b: F.transform(b, lambda x, j: x + F.get(n, j) - 1), "_n", "_b")),
-        ("_f", F.array_sort(F.filter(bound(first, "_s", "_n", "_b"), lambda x: x.isNotNull()))),
-        ("_m", F.transform(F.array_sort(F.flatten(bound(of_label, "_f"))), lambda x: x["m"])),
-        (out, F.transform(F.array_sort(bound(lambda s, m, g: F.transform(s, lambda x, j: F.struct(x["i"].alias("i"), F.get(m, F.get(g, j)).alias("m"))), "_s", "_m", "_g")), lambda x: x["m"])),
+        ("_f", F.sort_array(F.filter(bound(first, "_s", "_n", "_b"), lambda x: x.isNotNull()))),
+        ("_m", F.transform(F.sort_array(F.flatten(bound(of_label, "_f"))), lambda x: x["m"])),
+        (out, F.transform(F.sort_array(bound(lambda s, m, g: F.transform(s, lambda x, j: F.struct(x["i"].alias("i"), F.get(m, F.get(g, j)).alias("m"))), "_s", "_m", "_g")), lambda x: x["m"])),
     ]
     for name, value in steps:
         df = df.withColumn(name, value)

@@ -266,3 +266,31 @@ def test_mentions_are_tokens_as_in_sql(spark):
     assert [(texts[r[0]], r) for r in got if r not in want] == [] == [(texts[r[0]], r) for r in want if r not in got]
     assert got == want
     assert got[:3] == [(0, "the.los@mail.example.com", "mails"), (0, ".the@x.com", "mails"), (1, "a@b.com", "mails")]
+
+
+def test_owners_of_shared_and_long_groups(spark):
+    """Groups with members claimed before take that claim; long groups that share nothing cost their length."""
+    import time
+
+    def model(groups):
+        known, of = {}, []
+        for g in groups:
+            of.append(next((known[m.lower().strip()] for m in g if m.lower().strip() in known), len(of)))
+            known.update({m.lower().strip(): of[-1] for m in g})
+        return of
+
+    rng = random.Random(3)
+    rows = [[[rng.choice(["a", "A", "b ", "c", "d", "E", "f", "g"]) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(0, 7))] for _ in range(200)]
+    shape = "i int, g array<struct<category:string,members:array<string>>>"
+    df = lambda rows: spark.createDataFrame([(i, [("c", g) for g in r]) for i, r in enumerate(rows)], shape)
+    assert [r[0] for r in df(rows).orderBy("i").select(E.owners(F.col("g"))).collect()] == [model(r) for r in rows]
+    began = time.time()
+    assert df([[[f"n{i} x" for i in range(600)], [f"s{i} y" for i in range(600)]]]).select(E.owners(F.col("g")).alias("o")).first()["o"] == [0, 1]
+    assert time.time() - began < 20
+
+
+def test_exploded_works_out_its_array_once(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "i int, t string")
+    rows = X.exploded(df.withColumn("words", F.split("t", " ")), ("i",), "words")
+    assert [tuple(r) for r in rows.orderBy("i", "_pos").collect()] == [(1, 0, "a"), (1, 1, "b"), (3, 0, "c")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
