@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,13 +109,25 @@ def _with_column(batch: pa.RecordBatch, rows: list[list[tuple]]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[*batch.schema.names, "_hits"])
 
 
+#: Bytes of rows whose hits are Python objects at one time.
+PART = 2 << 20
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``PART`` bytes, so that what Python makes of its rows doesn't grow with the rows that a batch may have."""
+    rows = max(1, PART * batch.num_rows // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _each(df: DataFrame, texts: str, hits_of: Callable[[pa.RecordBatch], Iterator[list[tuple]]]) -> DataFrame:
     """The rows with ``_hits``, array of ``HIT``: what ``hits_of`` gives for each row of a batch."""
     schema = T.StructType([*df.schema.fields, T.StructField("_hits", T._parse_datatype_string(f"array<{HIT}>"))])
 
     def work(batches):
         for batch in batches:
-            yield _with_column(batch, list(hits_of(batch)))
+            for part in parts_of(batch):
+                yield _with_column(part, list(hits_of(part)))
 
     return df.mapInArrow(work, schema)
 
@@ -124,11 +137,12 @@ def _blocks(value) -> list[str]:
     return [] if v is None else [v] if isinstance(v, str) else [x or "" for x in v]
 
 
-def with_hits(df: DataFrame, terms: DataFrame, text: str = "text", underscore_joins: bool = True) -> DataFrame:
+def with_hits(df: DataFrame, terms: DataFrame, text: str = "text", underscore_joins: bool = True, also: Callable[[pa.RecordBatch], Iterator[list[tuple]]] | None = None) -> DataFrame:
     """The rows with ``_hits``: every match of every term (term, category[, seq]) in ``text``, a string or an array of blocks.
 
     The dictionary goes to every task as one automaton of at most ``MOST_LETTERS`` letters; a longer one in parts, each a further pass over the same rows. Rows stay what they are
-    and where they are: repeated rows, null texts and null ids all keep their own hits. ``ord`` is the term's place in the dictionary.
+    and where they are: repeated rows, null texts and null ids all keep their own hits. ``ord`` is the term's place in the dictionary. ``also`` gives further hits of each row, found in the
+    same pass, so that rows meet one Python worker and not two.
     """
     body = terms.select("term", "category", (F.col("seq") if "seq" in terms.columns else F.monotonically_increasing_id()).cast("long").alias("seq")).filter("term <> ''")
     letters = body.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
@@ -138,14 +152,15 @@ def with_hits(df: DataFrame, terms: DataFrame, text: str = "text", underscore_jo
         rows = (body.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part) if parts > 1 else body).collect()
         spread = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r["term"], r["category"], r["seq"]) for r in rows), key=lambda r: r[2])))
 
-        def hits_of(batch, spread=spread):
+        def hits_of(batch, spread=spread, also=also if not part else None):
             token, entries = spread.value
             if token not in _BUILT:
                 _BUILT.clear()
                 _BUILT[token] = Finder(entries, underscore_joins)
             finder = _BUILT[token]
-            for value in batch.column(text):
-                yield [(b, a, z, t[a:z], entries[k][0], entries[k][1], 100, 0, a, entries[k][2]) for b, t in enumerate(_blocks(value)) for a, z, k in finder(t)]
+            more = also(batch) if also else repeat(())
+            for value, own in zip(batch.column(text), more):
+                yield [*((b, a, z, t[a:z], entries[k][0], entries[k][1], 100, 0, a, entries[k][2]) for b, t in enumerate(_blocks(value)) for a, z, k in finder(t)), *own]
 
         if part:
             df = _each(df.withColumnRenamed("_hits", "_before"), text, hits_of).withColumn("_hits", F.concat("_before", "_hits")).drop("_before")
@@ -168,8 +183,8 @@ def term_highlights(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     return h.select("doc_id", "block_seq", "h.start", "h.end", "h.entity", F.col("h.term").alias("source_entity"), "h.category", "h.score")
 
 
-def with_mentions(df: DataFrame, blocks: str, own: str) -> DataFrame:
-    """``_hits`` with the first place, in each block, of the row's own finds (entity, category, score, src), as plain substrings with their case."""
+def mentions_of(blocks: str, own: str) -> Callable[[pa.RecordBatch], Iterator[list[tuple]]]:
+    """For ``also``: the first place, in each block, of the row's own finds (entity, category, score, src), as plain substrings with their case."""
 
     def hits_of(batch):
         for texts, finds in zip(batch.column(blocks), batch.column(own).to_pylist()):
@@ -180,7 +195,7 @@ def with_mentions(df: DataFrame, blocks: str, own: str) -> DataFrame:
                 for b, t in enumerate(_blocks(texts)) for at, k in first_places(t, patterns)
             ]
 
-    return _each(df, blocks, hits_of)
+    return hits_of
 
 
 def preview_rows(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -190,12 +205,12 @@ def preview_rows(docs: DataFrame, terms: DataFrame) -> DataFrame:
     then that of the earlier source stays; placeholders are numbered by label in reading order, one for each spelling. No shuffle.
     """
     texts = docs.select("doc_id", "blocks", "finds").withColumn("_texts", F.transform("blocks", lambda b: b["text"]))
-    found = with_mentions(with_hits(texts, terms, "_texts").withColumnRenamed("_hits", "_terms"), "_texts", "finds")
+    found = with_hits(texts, terms, "_texts", also=mentions_of("_texts", "finds"))
     # blocks lie one after another, so spans of different blocks never overlap
     placed = found.withColumn("_at", running_sum(F.transform("_texts", lambda t: F.length(F.coalesce(t, F.lit(""))) + 1)))
     order = lambda h: F.struct(*[h[c].alias(c) for c in ("src", "from", "term", "category")])
     span = lambda h, at: F.struct((at + h["start"]).alias("start"), (at + h["end"]).alias("end"), h["score"].alias("score"), order(h).alias("seq"), h.alias("hit"))
-    placed = placed.withColumn("_hits", F.concat("_terms", "_hits")).withColumn("_spans", bound(lambda hits, at: F.transform(hits, lambda h: span(h, F.get(at, h["block"]))), "_hits", "_at"))
+    placed = placed.withColumn("_spans", bound(lambda hits, at: F.transform(hits, lambda h: span(h, F.get(at, h["block"]))), "_hits", "_at"))
     kept = placed.withColumn("_kept", greedy_spans(F.col("_spans"), by_length_then_score))
     marked = with_numbers(kept.withColumn("_kept", F.transform("_kept", lambda x: x["hit"])), "_kept", lambda h: F.lower(h["entity"]), lambda h: h["category"])
     row = lambda h, mark: F.struct(

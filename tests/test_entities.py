@@ -294,3 +294,19 @@ def test_exploded_works_out_its_array_once(spark):
     rows = X.exploded(df.withColumn("words", F.split("t", " ")), ("i",), "words")
     assert [tuple(r) for r in rows.orderBy("i", "_pos").collect()] == [(1, 0, "a"), (1, 1, "b"), (3, 0, "c")]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_batches_are_met_in_parts():
+    """However many rows a batch has, few of them are Python objects at one time."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 10_000})
+    parts = list(M.parts_of(batch))
+    assert sum(p.num_rows for p in parts) == 10_000 and max(p.num_rows for p in parts) * 1000 <= M.PART and pa.Table.from_batches(parts).to_pydict() == batch.to_pydict()
+
+
+def test_preview_passes_python_once(spark):
+    docs = spark.createDataFrame([(1, "Le chat\nJean le chat", [(1, "Jean", "personnes", 90)])], f"doc_id long, text string, finds {A.OWN}")
+    rows = A.preview_documents(docs, spark.createDataFrame([("autres", "chat")], "category string, term string"))
+    assert [(r["block_seq"], h["entity"], h["placeholder"]) for r in rows.collect() for h in r["highlights"]] == [(0, "chat", "[SENSIBLE_1]"), (1, "Jean", "[PERSONNE_1]"), (1, "chat", "[SENSIBLE_1]")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
