@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALNUM, bound, greedy_spans, let, pieces_of, positions, quoted, running_sum, scan, splice, term_pattern_column
+from .text import ALNUM, bound, greedy_spans, let, pieces_of, quoted, running_sum, scan, splice, term_pattern_column
 
 PAIRS = "array<struct<original:string,placeholder:string>>"
 
@@ -62,12 +62,10 @@ def pair_spans(text: Column, pairs: Column) -> Column:
         F.transform(pairs, lambda p, i: F.struct(i.alias("i"), p["original"].alias("original"), p["placeholder"].alias("mark"))),
         lambda x: (x["original"] != "") & (F.contains(low, F.lower(F.upper(x["original"]))) | x["original"].rlike(r"[^\x00-\x7F]")),
     )
-    found = lambda kept: F.flatten(
-        F.transform(
-            kept,
-            lambda x: F.transform(positions(text, term_pattern_column(x["original"])), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), x["mark"].alias("mark"), x["i"].alias("i"))),
-        )
-    )
+    # what a pattern leaves between its matches gives their places, as a match is as long as its term
+    each = lambda x, gaps: F.transform(F.slice(running_sum(F.transform(gaps, F.length)), F.lit(2), F.size(gaps) - 1), lambda at, k: let(
+        at + k * F.length(x["original"]), lambda s: F.struct(s.alias("start"), (s + F.length(x["original"])).alias("end"), x["mark"].alias("mark"), x["i"].alias("i"))))
+    found = lambda kept: F.flatten(F.transform(kept, lambda x: let(F.split(text, term_pattern_column(x["original"]), -1), lambda gaps: each(x, gaps))))
     order = lambda a, b: F.when(a["i"] != b["i"], a["i"] - b["i"]).otherwise(a["start"] - b["start"]).cast("int")
     return greedy_spans(let(let(F.lower(F.upper(text)), have), found), order)
 
@@ -178,17 +176,16 @@ def with_segments(df: DataFrame, runs: str, spans: str, out: str = "segments") -
     Starts of runs and spans are merged into one sorted list; the run in force and the place reached at each come from a running maximum. Every event then gives its mark, if it is a
     span's, and the text from the place reached to the next event. Empty runs are no events. Null runs or spans count as none.
     """
-    pos = lambda r, at: F.transform(r, lambda x, k: F.when(F.length(x) > 0, F.struct(F.get(at, k).alias("at"), k.alias("run"), F.get(at, k).alias("to"), F.lit(None).cast("string").alias("mark"))))
-    mark = lambda s: F.transform(s, lambda x: F.struct(x["start"].cast("int").alias("at"), F.lit(-1).alias("run"), x["end"].cast("int").alias("to"), x["mark"].alias("mark")))
+    pos = lambda r, at: F.transform(r, lambda x, k: F.when(F.length(x) > 0, F.struct(F.get(at, k).alias("at"), (-k).alias("first"), k.alias("run"), F.get(at, k).alias("to"), F.lit(None).cast("string").alias("mark"))))
+    mark = lambda s: F.transform(s, lambda x: F.struct(x["start"].cast("int").alias("at"), F.lit(1).alias("first"), F.lit(-1).alias("run"), x["end"].cast("int").alias("to"), x["mark"].alias("mark")))
     further = lambda a, b: F.struct(F.greatest(a["run"], b["run"]).alias("run"), F.greatest(a["to"], b["to"]).alias("to"))
-    order = lambda a, b: F.when(a["at"] != b["at"], a["at"] - b["at"]).otherwise(b["run"] - a["run"]).cast("int")
     none = F.array().cast("array<string>")
     rows = df.withColumn("_runs", F.transform(F.coalesce(runs, none), lambda x: F.coalesce(x, F.lit(""))))
     rows = rows.withColumn("_at", running_sum(F.transform("_runs", F.length)))
     rows = rows.withColumn("_run_events", F.filter(bound(pos, "_runs", "_at"), lambda x: x.isNotNull()))
     rows = rows.withColumn("_mark_events", F.coalesce(mark(F.col(spans)), F.slice("_run_events", F.lit(1), F.lit(0))))
     # at one place a run begins before the span does
-    rows = rows.withColumn("_events", F.array_sort(F.concat("_run_events", "_mark_events"), order))
+    rows = rows.withColumn("_events", F.sort_array(F.concat("_run_events", "_mark_events")))
     rows = rows.withColumn("_before", scan(F.transform("_events", lambda e: F.struct(e["run"].alias("run"), e["to"].alias("to"))), further, F.struct(F.lit(-1).alias("run"), F.lit(0).alias("to"))))
     rows = rows.withColumn("_full", F.array_join("_runs", ""))
 

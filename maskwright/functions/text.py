@@ -31,10 +31,10 @@ def term_pattern(term: str, underscore_joins: bool = False) -> str:
 
 
 def term_pattern_column(term: Column, underscore_joins: bool = False) -> Column:
-    """``term_pattern`` of a column of terms."""
+    """``term_pattern`` of a column of terms, with the term first: edges are looked at only where it is."""
     edge = WORD if underscore_joins else ALNUM
     inner = F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
-    return F.concat(F.lit(f"(?iu)(?<![{edge}])" + r"\Q"), inner, F.lit(r"\E" + f"(?![{edge}])"))
+    return F.concat(F.lit(r"(?iu)\Q"), inner, F.lit(rf"\E(?<![{edge}]\Q"), inner, F.lit(rf"\E)(?![{edge}])"))
 
 
 def term_present(text: Column, term: Column) -> Column:
@@ -60,11 +60,21 @@ def exploded(df: DataFrame, keep: tuple[str, ...], items: Column | str, name: st
     return rows.filter(F.col(pos).isNotNull())
 
 
-def scan(values: Column, combine, zero: Column, levels: int = 3, width: int = 16) -> Column:
+#: Elements up to which a list of all sums so far is simply appended to.
+SHORT = 256
+
+
+def scan(values: Column, combine, zero: Column) -> Column:
     """``combine`` of all elements before each, by position, without shuffles.
 
-    Blocks of ``width`` are combined, then blocks of blocks: an array of a hundred thousand costs a few steps for each element.
+    A short list is one fold; of a longer one, blocks are combined, then blocks of blocks: an array of a hundred thousand costs a few steps for each element.
     """
+    start = F.struct(F.slice(F.array(zero), F.lit(1), F.lit(0)).alias("before"), zero.alias("so_far"))
+    step = lambda acc, x: F.struct(F.concat(acc["before"], F.array(acc["so_far"])).alias("before"), combine(acc["so_far"], x).alias("so_far"))
+    return let(values, lambda a: F.when(F.size(a) <= SHORT, F.aggregate(a, start, step, lambda acc: acc["before"])).otherwise(_scan_blocks(a, combine, zero)))
+
+
+def _scan_blocks(values: Column, combine, zero: Column, levels: int = 2, width: int = 32) -> Column:
     fold = lambda a: F.aggregate(a, zero, combine)
     if not levels:
         return let(values, lambda a: F.transform(a, lambda _, i: fold(F.slice(a, F.lit(1), i))))
@@ -75,7 +85,7 @@ def scan(values: Column, combine, zero: Column, levels: int = 3, width: int = 16
         blocks = F.transform(starts, lambda k: fold(F.slice(a, k * width + 1, F.lit(width))))
         at = lambda i: F.floor(i / F.lit(width)).cast("int")
         return let(
-            scan(blocks, combine, zero, levels - 1, width),
+            _scan_blocks(blocks, combine, zero, levels - 1, width),
             lambda before: F.transform(a, lambda _, i: combine(F.get(before, at(i)), fold(F.slice(a, at(i) * width + 1, F.pmod(i, F.lit(width)))))),
         )
 
@@ -115,30 +125,33 @@ def positions(text: Column, pattern: Column) -> Column:
 
 def emails(text: Column) -> Column:
     """Addresses in a text, the first spelling of each, with its place: array<struct<start,end,entity>>."""
-    return let(positions(text, F.lit(EMAIL)), lambda found: firsts(found, lambda x: F.lower(x["entity"])))
+    found = let(positions(text, F.lit(EMAIL)), lambda found: firsts(found, lambda x: F.lower(x["entity"])))
+    return F.when(F.contains(text, F.lit("@")), found).otherwise(F.array().cast("array<struct<start:int,end:int,entity:string>>"))
 
 
 def greedy_spans(spans: Column, better) -> Column:
     """Keep spans in the order of ``better`` (a comparator of two) unless they overlap a kept one; sorted by start.
 
-    Spans are first parted where none reaches across, and the choice is made within each part.
+    Spans none of which overlaps the next all stay. Others are first parted where none reaches across, and the choice is made within each part of several.
     """
+    by_start = lambda a: F.transform(F.sort_array(F.transform(a, lambda x: F.struct(x["start"].alias("s"), x.alias("x")))), lambda k: k["x"])
 
     def choose(part: Column) -> Column:
         return F.aggregate(
             F.transform(F.array_sort(part, better), lambda x: F.array(x)),
             F.slice(part, F.lit(1), F.lit(0)),
             lambda acc, x: F.when(F.exists(acc, lambda k: (x[0]["start"] < k["end"]) & (x[0]["end"] > k["start"])), acc).otherwise(F.concat(acc, x)),
+            by_start,
         )
 
-    by_start = lambda a: F.array_sort(a, lambda x, y: (x["start"] - y["start"]).cast("int"))
-
     def parted(s: Column) -> Column:
         reach = scan(F.transform(s, lambda x: x["end"].cast("int")), lambda x, y: F.greatest(x, y), F.lit(-1))
         opens = let(reach, lambda r: F.filter(F.transform(s, lambda x, i: F.when(x["start"] >= F.get(r, i), i)), lambda i: i.isNotNull()))
-        return let(opens, lambda o: F.flatten(F.transform(o, lambda i, k: choose(F.slice(s, i + 1, F.coalesce(F.get(o, k + 1), F.size(s)) - i)))))
+        one = lambda part: F.when(F.size(part) > 1, choose(part)).otherwise(part)
+        return let(opens, lambda o: F.flatten(F.transform(o, lambda i, k: let(F.slice(s, i + 1, F.coalesce(F.get(o, k + 1), F.size(s)) - i), one))))
 
-    return by_start(let(by_start(spans), parted))
+    clash = lambda s: F.exists(F.transform(s, lambda x, i: (i > 0) & (x["start"] < F.get(s, i - 1)["end"])), lambda c: c)
+    return let(by_start(spans), lambda s: F.when(clash(s), parted(s)).otherwise(s))
 
 
 def _sign(a: Column, b: Column) -> Column:

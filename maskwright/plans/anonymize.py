@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.masking import mask_exact, unmask_pairs
-from ..functions.text import emails, extension, firsts, keep_title, let, rename_stem, safe_name, stem, trim_py
+from ..functions.text import emails, exploded, extension, firsts, keep_title, let, rename_stem, safe_name, stem, trim_py
 from ..operators.entities import AUTO_CONFIRM, ENTRY, Detector, line_names, pairs_in_row, with_detections, with_entries, with_spans
 from ..operators.matching import preview_rows, with_hits
 from ..sources import ooxml
@@ -90,14 +90,14 @@ def anonymize_texts(docs: DataFrame, terms=None, detector: Detector = line_names
 
 def mapping_rows(masked: DataFrame) -> DataFrame:
     """(doc_id, seq, original, placeholder, type, source, confidence)."""
-    return masked.select("doc_id", F.posexplode("mapping").alias("seq", "e")).select("doc_id", "seq", "e.*")
+    return exploded(masked, ("doc_id",), "mapping", pos="seq").select("doc_id", "seq", "e.*")
 
 
 def back_pairs(mapping: Column) -> Column:
     """Pairs for the way back: first original of each placeholder, longest placeholder first, ties in mapping order."""
     kept = let(F.filter(mapping, lambda e: F.coalesce(e["placeholder"], F.lit("")) != ""), lambda m: firsts(m, lambda e: e["placeholder"]))
     keyed = F.transform(kept, lambda e, i: F.struct((-F.length(e["placeholder"])).alias("n"), i.alias("i"), e["placeholder"].alias("original"), e["original"].alias("placeholder")))
-    return F.transform(F.array_sort(keyed), lambda x: F.struct(x["original"].alias("original"), x["placeholder"].alias("placeholder")))
+    return F.transform(F.sort_array(keyed), lambda x: F.struct(x["original"].alias("original"), x["placeholder"].alias("placeholder")))
 
 
 def restore_texts(masked: DataFrame, text: str = "masked", mapping: str = "mapping") -> DataFrame:
@@ -220,7 +220,7 @@ def preview_blocks(rows: DataFrame) -> DataFrame:
         slices = lambda o: F.transform(o, lambda i, k: F.slice(h, i + 1, F.coalesce(F.get(o, k + 1), F.size(h)) - i))
         return let(opens, slices)
 
-    each = rows.select("doc_id", "blocks", F.explode(let(F.col("highlights"), runs)).alias("h"))
+    each = exploded(rows, ("doc_id", "blocks"), let(F.col("highlights"), runs), "h")
     block = F.get("blocks", F.get("h", F.lit(0))["block"])
     shown = F.transform("h", lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "entity", "source_entity", "placeholder", "status", "score", "category")]))
     return each.select("doc_id", block["block_seq"].alias("block_seq"), block["section"].alias("section"), block["text"].alias("text"), shown.alias("highlights"))

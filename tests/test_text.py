@@ -136,3 +136,22 @@ def test_placeholders_in_a_row(spark):
     df = spark.createDataFrame(rows, "v array<struct<k:string,c:string>>")
     got = [r["_marks"] for r in X.with_numbers(df, "v", lambda x: x["k"], lambda x: x["c"]).collect()]
     assert got == [["[PERSONNE_1]", "[LIEU_1]", "[PERSONNE_1]", "[PERSONNE_2]", "[SENSIBLE_1]", "[SENSIBLE_2]", "[MAIL_1]"], []]
+
+
+def test_scans_short_and_long(spark):
+    """Short lists are one fold, longer ones blocks; both give the sums before each element."""
+    df = spark.createDataFrame([([k % 7 for k in range(n)],) for n in (0, 1, 255, 256, 257, 3000)], "a array<int>")
+    for r in df.select("a", X.running_sum(F.col("a")).alias("s")).collect():
+        assert r["s"] == [sum(r["a"][:k]) for k in range(len(r["a"]))]
+
+
+def test_spans_are_worked_out_once_and_sorted_natively(spark):
+    """Neither a filter on the size of what is exploded nor a comparison of spans by an expression where none overlap."""
+    from maskwright import queries as Q
+
+    plan = Q.Q["overlap_greedy"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") and "Filter (size(" not in plan
+    spans = [[(0, 4, 1, 0), (5, 9, 1, 1)], [(0, 4, 1, 0), (3, 9, 1, 1), (9, 10, 1, 2)], []]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(spans)], "i int, s array<struct<start:int,end:int,score:int,seq:int>>")
+    got = [[tuple(x)[:2] for x in r[0]] for r in df.orderBy("i").select(X.greedy_spans(F.col("s"), X.by_length_then_score)).collect()]
+    assert got == [[(0, 4), (5, 9)], [(3, 9), (9, 10)], []]
