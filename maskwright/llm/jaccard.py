@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Fetcher, write_blocks
@@ -160,12 +160,12 @@ def frequency_slots(docs: DataFrame, width: int, slots: int, text: str = "text")
     return out.reshape(-1)
 
 
-SIGNS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("class_key", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int16())), ("minima", pa.list_(pa.int64()))])
-SIGNS_SQL = "doc_id long, mark long, class_key binary, n long, prefix array<long>, parts array<smallint>, minima array<long>"
+SIGNS = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("class_key", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(pa.int8())), ("wide", pa.list_(pa.int16())), ("minima", pa.list_(pa.int64()))])
+SIGNS_SQL = "doc_id long, mark long, class_key binary, n long, prefix array<long>, parts array<tinyint>, wide array<smallint>, minima array<long>"
 
 
 def signatures(docs: DataFrame, slots: np.ndarray, width: int, percent: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: set size, a digest of the whole set, its rare-first prefix, sizes by hash range and minima."""
+    """Per document: set size, a digest of the whole set, its rare-first prefix, sizes by hash range (``parts``, or ``wide`` where a byte is too small) and minima."""
     spread = docs.sparkSession.sparkContext.broadcast(slots)
     turns = [_U(int.from_bytes(hashlib.sha256(b"minimum%d" % k).digest()[:8], "little") | 1) for k in range(MINIMA)]
 
@@ -176,7 +176,7 @@ def signatures(docs: DataFrame, slots: np.ndarray, width: int, percent: int, id_
             for doc_id, mark, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _sets(batch.column(1), width)):
                 n = len(s)
                 if not n:
-                    rows.append((doc_id, mark, None, 0, [], [], []))
+                    rows.append((doc_id, mark, None, 0, [], [], None, []))
                     continue
                 length = n - least_overlap(n, percent) + 1
                 parts = np.bincount((s >> _U(65 - PARTS.bit_length())).astype(np.int64), minlength=PARTS)
@@ -187,7 +187,8 @@ def signatures(docs: DataFrame, slots: np.ndarray, width: int, percent: int, id_
                     hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
                     n,
                     s[by].view(np.int64),
-                    parts.astype(np.int16) if parts.max() < 1 << 15 else None,  # none: the suffix filter lets such a set pass
+                    parts.astype(np.int8) if parts.max() < 1 << 7 else None,
+                    parts.astype(np.int16) if 1 << 7 <= parts.max() < 1 << 15 else None,  # neither: the suffix filter lets such a set pass
                     [int(_mix(s * t).min().view(np.int64)) for t in turns],
                 ))
             if rows:
@@ -247,16 +248,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     slots = frequency_slots(body, width, slots_for(total))
     signs = save(signatures(body, slots, width, percent), where + "/signs")
     told = signs.filter("n > 0 and doc_id is not null")
-    # a class is named by a number, as texts of one id may be of several classes; its least document and that text's hash find the text
-    grouped = told.groupBy("class_key").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    of_class = save(grouped.select("class_key", F.monotonically_increasing_id().alias("rep"), F.col("first.doc_id").alias("least_id"), F.col("first.mark").alias("mark"), "copies"), where + "/classes")
+    # a class is named by a number, as texts of one id may be of several classes; its least document and that text's hash find the text;
+    # its documents have the same signature, so any of them gives it and prefixes are dealt and stored once
+    of_set = ("n", "prefix", "parts", "wide", "minima")
+    grouped = told.groupBy("class_key").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in of_set])
+    of_class = save(grouped.select("class_key", F.monotonically_increasing_id().alias("rep"), F.col("first.doc_id").alias("least_id"), F.col("first.mark").alias("mark"), "copies", *of_set), where + "/classes")
     keyed = signs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_key")).alias("class_key"), "n")
     members = save(join_commonest(keyed, of_class.select("class_key", "rep", "least_id", "copies"), "class_key", "copies", "doc_id").drop("class_key"), where + "/members")
+    remove(spark, where + "/signs")
     named = of_class.select(F.col("least_id").alias("doc_id"), "mark", "rep")
-    first = told.join(named, ["doc_id", "mark"]).dropDuplicates(["rep"])
     # below this size a set links with equal sets only
     least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1)) if percent < 100 else 10_000
-    reps = save(first.filter(F.col("n") >= least).select("rep", "n", "prefix", "parts", "minima"), where + "/reps")
+    reps = of_class.filter(F.col("n") >= least).select("rep", *of_set)
     met_refs = refs.select("doc_id", "mark", "block", "offset", "length").join(named, ["doc_id", "mark"]).dropDuplicates(["rep"])
     reps_refs = save(met_refs.select(F.col("rep").alias("doc_id"), "block", "offset", "length"), where + "/refs")
 
@@ -267,16 +270,22 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     tried = tried.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
     tried = save(tried.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), where + "/tried")
     early = save(verified(tried, reps_refs, where + "/blocks", width, percent), where + "/early")
-    side = lambda df, s: df.select("gram", "major", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "pos", "n", "parts")])
+    side = lambda df, s: df.select("gram", "major", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "pos", "n", "parts", "wide")])
     needed = F.ceil(F.lit(percent) * (F.col("n_x") + F.col("n_y")) / F.lit(100 + percent))
-    common = F.aggregate(F.zip_with("parts_x", "parts_y", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+    alike = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+    full = lambda s: F.coalesce(F.col(f"wide_{s}"), F.col(f"parts_{s}").cast("array<smallint>"))
+    common = F.coalesce(alike(F.col("parts_x"), F.col("parts_y")), alike(full("x"), full("y")))
     links, seen, met = early, tried, None
     for k, turn in enumerate(TURNS):
         before = save(connected_components(links, f"{where}/first-{turn}").withColumnRenamed("node", "rep"), f"{where}/before-{turn}")
         component = F.coalesce("component", "rep").alias("component")
-        known = save(reps.select("rep", "n", "parts").join(before, "rep", "left").select("rep", "n", "parts", component), f"{where}/known-{turn}")
+        known = save(reps.select("rep", "n", "parts", "wide").join(before, "rep", "left").select("rep", "n", "parts", "wide", component), f"{where}/known-{turn}")
         if met is None:
-            postings = reps.select("rep", "prefix").join(before, "rep", "left").select("rep", component, F.posexplode("prefix").alias("pos", "gram"))
+            # most n-grams are in one component only; those that aren't are found in one deal of all postings
+            every = reps.select("rep", "prefix").join(before, "rep", "left").select("rep", component, F.posexplode("prefix").alias("pos", "gram"))
+            of_gram = Window.partitionBy("gram")
+            ends = [f("component").over(of_gram).alias(c) for f, c in ((F.min, "least"), (F.max, "most"))]
+            postings = save(every.repartition(partitions(spark), "gram").select("*", *ends).filter("least <> most").drop("least", "most"), where + "/shared")
         else:  # components only grow together, so an n-gram that met one of them meets no more ever after
             postings = met.select("gram", "rep", "pos").join(known.select("rep", "component"), "rep")
         # an n-gram's commonest component is only met by the others, so a large group with one more document costs its size and not its square
@@ -285,7 +294,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
         largest = F.max_by(F.struct(F.col("component").alias("major"), "member"), F.struct("c", "component")).alias("of")
         spread = by.groupBy("gram").agg(largest, F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram", "of.major", "of.member")
         met = save(postings.select("gram", "rep", "pos").join(spread, "gram"), f"{where}/met-{turn}")
-        rich = met.join(known.select("rep", "component", "n", "parts"), "rep")
+        rich = met.join(known.select("rep", "component", "n", "parts", "wide"), "rep")
         x, y = side(rich.filter("component <> major"), "x"), side(rich if turn == "all" else rich.filter("rep = member"), "y").drop("major")
         pairs = (
             x.join(y, "gram")
@@ -305,7 +314,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90, id_co
     least_of = save(inside.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("members")), where + "/least")
     placed = save(join_commonest(inside, least_of, "component", "members", "rep").select("rep", "component_id"), where + "/placed")
     of_turns = [f"{name}-{turn}" for name in ("met", "pairs", "links") for turn in TURNS]
-    for name in ("signs", "classes", "leaders", "tried", "reps", "early", "refs", "inside", "least", *of_turns, "blocks"):
+    for name in ("classes", "leaders", "tried", "shared", "early", "refs", "inside", "least", *of_turns, "blocks"):
         remove(spark, f"{where}/{name}")
     out = members.join(placed, "rep", "left")
     return out.select(

@@ -303,6 +303,22 @@ def test_clashing_names_everywhere(spark):
     assert jaccard_components(df).count() == 13
 
 
+def test_jaccard_signatures_are_bytes_unless_sets_are_large(spark):
+    """Sizes by hash range are a byte each, two where a set is large; sets of either kind link with those of both."""
+    import numpy as np
+
+    from maskwright.llm.jaccard import jaccard_components, signatures
+
+    short, long = [f"k{i}" for i in range(300)], [f"w{i}" for i in range(12_000)]
+    edge = [f"e{i}" for i in range(7_000)]  # some ranges have 128 elements in one of the two and not in the other
+    texts = [" ".join(t) for t in (short, [*short, "end"], long, [*long, "end"], edge, edge[:6_500])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signs = {r["doc_id"]: r for r in signatures(df, np.zeros(1 << 18, np.int32), 3, 90).collect()}
+    assert [(signs[k]["parts"] is None, signs[k]["wide"] is None) for k in range(4)] == [(False, True)] * 2 + [(True, False)] * 2
+    assert sum(signs[0]["parts"]) == signs[0]["n"] == 298 and sum(signs[2]["wide"]) == signs[2]["n"] == 11_998
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_components(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
 def test_jaccard_texts_that_share_an_id(spark):
     from maskwright.llm.jaccard import jaccard_components
 
