@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import ALNUM, bound, greedy_spans, let, pieces_of, quoted, running_sum, scan, splice, term_pattern_column
+from .text import ALNUM, greedy_spans, let, parts_of, quoted, running_sum, splice, term_pattern_column
 
 PAIRS = "array<struct<original:string,placeholder:string>>"
 
@@ -173,31 +177,61 @@ def segments(runs: list[str], found: list[tuple[int, int, str]]) -> list[tuple[s
 def with_segments(df: DataFrame, runs: str, spans: str, out: str = "segments") -> DataFrame:
     """The rows with ``out``, array<struct<text,run>>: what ``segments`` gives for array<string> ``runs`` and the chosen ``spans`` (start, end, mark) of their joined text.
 
-    Starts of runs and spans are merged into one sorted list; the run in force and the place reached at each come from a running maximum. Every event then gives its mark, if it is a
-    span's, and the text from the place reached to the next event. Empty runs are no events. Null runs or spans count as none.
+    One Arrow function over columns, with no loop over rows or runs. Null runs or spans count as none.
     """
-    pos = lambda r, at: F.transform(r, lambda x, k: F.when(F.length(x) > 0, F.struct(F.get(at, k).alias("at"), (-k).alias("first"), k.alias("run"), F.get(at, k).alias("to"), F.lit(None).cast("string").alias("mark"))))
-    mark = lambda s: F.transform(s, lambda x: F.struct(x["start"].cast("int").alias("at"), F.lit(1).alias("first"), F.lit(-1).alias("run"), x["end"].cast("int").alias("to"), x["mark"].alias("mark")))
-    further = lambda a, b: F.struct(F.greatest(a["run"], b["run"]).alias("run"), F.greatest(a["to"], b["to"]).alias("to"))
-    none = F.array().cast("array<string>")
-    rows = df.withColumn("_runs", F.transform(F.coalesce(runs, none), lambda x: F.coalesce(x, F.lit(""))))
-    rows = rows.withColumn("_at", running_sum(F.transform("_runs", F.length)))
-    rows = rows.withColumn("_run_events", F.filter(bound(pos, "_runs", "_at"), lambda x: x.isNotNull()))
-    rows = rows.withColumn("_mark_events", F.coalesce(mark(F.col(spans)), F.slice("_run_events", F.lit(1), F.lit(0))))
-    # at one place a run begins before the span does
-    rows = rows.withColumn("_events", F.sort_array(F.concat("_run_events", "_mark_events")))
-    rows = rows.withColumn("_before", scan(F.transform("_events", lambda e: F.struct(e["run"].alias("run"), e["to"].alias("to"))), further, F.struct(F.lit(-1).alias("run"), F.lit(0).alias("to"))))
-    rows = rows.withColumn("_full", F.array_join("_runs", ""))
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T._parse_datatype_string(SEGMENTS))])
+
+    def work(batches):
+        for batch in (part for whole in batches for part in parts_of(whole)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, cut_up(batch.column(runs), batch.column(spans))], names=[*batch.schema.names, out])
+
+    return df.mapInArrow(work, schema)
 
-    def cut_up(cut) -> Column:
-        def pieces(events: Column, before: Column, full: Column) -> Column:
-            def piece(e: Column, i: Column) -> Column:
-                run = F.greatest(F.get(before, i)["run"], e["run"])
-                start, stop = F.greatest(F.get(before, i)["to"], e["to"]), F.coalesce(F.get(events, i + 1)["at"], F.length(full))
-                return F.array(F.struct(e["mark"].alias("text"), run.alias("run")), F.struct(F.when(start < stop, cut(start, stop)).alias("text"), run.alias("run")))
 
-            return F.filter(F.flatten(F.transform(events, piece)), lambda p: p["text"].isNotNull())
+SEGMENTS = "array<struct<text:string,run:int>>"
 
-        return bound(pieces, "_events", "_before", "_full")
 
-    return rows.withColumn(out, pieces_of(F.col("_full"), cut_up)).drop("_runs", "_at", "_run_events", "_mark_events", "_events", "_before", "_full")
+def cut_up(runs: pa.ListArray, spans: pa.ListArray) -> pa.ListArray:
+    """``segments`` of each row of a batch.
+
+    The texts of all rows lie end to end. Starts of runs and spans are merged into one sorted list; the run in force and the place reached at each are running maxima, which need no
+    reset, as both only grow from row to row. Every event then gives its mark, if it is a span's, and the text from the place reached to the next event. Empty runs are no events.
+    """
+    counts, n_spans = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (runs, spans))
+    each, rows = pc.fill_null(runs.flatten(), ""), np.arange(len(runs))
+    size = pc.utf8_length(each).to_numpy(zero_copy_only=False).astype(np.int64)
+    row_of_run, row_of_span = np.repeat(rows, counts), np.repeat(rows, n_spans)
+    length = np.bincount(row_of_run, weights=size, minlength=len(rows)).astype(np.int64)
+    base, first_run = np.cumsum(length) - length, np.cumsum(counts) - counts
+    found = spans.flatten()
+    begin, end = (base[row_of_span] + found.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "end"))
+    full = np.flatnonzero(size > 0)
+    # at one place a run begins before the span does
+    row = np.concatenate([row_of_run[full], row_of_span])
+    at = np.concatenate([(np.cumsum(size) - size)[full], begin])
+    order = np.lexsort((np.arange(len(row)) >= len(full), at, row))
+    row, at = row[order], at[order]
+    run = np.maximum.accumulate(np.concatenate([full, np.full(len(begin), -1)])[order])
+    start = np.maximum.accumulate(np.concatenate([(np.cumsum(size) - size)[full], end])[order])
+    last = np.append(row[1:] != row[:-1], True)[: len(row)]
+    stop = np.maximum(start, np.where(last, (base + length)[row], np.append(at[1:], 0)[: len(row)]))
+    # texts are the even ones of the strings between all places
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(each)], pa.int32()), each), "")[0].as_buffer()
+    raw = np.frombuffer(joined, np.uint8)
+    byte_at = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    places = byte_at[np.column_stack([start, stop]).reshape(-1)].astype(np.int32)
+    strings = pa.StringArray.from_buffers(max(0, len(places) - 1), pa.py_buffer(places if len(places) else np.zeros(1, np.int32)), joined)
+    marks = found.field("mark")
+    pieces = pa.concat_arrays([strings, marks.cast(pa.string())])
+    # a mark, then the text after it
+    is_mark = order >= len(full)
+    which = np.column_stack([len(strings) + np.where(is_mark, order - len(full), 0), 2 * np.arange(len(row))])
+    given = np.zeros(len(row), bool)
+    given[is_mark] = marks.is_valid().to_numpy(zero_copy_only=False)[(order - len(full))[is_mark]]
+    keep = np.column_stack([given, start < stop]).reshape(-1)
+    of_row = np.repeat(row, 2)[keep]
+    local = np.repeat(np.maximum(run - first_run[row], 0), 2)[keep]
+    fields = [pa.field("text", pa.string()), pa.field("run", pa.int32())]
+    values = pa.StructArray.from_arrays([pieces.take(pa.array(which.reshape(-1)[keep])), pa.array(local, pa.int32())], fields=fields)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of_row, minlength=len(rows)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)

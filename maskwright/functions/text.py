@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -359,3 +362,14 @@ def splice(text: Column, spans: Column) -> Column:
         return let(spans, lambda s: F.when(F.size(s) > 0, join(s)).otherwise(text))
 
     return pieces_of(text, build)
+
+
+#: Bytes of rows that a Python step works on at one time.
+PART = 2 << 20
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``PART`` bytes, so that what Python makes of its rows doesn't grow with the rows that a batch may have."""
+    rows = max(1, PART * batch.num_rows // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import bound, by_length_then_score, greedy_spans, running_sum, with_numbers
+from ..functions.text import PART, bound, by_length_then_score, greedy_spans, parts_of, running_sum, with_numbers  # noqa: F401
 
 #: Letters of terms in one automaton; a longer dictionary is met in several, one pass over the rows after another, none with more.
 MOST_LETTERS = 32 << 20
@@ -109,17 +109,6 @@ def _with_column(batch: pa.RecordBatch, rows: list[list[tuple]]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[*batch.schema.names, "_hits"])
 
 
-#: Bytes of rows whose hits are Python objects at one time.
-PART = 2 << 20
-
-
-def parts_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of about ``PART`` bytes, so that what Python makes of its rows doesn't grow with the rows that a batch may have."""
-    rows = max(1, PART * batch.num_rows // max(1, batch.nbytes))
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def _each(df: DataFrame, texts: str, hits_of: Callable[[pa.RecordBatch], Iterator[list[tuple]]]) -> DataFrame:
     """The rows with ``_hits``, array of ``HIT``: what ``hits_of`` gives for each row of a batch."""
     schema = T.StructType([*df.schema.fields, T.StructField("_hits", T._parse_datatype_string(f"array<{HIT}>"))])

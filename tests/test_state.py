@@ -42,6 +42,18 @@ def test_null_spans_are_none(spark):
     assert [tuple(p) for p in K.with_segments(df, "runs", "spans").first()["segments"]] == [("a", 0), ("b", 1)]
 
 
+def test_alignment_is_one_step_over_columns(spark):
+    """No expression goes over the runs one by one; rows without runs, long ones and signs beyond the basic plane lie in one batch."""
+    runs = ["Pa", "ris", " 𝒳", "é "] * 20_000
+    rows = [([], [("Paris", "[L]")]), (runs, [("Paris", "[L]")]), (None, None), (["𝒳Paris", "𝒳"], [("𝒳paris𝒳", "[M]"), ("Paris", "[L]")])]
+    got = aligned(spark, rows)
+    assert got[0] == got[2] == [] and got[3] == [("[M]", 0)]
+    assert got[1] == [p for k in range(0, 80_000, 4) for p in (("[L]", k), (" 𝒳", k + 2), ("é ", k + 3))]
+    df = K.with_segments(spark.createDataFrame([(["a"], None)], "runs array<string>, spans array<struct<start:int,end:int,mark:string>>"), "runs", "spans")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "aggregate(" not in plan
+
+
 def test_many_logos_equal_one_array_of_them(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(30)]
