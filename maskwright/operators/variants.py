@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,15 +73,16 @@ def variant_leaders(terms: DataFrame, within: tuple[str, ...] = ("category",), f
 
     nothing = lambda df, c: F.lit(None).cast(df.schema["o"].dataType).alias(c)
     as_lead = lambda df: in_hubs(df).select("_l", "hub", nothing(df, "first"), F.col("o").alias("lead"))
-    waiting, leaders, k = nodes.select("_l", "o", "hubs"), nodes.select("_l", "o", "hubs").limit(0), 0
+    waiting, leaders, k = nodes.select("_l", "o", "hubs"), [nodes.select("_l", "o", "hubs").limit(0)], 0
     while not waiting.isEmpty():
         k += 1
-        known = in_hubs(waiting).select("_l", "hub", F.col("o").alias("first"), nothing(waiting, "lead")).unionByName(as_lead(leaders))
+        # who still waits had no leader among the earlier ones, so only those of the last round can be its own
+        known = in_hubs(waiting).select("_l", "hub", F.col("o").alias("first"), nothing(waiting, "lead")).unionByName(as_lead(leaders[-1]))
         seen = in_hubs(waiting).join(told(known), ["_l", "hub"]).groupBy("_l", "o").agg(F.min("first").alias("first"), F.min("lead").alias("lead"))
         seen = seen.filter("lead is null").select("_l", "o", (F.col("first") == F.col("o")).alias("leads"))
         step = keep(waiting.join(seen, ["_l", "o"]), f"round-{k}")
-        leaders = leaders.unionByName(step.filter("leads").drop("leads")) if k > 1 else step.filter("leads").drop("leads")
+        leaders.append(step.filter("leads").drop("leads"))
         waiting = step.filter("not leads").drop("leads")
-    mine = in_hubs(nodes).join(told(as_lead(leaders)), ["_l", "hub"]).groupBy("_l", "o").agg(F.min("lead").alias("lead"))
+    mine = in_hubs(nodes).join(told(as_lead(reduce(DataFrame.unionByName, leaders))), ["_l", "hub"]).groupBy("_l", "o").agg(F.min("lead").alias("lead"))
     out = nodes.join(mine, ["_l", "o"])
     return out.select(*[F.col(a).alias(c) for a, c in zip(lists, within)], F.col("o.term").alias("term"), F.col("lead.term").alias("leader"))
