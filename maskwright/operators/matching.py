@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect
+from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from operator import itemgetter
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import PART, bound, by_length_then_score, greedy_spans, parts_of, running_sum, with_numbers  # noqa: F401
+from ..functions.text import LABELS, PART, parts_of  # noqa: F401
 
 #: Letters of terms in one automaton; a longer dictionary is met in several, one pass over the rows after another, none with more.
 MOST_LETTERS = 32 << 20
@@ -78,11 +81,10 @@ class Finder:
                     yield start, end, k
 
 
-def first_places(text: str, patterns: list[str]) -> Iterator[tuple[int, int]]:
-    """(first place, number) of the patterns that a text has, as plain substrings; many are met in one walk."""
+def places_of(patterns: list[str]) -> Callable[[str], Iterator[tuple[int, int]]]:
+    """A function that gives (first place, number) of the patterns that a text has, as plain substrings; many are met in one walk, by an automaton that is built once for all texts."""
     if len(patterns) <= FEW:
-        yield from ((at, k) for k, p in enumerate(patterns) if p and (at := text.find(p)) >= 0)
-        return
+        return lambda text: ((at, k) for k, p in enumerate(patterns) if p and (at := text.find(p)) >= 0)
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
@@ -90,11 +92,20 @@ def first_places(text: str, patterns: list[str]) -> Iterator[tuple[int, int]]:
         if p:
             automaton.add_word(p, (len(p), (*automaton.get(p, (0, ()))[1], k)))
     automaton.make_automaton()
-    seen: set[int] = set()
-    for at, (size, numbers) in automaton.iter(text):
-        if numbers[0] not in seen:
-            seen.update(numbers)
-            yield from ((at + 1 - size, k) for k in numbers)
+
+    def places(text: str) -> Iterator[tuple[int, int]]:
+        seen: set[int] = set()
+        for at, (size, numbers) in automaton.iter(text) if len(automaton) else ():
+            if numbers[0] not in seen:
+                seen.update(numbers)
+                yield from ((at + 1 - size, k) for k in numbers)
+
+    return places
+
+
+def first_places(text: str, patterns: list[str]) -> Iterator[tuple[int, int]]:
+    """``places_of`` in one text."""
+    return places_of(patterns)(text)
 
 
 _BUILT: dict[str, Finder] = {}
@@ -126,38 +137,55 @@ def _blocks(value) -> list[str]:
     return [] if v is None else [v] if isinstance(v, str) else [x or "" for x in v]
 
 
-def with_hits(df: DataFrame, terms: DataFrame, text: str = "text", underscore_joins: bool = True, also: Callable[[pa.RecordBatch], Iterator[list[tuple]]] | None = None) -> DataFrame:
-    """The rows with ``_hits``: every match of every term (term, category[, seq]) in ``text``, a string or an array of blocks.
-
-    The dictionary goes to every task as one automaton of at most ``MOST_LETTERS`` letters; a longer one in parts, each a further pass over the same rows. Rows stay what they are
-    and where they are: repeated rows, null texts and null ids all keep their own hits. ``ord`` is the term's place in the dictionary. ``also`` gives further hits of each row, found in the
-    same pass, so that rows meet one Python worker and not two.
-    """
+def dictionary(terms: DataFrame, underscore_joins: bool = True) -> list[Callable[[], tuple[Finder, list[tuple]]]]:
+    """The terms (term, category[, seq]) in parts of at most ``MOST_LETTERS`` letters: functions that give a task its automaton, built once a worker, and its entries."""
     body = terms.select("term", "category", (F.col("seq") if "seq" in terms.columns else F.monotonically_increasing_id()).cast("long").alias("seq")).filter("term <> ''")
     letters = body.agg(F.coalesce(F.sum(F.length("term")), F.lit(0))).first()[0]
     parts = max(1, -(-letters // MOST_LETTERS))
-    spark = df.sparkSession
-    for part in range(parts):
-        rows = (body.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part) if parts > 1 else body).collect()
-        spread = spark.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r["term"], r["category"], r["seq"]) for r in rows), key=lambda r: r[2])))
 
-        def hits_of(batch, spread=spread, also=also if not part else None):
+    def part_of(rows: list) -> Callable[[], tuple[Finder, list[tuple]]]:
+        spread = terms.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, sorted(((r["term"], r["category"], r["seq"]) for r in rows), key=lambda r: r[2])))
+
+        def built():
             token, entries = spread.value
             if token not in _BUILT:
                 _BUILT.clear()
                 _BUILT[token] = Finder(entries, underscore_joins)
-            finder = _BUILT[token]
-            more = also(batch) if also else repeat(())
-            for value, own in zip(batch.column(text), more):
-                yield [*((b, a, z, t[a:z], entries[k][0], entries[k][1], 100, 0, a, entries[k][2]) for b, t in enumerate(_blocks(value)) for a, z, k in finder(t)), *own]
+            return _BUILT[token], entries
+
+        return built
+
+    return [part_of((body.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part) if parts > 1 else body).collect()) for part in range(parts)]
+
+
+def _hits_in(texts: list[str], finder: Finder, entries: list[tuple]) -> list[tuple]:
+    return [(b, a, z, t[a:z], entries[k][0], entries[k][1], 100, 0, a, entries[k][2]) for b, t in enumerate(texts) for a, z, k in finder(t)]
 
-        if part:
+
+def _passes(df: DataFrame, parts: list, text: str) -> DataFrame:
+    for n, built in enumerate(parts):
+
+        def hits_of(batch, built=built):
+            finder, entries = built()
+            for value in batch.column(text):
+                yield _hits_in(_blocks(value), finder, entries)
+
+        if n:
             df = _each(df.withColumnRenamed("_hits", "_before"), text, hits_of).withColumn("_hits", F.concat("_before", "_hits")).drop("_before")
         else:
             df = _each(df, text, hits_of)
     return df
 
 
+def with_hits(df: DataFrame, terms: DataFrame, text: str = "text", underscore_joins: bool = True) -> DataFrame:
+    """The rows with ``_hits``: every match of every term (term, category[, seq]) in ``text``, a string or an array of blocks.
+
+    The dictionary goes to every task as one automaton of at most ``MOST_LETTERS`` letters; a longer one in parts, each a further pass over the same rows. Rows stay what they are
+    and where they are: repeated rows, null texts and null ids all keep their own hits. ``ord`` is the term's place in the dictionary.
+    """
+    return _passes(df, dictionary(terms, underscore_joins), text)
+
+
 def present_terms(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, term, category) of the terms that occur in a document, as whole words with underscores joining; once for each row and term."""
     found = with_hits(docs.select("doc_id", F.col(text).alias("_text")), terms, "_text")
@@ -172,42 +200,110 @@ def term_highlights(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     return h.select("doc_id", "block_seq", "h.start", "h.end", "h.entity", F.col("h.term").alias("source_entity"), "h.category", "h.score")
 
 
-def mentions_of(blocks: str, own: str) -> Callable[[pa.RecordBatch], Iterator[list[tuple]]]:
-    """For ``also``: the first place, in each block, of the row's own finds (entity, category, score, src), as plain substrings with their case."""
+def chosen(hits: list[tuple]) -> list[tuple]:
+    """Hits in reading order; of those of a block that overlap the longer, then the surer, then that of the earlier source and term stays."""
+    hits = sorted(hits, key=itemgetter(0, 1))
+    out, at, n = [], 0, len(hits)
+    while at < n:
+        upto, reach = at + 1, hits[at][2]
+        while upto < n and hits[upto][0] == hits[at][0] and hits[upto][1] < reach:
+            reach = max(reach, hits[upto][2])
+            upto += 1
+        if upto == at + 1:
+            out.append(hits[at])
+        else:
+            first = lambda h: (h[1] - h[2], -1 if h[6] is None else -h[6], h[7], h[8], h[4] is not None, h[4] or "", h[5] is not None, h[5] or "")
+            starts, kept = [], []
+            for h in sorted(hits[at:upto], key=first):
+                k = bisect(starts, h[1])
+                if (not k or kept[k - 1][2] <= h[1]) and (k == len(kept) or kept[k][1] >= h[2]):
+                    starts.insert(k, h[1])
+                    kept.insert(k, h)
+            out += kept
+        at = upto
+    return out
+
+
+class _Lowers(dict):
+    """Lower case sign by sign, as in SQL: İ is i."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "i" if code == 0x130 else chr(code).lower()
+        return self[code]
 
-    def hits_of(batch):
-        for texts, finds in zip(batch.column(blocks), batch.column(own).to_pylist()):
-            finds = finds or []
-            patterns = [f["entity"] for f in finds]
-            yield [
-                (b, at, at + len(patterns[k]), patterns[k], "", finds[k]["category"], finds[k]["score"], finds[k]["src"], at, k)
-                for b, t in enumerate(_blocks(texts)) for at, k in first_places(t, patterns)
-            ]
 
-    return hits_of
+_LOWERS = _Lowers()
+
+
+def numbered(hits: list[tuple]) -> list[str]:
+    """Placeholders of hits in reading order: one for each spelling, numbered by the label of its first hit's category."""
+    names: dict[str, str] = {}
+    counts: Counter = Counter()
+    out = []
+    for h in hits:
+        key = h[3].lower() if h[3].isascii() else h[3].translate(_LOWERS)
+        if key not in names:
+            label = LABELS.get(h[5], "SENSIBLE")
+            counts[label] += 1
+            names[key] = f"[{label}_{counts[label]}]"
+        out.append(names[key])
+    return out
+
+
+HIGHLIGHT = "struct<start:int,end:int,entity:string,source_entity:string,placeholder:string,status:string,score:int,category:string>"
+_HIGHLIGHT = [pa.field(n, t) for n, t in (("start", pa.int32()), ("end", pa.int32()), ("entity", pa.string()), ("source_entity", pa.string()), ("placeholder", pa.string()), ("status", pa.string()), ("score", pa.int32()), ("category", pa.string()))]
 
 
 def preview_rows(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, blocks, highlights) of (doc_id, blocks array<struct<block_seq,section,text>>, finds array<struct<entity,category,score,src>>).
+    """(doc_id, block_seq, section, text, highlights), one row per block that has a highlight, of (doc_id, blocks array<struct<block_seq,section,text>>, finds array<struct<src,entity,category,score>>).
 
-    A document is a row from beginning to end: its blocks meet the dictionary's automaton, then its own finds; of overlapping highlights of a block the longer, then the surer,
-    then that of the earlier source stays; placeholders are numbered by label in reading order, one for each spelling. No shuffle.
+    A document is a row until its highlights are known: its blocks meet the dictionary's automaton, then its own finds, as plain substrings with their case, at the first place in
+    each block; of overlapping highlights of a block the longer, then the surer, then that of the earlier source stays; placeholders are numbered by label in reading order, one
+    for each spelling. No shuffle, and no expression over the hits of a row.
     """
-    texts = docs.select("doc_id", "blocks", "finds").withColumn("_texts", F.transform("blocks", lambda b: b["text"]))
-    found = with_hits(texts, terms, "_texts", also=mentions_of("_texts", "finds"))
-    # blocks lie one after another, so spans of different blocks never overlap
-    placed = found.withColumn("_at", running_sum(F.transform("_texts", lambda t: F.length(F.coalesce(t, F.lit(""))) + 1)))
-    order = lambda h: F.struct(*[h[c].alias(c) for c in ("src", "from", "term", "category")])
-    span = lambda h, at: F.struct((at + h["start"]).alias("start"), (at + h["end"]).alias("end"), h["score"].alias("score"), order(h).alias("seq"), h.alias("hit"))
-    placed = placed.withColumn("_spans", bound(lambda hits, at: F.transform(hits, lambda h: span(h, F.get(at, h["block"]))), "_hits", "_at"))
-    kept = placed.withColumn("_kept", greedy_spans(F.col("_spans"), by_length_then_score))
-    marked = with_numbers(kept.withColumn("_kept", F.transform("_kept", lambda x: x["hit"])), "_kept", lambda h: F.lower(h["entity"]), lambda h: h["category"])
-    row = lambda h, mark: F.struct(
-        h["block"].alias("block"), h["start"].alias("start"), h["end"].alias("end"), h["entity"].alias("entity"), h["term"].alias("source_entity"),
-        mark.alias("placeholder"), F.lit("confirmed").alias("status"), h["score"].alias("score"), h["category"].alias("category"),
-    )
-    out = bound(lambda kept, marks: F.transform(kept, lambda h, i: row(h, F.get(marks, i))), "_kept", "_marks")
-    return marked.select("doc_id", "blocks", out.alias("highlights"))
+    rows, parts = docs.select("doc_id", "blocks", "finds"), dictionary(terms)
+    built = parts[0]
+    if several := len(parts) > 1:
+        rows = _passes(rows.withColumn("_texts", F.transform("blocks", lambda b: b["text"])), parts, "_texts").drop("_texts")
+    block = docs.schema["blocks"].dataType.elementType
+    schema = T.StructType([docs.schema["doc_id"], *(block[c] for c in ("block_seq", "section", "text")), T.StructField("highlights", T._parse_datatype_string(f"array<{HIGHLIGHT}>"))])
+
+    def highlighted(part: pa.RecordBatch) -> pa.RecordBatch:
+        finder, entries = (None, None) if several else built()
+        sizes = pc.fill_null(pc.list_value_length(part.column("blocks")), 0).to_pylist()
+        blocks = part.column("blocks").flatten()
+        texts = [t or "" for t in blocks.field("text").to_pylist()]
+        flat, marks, doc, which, ends, at = [], [], [], [], [0], 0
+        for row, (size, finds) in enumerate(zip(sizes, part.column("finds").to_pylist())):
+            mine = texts[at : at + size]
+            hits = [tuple(h.values()) for h in part.column("_hits")[row].as_py()] if several else _hits_in(mine, finder, entries)
+            if finds:
+                places = places_of([f["entity"] or "" for f in finds])
+                hits += [(b, a, a + len(f["entity"]), f["entity"], "", f["category"], f["score"], f["src"], a, k) for b, t in enumerate(mine) for a, k in places(t) for f in (finds[k],)]
+            hits = chosen(hits)
+            marks += numbered(hits)
+            last = None
+            for n, h in enumerate(hits, len(flat)):
+                if h[0] != last:
+                    last = h[0]
+                    doc.append(row)
+                    which.append(at + last)
+                    ends.append(n)
+            flat += hits
+            at += size
+        _, start, end, entity, term, category, score, _, _, _ = zip(*flat) if flat else [()] * len(_HIT)
+        columns = (start, end, entity, term, marks, ["confirmed"] * len(flat), score, category)
+        values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _HIGHLIGHT)], fields=_HIGHLIGHT)
+        met = blocks.take(pa.array(which, pa.int64()))
+        lists = pa.ListArray.from_arrays(pa.array([*ends[1:], len(flat)] if flat else [0], pa.int32()), values)
+        return pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc, pa.int64())), *(met.field(c) for c in ("block_seq", "section", "text")), lists], names=schema.names)
+
+    def work(batches):
+        for batch in batches:
+            for part in parts_of(batch):
+                yield highlighted(part)
+
+    return rows.mapInArrow(work, schema)
 
 
 def with_known_category(found: DataFrame, terms: DataFrame) -> DataFrame:

@@ -327,3 +327,33 @@ def test_preview_passes_python_once(spark):
     rows = A.preview_documents(docs, spark.createDataFrame([("autres", "chat")], "category string, term string"))
     assert [(r["block_seq"], h["entity"], h["placeholder"]) for r in rows.collect() for h in r["highlights"]] == [(0, "chat", "[SENSIBLE_1]"), (1, "Jean", "[PERSONNE_1]"), (1, "chat", "[SENSIBLE_1]")]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("letters", [None, 4])
+def test_preview_numbers_spellings_as_sql(spark, monkeypatch, letters):
+    """İ is lower-cased to i, as in SQL; overlaps, rows without highlights, null ids and dictionaries of several automata are as ever, and no expression goes over a row's hits."""
+    if letters:
+        monkeypatch.setattr(M, "MOST_LETTERS", letters)
+    own = [(1, f"wort{'x' * k}", "entreprises", 87) for k in range(12)]
+    docs = spark.createDataFrame([(1, "İst\n\nund ist Und", []), (None, "und wortxxx@b.de", [*own, (2, "wortxxx@b.de", "mails", 100)]), (2, None, None), (3, "rien", [])], f"doc_id long, text string, finds {A.OWN}")
+    rows = A.preview_documents(docs, spark.createDataFrame([("lieux", "ist"), ("lieux", "und")], "category string, term string"))
+    got = [(r.doc_id, r.block_seq, r.text, [(h.start, h.end, h.entity, h.placeholder) for h in r.highlights]) for r in rows.collect()]
+    assert sorted(got, key=lambda r: (r[0] or 0, r[1])) == [
+        (None, 0, "und wortxxx@b.de", [(0, 3, "und", "[LIEU_1]"), (4, 16, "wortxxx@b.de", "[MAIL_1]")]),
+        (1, 0, "İst", [(0, 3, "İst", "[LIEU_1]")]),
+        (1, 2, "und ist Und", [(0, 3, "und", "[LIEU_2]"), (4, 7, "ist", "[LIEU_1]"), (8, 11, "Und", "[LIEU_2]")]),
+    ]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "sort" not in plan
+
+
+def test_overlaps_are_chosen_one_by_one():
+    """As by trying each in order of length, score, source and place against all kept."""
+    rng = random.Random(3)
+    for _ in range(300):
+        hits = [(rng.randrange(2), s, s + rng.randrange(1, 6), "e", rng.choice("ab"), rng.choice(["c", None]), rng.choice([87, 100]), rng.randrange(3), s, 0) for s in (rng.randrange(20) for _ in range(rng.randrange(12)))]
+        kept: list = []
+        for h in sorted(hits, key=lambda h: (h[1] - h[2], -h[6], h[7], h[8], h[4], h[5] or "")):
+            if all(k[0] != h[0] or k[2] <= h[1] or k[1] >= h[2] for k in kept):
+                kept.append(h)
+        assert M.chosen(hits) == sorted(kept, key=lambda h: h[:2])
