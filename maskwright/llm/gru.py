@@ -13,9 +13,11 @@ WINDOW = 16
 LANES = 256
 #: Steps of a window when nothing is learned.
 LONG = 64
+#: A window is so many times as long, at most, where that many times fewer lanes are left: a few long texts don't cost a window's fixed work for every few tokens.
+STRETCH = 8
 RATE = 0.08
 CLIP = 1.0
-#: Rows of one class that a block of the output layer holds.
+#: Rows of one class that a block of the output layer holds, fewer where classes have few.
 ROWS = 64
 #: Gates are straight lines cut at 0 and 1, which numpy works out some ten times as fast as the logistic function.
 SLOPE, HALF, NONE, ONE = np.float32(0.25), np.float32(0.5), np.float32(0), np.float32(1)
@@ -62,7 +64,7 @@ def load(raw: bytes) -> dict:
 
 def _softmax(x: np.ndarray, rows: np.ndarray, at: np.ndarray, learn: bool) -> np.ndarray:
     """Log softmax of ``rows`` of ``x`` at one column each; with ``learn`` x becomes softmax less the target, 0 in other rows."""
-    np.clip(x, -EDGE, EDGE, out=x)
+    np.minimum(np.maximum(x, np.float32(-EDGE), out=x), np.float32(EDGE), out=x)
     picked = x[rows, at]
     np.exp(x, out=x)
     z = x @ np.ones(x.shape[1], np.float32)
@@ -121,7 +123,7 @@ class Model:
             g = np.add(a[t, : 2 * H], u[: 2 * H], out=z_r[t])
             g *= SLOPE
             g += HALF
-            np.clip(g, NONE, ONE, out=g)
+            np.minimum(np.maximum(g, NONE, out=g), ONE, out=g)
             un[t] = u[2 * H :]
             new = np.multiply(g[H:], un[t], out=n[t])
             new += a[t, 2 * H :]
@@ -134,7 +136,7 @@ class Model:
     def _outputs(self, s: np.ndarray, y: np.ndarray, grads: dict | None):
         """Natural log probabilities of tokens y given states s (rows); with ``grads``, also the states' gradients.
 
-        Rows are laid by class in blocks of ``ROWS``, so that all classes are worked on together.
+        Rows are laid by class in blocks of ``ROWS`` at most, so that all classes are worked on together; where a class has few, smaller blocks hold less padding.
         """
         p, learn = self.p, grads is not None
         c = (y // self.size).astype(np.int16)
@@ -147,14 +149,15 @@ class Model:
             ds = x @ p["Wc"].T
         by = np.argsort(c, kind="stable")
         rows = np.bincount(c, minlength=len(p["bo"]))
-        blocks = -(-rows // ROWS)
+        each = min(ROWS, 1 << max(3, (len(y) // (4 * len(rows))).bit_length()))
+        blocks = -(-rows // each)
         first = np.cumsum(blocks) - blocks
-        place = np.arange(len(y)) + np.repeat(first * ROWS - (np.cumsum(rows) - rows), rows)
+        place = np.arange(len(y)) + np.repeat(first * each - (np.cumsum(rows) - rows), rows)
         which = np.repeat(np.arange(len(rows)), blocks)
         w = p["Wo"][which]
-        laid = np.zeros((len(which) * ROWS, HIDDEN), np.float32)
+        laid = np.zeros((len(which) * each, HIDDEN), np.float32)
         laid[place] = s[by]
-        laid = laid.reshape(-1, ROWS, HIDDEN)
+        laid = laid.reshape(-1, each, HIDDEN)
         x = laid @ w.transpose(0, 2, 1)
         x += p["bo"][which][:, None, :]
         flat = x.reshape(-1, self.size)
@@ -243,9 +246,10 @@ class Model:
         fresh[first] = 0
         h = np.zeros((HIDDEN, len(plan)), np.float32)
         self.table = None
-        for t in range(0, int(sizes.max()), window):
+        t = steps = 0
+        while (t := t + steps) < sizes[0]:
             live = int((sizes > t).sum())
-            steps = min(window, int(sizes[0]) - t)
+            steps = min(window * min(STRETCH, len(plan) // live), int(sizes[0]) - t)
             place = t + np.arange(steps)[:, None]
             real = place < sizes[:live]
             at = np.where(real, begin[:live] + place, 0)

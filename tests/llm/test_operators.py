@@ -384,3 +384,18 @@ def test_null_ids(spark):
     assert got == [("1", size, 0), ("2", size, size), ("None", 0, 0), ("None", size, 0)]
     packed = pack_documents(docs, tokenizer_path()).collect()
     assert sum(r.doc_id is None for r in packed) >= 2 and sum(r.length for r in packed) == sum({(str(r.doc_id), r.doc_tokens): r.doc_tokens for r in packed}.values())
+
+
+def test_a_long_text_costs_few_windows(monkeypatch):
+    """Windows grow where few lanes are left, in training and scoring; scores are those of short windows."""
+    from maskwright.llm import gru
+
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(1, 90, n) for n in [4000, *[40] * 63]]
+    calls = []
+    learn = gru.Model._learn
+    monkeypatch.setattr(gru.Model, "_learn", lambda self, *a: calls.append(a[0].shape) or learn(self, *a))
+    m = gru.Model(gru.initial(np.sort(rng.integers(1, 90, 90))[::-1].astype(float)))
+    m.run(docs, 0, learn=True)
+    assert len(calls) < 40 and sum(s for s, _ in calls) == 4000
+    assert np.allclose(gru.Model(m.p).run(docs, 0), gru.Model(m.p).run(docs, 0, lanes=1, window=5), rtol=1e-4)
