@@ -24,6 +24,8 @@ LEVELS = 256
 BANDS = 32
 #: A walk ends when no more than this share of the shard may still be among the best; those are rescored.
 RESCORE = 0.02
+#: Vectors of a shard whose bounds say when a proof is worth a try.
+PROBES = 64
 #: Shards that a query block meets one after another, handing on its k-th best score.
 GROUP = 8
 OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -44,10 +46,10 @@ def build_shard(ids: np.ndarray, rows: np.ndarray, levels: int = LEVELS) -> dict
     """Postings of a shard by (dimension, level), with each segment's bounds; ``rows`` stays for rescoring.
 
     Impacts share a level when they agree above ``shift`` bits, the least shift that leaves a
-    dimension at most ``levels`` levels; without a shift a level is one exact impact.
+    dimension at most ``levels`` levels; without a shift a level is one exact impact. Within a dimension levels rise.
     """
     n, dims = rows.shape
-    order, starts, low, high, dim = [], [], [], [], []
+    order, starts, low, high, count = [], [], [], [], []
     at = 0
     for d in range(dims):
         v = rows[:, d]
@@ -61,16 +63,40 @@ def build_shard(ids: np.ndarray, rows: np.ndarray, levels: int = LEVELS) -> dict
         starts.append(at + first)
         low.append(np.minimum.reduceat(v[by], first))
         high.append(np.maximum.reduceat(v[by], first))
-        dim.append(np.full(len(first), d))
+        count.append(len(first))
         at += n
-    return {
-        "ids": ids,
-        "rows": rows,
-        "postings": np.concatenate(order).astype(np.int32),
-        "starts": np.append(np.concatenate(starts), at).astype(np.int64),
-        "low": np.concatenate(low),
-        "high": np.concatenate(high),
-        "dim": np.concatenate(dim),
+    return opened(
+        {
+            "ids": ids,
+            "rows": rows,
+            "postings": np.concatenate(order).astype(np.int32),
+            "starts": np.append(np.concatenate(starts), at).astype(np.int64),
+            "low": np.concatenate(low),
+            "high": np.concatenate(high),
+            "count": np.array(count, np.int64),
+        }
+    )
+
+
+#: What a shard's file holds; the rest is worked out by ``opened``.
+STORED = ("ids", "rows", "postings", "starts", "low", "high", "count")
+
+
+def opened(shard: dict) -> dict:
+    """The shard with what a walk needs beside the stored parts: each segment's dimension and size, and the segments of a few vectors spread over the shard."""
+    rows, starts, postings = shard["rows"], shard["starts"], shard["postings"].astype(np.int64)
+    n, dims = rows.shape
+    dim, size = np.repeat(np.arange(dims), shard["count"]), np.diff(starts)
+    probes = np.unique(np.linspace(0, n - 1, PROBES).astype(np.int64))
+    met = np.empty((dims, n), np.int64)
+    met[np.repeat(np.arange(dims), n), postings] = np.repeat(np.arange(len(dim)), size)
+    return shard | {
+        "postings": postings,
+        "low": shard["low"].astype(np.float64),
+        "high": shard["high"].astype(np.float64),
+        "dim": dim,
+        "size": size,
+        "met": met.T[probes],
     }
 
 
@@ -84,54 +110,86 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
+class Levels:
+    """A query's ``BANDS`` levels of falling quantised impact in a shard.
+
+    A segment's impact is the greatest magnitude of a product of query and vector component in it, ``greatest`` the greatest product. Levels are equally wide
+    in the impact's root, which parts small impacts, the most, finer than great ones. ``seen`` counts the postings up to a level's end; ``bounds`` are those of the
+    shard's probes there, which only say when a proof is worth a try.
+    """
+
+    def __init__(self, shard: dict, query: np.ndarray):
+        dims = len(query)
+        q = query.astype(np.float64)[shard["dim"]]
+        a, b = q * shard["low"], q * shard["high"]
+        self.greatest = np.maximum(a, b)
+        self.impact = np.maximum(self.greatest, -np.minimum(a, b))
+        self.largest = float(self.impact.max(initial=0))
+        root = np.sqrt(self.impact)
+        top, bottom = root.max(initial=0), root.min(initial=np.inf)
+        width = max((top - bottom) / BANDS, 1e-9)
+        self.level = np.minimum((top - root) * (1 / width), BANDS - 1).astype(np.int64)
+        self.seen = np.bincount(self.level, weights=shard["size"], minlength=BANDS).cumsum()
+        met, m = shard["met"], len(shard["met"])
+        at = (self.level[met] + BANDS * np.arange(m)[:, None]).ravel()
+        sums, counts = (np.bincount(at, weights=x, minlength=m * BANDS).reshape(m, BANDS).cumsum(axis=1) for x in (self.greatest[met].ravel(), None))
+        self.bounds = sums + (dims - counts) * np.square(np.maximum(top - width * np.arange(1, BANDS + 1), 0))
+
+
 def search(shard: dict, query_id: int, query: np.ndarray, k: int, floor: int, watch=None) -> tuple[np.ndarray, np.ndarray]:
     """The shard's k best for a query, at least ``floor``, as (ids, scores).
 
-    Segments are taken level by level of falling quantised impact, the greatest product of query and vector component in the
-    segment. A vector's bound is the sum of the impacts seen plus, for every dimension not yet seen for it, the greatest impact left. The
-    walk ends when the bounds prove that all but a few vectors are below the k-th best score known; those few, and only those, are
-    rescored exactly. A walk without proof ends with the last posting. ``watch`` is told each level's impacts and how many vectors stay possible.
+    Segments are taken level by level of falling quantised impact (``Levels``). A vector's bound is the sum of the segments' greatest products seen plus, for every
+    dimension not yet seen for it, the greatest product left. The walk ends when the bounds prove that all but a few vectors are below the k-th best
+    score known; those few, and only those, are rescored exactly. A walk without proof ends with the last posting. A proof is tried after each level where the bounds of the
+    shard's probes promise one, and after half of the postings, to raise the k-th best score, if no level does; levels between are added up together, in the order of their postings in memory, where
+    segments of neighbouring levels are neighbours. ``watch`` is told each level's impacts and how many vectors stay possible.
     """
-    ids, rows, starts, postings = shard["ids"], shard["rows"], shard["starts"], shard["postings"]
+    ids, rows, starts, postings, size = (shard[x] for x in ("ids", "rows", "starts", "postings", "size"))
     n, dims = rows.shape
-    q = query[shard["dim"]].astype(np.float64)
-    impact = np.where(q >= 0, q * shard["high"], q * shard["low"])
-    top, bottom = impact.max(initial=0), impact.min(initial=0)
-    level = np.minimum((top - impact) / max((top - bottom) / BANDS, 1e-9), BANDS - 1).astype(np.int16)
-    order = np.argsort(level, kind="stable")
-    cuts = np.searchsorted(level[order], np.arange(BANDS + 1))
-    greatest = np.array([impact[order[a:b]].max(initial=-np.inf) for a, b in zip(cuts[:-1], cuts[1:])])
-    left = np.append(np.maximum.accumulate(greatest[::-1])[::-1][1:], -np.inf)
+    levels = Levels(shard, query)
     # what the sums in double may lack against exact ones
-    slack = dims * float(np.abs(impact).max(initial=0)) * dims * 2.0**-52
-    size = np.diff(starts)
+    slack = dims * levels.largest * dims * 2.0**-52
     other = ids != query_id
-    total, missing = np.zeros(n), np.full(n, dims)
+    # products are whole numbers: where sum and count fit one double exactly, a posting adds its product and a unit for the count
+    unit = 2.0 ** np.ceil(np.log2(4 * dims * levels.largest + 4))
+    packed = 2 * dims * unit < 2.0**53
+    total, seen = np.zeros(n), np.zeros(n)
     members = np.flatnonzero(other)
 
     def score(some: np.ndarray) -> np.ndarray:
-        return rows[some].astype(np.int64) @ query
+        return rows[some].astype(np.int64, copy=False) @ query
 
-    tried = False
+    few = lambda: (levels.bounds >= floor).sum(axis=0) <= RESCORE * len(levels.bounds)
+    promising, tried, done = few(), False, -1
     for b in range(BANDS):
-        seg = order[cuts[b] : cuts[b + 1]]
-        if not len(seg):
-            continue
-        n_at = size[seg]
-        ends = np.cumsum(n_at)
-        at = postings[np.repeat(starts[seg] - ends + n_at, n_at) + np.arange(ends[-1])]
-        total += np.bincount(at, weights=np.repeat(impact[seg], n_at), minlength=n)
-        missing -= np.bincount(at, minlength=n)
-        upper = total if left[b] == -np.inf else total + missing * left[b]
-        if (left[b] <= 0 and not tried) or b % 4 == 3:
-            tried = True
-            likely = np.argpartition(-upper, min(2 * k, n - 1))[: 2 * k]
-            exact = score(likely[other[likely]])
-            if len(exact) >= k:
-                floor = max(floor, int(np.partition(exact, len(exact) - k)[len(exact) - k]))
-        members = np.flatnonzero(other & (upper + slack >= floor))
-        if watch is not None:
-            watch(b, impact[seg], len(members))
+        due = promising[b] or b == BANDS - 1 or not tried and 2 * levels.seen[b] >= n * dims and not promising[:-1].any()
+        seg = np.flatnonzero((levels.level > done) & (levels.level <= b)) if due else ()
+        if len(seg):
+            weights = np.repeat(levels.greatest[seg] + unit if packed else levels.greatest[seg], size[seg])
+            cut = np.flatnonzero(np.diff(seg, prepend=-2) != 1)
+            used = 0
+            for x, z in zip(starts[seg[cut]].tolist(), starts[seg[np.append(cut[1:], len(seg)) - 1] + 1].tolist()):
+                np.add.at(total, postings[x:z], weights[used : used + z - x])
+                if not packed:
+                    np.add.at(seen, postings[x:z], 1.0)
+                used += z - x
+            done, left = b, levels.greatest[levels.level > b].max(initial=-np.inf)
+            if packed:
+                seen = np.rint(total * (1 / unit))
+            upper = total - seen * unit if packed else total
+            if left > -np.inf:
+                upper = upper + (dims - seen) * left
+            if not tried:
+                tried = True
+                likely = np.argpartition(-upper, min(2 * k, n - 1))[: 2 * k]
+                exact = score(likely[other[likely]])
+                if len(exact) >= k:
+                    floor = max(floor, int(np.partition(exact, len(exact) - k)[len(exact) - k]))
+                    promising = few()
+            members = np.flatnonzero(other & (upper + slack >= floor))
+        if watch is not None and (levels.level == b).any():
+            watch(b, levels.impact[levels.level == b], len(members))
         if len(members) <= max(k, RESCORE * n):
             break
     scores = score(members)
@@ -164,7 +222,7 @@ class Shards:
                 self.held.pop(next(iter(self.held)))
             fs, path = open_fs(uri)
             with fs.open_input_stream(path, compression=None) as f:
-                self.held[uri] = _unpack(f.read())
+                self.held[uri] = opened(_unpack(f.read()))
         return self.held[uri]
 
 
@@ -220,7 +278,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding",
         fs.create_dir(folder, recursive=True)
         uri = f"{where}/shard-{shard}-{uuid.uuid4().hex}"  # a new name in every attempt; the saved table names those that count
         with fs.open_output_stream(open_fs(uri)[1], compression=None) as f:
-            f.write(_pack(**build_shard(table.column("vec_id").to_numpy()[keep], _rectangle(rows, dims))))
+            built = build_shard(table.column("vec_id").to_numpy()[keep], _rectangle(rows, dims))
+            f.write(_pack(**{x: built[x] for x in STORED}))
         return pa.table([pa.array([shard], pa.int64()), pa.array([uri])], schema=refs)
 
     dealt = source.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))

@@ -320,6 +320,38 @@ def test_walk_falls_and_stops():
         assert all(x[1] >= y[2] for x, y in zip(seen, seen[1:])) and seen[-1][0] < T.BANDS - 1 and len(seen) > 1
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 24])
+@pytest.mark.parametrize("levels", [8, 256])
+def test_walk_reads_few_postings(scale, levels):
+    """Vectors without structure: the proof comes before three quarters of the postings, for exact and shared levels, packed and large sums; a common vector's ties stay exact."""
+    from maskwright.llm import topk as T
+
+    rng = np.random.default_rng(11)
+    rows = np.floor(8 * rng.normal(size=(4000, 64))).astype(np.int64) * scale
+    ids = rng.permutation(8000)[:4000]
+    shard, share = T.build_shard(ids, rows, levels), []
+    for j in range(6):
+        order = [i for i in np.lexsort((ids, -(rows @ rows[j]))) if i != j][:20]
+        floor, seen = int(rows[order[-1]] @ rows[j]), []
+        got, scores = T.search(shard, ids[j], rows[j], 20, floor, lambda b, impact, left: seen.append((impact.min(), left)))
+        assert got.tolist() == ids[order].tolist() and scores.tolist() == (rows[order] @ rows[j]).tolist()
+        least, product = min(x[0] for x in seen), rows * rows[j]
+        share.append(np.mean((np.abs(product) if least >= 0 else product) >= least))
+        assert levels < 256 or seen[-1][1] <= T.RESCORE * 4000
+    assert levels < 256 or np.mean(share) < 0.75
+    rows[1000:] = rows[0]
+    (got, scores), = T.search_block(T.build_shard(ids, rows, levels), ids[:1], rows[:1], 20)
+    assert got.tolist() == sorted(ids[1000:])[:20] and set(scores.tolist()) == {int(rows[0] @ rows[0])}
+
+
+@pytest.mark.parametrize("value", [0, 3, 1 << 27])
+def test_walk_over_equal_vectors(value):
+    """One impact for all: every vector ties, in one level, and the smallest ids win."""
+    rows = np.full((500, 4), value)
+    for k, (found, scores) in enumerate(search_block(build_shard(np.arange(500), rows), np.array([0, 7]), rows[:2], 20)):
+        assert found.tolist() == [i for i in range(21) if i != 7 * k][:20] and set(scores.tolist()) == {4 * value * value}
+
+
 def test_common_pages_are_split(spark, monkeypatch):
     """A digest of many pages goes to several tasks and gives the same records."""
     from maskwright.llm import warc as W
